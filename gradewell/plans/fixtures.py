@@ -89,14 +89,14 @@ def regression_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderstatus").alias("run_id"),
         F.col("o_orderkey").alias("row_id"),
         F.col("o_totalprice").alias("y_true"),
-        F.round(F.col("o_totalprice") * 0.9 + F.col("o_custkey") % 100, 2).alias("y_pred"),
+        (F.col("o_totalprice") * 0.9 + F.col("o_custkey") % 100).alias("y_pred"),
     )
 
 
 SQL_REGRESSION_PREDICTIONS = """
 regression_predictions AS (
   SELECT o_orderstatus AS run_id, o_orderkey AS row_id, o_totalprice AS y_true,
-    round(o_totalprice * 0.9 + o_custkey % 100, 2) AS y_pred
+    o_totalprice * 0.9 + o_custkey % 100 AS y_pred
   FROM orders)
 """
 
@@ -343,3 +343,26 @@ def ctes(*blocks: str) -> str:
 def with_views(body: str, *views: str) -> str:
     """Prefix DuckDB SQL with the named CTE blocks."""
     return ctes(*views) + body
+
+
+# ---------------------------------------------------------------------------
+# processed_events: dirty_events after a typical feature pipeline (median fill
+# of amount, two columns dropped, one added). Leaves nulls in half_null and an
+# unencoded string column on purpose.
+# ---------------------------------------------------------------------------
+
+
+def processed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gradewell.operators.profile import impute_fill
+    d = dirty_events(spark, sf_dir)
+    filled = impute_fill(d, d, ["amount"])
+    return filled.drop("mostly_null", "day").withColumn("value_log", F.log(1 + F.col("value")))
+
+
+SQL_PROCESSED_EVENTS = SQL_DIRTY_EVENTS + """,
+processed_events AS (
+  SELECT event_id, user_id, event_type, value, coalesce(amount, (SELECT median(amount) FROM dirty_events)) AS amount,
+    half_null, value2, props, ln(1 + value) AS value_log
+  FROM dirty_events)
+"""
+PROCESSED_FEATURES = ["event_id", "user_id", "value", "amount", "half_null", "value2", "props", "value_log"]
