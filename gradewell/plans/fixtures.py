@@ -175,36 +175,48 @@ def _case_literal(col, mapping: list[str]):
 
 
 def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The step log: one row per event; even events wrap their code in a
+    fenced block inside the raw action text."""
     e = read_table(spark, sf_dir, "events")
     eid = F.col("event_id")
     action = F.lit("CODE_FIX")
     for ev, act in reversed(list(ACTION_OF_EVENT.items())):
         action = F.when(F.col("event_type") == ev, F.lit(act)).otherwise(action)
+    code = _case_literal(eid % 7, STEP_CODE_TEXTS)
     base = e.select(
         "event_id", "ts",
         (F.col("user_id") * 10 + F.floor((F.dayofmonth("ts") - 1) / 6).cast("bigint")).alias("episode_id"),
         action.alias("action_type"),
         (eid % 5 != 0).alias("execution_success"),
-        _case_literal(eid % 7, STEP_CODE_TEXTS).alias("code_body"),
+        code.alias("code_body"),
         F.when(eid % 5 != 0, None).otherwise(_case_literal(eid % 4, STEP_ERRORS)).alias("error_message"),
         F.when(eid % 3 == 0, F.col("value") / 100).alias("metric_value"),
     )
+    header = F.concat(F.lit("ACTION: "), F.col("action_type"), F.lit("\n"))
+    base = base.withColumn("action_text", F.when(
+        eid % 2 == 0, F.concat(header, F.lit("```python\n"), F.col("code_body"), F.lit("\n```")))
+        .otherwise(F.concat(header, F.col("code_body"))))
     w = Window.partitionBy("episode_id").orderBy("ts", "event_id")
     return base.select(
         "episode_id", (F.row_number().over(w) - 1).cast("int").alias("step_idx"),
-        "event_id", "ts", "action_type", "execution_success", "code_body",
-        "error_message", "metric_value")
+        "event_id", "ts", "action_type", "action_text", "execution_success", "code_body",
+        "error_message", "metric_value",
+        F.pmod(F.floor(F.col("episode_id") / 10), F.lit(5)).cast("int").alias("task_key"))
 
 
 SQL_STEPS = """
 steps AS (
   SELECT episode_id,
     CAST(row_number() OVER (PARTITION BY episode_id ORDER BY ts, event_id) - 1 AS INTEGER) AS step_idx,
-    event_id, ts, action_type, execution_success, code_body,
+    event_id, ts, action_type,
+    'ACTION: ' || action_type || chr(10) || CASE WHEN event_id % 2 = 0
+      THEN '```python' || chr(10) || code_body || chr(10) || '```' ELSE code_body END AS action_text,
+    execution_success, code_body,
     CASE WHEN NOT execution_success THEN CASE event_id % 4 WHEN 0 THEN 'KeyError: ''Age'''
       WHEN 1 THEN 'SyntaxError: invalid syntax' WHEN 2 THEN 'Execution timed out after 60s'
       ELSE 'ZeroDivisionError: division by zero' END END AS error_message,
-    CASE WHEN event_id % 3 = 0 THEN value / 100 END AS metric_value
+    CASE WHEN event_id % 3 = 0 THEN value / 100 END AS metric_value,
+    CAST((episode_id // 10) % 5 AS INTEGER) AS task_key
   FROM (SELECT *, user_id * 10 + CAST(floor((extract(day FROM ts) - 1) / 6) AS BIGINT) AS episode_id,
       CASE event_type WHEN 'signup' THEN 'PLAN' WHEN 'view' THEN 'FEATURE_ENGINEERING'
         WHEN 'click' THEN 'CODE' WHEN 'purchase' THEN 'MODEL' ELSE 'CODE_FIX' END AS action_type,
@@ -219,7 +231,8 @@ steps AS (
 """
 
 # ---------------------------------------------------------------------------
-# Tasks: one per region row. An episode's task is pmod(user_id, 5).
+# Tasks: one per region row. An episode's task is pmod(user_id, 5). Budgets
+# are 1..5 days (the log spans a month); the scoring's hard limit is 4 days.
 # ---------------------------------------------------------------------------
 
 # Per region key -> (task_type, metric, target, baseline, oracle,
@@ -277,7 +290,7 @@ def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("Predict the target for region "), F.col("r_name")).alias("description"),
         checklist.alias("plan_checklist"),
         F.lit(None).cast(T.ArrayType(T.StringType())).alias("feature_columns"),
-        F.lit(300.0).alias("time_budget_seconds"),
+        (F.lit(86400.0) * (k + 1)).alias("time_budget_seconds"),
         F.lit(15).alias("max_steps"),
         pick(4).cast("double").alias("oracle_score"),
         pick(3).cast("double").alias("baseline_score"),
@@ -300,7 +313,7 @@ SQL_TASKS = "tasks AS (\n  SELECT lower(r_name) AS task_id, r_regionkey AS task_
         ("baseline_score", [f"CAST({_sql_opt(s[3])} AS DOUBLE)" for s in TASK_SPECS]),
         ("oracle_score", [f"CAST({_sql_opt(s[4])} AS DOUBLE)" for s in TASK_SPECS]),
         ("is_time_series", ["true" if s[5] else "false" for s in TASK_SPECS]),
-    ]) + "    300.0 AS time_budget_seconds, 15 AS max_steps\n  FROM region)\n"
+    ]) + "    86400.0 * (r_regionkey + 1) AS time_budget_seconds, 15 AS max_steps\n  FROM region)\n"
 
 SQL_CHECKLIST = "checklist AS (SELECT * FROM (VALUES " + ", ".join(
     f"({n}, '{i}', '{kw}', {wt}, {str(req).lower()})"
@@ -314,24 +327,15 @@ exploded_checklist AS (
 """
 
 
-def episode_tasks(steps_df: DataFrame) -> DataFrame:
-    """Episode -> task key rule of the fixture."""
-    return (steps_df.select("episode_id").distinct()
-            .select("episode_id", F.pmod(F.floor(F.col("episode_id") / 10), F.lit(5)).cast("int").alias("task_key")))
-
-
 def steps_with_task(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Step log with its task's columns (tasks are tiny: broadcast)."""
-    s = steps(spark, sf_dir)
-    t = tasks(spark, sf_dir)
-    s = s.withColumn("task_key", F.pmod(F.floor(F.col("episode_id") / 10), F.lit(5)).cast("int"))
-    return s.join(F.broadcast(t), "task_key")
+    """Step log with its task id (tasks are tiny: broadcast)."""
+    t = tasks(spark, sf_dir).select("task_key", "task_id")
+    return steps(spark, sf_dir).join(F.broadcast(t), "task_key").drop("task_key")
 
 
 SQL_STEPS_WITH_TASK = SQL_STEPS + ", " + SQL_TASKS + """,
 steps_with_task AS (
-  SELECT s.*, t.* EXCLUDE (task_key) FROM steps s
-  JOIN tasks t ON t.task_key = CAST((s.episode_id // 10) % 5 AS INTEGER))
+  SELECT s.* EXCLUDE (task_key), t.task_id FROM steps s JOIN tasks t ON t.task_key = s.task_key)
 """
 
 
@@ -366,3 +370,6 @@ processed_events AS (
   FROM dirty_events)
 """
 PROCESSED_FEATURES = ["event_id", "user_id", "value", "amount", "half_null", "value2", "props", "value_log"]
+
+# Hard time limit used when scoring the fixture log (the rule's parameter).
+HARD_TIME_LIMIT = 4 * 86400.0
