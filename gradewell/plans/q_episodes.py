@@ -1,3 +1,506 @@
-"""Registered queries."""
+"""Registered step-text (T1-T23) and episode-state (E1-E17) queries.
+
+Spark side: the library's DataFrame operators. Oracle side: an independent
+DuckDB formulation -- per-step regex flags, running windows, and plain joins
+per (step, column) where the library uses bitmasks.
+"""
 
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from gradewell.functions import text_rules as TR
+from gradewell.functions.text_rules import Rx, sql_count, sql_match, sql_str
+from gradewell.operators import episodes as E
+from gradewell.operators import profile as P
+from gradewell.plans import fixtures as X
+from gradewell.plans.registry import query
+from gradewell.sources.io import explode_checklist, read_table
+
+EP, IDX = E.EP, E.IDX
+HARD = X.HARD_TIME_LIMIT
+W = "OVER (PARTITION BY episode_id ORDER BY step_idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+WB = "OVER (PARTITION BY episode_id ORDER BY step_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+
+
+def M(rx: Rx, expr: str = "text") -> str:
+    return sql_match(expr, rx)
+
+
+def _in(*types: str) -> str:
+    return "action_type IN (" + ", ".join(f"'{t}'" for t in types) + ")"
+
+
+def _any(cond: str) -> str:
+    return f"coalesce(bool_or(coalesce({cond}, false)) {W}, false)"
+
+
+def _sum(expr: str) -> str:
+    return f"coalesce(sum({expr}) {W}, 0)"
+
+
+def _strip_sql(e: str) -> str:
+    return f"regexp_replace({e}, '^\\s+|\\s+$', '', 'g')"
+
+
+def _classify_sql(e: str) -> str:
+    parts = [f"WHEN {e} IS NULL OR {e} = '' THEN 'none'"]
+    parts += [f"WHEN {M(rx, e)} THEN '{cat}'" for rx, cat in TR.ERROR_CLASSES]
+    return "CASE " + " ".join(parts) + " ELSE 'other' END"
+
+
+_TARGET_PAT = ("'(?:X_train|X_val|X_test|features)\\s*\\[.*[''\"]\\Q' || target_column || '\\E[''\"]\\]'")
+
+# ------------------------------------------------------------------ SQL state
+_SQL_PREP = X.SQL_STEPS_WITH_TASK + """,
+p0 AS (
+  SELECT s.*, t.target_column, t.task_type, t.time_budget_seconds, t.max_steps, t.baseline_score,
+    t.oracle_score, t.is_time_series,
+    CASE WHEN coalesce(s.code_body, '') <> '' THEN s.code_body ELSE coalesce(s.action_text, '') END AS text,
+    epoch_us(s.ts) / 1e6 - min(epoch_us(s.ts)) OVER (PARTITION BY s.episode_id) / 1e6 AS elapsed
+  FROM steps_with_task s JOIN tasks t ON t.task_id = s.task_id),
+p1 AS (SELECT *, action_type = 'FINAL_SUBMIT' OR step_idx >= max_steps OR elapsed > time_budget_seconds AS done
+       FROM p0),
+prep AS (SELECT * EXCLUDE (first_done) FROM (
+  SELECT *, min(CASE WHEN done THEN step_idx END) OVER (PARTITION BY episode_id) AS first_done FROM p1)
+  WHERE first_done IS NULL OR step_idx <= first_done)"""
+
+_FLAG_EXPRS = {
+    "ok": "coalesce(execution_success, false)",
+    "f_fit_spaced": M(TR.FIT_SPACED), "f_fit_plain": M(TR.FIT_PLAIN), "f_fit_strict": M(TR.MODEL_FIT_STRICT),
+    "f_basic": M(TR.BASIC_OPS), "f_seed": M(TR.SEED), "f_efficient": M(TR.EFFICIENT_SEARCH),
+    "f_corr": M(TR.CORR_CODE), "f_pca": M(TR.PCA), "f_fill": M(TR.FILL), "f_dropna": M(TR.DROPNA),
+    "f_eda": M(TR.EDA), "f_outlier": M(TR.OUTLIER_HANDLING), "f_dedup": M(TR.DEDUP_CODE),
+    "f_importance": M(TR.IMPORTANCE), "f_tuning": M(TR.TUNING), "f_ann": M(TR.ANN),
+    "f_good": M(TR.GOOD_TABULAR), "f_ensemble": M(TR.ENSEMBLE), "f_library": M(TR.LIBRARY_IMPORT),
+    "f_cv": M(TR.CV), "f_ts_split": M(TR.TIMESERIES_SPLIT), "f_shuffle_true": M(TR.SHUFFLE_TRUE),
+    "f_shuffle_false": M(TR.SHUFFLE_FALSE), "f_stratify": M(TR.STRATIFY), "f_ts_hint": M(TR.TIMESERIES_HINTS),
+    "f_model_assign": M(TR.MODEL_ASSIGN),
+    "n_hyperparams": sql_count("text", TR.HYPERPARAM_SET),
+    "n_leak_patterns": " + ".join(f"CAST({M(rx)} AS INTEGER)" for rx in TR.LEAKAGE),
+    "n_target_lines": f"len(list_filter(string_split(text, chr(10)), lambda ln: regexp_matches(ln, {_TARGET_PAT}) "
+                      f"AND NOT regexp_matches(ln, {sql_str(TR.TARGET_SAFE_OPS.re2())})))",
+    "n_bad_test_size": f"len(list_filter(list_transform(regexp_extract_all(text, {sql_str(TR.TEST_SIZE.re2())}, 1), "
+                       "lambda x: TRY_CAST(x AS DOUBLE)), lambda v: v > 0 AND v < 1 AND (v < 0.10 OR v > 0.50)))",
+    "error_class": f"CASE WHEN NOT coalesce(execution_success, false) THEN {_classify_sql('error_message')} END",
+    "p_corr": M(TR.CORR_PLAN), "p_missing": M(TR.MISSING_PLAN), "p_eda": M(TR.EDA_PLAN),
+    "p_outlier": M(TR.OUTLIER_PLAN), "p_dedup": M(TR.DEDUP_PLAN), "p_importance": M(TR.IMPORTANCE),
+    "p_ts_hint": M(TR.TIMESERIES_HINTS),
+    **{f"f_bad{i}": M(rx) for i, (rx, _) in enumerate(TR.BAD_PARAMS)},
+}
+
+_SUCC_CM = f"(ok AND {_in(*E.SUB_CM)})"
+_SUCC_CMF = f"(ok AND {_in(*E.SUB_CMF)})"
+_PHASE = ("CASE WHEN action_type IN ('CODE', 'FEATURE_ENGINEERING') THEN CASE WHEN f_fit_spaced THEN 'model' "
+          "ELSE 'data' END WHEN action_type = 'MODEL' THEN 'model' END")
+_TRAINED = "((action_type = 'MODEL' AND ok) OR (action_type = 'CODE' AND ok AND f_fit_strict))"
+_FIT_STEP = f"({_SUCC_CM} AND f_fit_spaced)"
+
+
+def _plan_last(c: str) -> str:
+    return f"last_value(CASE WHEN action_type = 'PLAN' THEN {c} END IGNORE NULLS) {W}"
+
+
+_STATE_EXPRS = {
+    "repair_attempts": _sum("CAST(action_type = 'CODE_FIX' AS INTEGER)"),
+    "repair_successes": _sum("CAST(action_type = 'CODE_FIX' AND ok AS INTEGER)"),
+    "consecutive_failures": f"step_idx - coalesce(last_value(CASE WHEN ok THEN step_idx END IGNORE NULLS) {W}, -1)",
+    "cycle_count": _sum("CAST(phase = 'model' AND prev_phase = 'data' AS INTEGER)"),
+    "metric_cf": f"last_value(metric_value IGNORE NULLS) {W}",
+    "backtracks": _sum("CAST(backtrack_here AS INTEGER)"),
+    "slow_fit": _any("slow_here"),
+    "plan_text": _plan_last("text"),
+    "has_plan": _any("action_type = 'PLAN'"),
+    **{f"plan_{k}": f"coalesce({_plan_last('p_' + k)}, false)"
+       for k in ["corr", "missing", "eda", "outlier", "dedup", "importance", "ts_hint"]},
+    "fe_successes": _sum("CAST(action_type = 'FEATURE_ENGINEERING' AND ok AS INTEGER)"),
+    "model_successes": _sum("CAST(action_type = 'MODEL' AND ok AS INTEGER)"),
+    "has_model": _any("ok AND f_model_assign"),
+    "leak_issues": _sum("CASE WHEN action_type <> 'FINAL_SUBMIT' THEN n_leak_patterns + n_target_lines ELSE 0 END"),
+    "repro_steps": _any(_SUCC_CMF), "repro_fit": _any(f"{_SUCC_CMF} AND f_fit_plain"),
+    "repro_seed": _any(f"{_SUCC_CMF} AND f_seed"),
+    "eff_code": f"array_to_string(list(text ORDER BY step_idx) FILTER (WHERE {_SUCC_CM}) {W}, chr(10))",
+    "eff_efficient": _any(f"{_SUCC_CM} AND f_efficient"),
+    "corr_code": _any(f"{_in(*E.SUB_CF)} AND f_corr"), "corr_pca": _any(f"{_in(*E.SUB_CF)} AND f_pca"),
+    "miss_fill": _any(f"{_in(*E.SUB_CFM)} AND f_fill"), "miss_dropna": _any(f"{_in(*E.SUB_CFM)} AND f_dropna"),
+    "dist_eda": _any(f"{_in(*E.SUB_CFM)} AND f_eda"), "dist_outlier": _any(f"{_in(*E.SUB_CFM)} AND f_outlier"),
+    "dup_code": _any(f"{_in(*E.SUB_CFX)} AND f_dedup"),
+    "imp_code": _any(f"{_in(*E.SUB_CMF)} AND f_importance"),
+    "hp_steps": _any(_SUCC_CM), "hp_fit": _any(f"{_SUCC_CM} AND f_fit_spaced"),
+    "hp_params": _sum(f"CASE WHEN {_SUCC_CM} THEN n_hyperparams ELSE 0 END"),
+    "hp_tuning": _any(f"{_SUCC_CM} AND f_tuning"),
+    **{f"hp_bad{i}": _any(f"{_SUCC_CM} AND f_bad{i}") for i in range(len(TR.BAD_PARAMS))},
+    "mc_fit": _any(f"{_in(*E.SUB_CM)} AND f_fit_spaced"), "mc_ann": _any(f"{_in(*E.SUB_CM)} AND f_ann"),
+    "mc_good": _any(f"{_in(*E.SUB_CM)} AND f_good"), "mc_library": _any(f"{_in(*E.SUB_CM)} AND f_library"),
+    "mc_ensemble": _any(f"{_in(*E.SUB_CM)} AND f_ensemble"),
+    "mc_code": f"array_to_string(list(text ORDER BY step_idx) FILTER (WHERE {_in(*E.SUB_CM)}) {W}, chr(10))",
+    "sp_fit": _any(f"{_in(*E.SUB_CFM)} AND f_fit_spaced"), "sp_cv": _any(f"{_in(*E.SUB_CFM)} AND f_cv"),
+    "sp_ts_split": _any(f"{_in(*E.SUB_CFM)} AND f_ts_split"),
+    "sp_shuffle_true": _any(f"{_in(*E.SUB_CFM)} AND f_shuffle_true"),
+    "sp_shuffle_false": _any(f"{_in(*E.SUB_CFM)} AND f_shuffle_false"),
+    "sp_stratify": _any(f"{_in(*E.SUB_CFM)} AND f_stratify"),
+    "sp_ts_hint": _any(f"{_in(*E.SUB_CFM)} AND f_ts_hint"),
+    "sp_bad_sizes": _sum(f"CASE WHEN {_in(*E.SUB_CFM)} THEN n_bad_test_size ELSE 0 END"),
+}
+
+SQL_STATE = _SQL_PREP + ",\nflags AS (SELECT *, " + ",\n  ".join(
+    f"{v} AS {k}" for k, v in _FLAG_EXPRS.items()) + " FROM prep),\n" + f"""
+f2 AS (SELECT *, {_PHASE} AS phase,
+  {_TRAINED} AS trained_here,
+  CASE WHEN {_FIT_STEP} THEN epoch_us(ts) / 1e6 END AS fit_sec FROM flags),
+f3 AS (SELECT *, coalesce(last_value(phase IGNORE NULLS) {WB}, 'init') AS prev_phase,
+  min(CASE WHEN trained_here THEN step_idx END) {WB} AS trained_before,
+  last_value(fit_sec IGNORE NULLS) {WB} AS prev_fit_sec FROM f2),
+f4 AS (SELECT *, trained_before IS NOT NULL AND ((action_type = 'FEATURE_ENGINEERING' AND f_basic)
+    OR (action_type = 'CODE' AND ok AND f_basic AND NOT f_fit_strict)) AS backtrack_here,
+  coalesce({_FIT_STEP} AND prev_fit_sec IS NOT NULL
+    AND (epoch_us(ts) / 1e6 - prev_fit_sec) > 0.5 * time_budget_seconds, false) AS slow_here FROM f3),
+s1 AS (SELECT *, """ + ",\n  ".join(f"{v} AS {k}" for k, v in _STATE_EXPRS.items()) + f""" FROM f4),
+state AS (SELECT * EXCLUDE (eff_code, mc_code),
+  coalesce(list(metric_cf ORDER BY step_idx) FILTER (WHERE metric_cf IS NOT NULL) {W}, []) AS metric_history,
+  {M(TR.GRIDSEARCH, 'eff_code')} AS eff_grid, {M(TR.CUSTOM_MODEL, 'mc_code')} AS mc_custom,
+  step_idx = max(step_idx) OVER (PARTITION BY episode_id) AS is_last FROM s1)"""
+
+
+def spark_state(spark, sf_dir):
+    """Library running state per kept step (no profile context)."""
+    s = E.prepare_steps(X.steps_with_task(spark, sf_dir), X.tasks(spark, sf_dir), HARD)
+    st = E.running_state(E.step_flags(s))
+    return st.withColumn("is_last", F.col(IDX) == F.max(IDX).over(Window.partitionBy(EP)))
+
+
+def _last(spark, sf_dir):
+    return spark_state(spark, sf_dir).where("is_last")
+
+
+def _state_sql(body: str) -> str:
+    return X.ctes(SQL_STATE) + body
+
+
+# ================================================================ T1-T5 per step / per text
+@query("t1_parse_action", X.with_views(f"""
+SELECT episode_id, step_idx,
+  CASE WHEN {M(TR.ACTION_HEADER, 't')} THEN upper(regexp_extract(t, {sql_str(Rx(TR.ACTION_HEADER.pattern + '((?s:.*))', 'im').re2())}, 1))
+    ELSE 'CODE' END AS parsed_type,
+  CASE WHEN {M(TR.ACTION_HEADER, 't')} THEN coalesce(
+      CASE WHEN {M(TR.CODE_BLOCK, 'a')} THEN {_strip_sql(f"regexp_extract(a, {sql_str(TR.CODE_BLOCK.re2())}, 1)")} END, a)
+    END AS body
+FROM (SELECT *, {_strip_sql(f"regexp_extract(t, {sql_str(Rx(TR.ACTION_HEADER.pattern + '((?s:.*))', 'im').re2())}, 2)")} AS a
+      FROM (SELECT episode_id, step_idx, {_strip_sql('action_text')} AS t FROM steps))""", X.SQL_STEPS))
+def t1_parse_action(spark, sf_dir):
+    s = X.steps(spark, sf_dir)
+    p = TR.parse_action(F.col("action_text"))
+    return s.select(EP, IDX, p["action_type"].alias("parsed_type"), p["body"].alias("body"))
+
+
+@query("t2_extract_code_block", X.with_views(f"""
+SELECT episode_id, step_idx, CASE WHEN {M(TR.CODE_BLOCK, 'action_text')}
+  THEN {_strip_sql(f"regexp_extract(action_text, {sql_str(TR.CODE_BLOCK.re2())}, 1)")} END AS code
+FROM steps""", X.SQL_STEPS))
+def t2_extract_code_block(spark, sf_dir):
+    s = X.steps(spark, sf_dir)
+    return s.select(EP, IDX, TR.extract_code_block(F.col("action_text")).alias("code"))
+
+
+def _guess_sql(e: str) -> str:
+    scores = {t: " + ".join(f"CAST(instr(lower({e}), {sql_str(kw.lower())}) > 0 AS INTEGER)" for kw in kws)
+              for t, kws in TR.HEURISTIC_KEYWORDS.items()}
+    best = "greatest(" + ", ".join(f"({v})" for v in scores.values()) + ")"
+    whens = " ".join(f"WHEN ({scores[t]}) = {best} THEN '{t}'" for t in TR.ACTION_TYPES if t in scores)
+    return f"CASE WHEN {best} <= 0 THEN 'CODE' {whens} ELSE 'CODE' END"
+
+
+@query("t3_guess_action", f"""
+SELECT conv_id, turn, {_guess_sql('text')} AS guessed_type FROM conversations""")
+def t3_guess_action(spark, sf_dir):
+    c = read_table(spark, sf_dir, "conversations")
+    return c.select("conv_id", "turn", TR.guess_action(F.col("text")).alias("guessed_type"))
+
+
+@query("t3_guess_action_documents", f"SELECT doc_id, {_guess_sql('text')} AS guessed_type FROM documents")
+def t3_guess_action_documents(spark, sf_dir):
+    d = read_table(spark, sf_dir, "documents")
+    return d.select("doc_id", TR.guess_action(F.col("text")).alias("guessed_type"))
+
+
+_THOUGHT = Rx(r"Action:\s*(.*)", "s")
+
+
+@query("t4_strip_thought", f"""
+SELECT conv_id, turn, CASE WHEN {M(_THOUGHT)} THEN {_strip_sql(f"regexp_extract(text, {sql_str(_THOUGHT.re2())}, 1)")}
+  ELSE text END AS action FROM conversations""")
+def t4_strip_thought(spark, sf_dir):
+    c = read_table(spark, sf_dir, "conversations")
+    return c.select("conv_id", "turn", TR.strip_thought(F.col("text")).alias("action"))
+
+
+@query("t5_classify_error", X.with_views(f"""
+SELECT episode_id, step_idx, {_classify_sql('error_message')} AS crash_class FROM steps""", X.SQL_STEPS))
+def t5_classify_error(spark, sf_dir):
+    s = X.steps(spark, sf_dir)
+    return s.select(EP, IDX, TR.classify_error(F.col("error_message")).alias("crash_class"))
+
+
+@query("t5_classify_error_documents", f"SELECT doc_id, {_classify_sql('text')} AS crash_class FROM documents")
+def t5_classify_error_documents(spark, sf_dir):
+    d = read_table(spark, sf_dir, "documents")
+    return d.select("doc_id", TR.classify_error(F.col("text")).alias("crash_class"))
+
+
+@query("t6_leak_text", _state_sql("""
+SELECT episode_id, step_idx, CAST(n_leak_patterns AS BIGINT) AS n_leak_patterns FROM state"""))
+def t6_leak_text(spark, sf_dir):
+    return spark_state(spark, sf_dir).select(EP, IDX, F.col("n_leak_patterns").cast("long"))
+
+
+@query("t7_target_as_feature", X.ctes(X.SQL_STEPS_WITH_TASK) + f"""
+SELECT episode_id, step_idx, CAST(len(list_filter(string_split(text, chr(10)), lambda ln: regexp_matches(ln, {_TARGET_PAT})
+  AND NOT regexp_matches(ln, {sql_str(TR.TARGET_SAFE_OPS.re2())}))) AS BIGINT) AS n_target_lines
+FROM (SELECT s.*, t.target_column, CASE WHEN coalesce(code_body, '') <> '' THEN code_body ELSE coalesce(action_text, '') END AS text
+      FROM steps_with_task s JOIN tasks t ON t.task_id = s.task_id)""")
+def t7_target_as_feature(spark, sf_dir):
+    s = X.steps_with_task(spark, sf_dir).join(F.broadcast(X.tasks(spark, sf_dir).select("task_id", "target_column")),
+                                              "task_id")
+    txt = TR.step_text(F.col("code_body"), F.col("action_text"))
+    return s.select(EP, IDX, TR.target_as_feature_lines(txt, F.col("target_column")).cast("long").alias("n_target_lines"))
+
+
+# ================================================================ per-episode rule inputs (last kept step)
+def _last_sql(cols: dict[str, str]) -> str:
+    return _state_sql("SELECT episode_id, " + ", ".join(f"{v} AS {k}" for k, v in cols.items())
+                      + " FROM state WHERE is_last")
+
+
+def _reg(name: str, cols: dict[str, str], spark_cols):
+    @query(name, _last_sql(cols))
+    def fn(spark, sf_dir):
+        st = _last(spark, sf_dir)
+        return st.select(EP, *[c.alias(k) for k, c in spark_cols(st).items()])
+    fn.__name__ = name
+    return fn
+
+
+c = F.col
+_reg("t9_seed_fixed", {"repro_steps": "repro_steps", "repro_fit": "repro_fit", "repro_seed": "repro_seed"},
+     lambda s: {"repro_steps": c("repro_steps"), "repro_fit": c("repro_fit"), "repro_seed": c("repro_seed")})
+_reg("t10_grid_search", {"eff_grid": "eff_grid", "eff_efficient": "eff_efficient"},
+     lambda s: {"eff_grid": c("eff_grid"), "eff_efficient": c("eff_efficient")})
+_reg("t11_corr_analysis", {"corr_code": "corr_code", "plan_corr": "plan_corr", "corr_pca": "corr_pca"},
+     lambda s: {"corr_code": c("corr_code"), "plan_corr": c("plan_corr"), "corr_pca": c("corr_pca")})
+_reg("t14_eda_done", {"dist_eda": "dist_eda", "plan_eda": "plan_eda"},
+     lambda s: {"dist_eda": c("dist_eda"), "plan_eda": c("plan_eda")})
+_reg("t15_outliers_handled", {"dist_outlier": "dist_outlier", "plan_outlier": "plan_outlier"},
+     lambda s: {"dist_outlier": c("dist_outlier"), "plan_outlier": c("plan_outlier")})
+_reg("t16_dedup_mentioned", {"dup_code": "dup_code", "plan_dedup": "plan_dedup"},
+     lambda s: {"dup_code": c("dup_code"), "plan_dedup": c("plan_dedup")})
+_reg("t17_importance_inspected", {"imp_code": "imp_code", "plan_importance": "plan_importance"},
+     lambda s: {"imp_code": c("imp_code"), "plan_importance": c("plan_importance")})
+_reg("t18_hyperparam_count", {"hp_params": "CAST(hp_params AS BIGINT)", "hp_fit": "hp_fit"},
+     lambda s: {"hp_params": c("hp_params").cast("long"), "hp_fit": c("hp_fit")})
+_reg("t19_bad_hyperparams", {f"hp_bad{i}": f"hp_bad{i}" for i in range(5)},
+     lambda s: {f"hp_bad{i}": c(f"hp_bad{i}") for i in range(5)})
+_reg("t20_tuning_used", {"hp_tuning": "hp_tuning"}, lambda s: {"hp_tuning": c("hp_tuning")})
+_reg("t21_model_family", {k: k for k in ["mc_fit", "mc_ann", "mc_good", "mc_library", "mc_ensemble", "mc_custom"]},
+     lambda s: {k: c(k) for k in ["mc_fit", "mc_ann", "mc_good", "mc_library", "mc_ensemble", "mc_custom"]})
+_reg("t22_split_text", {**{k: k for k in ["sp_fit", "sp_cv", "sp_ts_split", "sp_shuffle_true", "sp_shuffle_false",
+                                         "sp_stratify", "sp_ts_hint", "plan_ts_hint"]},
+                        "sp_bad_sizes": "CAST(sp_bad_sizes AS BIGINT)"},
+     lambda s: {**{k: c(k) for k in ["sp_fit", "sp_cv", "sp_ts_split", "sp_shuffle_true", "sp_shuffle_false",
+                                     "sp_stratify", "sp_ts_hint", "plan_ts_hint"]},
+                "sp_bad_sizes": c("sp_bad_sizes").cast("long")})
+_reg("e2_repair_stats", {"repair_attempts": "CAST(repair_attempts AS BIGINT)",
+                         "repair_successes": "CAST(repair_successes AS BIGINT)"},
+     lambda s: {"repair_attempts": c("repair_attempts").cast("long"),
+                "repair_successes": c("repair_successes").cast("long")})
+_reg("e4_cycle_count", {"cycle_count": "CAST(cycle_count AS BIGINT)"},
+     lambda s: {"cycle_count": c("cycle_count").cast("long")})
+_reg("e9_backtracking", {"backtracks": "CAST(backtracks AS BIGINT)"},
+     lambda s: {"backtracks": c("backtracks").cast("long")})
+_reg("e12_slow_fit", {"slow_fit": "slow_fit"}, lambda s: {"slow_fit": c("slow_fit")})
+_reg("e13_last_step_status", {"last_ok": "ok", "crash_class": "error_class"},
+     lambda s: {"last_ok": c("ok"), "crash_class": c("error_class")})
+_reg("e14_latest_plan", {"plan_text": "plan_text"}, lambda s: {"plan_text": c("plan_text")})
+_reg("e17_artifact_check", {"current_step": "CAST(step_idx + 1 AS BIGINT)", "has_model": "has_model",
+                            "namespace_score": "CASE WHEN step_idx + 1 < 3 THEN 1.0 WHEN has_model THEN 1.0 ELSE 0.0 END"},
+     lambda s: {"current_step": (c(IDX) + 1).cast("long"), "has_model": c("has_model"),
+                "namespace_score": F.when(c(IDX) + 1 < 3, 1.0).when(c("has_model"), 1.0).otherwise(0.0)})
+
+
+# ================================================================ per-step state
+@query("e1_step_index", X.with_views("""
+SELECT event_id, CAST(row_number() OVER (PARTITION BY episode_id ORDER BY ts, event_id) - 1 AS INTEGER) AS step_idx
+FROM steps""", X.SQL_STEPS))
+def e1_step_index(spark, sf_dir):
+    s = X.steps(spark, sf_dir).drop(IDX)
+    return E.step_index(s, ("ts", "event_id")).select("event_id", IDX)
+
+
+@query("e3_consecutive_failures", _state_sql("""
+SELECT episode_id, step_idx, CAST(consecutive_failures AS BIGINT) AS consecutive_failures FROM state"""))
+def e3_consecutive_failures(spark, sf_dir):
+    return spark_state(spark, sf_dir).select(EP, IDX, c("consecutive_failures").cast("long"))
+
+
+@query("e5_metric_history", _state_sql("""
+SELECT episode_id, step_idx, round(metric_cf, 9) AS best_metric, CAST(len(metric_history) AS BIGINT) AS history_len
+FROM state"""))
+def e5_metric_history(spark, sf_dir):
+    return spark_state(spark, sf_dir).select(EP, IDX, F.round("metric_cf", 9).alias("best_metric"),
+                                             F.size("metric_history").cast("long").alias("history_len"))
+
+
+@query("e10_done", _state_sql("""
+SELECT episode_id, CAST(max(step_idx) AS BIGINT) AS last_step, bool_or(done) AS done,
+  round(max(elapsed), 3) AS elapsed FROM state GROUP BY episode_id"""))
+def e10_done(spark, sf_dir):
+    return spark_state(spark, sf_dir).groupBy(EP).agg(
+        F.max(IDX).cast("long").alias("last_step"), F.bool_or("done").alias("done"),
+        F.round(F.max("elapsed"), 3).alias("elapsed"))
+
+
+@query("e11_time_penalty", _state_sql(f"""
+SELECT episode_id, step_idx, round(CASE WHEN elapsed >= {HARD} THEN 0.3
+  WHEN elapsed > time_budget_seconds THEN 0.3 * least((elapsed - time_budget_seconds) / time_budget_seconds, 1.0)
+  ELSE 0.0 END, 9) AS time_penalty FROM state"""))
+def e11_time_penalty(spark, sf_dir):
+    st = spark_state(spark, sf_dir)
+    return st.select(EP, IDX, F.round(E.time_penalty(c("elapsed"), c("time_budget_seconds"), HARD), 9)
+                     .alias("time_penalty"))
+
+
+@query("e15_episode_state", _state_sql("""
+SELECT episode_id, step_idx, CAST(step_idx + 1 AS BIGINT) AS current_step, has_plan,
+  CAST(fe_successes AS BIGINT) AS fe_successes, CAST(model_successes AS BIGINT) AS model_successes,
+  round(metric_cf, 9) AS best_metric, CASE WHEN NOT ok THEN error_message END AS last_error,
+  CAST(repair_successes AS BIGINT) AS repair_successes, CAST(repair_attempts AS BIGINT) AS repair_attempts
+FROM state"""))
+def e15_episode_state(spark, sf_dir):
+    es = E.episode_state(spark_state(spark, sf_dir))
+    return es.select(EP, IDX, c("current_step").cast("long"), "has_plan", c("fe_successes").cast("long"),
+                     c("model_successes").cast("long"), F.round("best_metric", 9).alias("best_metric"),
+                     "last_error", c("repair_successes").cast("long"), c("repair_attempts").cast("long"))
+
+
+# E6-E8, E16 over the per-episode history
+_GAIN_SQL = """(CASE WHEN len(h) < 2 THEN NULL
+  WHEN {after} >= len(h) THEN h[len(h)] - h[len(h) - 1]
+  ELSE h[{after} + 1] - h[greatest({after} - 1, 0) + 1] END)"""
+
+
+def _cycle_pen_sql() -> str:
+    cost = "(0.03 * pow(i, 1.5))"
+    g = _GAIN_SQL.format(after="(1 + i - 1)")
+    one = (f"CASE WHEN {g} IS NULL THEN {cost} WHEN {g} < -0.005 THEN {cost} + 0.08 * abs({g}) "
+           f"WHEN {g} < 0.005 THEN {cost} ELSE greatest(0.0, {cost} - least({cost}, 0.10 * {g})) END")
+    return (f"CASE WHEN cycle_count - 1 <= 0 THEN 0.0 ELSE list_sum(list_transform(range(1, CAST(cycle_count AS BIGINT)), "
+            f"lambda i: {one})) END")
+
+
+@query("e6_e8_cycle_rules", _state_sql(f"""
+SELECT episode_id, CAST(cycle_count AS BIGINT) AS cycle_count,
+  round(CASE WHEN len(h) >= 2 THEN h[len(h)] - h[1] END, 9) AS total_gain,
+  round({_cycle_pen_sql()}, 9) AS cycle_penalty,
+  len(h) >= 3 AND (list_max(h[len(h) - 2:]) - list_min(h[len(h) - 2:])) < 0.003 AND cycle_count > 2 AS plateau,
+  CASE WHEN cycle_count <= 1 THEN 1.0 ELSE least(3.0, 1.0 + 0.5 * (cycle_count - 1)) END AS error_multiplier
+FROM (SELECT *, metric_history AS h FROM state WHERE is_last)"""))
+def e6_e8_cycle_rules(spark, sf_dir):
+    st = _last(spark, sf_dir)
+    h, cyc = c("metric_history"), c("cycle_count")
+    return st.select(EP, cyc.cast("long").alias("cycle_count"), F.round(E.total_gain(h), 9).alias("total_gain"),
+                     F.round(E.cycle_penalty(cyc, h), 9).alias("cycle_penalty"),
+                     E.plateau(h, cyc).alias("plateau"),
+                     E.cycle_error_multiplier(cyc).alias("error_multiplier"))
+
+
+@query("t23_episode_code", X.with_views("""
+SELECT episode_id, string_agg(CASE WHEN coalesce(code_body, '') <> '' THEN code_body ELSE coalesce(action_text, '') END,
+  chr(10) ORDER BY step_idx) AS code
+FROM steps WHERE action_type IN ('CODE', 'MODEL') AND execution_success GROUP BY episode_id""", X.SQL_STEPS))
+def t23_episode_code(spark, sf_dir):
+    return E.episode_code(X.steps(spark, sf_dir), ["CODE", "MODEL"], success_only=True)
+
+
+# ================================================================ T8 / T12 / T13 with context
+def _context_state(spark, sf_dir):
+    data = X.dirty_events(spark, sf_dir)
+    tag = lambda d: d.withColumn("dataset_path", F.lit("dirty_events"))
+    pairs = tag(P.high_corr_pairs(data, X.DIRTY_TARGET))
+    miss = tag(P.missing_profile(data, X.DIRTY_TARGET))
+    flags = tag(data.sparkSession.range(1).select(F.lit(True).alias("x")))
+    pctx = E.profile_context(flags.select("dataset_path"), pairs, miss)
+    tasks = X.tasks(spark, sf_dir)
+    cctx = E.checklist_context(explode_checklist(tasks))
+    s = E.prepare_steps(X.steps_with_task(spark, sf_dir), tasks, HARD)
+    s = s.join(F.broadcast(pctx), "dataset_path", "left").join(F.broadcast(cctx), "task_id", "left")
+    s = E.context_masks(E.step_flags(s), 1)
+    st = E.context_state(E.running_state(s), 1)
+    return st.withColumn("is_last", F.col(IDX) == F.max(IDX).over(Window.partitionBy(EP)))
+
+
+_PAIRS_SQL = X.with_views("SELECT col_a, col_b FROM (" + "\nUNION ALL\n".join(
+    f"SELECT '{a}' AS col_a, '{b}' AS col_b, corr({a}, {b}) AS r FROM dirty_events"
+    for i, a in enumerate(X.DIRTY_NUMERIC) for b in X.DIRTY_NUMERIC[i + 1:])
+    + ") WHERE r IS NOT NULL AND NOT isnan(r) AND abs(r) >= 0.9", X.SQL_DIRTY_EVENTS)
+
+
+def _drop_pat(col: str) -> str:
+    return f"'{TR.DROP_CALL.replace(chr(39), chr(39) * 2)}\\Q' || {col} || '\\E[''\"]'"
+
+
+@query("t12_corr_pair_handled", _state_sql(f"""
+, pairs AS ({_PAIRS_SQL}),
+x AS (SELECT episode_id, step_idx, col_a, col_b, is_last,
+  bool_or({_in(*E.SUB_CF)} AND (regexp_matches(text, {_drop_pat('col_a')}) OR regexp_matches(text, {_drop_pat('col_b')})))
+    OVER (PARTITION BY episode_id, col_a, col_b ORDER BY step_idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS handled
+  FROM state, pairs)
+SELECT episode_id, CAST(sum(CASE WHEN handled THEN 0 ELSE 1 END) AS BIGINT) AS corr_missed_pairs
+FROM x WHERE is_last GROUP BY episode_id""").replace("\n, pairs AS", ",\npairs AS", 1))
+def t12_corr_pair_handled(spark, sf_dir):
+    st = _context_state(spark, sf_dir).where("is_last")
+    return st.select(EP, c("corr_missed_pairs").cast("long"))
+
+
+_MISS_SQL = X.with_views("SELECT column_name, missing_frac FROM (" + "\nUNION ALL\n".join(
+    f"SELECT '{col}' AS column_name, count(*) FILTER (WHERE {col} IS NULL"
+    + (f" OR isnan({col})" if col in {"value", "amount", "mostly_null", "half_null", "value2"} else "")
+    + f") / count(*) AS missing_frac FROM dirty_events" for col in X.DIRTY_FEATURES)
+    + ") WHERE missing_frac > 0", X.SQL_DIRTY_EVENTS)
+
+
+@query("t13_missing_handled", _state_sql(f"""
+, mc AS ({_MISS_SQL}),
+x AS (SELECT episode_id, step_idx, is_last, miss_fill, missing_frac,
+  bool_or({_in(*E.SUB_CFM)} AND regexp_matches(text, '[''"]\\Q' || column_name || '\\E[''"]'))
+    OVER (PARTITION BY episode_id, column_name ORDER BY step_idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS q,
+  bool_or({_in(*E.SUB_CFM)} AND regexp_matches(text, {_drop_pat('column_name')}))
+    OVER (PARTITION BY episode_id, column_name ORDER BY step_idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS d
+  FROM state, mc)
+SELECT episode_id,
+  CAST(sum(CASE WHEN (q AND miss_fill) OR d THEN 0 ELSE 1 END) AS BIGINT) AS miss_unhandled,
+  CAST(sum(CASE WHEN q AND miss_fill AND NOT d AND missing_frac > 0.8 THEN 1 ELSE 0 END) AS BIGINT) AS miss_bad_strategy,
+  bool_or(miss_fill) AS miss_fill
+FROM x WHERE is_last GROUP BY episode_id""").replace("\n, mc AS", ",\nmc AS", 1))
+def t13_missing_handled(spark, sf_dir):
+    st = _context_state(spark, sf_dir).where("is_last")
+    return st.select(EP, c("miss_unhandled").cast("long"), c("miss_bad_strategy").cast("long"), "miss_fill")
+
+
+@query("t8_plan_coverage", _state_sql(f"""
+, {X.SQL_CHECKLIST.strip()},
+ck AS (SELECT t.task_id, c.* FROM tasks t JOIN checklist c ON c.item_idx < t.task_key),
+items AS (SELECT s.episode_id, c.item_idx, any_value(c.weight) AS weight, any_value(c.required) AS required,
+    bool_or(instr(lower(coalesce(s.plan_text, '')), lower(c.keyword)) > 0) AS covered
+  FROM state s JOIN ck c ON c.task_id = s.task_id WHERE s.is_last GROUP BY s.episode_id, c.item_idx),
+agg AS (SELECT episode_id, sum(weight) AS tw, sum(CASE WHEN covered THEN weight ELSE 0 END) AS cw,
+    sum(CASE WHEN NOT covered AND required THEN 1 ELSE 0 END) AS mr, count(*) AS n FROM items GROUP BY episode_id)
+SELECT s.episode_id, CAST(coalesce(a.n, 0) AS BIGINT) AS task_items,
+  round(CASE WHEN coalesce(a.tw, 0) > 0 THEN a.cw / a.tw ELSE 0.0 END, 9) AS coverage,
+  CAST(coalesce(a.mr, 0) AS BIGINT) AS missed_required, s.has_plan
+FROM state s LEFT JOIN agg a ON a.episode_id = s.episode_id WHERE s.is_last""").replace(
+    "\n, checklist AS", ",\nchecklist AS", 1))
+def t8_plan_coverage(spark, sf_dir):
+    st = _context_state(spark, sf_dir).where("is_last")
+    cov = F.when(c("plan_total_weight") > 0, c("plan_covered_weight") / c("plan_total_weight")).otherwise(0.0)
+    return st.select(EP, c("task_items").cast("long"), F.round(cov, 9).alias("coverage"),
+                     c("plan_missed_required").cast("long").alias("missed_required"), "has_plan")
