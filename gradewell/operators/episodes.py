@@ -79,14 +79,14 @@ def prepare_steps(steps: DataFrame, tasks: DataFrame, hard_time_limit: float = 3
                      F.coalesce(F.col("metadata")["is_time_series"] == "true", F.lit(False)).alias("is_time_series"))
     s = steps.join(broadcast_if_small(t), "task_id")
     start = F.min("ts").over(_w_all())
-    s = s.withColumn("text", TR.step_text(F.col("code_body"), F.col("action_text"))) \
-        .withColumn("elapsed", seconds(F.col("ts")) - seconds(start))
+    s = s.select("*", TR.step_text(F.col("code_body"), F.col("action_text")).alias("text"),
+                 (seconds(F.col("ts")) - seconds(start)).alias("elapsed"))
     done = (_is("FINAL_SUBMIT") | (F.col(IDX) >= F.col("max_steps"))
             | (F.col("elapsed") > F.col("time_budget_seconds")))
-    s = s.withColumn("done", done)
+    s = s.select("*", done.alias("done"))
     first_done = F.min(F.when(F.col("done"), F.col(IDX))).over(_w_all())
-    return s.withColumn("_first_done", first_done) \
-        .where(F.col("_first_done").isNull() | (F.col(IDX) <= F.col("_first_done"))).drop("_first_done")
+    s = s.select("*", first_done.alias("_first_done"))
+    return s.where(F.col("_first_done").isNull() | (F.col(IDX) <= F.col("_first_done"))).drop("_first_done")
 
 
 # --------------------------------------------------------------------- flags
@@ -211,12 +211,12 @@ def running_state(f: DataFrame) -> DataFrame:
         "sp_bad_sizes": run_sum(F.when(_is(*SUB_CFM), F.col("n_bad_test_size")).otherwise(0)),
     }
     out = f.select("*", *[v.alias(k) for k, v in cols.items()])
-    # E5 history: (step, carried metric) of every step from the first metric on
+    # E5 history: the carried metric of every step from the first metric on
     hist = F.collect_list(F.when(F.col("metric_cf").isNotNull(), F.col("metric_cf"))).over(_w_run())
-    out = out.withColumn("metric_history", hist)
-    out = out.withColumn("eff_grid", rx_match(F.col("eff_code"), TR.GRIDSEARCH)) \
-        .withColumn("mc_custom", rx_match(F.col("mc_code"), TR.CUSTOM_MODEL)).drop("eff_code", "mc_code")
-    return out
+    keep = [x for x in out.columns if x not in ("eff_code", "mc_code")]
+    return out.select(*keep, hist.alias("metric_history"),
+                      rx_match(F.col("eff_code"), TR.GRIDSEARCH).alias("eff_grid"),
+                      rx_match(F.col("mc_code"), TR.CUSTOM_MODEL).alias("mc_custom"))
 
 
 # --------------------------------------------------------------------- E6-E8, E11, E16

@@ -269,38 +269,94 @@ class Profile:
 def profile_table(df: DataFrame, target: str, *, corr_threshold: float = 0.90,
                   missing_drop_threshold: float = 0.50, outlier_iqr_factor: float = 1.5,
                   outlier_min_frac: float = 0.01, order_by: str | list[str] | None = None,
-                  approx_quantiles: bool = False) -> Profile:
+                  approx_quantiles: bool = False, cache: bool = True) -> Profile:
     """The whole profile as a one-row summary plus long child tables.
-    The caller should cache or checkpoint ``df`` when it is not a plain scan."""
-    cols = column_classes(df, target)
-    miss = missing_profile(df, target, missing_drop_threshold)
-    corr = high_corr_pairs(df, target, corr_threshold)
-    outl = iqr_outliers(df, target, outlier_iqr_factor, outlier_min_frac, approx=approx_quantiles)
-    skew = skewed_columns(df, target)
-    dtl = datetime_like(df, target, order_by)
-    n_num = len(numeric_columns(df, exclude=target))
-    n_cat = len(categorical_columns(df, exclude=target))
-    tot = missing_total_frac(df, target)
-    dup = duplicate_count(df, target)
-    scale = scale_range_ratio(df, target)
-    imb = (class_imbalance(df, target) if target in df.columns else
-           _spark(df).range(1).select(F.lit(None).cast("double").alias("class_imbalance_ratio")))
-    counts = [x.agg(F.count(F.lit(1)).cast("long").alias(name))
-              for x, name in [(miss, "n_missing_columns"), (corr, "n_high_corr_pairs"),
-                              (outl, "n_outlier_columns"), (skew, "n_skewed_columns"),
-                              (dtl, "n_datetime_like")]]
-    summary = df.agg(F.count(F.lit(1)).alias("n_rows")).select(
-        "n_rows", F.lit(len(df.columns)).cast("long").alias("n_cols"),
-        F.lit(n_num).cast("long").alias("n_numeric"), F.lit(n_cat).cast("long").alias("n_categorical"))
-    for part in [tot.select("missing_total_frac"), dup, scale.select("scale_range_ratio"),
-                 imb.select("class_imbalance_ratio"), *counts]:
-        summary = summary.crossJoin(part)   # every part is exactly one row
-    summary = summary.select(
-        "*", (F.col("n_missing_columns") > 0).alias("has_missing"),
-        (F.col("n_high_corr_pairs") > 0).alias("has_high_correlation"),
-        (F.col("n_outlier_columns") > 0).alias("has_outliers"),
-        (F.col("n_skewed_columns") > 0).alias("has_high_skew"))
-    return Profile(summary, cols, miss, corr, outl, skew, dtl)
+
+    Eager and pass-minimal: (1) one wide aggregate gives row count, missing
+    counts, non-null counts, std, skewness and every correlation (chunked);
+    (2) quantile brackets (P6); (3) outlier counts; (4) duplicate groups;
+    (5) class counts; (6) the datetime sample. Results are bounded by the
+    number of columns (pairs for correlations) and come back as small
+    DataFrames, so downstream joins never re-run the profile."""
+    spark = _spark(df)
+    src = df.persist() if cache else df
+    try:
+        feats = features_of(src, target)
+        nums = numeric_columns(src, exclude=target)
+        cats = categorical_columns(src, exclude=target)
+        pairs = [(a, b) for i, a in enumerate(nums) for b in nums[i + 1:]]
+        aggs = [F.count(F.lit(1)).alias("__n")]
+        aggs += [F.sum(missing(src, c).cast("long")).alias(f"m{i}") for i, c in enumerate(feats)]
+        for i, c in enumerate(nums):
+            v = clean(src, c)
+            aggs += [F.count(v).alias(f"n{i}"), F.stddev_samp(v).alias(f"s{i}"), F.skewness(v).alias(f"k{i}")]
+        first_pairs = pairs[:CORR_CHUNK]
+        aggs += [F.corr(clean(src, a), clean(src, b)).alias(f"r{j}") for j, (a, b) in enumerate(first_pairs)]
+        row = src.agg(*aggs).first()
+        n = int(row["__n"])
+        corr_vals = [row[f"r{j}"] for j in range(len(first_pairs))]
+        for st in range(CORR_CHUNK, len(pairs), CORR_CHUNK):
+            chunk = pairs[st:st + CORR_CHUNK]
+            r2 = src.agg(*[F.corr(clean(src, a), clean(src, b)).alias(f"r{j}") for j, (a, b) in enumerate(chunk)]).first()
+            corr_vals += [r2[f"r{j}"] for j in range(len(chunk))]
+        import math
+        ok = lambda x: x is not None and not (isinstance(x, float) and math.isnan(x))
+        # missing (P2-P4)
+        miss_rows = []
+        total_missing = 0
+        for i, c in enumerate(feats):
+            m = int(row[f"m{i}"] or 0)
+            total_missing += m
+            if m > 0:
+                frac = m / n
+                isnum = c in nums
+                rec = ("drop_column" if frac > 0.80 else "fill_or_drop" if frac > missing_drop_threshold
+                       else "fill_median" if isnum else "fill_mode")
+                miss_rows.append((c, m, frac, isnum, rec))
+        cells = n * len(feats)
+        # correlations (P5)
+        corr_rows = [(a, b, abs(float(r))) for (a, b), r in zip(pairs, corr_vals)
+                     if ok(r) and abs(float(r)) >= corr_threshold]
+        # skew (P8) and scale (P10)
+        skew_rows, stds = [], []
+        for i, c in enumerate(nums):
+            cnt = int(row[f"n{i}"] or 0)
+            g1, sd = row[f"k{i}"], row[f"s{i}"]
+            if cnt >= 10 and ok(g1):
+                g = float(g1) * math.sqrt(cnt * (cnt - 1)) / (cnt - 2)
+                if abs(g) > 2.0:
+                    skew_rows.append((c, g))
+            if ok(sd) and float(sd) != 0:
+                stds.append(float(sd))
+        scale = (max(stds) / min(stds)) if len(nums) >= 2 and len(stds) >= 2 else 0.0
+        # outliers (P6)
+        outl = iqr_outliers(src, target, outlier_iqr_factor, outlier_min_frac, approx=approx_quantiles)
+        out_rows = [tuple(r) for r in outl.collect()]
+        dup = int(duplicate_count(src, target).first()["duplicate_count"]) if feats else 0
+        imb_row = class_imbalance(src, target).first() if target in src.columns else None
+        imb = imb_row["class_imbalance_ratio"] if imb_row else None
+        dt_rows = [tuple(r) for r in datetime_like(src, target, order_by).collect()]
+    finally:
+        if cache:
+            src.unpersist()
+    cols = column_classes(df, target)  # schema walk, count is lazy
+    mk = spark.createDataFrame
+    miss = mk(miss_rows, "column_name string, missing_count long, missing_frac double, is_numeric boolean, "
+                         "recommend string")
+    corr = mk(corr_rows, "col_a string, col_b string, corr_value double")
+    outl_df = mk(out_rows, "column_name string, outlier_count long, outlier_frac double, lower_bound double, "
+                           "upper_bound double")
+    skew = mk(skew_rows, "column_name string, skewness double")
+    dtl = mk(dt_rows, "column_name string")
+    summary = mk([(n, len(df.columns), len(nums), len(cats), (total_missing / cells) if cells else 0.0, dup, dup > 0,
+                   scale, imb, len(miss_rows), len(corr_rows), len(out_rows), len(skew_rows), len(dt_rows),
+                   len(miss_rows) > 0, len(corr_rows) > 0, len(out_rows) > 0, len(skew_rows) > 0)],
+                 "n_rows long, n_cols long, n_numeric long, n_categorical long, missing_total_frac double, "
+                 "duplicate_count long, has_duplicates boolean, scale_range_ratio double, "
+                 "class_imbalance_ratio double, n_missing_columns long, n_high_corr_pairs long, "
+                 "n_outlier_columns long, n_skewed_columns long, n_datetime_like long, has_missing boolean, "
+                 "has_high_correlation boolean, has_outliers boolean, has_high_skew boolean")
+    return Profile(summary, cols, miss, corr, outl_df, skew, dtl)
 
 
 # --------------------------------------------------------------------------- P13

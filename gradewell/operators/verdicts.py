@@ -92,9 +92,9 @@ def score_steps(steps: DataFrame, tasks: DataFrame, checklist: DataFrame, profil
     s = E.prepare_steps(steps, tasks, hard_time_limit)
     s = (s.join(broadcast_if_small(pctx), "dataset_path", "left")
          .join(broadcast_if_small(cctx), "task_id", "left"))
-    for col, empty in [("corr_cols", "array<string>"), ("corr_pairs", "array<struct<a:int,b:int>>"),
-                       ("miss_cols", "array<string>"), ("miss_fracs", "array<double>")]:
-        s = s.withColumn(col, F.coalesce(F.col(col), F.array().cast(empty)))
+    s = s.withColumns({col: F.coalesce(F.col(col), F.array().cast(empty)) for col, empty in [
+        ("corr_cols", "array<string>"), ("corr_pairs", "array<struct<a:int,b:int>>"),
+        ("miss_cols", "array<string>"), ("miss_fracs", "array<double>")]})
     s = E.context_masks(E.step_flags(s), n_chunks)
     s = E.context_state(E.running_state(s), n_chunks)
     if baselines is not None:
