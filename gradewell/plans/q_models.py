@@ -1,3 +1,99 @@
-"""Registered queries."""
+"""Registered model-based queries (L1-L7). Spark ML results are not
+reproducible in SQL (binned trees), so only L2 and L4 carry an oracle."""
 
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from gradewell.operators import integrity as C
+from gradewell.operators import models as L
+from gradewell.plans import fixtures as X
+from gradewell.plans.q_integrity import _split_sql
+from gradewell.plans.q_metrics import _M10_BODY, _MIXED_SQL, _m10
+from gradewell.plans.registry import query
+from gradewell.sources.io import read_table
+
+_LI_FEATS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+def _lineitem_task(spark, sf_dir):
+    """lineitem as a binary task: returned or not, numeric features."""
+    li = read_table(spark, sf_dir, "lineitem")
+    return li.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("row_id"), *_LI_FEATS,
+                     (F.col("l_returnflag") == "R").cast("int").alias("returned"))
+
+
+def _split(spark, sf_dir):
+    return C.stratified_split(_lineitem_task(spark, sf_dir), "row_id", "returned", hash_method="md5")
+
+
+@query("l1_single_feature_leak")
+def l1_single_feature_leak(spark, sf_dir):
+    d = _lineitem_task(spark, sf_dir)
+    d = d.withColumn("leaked", F.col("returned") + F.col("l_discount") * 0.001)   # target copy + noise
+    return L.single_feature_leak(d.drop("row_id"), "returned", "binary_classification")
+
+
+@query("l2_train_valid_gap", X.ctes(
+    X.SQL_REGRESSION_PREDICTIONS,
+    "sp AS (" + _split_sql("SELECT * FROM regression_predictions", "row_id", None).replace(
+        "WITH b AS (", "WITH b AS (", 1) + ")",
+    """m AS (SELECT run_id, split, CASE WHEN sst > 0 THEN 1 - ssr / sst WHEN ssr = 0 THEN 1.0 ELSE 0.0 END AS s
+        FROM (SELECT run_id, split, sum(pow(y_true - y_pred, 2)) AS ssr, var_pop(y_true) * count(y_true) AS sst
+              FROM sp WHERE split IN ('train', 'valid') GROUP BY run_id, split))""") + """
+SELECT run_id, round(max(CASE WHEN split = 'train' THEN s END), 9) AS train_score,
+  round(max(CASE WHEN split = 'valid' THEN s END), 9) AS valid_score,
+  round(max(CASE WHEN split = 'train' THEN s END) - max(CASE WHEN split = 'valid' THEN s END), 9) AS gap,
+  coalesce(max(CASE WHEN split = 'train' THEN s END) > 0.95
+    AND max(CASE WHEN split = 'train' THEN s END) - max(CASE WHEN split = 'valid' THEN s END) > 0.3, false) AS flagged
+FROM m GROUP BY run_id""")
+def l2_train_valid_gap(spark, sf_dir):
+    p = C.random_split(X.regression_predictions(spark, sf_dir), "row_id", hash_method="md5")
+    g = L.train_valid_gap(p, "regression", score="y_pred")
+    return g.select("run_id", *[F.round(c, 9).alias(c) for c in ["train_score", "valid_score", "gap"]], "flagged")
+
+
+@query("l3_baseline_gbt")
+def l3_baseline_gbt(spark, sf_dir):
+    s = _split(spark, sf_dir).drop("row_id")
+    return L.baseline_gbt(s.where("split = 'train'").drop("split"), s.where("split = 'test'").drop("split"),
+                          "returned", "binary_classification", "roc_auc")
+
+
+@query("l4_baseline_compare", X.ctes(_MIXED_SQL, X.SQL_TASKS, f"m10 AS ({_M10_BODY})") + """
+SELECT run_id, metric, round(d, 9) AS diff,
+  CASE WHEN value IS NULL THEN 'no_agent_metric' WHEN b IS NULL THEN 'no_baseline' WHEN d > 0.003 THEN 'better'
+    WHEN d < -0.003 THEN 'worse' ELSE 'equal' END AS outcome,
+  CASE WHEN value IS NOT NULL AND b IS NOT NULL AND d > 0.003 THEN 0.05 ELSE 0.0 END AS bonus,
+  CASE WHEN value IS NULL OR (b IS NOT NULL AND d < -0.003) THEN 0.15 ELSE 0.0 END AS penalty
+FROM (SELECT m10.*, t.baseline_score AS b, value - t.baseline_score AS d FROM m10 LEFT JOIN tasks t ON t.metric = m10.metric)""")
+def l4_baseline_compare(spark, sf_dir):
+    m = _m10(spark, sf_dir)
+    t = X.tasks(spark, sf_dir).select("metric", "baseline_score")
+    v = L.baseline_compare(F.col("value"), F.col("baseline_score"))
+    return m.join(F.broadcast(t), "metric", "left").select(
+        "run_id", "metric", F.round(v["diff"], 9).alias("diff"), v["outcome"].alias("outcome"),
+        v["bonus"].alias("bonus"), v["penalty"].alias("penalty"))
+
+
+@query("l5_model_value_test")
+def l5_model_value_test(spark, sf_dir):
+    s = _split(spark, sf_dir)
+    agent = X.binary_predictions(spark, sf_dir).where(F.col("run_id").isNotNull()).select("row_id", "y_score")
+    return L.model_value_test(s.where("split = 'train'").drop("split"), s.where("split = 'valid'").drop("split"),
+                              agent, "returned", "row_id", "binary_classification", "roc_auc")
+
+
+@query("l6_new_features_in_top_k")
+def l6_new_features_in_top_k(spark, sf_dir):
+    d = _lineitem_task(spark, sf_dir).withColumn("price_per_qty", F.col("l_extendedprice") / F.col("l_quantity"))
+    imp = L.feature_importances(d.drop("row_id"), "returned", "binary_classification",
+                                _LI_FEATS + ["price_per_qty"], n_trees=20)
+    return L.new_features_in_top_k(imp, _LI_FEATS)
+
+
+@query("l7_evaluate_model")
+def l7_evaluate_model(spark, sf_dir):
+    s = _split(spark, sf_dir).drop("row_id")
+    model = L.fit_pipeline(s.where("split = 'train'"), "returned", "binary_classification", _LI_FEATS, n_trees=20)
+    return L.evaluate_model(model, s.where("split = 'valid'"), "returned", "roc_auc", baseline=0.5)
