@@ -174,10 +174,10 @@ def _case_literal(col, mapping: list[str]):
     return expr
 
 
-def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The step log: one row per event; even events wrap their code in a
-    fenced block inside the raw action text."""
-    e = read_table(spark, sf_dir, "events")
+def steps_from_events(e: DataFrame) -> DataFrame:
+    """The stateless part of the step log (works on a stream too): one row
+    per event; even events wrap their code in a fenced block inside the raw
+    action text."""
     eid = F.col("event_id")
     action = F.lit("CODE_FIX")
     for ev, act in reversed(list(ACTION_OF_EVENT.items())):
@@ -193,15 +193,20 @@ def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(eid % 3 == 0, F.col("value") / 100).alias("metric_value"),
     )
     header = F.concat(F.lit("ACTION: "), F.col("action_type"), F.lit("\n"))
-    base = base.withColumn("action_text", F.when(
-        eid % 2 == 0, F.concat(header, F.lit("```python\n"), F.col("code_body"), F.lit("\n```")))
-        .otherwise(F.concat(header, F.col("code_body"))))
+    return base.select(
+        "*", F.when(eid % 2 == 0, F.concat(header, F.lit("```python\n"), F.col("code_body"), F.lit("\n```")))
+        .otherwise(F.concat(header, F.col("code_body"))).alias("action_text"),
+        F.pmod(F.floor(F.col("episode_id") / 10), F.lit(5)).cast("int").alias("task_key"))
+
+
+def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The step log with its 0-based step index per episode."""
+    base = steps_from_events(read_table(spark, sf_dir, "events"))
     w = Window.partitionBy("episode_id").orderBy("ts", "event_id")
     return base.select(
         "episode_id", (F.row_number().over(w) - 1).cast("int").alias("step_idx"),
         "event_id", "ts", "action_type", "action_text", "execution_success", "code_body",
-        "error_message", "metric_value",
-        F.pmod(F.floor(F.col("episode_id") / 10), F.lit(5)).cast("int").alias("task_key"))
+        "error_message", "metric_value", "task_key")
 
 
 SQL_STEPS = """

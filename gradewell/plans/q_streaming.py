@@ -1,3 +1,65 @@
-"""Registered queries."""
+"""Registered streaming queries (K1-K4): each runs a Structured Streaming
+query over the events file with ``availableNow`` into a parquet sink under
+the shared checkpoint folder and returns the sink's rows."""
 
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from gradewell.plans import fixtures as X
+from gradewell.plans.q_episodes import SQL_STATE, _classify_sql, M
+from gradewell.plans.registry import query
+from gradewell.functions import text_rules as TR
+from gradewell.streaming import episode_stream as K
+
+
+def _stream_steps(spark, sf_dir):
+    ev = K.read_events_stream(spark, sf_dir)
+    t = X.tasks(spark, sf_dir).select("task_key", "task_id")
+    return X.steps_from_events(ev).join(F.broadcast(t), "task_key").drop("task_key")
+
+
+@query("k1_stream_episode_state", X.ctes(SQL_STATE) + """
+SELECT episode_id, event_id, step_idx, CAST(repair_attempts AS BIGINT) AS repair_attempts,
+  CAST(repair_successes AS BIGINT) AS repair_successes, CAST(consecutive_failures AS BIGINT) AS consecutive_failures,
+  CAST(cycle_count AS BIGINT) AS cycle_count, round(metric_cf, 9) AS best_metric, done
+FROM state""")
+def k1_stream_episode_state(spark, sf_dir):
+    inputs = K.stream_inputs(_stream_steps(spark, sf_dir), X.tasks(spark, sf_dir))
+    out = K.run_available_now(K.stream_episode_state(inputs), "k1")
+    return out.where(F.col("event") == "step").select(
+        "episode_id", "event_id", "step_idx", "repair_attempts", "repair_successes", "consecutive_failures",
+        "cycle_count", F.round("best_metric", 9).alias("best_metric"), "done")
+
+
+@query("k2_stream_budget_timeout")
+def k2_stream_budget_timeout(spark, sf_dir):
+    inputs = K.stream_inputs(_stream_steps(spark, sf_dir), X.tasks(spark, sf_dir))
+    out = K.run_available_now(K.stream_episode_state(inputs), "k2")
+    return out.where(F.col("event") == "timeout").select("episode_id", "cycle_count", "best_metric")
+
+
+@query("k3_stream_step_rules", X.with_views(f"""
+SELECT episode_id, event_id,
+  CASE WHEN {M(TR.ACTION_HEADER, 't')} THEN upper(regexp_extract(t, {TR.sql_str(TR.Rx(TR.ACTION_HEADER.pattern + '((?s:.*))', 'im').re2())}, 1))
+    ELSE 'CODE' END AS parsed_type,
+  {_classify_sql('error_message')} AS crash_class,
+  CAST({' + '.join(f"CAST({M(rx, 'text')} AS INTEGER)" for rx in TR.LEAKAGE)} AS BIGINT) AS n_leak_patterns,
+  CAST({TR.sql_count('text', TR.HYPERPARAM_SET)} AS BIGINT) AS n_hyperparams
+FROM (SELECT *, regexp_replace(action_text, '^\\s+|\\s+$', '', 'g') AS t,
+        CASE WHEN coalesce(code_body, '') <> '' THEN code_body ELSE coalesce(action_text, '') END AS text FROM steps)""",
+    X.SQL_STEPS))
+def k3_stream_step_rules(spark, sf_dir):
+    return K.run_available_now(K.stream_step_rules(_stream_steps(spark, sf_dir)), "k3")
+
+
+@query("k4_windowed_failure_rate", X.with_views(f"""
+SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, CAST(count(*) AS BIGINT) AS n_steps,
+  CAST(sum(CASE WHEN execution_success THEN 0 ELSE 1 END) AS BIGINT) AS n_failed,
+""" + ",\n".join(f"  CAST(sum(CASE WHEN NOT execution_success AND {_classify_sql('error_message')} = '{c}' THEN 1 ELSE 0 END) AS BIGINT) AS n_{c}"
+                  for c in ["syntax_error", "key_error", "timeout", "other"]) + """
+FROM steps GROUP BY date_trunc('hour', ts)""", X.SQL_STEPS))
+def k4_windowed_failure_rate(spark, sf_dir):
+    out = K.run_available_now_updates(K.windowed_failure_rate(_stream_steps(spark, sf_dir)), "k4", ["w"])
+    return out.select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "n_steps", "n_failed",
+                      "n_syntax_error", "n_key_error", "n_timeout", "n_other")
