@@ -81,15 +81,23 @@ def _task_valid(col_map) -> F.Column:
             & col_map["task_type"].isin(*TASK_TYPES) & col_map["metric"].isin(*METRICS))
 
 
-def read_tasks(spark: SparkSession, directory: str) -> tuple[DataFrame, DataFrame]:
+def read_tasks_files(spark: SparkSession, directory: str) -> tuple[DataFrame, DataFrame]:
+    """S3 over a folder written by :func:`write_tasks` (JSON lines files) or
+    holding one task per ``*.json`` file."""
+    return read_tasks(spark, directory, pattern="*", multi_line=False)
+
+
+def read_tasks(spark: SparkSession, directory: str, pattern: str = "*.json",
+               multi_line: bool = True) -> tuple[DataFrame, DataFrame]:
     """S3: every ``*.json`` task file of a folder. Returns (good, rejected);
     malformed files (bad JSON, unknown enum, wrong shape, missing fields) are
     rejected with their file name, as the reference skips them."""
     schema = T.StructType(TASK_SCHEMA.fields + [T.StructField("_corrupt_record", T.StringType())])
     raw = (spark.read.schema(schema)
-           .option("multiLine", True).option("mode", "PERMISSIVE")
+           .option("multiLine", multi_line).option("mode", "PERMISSIVE")
            .option("columnNameOfCorruptRecord", "_corrupt_record")
-           .json(f"{directory.rstrip('/')}/*.json")
+           .option("pathGlobFilter", pattern)
+           .json(directory)
            .withColumn("file_name", F.col("_metadata.file_name")))
     cols = {c: F.col(c) for c in TASK_SCHEMA.names}
     ok = F.col("_corrupt_record").isNull() & _task_valid(cols)
