@@ -62,7 +62,8 @@ def _ranks(n: int, p: float) -> tuple[int, int, float]:
 
 
 def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], *,
-                    accuracy: int = 10_000, exact_cap: int = 200_000) -> dict[str, list[float | None]]:
+                    accuracy: int = 10_000, exact_cap: int = 200_000,
+                    counts: dict[str, int] | None = None) -> dict[str, list[float | None]]:
     """{col: [q(p) for p in probs]} over non-null (and non-NaN) values.
 
     All columns and ranks advance together: every refinement round is two
@@ -70,7 +71,8 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], *,
     if not cols:
         return {}
     base = df.select(*[clean(df, c).alias(c) for c in cols])
-    counts = base.agg(*[F.count(c).alias(c) for c in cols]).first().asDict()
+    if counts is None or any(c not in counts for c in cols):
+        counts = base.agg(*[F.count(c).alias(c) for c in cols]).first().asDict()
     # state per (column, rank): [lo, hi, below, inside]
     state: dict[tuple[str, int], list] = {}
     for c in cols:

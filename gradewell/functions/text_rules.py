@@ -301,3 +301,24 @@ def quoted_col_pattern(col_name: Column) -> Column:
 def drop_col_pattern(col_name: Column) -> Column:
     """``\\.drop\\s*\\(.*['"]<col>['"]`` with the name regex-escaped."""
     return F.concat(F.lit("(?dU)" + DROP_CALL + "\\Q"), col_name, F.lit("\\E['\"]"))
+
+
+# Quoted-name tests without one regex per column: every token that sits
+# between two quote characters (overlapping, via a look-ahead), once per text.
+QUOTED_TOKEN = Rx(r"(?=['\"]([^'\"\n]*)['\"])")
+DROP_TAIL = Rx(r"\.drop\s*\(([^\n]*)")
+
+
+def quoted_tokens(text: Column) -> Column:
+    """All ``x`` with ``'x'`` / ``"x"`` (either quote on each side) in the text."""
+    return F.regexp_extract_all(text, F.lit(QUOTED_TOKEN.java()), 1)
+
+
+def dropped_tokens(text: Column) -> Column:
+    """Quoted tokens on the same line after a ``.drop(`` call."""
+    tails = F.regexp_extract_all(text, F.lit(DROP_TAIL.java()), 1)
+    return quoted_tokens(F.array_join(tails, "\n"))
+
+
+def has_quote_or_newline(name: Column) -> Column:
+    return name.rlike("['\"\n]")

@@ -343,10 +343,19 @@ def _bit(chunks: Column, i: Column) -> Column:
 
 def context_masks(f: DataFrame, n_chunks: int) -> DataFrame:
     """Per-step bitmasks: corr columns dropped (CODE/FE text), missing
-    columns quoted / dropped (CODE/FE/MODEL/CODE_FIX text)."""
+    columns quoted / dropped (CODE/FE/MODEL/CODE_FIX text). The text is
+    tokenised once (quoted tokens, and quoted tokens after ``.drop(``); a
+    column hits when it is one of the tokens -- cost grows with the text, not
+    with the number of profile columns. Names holding a quote or newline
+    (never a token) fall back to the column's own regex."""
     t = F.col("text")
-    drop_hit = lambda c: F.regexp_like(t, TR.drop_col_pattern(c))
-    quote_hit = lambda c: F.regexp_like(t, TR.quoted_col_pattern(c))
+    qt, dt = TR.quoted_tokens(t), TR.dropped_tokens(t)
+    f = f.select("*", qt.alias("_qtok"), dt.alias("_dtok"))
+    odd = TR.has_quote_or_newline
+    drop_hit = lambda c: F.when(odd(c), F.regexp_like(t, TR.drop_col_pattern(c))).otherwise(
+        F.array_contains(F.col("_dtok"), c))
+    quote_hit = lambda c: F.when(odd(c), F.regexp_like(t, TR.quoted_col_pattern(c))).otherwise(
+        F.array_contains(F.col("_qtok"), c))
     zero = F.lit(0).cast("long")
     cols = {}
     for k, v in enumerate(_mask_chunks(F.col("corr_cols"), drop_hit, n_chunks)):
@@ -355,7 +364,7 @@ def context_masks(f: DataFrame, n_chunks: int) -> DataFrame:
         cols[f"m_mq{k}"] = F.when(_is(*SUB_CFM), v).otherwise(zero)
     for k, v in enumerate(_mask_chunks(F.col("miss_cols"), drop_hit, n_chunks)):
         cols[f"m_md{k}"] = F.when(_is(*SUB_CFM), v).otherwise(zero)
-    return f.select("*", *[v.alias(k) for k, v in cols.items()])
+    return f.select("*", *[v.alias(k) for k, v in cols.items()]).drop("_qtok", "_dtok")
 
 
 def context_state(st: DataFrame, n_chunks: int) -> DataFrame:

@@ -121,7 +121,7 @@ def high_corr_pairs(df: DataFrame, target: str, threshold: float = 0.90) -> Data
 
 # --------------------------------------------------------------------------- P6
 def iqr_outliers(df: DataFrame, target: str, factor: float = 1.5, min_frac: float = 0.01,
-                 approx: bool = False, accuracy: int = 10_000) -> DataFrame:
+                 approx: bool = False, accuracy: int = 10_000, counts: dict[str, int] | None = None) -> DataFrame:
     """IQR outliers per numeric feature. Quartiles interpolate linearly
     over non-null values; columns with < 10 values or IQR = 0 are skipped; a
     column is flagged when frac >= min_frac and count >= 3."""
@@ -136,7 +136,7 @@ def iqr_outliers(df: DataFrame, target: str, factor: float = 1.5, min_frac: floa
             *[F.percentile_approx(c, F.array(F.lit(0.25), F.lit(0.75)), accuracy).alias(c) for c in nums]).first()
         q = {c: row[c] for c in nums}
     else:
-        q = exact_quantiles(df, nums, [0.25, 0.75])
+        q = exact_quantiles(df, nums, [0.25, 0.75], counts=counts)
     bounds = {}
     for c in nums:
         if q[c] is None or q[c][0] is None:
@@ -330,7 +330,8 @@ def profile_table(df: DataFrame, target: str, *, corr_threshold: float = 0.90,
                 stds.append(float(sd))
         scale = (max(stds) / min(stds)) if len(nums) >= 2 and len(stds) >= 2 else 0.0
         # outliers (P6)
-        outl = iqr_outliers(src, target, outlier_iqr_factor, outlier_min_frac, approx=approx_quantiles)
+        outl = iqr_outliers(src, target, outlier_iqr_factor, outlier_min_frac, approx=approx_quantiles,
+                            counts={c: int(row[f"n{i}"] or 0) for i, c in enumerate(nums)})
         out_rows = [tuple(r) for r in outl.collect()]
         dup = int(duplicate_count(src, target).first()["duplicate_count"]) if feats else 0
         imb_row = class_imbalance(src, target).first() if target in src.columns else None
