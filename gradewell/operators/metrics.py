@@ -159,23 +159,36 @@ _BINARY = {"roc_auc", "accuracy", "f1", "log_loss"}
 
 
 def compute_metric(preds: DataFrame, run_metrics: DataFrame, by=("run_id",), y: str = "y_true",
-                   score: str = "y_score") -> DataFrame:
+                   score: str = "y_score", threshold: float = 0.5, eps: float = LOG_LOSS_EPS) -> DataFrame:
     """The metric each run asks for (``run_metrics``: by-keys + metric),
-    over one table mixing runs of different metrics. Each metric branch
-    filters its own runs before aggregating; the run table is small and
-    joined by broadcast after a size check. Output: keys, metric, value."""
+    over one table mixing runs of different metrics. Three scans whatever the
+    mix: one grouped aggregate computes the five moment-style metrics
+    (accuracy, log loss, RMSE, MAE, R2) for every run at once and picks the
+    run's own; F1 (confusion counts) and AUC (prefix sums) read only their
+    runs. The run table is small and joined by broadcast after a size check.
+    Output: keys, metric, value."""
     keys = _by(by)
     x = preds.join(broadcast_if_small(run_metrics.select(*keys, "metric")), keys)
-    parts = []
-    branches = {
-        "roc_auc": lambda d: roc_auc(d, keys, y, score).select(*keys, F.col("roc_auc").alias("value")),
-        "accuracy": lambda d: accuracy(d, keys, y, score).select(*keys, F.col("accuracy").alias("value")),
-        "f1": lambda d: f1_macro(d, keys, y, score).select(*keys, F.col("f1_macro").alias("value")),
-        "log_loss": lambda d: neg_log_loss(d, keys, y, score).select(*keys, F.col("neg_log_loss").alias("value")),
-        "rmse": lambda d: neg_rmse(d, keys, y, score).select(*keys, F.col("neg_rmse").alias("value")),
-        "mae": lambda d: neg_mae(d, keys, y, score).select(*keys, F.col("neg_mae").alias("value")),
-        "r2": lambda d: r2(d, keys, y, score).select(*keys, F.col("r2").alias("value")),
-    }
-    for name, fn in branches.items():
-        parts.append(fn(x.where(F.col("metric") == name)).withColumn("metric", F.lit(name)))
-    return reduce(lambda a, b: a.unionByName(b), parts).select(*keys, "metric", "value")
+    yy = F.col(y).cast("double")
+    sc = F.col(score).cast("double")
+    lab = hard_label(preds, score, threshold)
+    p = F.least(F.greatest(sc, F.lit(eps)), F.lit(1 - eps))
+    simple = x.groupBy(*keys, "metric").agg(
+        F.avg((lab == F.col(y)).cast("double")).alias("_acc"),
+        F.avg(yy * F.log(p) + (1 - yy) * F.log(1 - p)).alias("_ll"),
+        F.avg(F.pow(yy - sc, 2)).alias("_mse"),
+        F.avg(F.abs(yy - sc)).alias("_mae"),
+        F.sum(F.pow(yy - sc, 2)).alias("_ssr"),
+        (F.var_pop(yy) * F.count(yy)).alias("_sst"))
+    m = F.col("metric")
+    value = (F.when(m == "accuracy", F.col("_acc")).when(m == "log_loss", F.col("_ll"))
+             .when(m == "rmse", -F.sqrt("_mse")).when(m == "mae", -F.col("_mae"))
+             .when(m == "r2", F.when(F.col("_sst") > 0, 1 - F.col("_ssr") / F.col("_sst"))
+                   .when(F.col("_ssr") == 0, 1.0).otherwise(0.0)))
+    simple = simple.where(m.isin("accuracy", "log_loss", "rmse", "mae", "r2")).select(*keys, "metric",
+                                                                                      value.alias("value"))
+    f1 = f1_macro(x.where(m == "f1"), keys, y, score, threshold).select(
+        *keys, F.lit("f1").alias("metric"), F.col("f1_macro").alias("value"))
+    auc = roc_auc(x.where(m == "roc_auc"), keys, y, score).select(
+        *keys, F.lit("roc_auc").alias("metric"), F.col("roc_auc").alias("value"))
+    return simple.unionByName(f1).unionByName(auc)
