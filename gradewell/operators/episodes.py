@@ -129,9 +129,12 @@ SUB_CMF = ("CODE", "MODEL", "FEATURE_ENGINEERING")                        # impo
 SUB_CM = ("CODE", "MODEL")                                                # model choice, efficiency, hyperparams
 
 
-def running_state(f: DataFrame) -> DataFrame:
+def running_state(f: DataFrame, carry_forward: bool = True) -> DataFrame:
     """E2-E9, E11-E15 and the rule inputs as running columns (state after
-    each step). All windows share one partitioning (episode) and order."""
+    each step). All windows share one partitioning (episode) and order.
+    ``carry_forward``: the metric history holds the session's current metric
+    at every step from the first one on (as the environment records it);
+    False keeps only steps that logged a metric."""
     ok = F.col("ok")
     succ_cm = ok & _is(*SUB_CM)
     succ_cmf = ok & _is(*SUB_CMF)
@@ -212,7 +215,8 @@ def running_state(f: DataFrame) -> DataFrame:
     }
     out = f.select("*", *[v.alias(k) for k, v in cols.items()])
     # E5 history: the carried metric of every step from the first metric on
-    hist = F.collect_list(F.when(F.col("metric_cf").isNotNull(), F.col("metric_cf"))).over(_w_run())
+    hist_src = "metric_cf" if carry_forward else "metric_value"
+    hist = F.collect_list(F.when(F.col(hist_src).isNotNull(), F.col(hist_src))).over(_w_run())
     keep = [x for x in out.columns if x not in ("eff_code", "mc_code")]
     return out.select(*keep, hist.alias("metric_history"),
                       rx_match(F.col("eff_code"), TR.GRIDSEARCH).alias("eff_grid"),
