@@ -133,8 +133,8 @@ def near_duplicates(df: DataFrame, columns: list[str] | None = None, max_diff: i
         if keep:
             g = base.where(F.greatest(*[F.col(c).isNull().cast("int") for c in keep]) == 0) \
                 if len(keep) > 1 else base.where(F.col(keep[0]).isNotNull())
-            e[s] = g.groupBy(*keep).agg(F.count(F.lit(1)).alias("c")) \
-                .agg(F.coalesce(F.sum(F.col("c") * (F.col("c") - 1) / 2), F.lit(0)).cast("long").alias("p"))
+            e[s] = g.groupBy(*keep).agg(F.count(F.lit(1)).alias("__cnt")) \
+                .agg(F.coalesce(F.sum(F.col("__cnt") * (F.col("__cnt") - 1) / 2), F.lit(0)).cast("long").alias("p"))
         else:
             e[s] = base.agg((F.count(F.lit(1)) * (F.count(F.lit(1)) - 1) / 2).cast("long").alias("p"))
     # exact(D) = sum over S subset of D of (-1)^(|D|-|S|) E(S); answer = sum over 1 <= |D| <= max_diff
@@ -174,8 +174,8 @@ def near_duplicates_parity(df: DataFrame, order_by: str, columns: list[str] | No
     diff = sum(((F.col(f"a_{c}") != F.col(f"b_{c}")) | F.col(f"a_{c}").isNull() | F.col(f"b_{c}").isNull()
                 | F.isnan(F.col(f"a_{c}").cast("double")) | F.isnan(F.col(f"b_{c}").cast("double"))).cast("int")
                for c in cols)
-    hits = j.where((diff > 0) & (diff <= max_diff)).agg(F.count(F.lit(1)).alias("c"))
-    return hits.select(F.least(F.col("c"), F.lit(stop_at)).cast("long").alias("near_duplicate_pairs"))
+    hits = j.where((diff > 0) & (diff <= max_diff)).agg(F.count(F.lit(1)).alias("__hits"))
+    return hits.select(F.least(F.col("__hits"), F.lit(stop_at)).cast("long").alias("near_duplicate_pairs"))
 
 
 # ------------------------------------------------------------------ F10-F12
