@@ -48,3 +48,35 @@ def exclusive_prefix_sum(df: DataFrame, keys: list[str], order_col: str, value_c
     for v in value_cols:
         x = x.withColumn(f"{v}_below", F.col(f"_o_{v}") + F.coalesce(F.sum(v).over(w_in), F.lit(0)))
     return x.drop("_bucket", *[f"_o_{v}" for v in value_cols])
+
+
+def distributed_row_number(df: DataFrame, partition_cols: list[str], order_cols: list[str],
+                           out: str = "rn", n_parts: int | None = None) -> DataFrame:
+    """``row_number() over (partition by partition_cols order by order_cols) - 1``
+    without routing one key's rows through one task.
+
+    Rows are range-partitioned on (keys, order) and the result is
+    checkpointed to the shared folder (``spark.checkpoint.dir``), which fixes
+    the partition of every row and cuts the lineage. A key can span several
+    partitions only at a partition's first or last key, so per-partition
+    counts are needed for those boundary keys alone (at most 2 per
+    partition); their running offsets (a tiny broadcast table) are added to
+    the rank inside each partition."""
+    from gradewell.session import ensure_checkpoint_dir
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    n = n_parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = list(partition_cols)
+    r = (df.repartitionByRange(n, *keys, *order_cols)
+         .withColumn("_pid", F.spark_partition_id())
+         .checkpoint(eager=True))
+    key_struct = F.struct(*keys)
+    ends = r.groupBy("_pid").agg(F.min(key_struct).alias("_lo"), F.max(key_struct).alias("_hi"))
+    boundary = ends.select(F.explode(F.array("_lo", "_hi")).alias("_k")).select("_k.*").distinct()
+    bcounts = r.join(broadcast_if_small(boundary), keys).groupBy("_pid", *keys).agg(F.count(F.lit(1)).alias("_c"))
+    w = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offs = bcounts.select("_pid", *keys, F.coalesce(F.sum("_c").over(w), F.lit(0)).alias("_off"))
+    x = r.join(broadcast_if_small(offs), ["_pid"] + keys, "left")
+    wl = Window.partitionBy("_pid", *keys).orderBy(*order_cols)
+    return x.withColumn(out, (F.coalesce(F.col("_off"), F.lit(0)) + F.row_number().over(wl) - 1)) \
+        .drop("_pid", "_off")

@@ -54,10 +54,24 @@ def _is(*types: str) -> Column:
 
 
 # --------------------------------------------------------------------- E1 / E10
-def step_index(steps: DataFrame, order_cols: tuple[str, ...] = ("ts",)) -> DataFrame:
-    """0-based step counter per episode in ``order_cols`` order."""
+def step_index(steps: DataFrame, order_cols: tuple[str, ...] = ("ts",), skew_safe: bool = False,
+               limit: int | None = None) -> DataFrame:
+    """0-based step counter per episode in ``order_cols`` order.
+
+    ``limit``: keep only the first ``limit`` steps of each episode; written as
+    ``row_number() <= limit`` Spark applies it as a partial group limit
+    before the shuffle, so a huge episode ships at most ``limit`` rows per
+    map task. ``skew_safe``: number every step with the range-partitioned
+    :func:`distributed_row_number` instead of one window per episode."""
+    if skew_safe:
+        from gradewell.functions.ranking import distributed_row_number
+        return distributed_row_number(steps, [EP], list(order_cols), out=IDX).withColumn(IDX, F.col(IDX).cast("int"))
     w = Window.partitionBy(EP).orderBy(*order_cols)
-    return steps.withColumn(IDX, (F.row_number().over(w) - 1).cast("int"))
+    rn = F.row_number().over(w)
+    if limit is not None:
+        return steps.withColumn("_rn", rn).where(F.col("_rn") <= limit) \
+            .withColumn(IDX, (F.col("_rn") - 1).cast("int")).drop("_rn")
+    return steps.withColumn(IDX, (rn - 1).cast("int"))
 
 
 def seconds(ts: Column) -> Column:
@@ -71,13 +85,18 @@ def prepare_steps(steps: DataFrame, tasks: DataFrame, hard_time_limit: float = 3
     (FINAL_SUBMIT, step index >= max_steps, or elapsed > budget) and drops
     steps after the first done step."""
     if IDX not in steps.columns:
-        steps = step_index(steps)
+        # an episode ends at index max_steps at the latest: number only the
+        # first max(max_steps) + 1 steps (top-k per episode, bounded shuffle)
+        bound = tasks.agg(F.max("max_steps")).first()[0]
+        steps = step_index(steps, ("ts",), limit=None if bound is None else int(bound) + 1)
+    else:
+        steps = steps.where(F.col(IDX) <= F.lit(1 << 30))
     if "action_text" not in steps.columns:
         steps = steps.withColumn("action_text", F.lit(None).cast("string"))
     t = tasks.select("task_id", "dataset_path", "target_column", "task_type", "metric",
                      "time_budget_seconds", "max_steps", "baseline_score", "oracle_score",
                      F.coalesce(F.col("metadata")["is_time_series"] == "true", F.lit(False)).alias("is_time_series"))
-    s = steps.join(broadcast_if_small(t), "task_id")
+    s = steps.join(broadcast_if_small(t), "task_id").where(F.col(IDX) <= F.col("max_steps"))
     start = F.min("ts").over(_w_all())
     s = s.select("*", TR.step_text(F.col("code_body"), F.col("action_text")).alias("text"),
                  (seconds(F.col("ts")) - seconds(start)).alias("elapsed"))

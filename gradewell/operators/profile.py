@@ -8,6 +8,7 @@ defaults. Numeric = Spark ``NumericType``; everything else is categorical.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -329,14 +330,21 @@ def profile_table(df: DataFrame, target: str, *, corr_threshold: float = 0.90,
             if ok(sd) and float(sd) != 0:
                 stds.append(float(sd))
         scale = (max(stds) / min(stds)) if len(nums) >= 2 and len(stds) >= 2 else 0.0
-        # outliers (P6)
-        outl = iqr_outliers(src, target, outlier_iqr_factor, outlier_min_frac, approx=approx_quantiles,
-                            counts={c: int(row[f"n{i}"] or 0) for i, c in enumerate(nums)})
-        out_rows = [tuple(r) for r in outl.collect()]
-        dup = int(duplicate_count(src, target).first()["duplicate_count"]) if feats else 0
-        imb_row = class_imbalance(src, target).first() if target in src.columns else None
-        imb = imb_row["class_imbalance_ratio"] if imb_row else None
-        dt_rows = [tuple(r) for r in datetime_like(src, target, order_by).collect()]
+        # the remaining passes are independent jobs: submit them together so
+        # their tasks share the executors instead of running back to back
+        counts = {c: int(row[f"n{i}"] or 0) for i, c in enumerate(nums)}
+        jobs = {
+            "outl": lambda: [tuple(r) for r in iqr_outliers(
+                src, target, outlier_iqr_factor, outlier_min_frac, approx=approx_quantiles, counts=counts).collect()],
+            "dup": lambda: int(duplicate_count(src, target).first()["duplicate_count"]) if feats else 0,
+            "imb": lambda: (class_imbalance(src, target).first()["class_imbalance_ratio"]
+                            if target in src.columns else None),
+            "dt": lambda: [tuple(r) for r in datetime_like(src, target, order_by).collect()],
+        }
+        with ThreadPoolExecutor(max_workers=len(jobs)) as pool:
+            futures = {k: pool.submit(fn) for k, fn in jobs.items()}
+            res = {k: f.result() for k, f in futures.items()}
+        out_rows, dup, imb, dt_rows = res["outl"], res["dup"], res["imb"], res["dt"]
     finally:
         if cache:
             src.unpersist()
@@ -397,12 +405,18 @@ def impute_fill(train: DataFrame, apply_to: DataFrame, columns: list[str] | None
 
 
 # --------------------------------------------------------------------------- P14
-def fit_label_encoder(train: DataFrame, columns: list[str]) -> DataFrame:
+def fit_label_encoder(train: DataFrame, columns: list[str], skew_safe: bool = False) -> DataFrame:
     """Codes per (column, value): 0-based rank of the value among the column's
-    distinct non-null train values, alphabetical ascending."""
+    distinct non-null train values, alphabetical ascending. ``skew_safe``
+    ranks a high-cardinality column with the range-partitioned
+    :func:`distributed_row_number` instead of one window per column."""
     long = train.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")) for c in columns
     ])).alias("x")).select("x.*").where(F.col("value").isNotNull()).distinct()
+    if skew_safe:
+        from gradewell.functions.ranking import distributed_row_number
+        return distributed_row_number(long, ["column_name"], ["value"], out="code") \
+            .withColumn("code", F.col("code").cast("long"))
     w = Window.partitionBy("column_name").orderBy("value")
     return long.withColumn("code", (F.dense_rank().over(w) - 1).cast("long"))
 

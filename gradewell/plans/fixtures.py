@@ -201,12 +201,14 @@ def steps_from_events(e: DataFrame) -> DataFrame:
 
 def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The step log with its 0-based step index per episode."""
+    from gradewell.operators.episodes import step_index
     base = steps_from_events(read_table(spark, sf_dir, "events"))
-    w = Window.partitionBy("episode_id").orderBy("ts", "event_id")
-    return base.select(
-        "episode_id", (F.row_number().over(w) - 1).cast("int").alias("step_idx"),
-        "event_id", "ts", "action_type", "action_text", "execution_success", "code_body",
-        "error_message", "metric_value", "task_key")
+    # E1 over every step; a user holding a third of all events must not put
+    # one episode's rows through one task: range-partitioned row numbers
+    numbered = step_index(base, ("ts", "event_id"), skew_safe=True)
+    return numbered.select(
+        "episode_id", "step_idx", "event_id", "ts", "action_type", "action_text", "execution_success",
+        "code_body", "error_message", "metric_value", "task_key")
 
 
 SQL_STEPS = """

@@ -333,7 +333,7 @@ SELECT event_id, CAST(row_number() OVER (PARTITION BY episode_id ORDER BY ts, ev
 FROM steps""", X.SQL_STEPS))
 def e1_step_index(spark, sf_dir):
     s = X.steps(spark, sf_dir).drop(IDX)
-    return E.step_index(s, ("ts", "event_id")).select("event_id", IDX)
+    return E.step_index(s, ("ts", "event_id"), skew_safe=True).select("event_id", IDX)
 
 
 @query("e3_consecutive_failures", _state_sql("""

@@ -62,7 +62,7 @@ def s4_write_tasks(spark, sf_dir):
 def _registrations(spark, sf_dir):
     t = X.tasks(spark, sf_dir)
     v1 = t.withColumn("file_name", F.lit("a_v1.json"))
-    v2 = (t.where(F.col("task_key") % 2 == 0).withColumn("max_steps", F.lit(20))
+    v2 = (t.where(F.col("task_type") != "binary_classification").withColumn("max_steps", F.lit(20))
           .withColumn("file_name", F.lit("b_v2.json")))
     return v1.unionByName(v2)
 
@@ -72,7 +72,7 @@ SELECT task_id, max_steps FROM (
   SELECT task_id, max_steps, row_number() OVER (PARTITION BY task_id ORDER BY file_name DESC) AS rn FROM (
     SELECT task_id, CAST(max_steps AS INTEGER) AS max_steps, 'a_v1.json' AS file_name FROM tasks
     UNION ALL
-    SELECT task_id, 20, 'b_v2.json' FROM tasks WHERE task_key % 2 = 0)) WHERE rn = 1""", X.SQL_TASKS))
+    SELECT task_id, 20, 'b_v2.json' FROM tasks WHERE task_type <> 'binary_classification')) WHERE rn = 1""", X.SQL_TASKS))
 def s5_upsert_tasks(spark, sf_dir):
     return S.upsert_tasks(_registrations(spark, sf_dir)).select("task_id", "max_steps")
 

@@ -61,6 +61,13 @@ def is_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> bool:
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast hint only behind a proven row bound; otherwise leave the join
-    strategy to the planner (sort-merge with AQE skew handling)."""
-    return F.broadcast(df) if is_small(df, max_rows) else df
+    """Broadcast only behind a proven row bound, computing the side once.
+
+    Up to ``max_rows + 1`` rows are fetched; when the side fits, it comes back
+    as a local relation with a broadcast hint (an aggregate feeding it is not
+    recomputed by the join). Beyond the bound the lazy plan is returned and
+    the planner picks a shuffle join (AQE handles skewed partitions)."""
+    rows = df.limit(max_rows + 1).collect()
+    if len(rows) > max_rows:
+        return df
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))

@@ -99,3 +99,10 @@ def test_impute_and_encode(spark):
     assert sorted(r["c"] for r in filled) == ["a", "b", "b", "b"]        # mode fills the null
     enc = P.encode_categorical(train, train, ["c"]).collect()
     assert sorted((r["c"] for r in enc), key=lambda v: (v is None, v)) == [0, 1, 1, None]
+
+
+def test_label_encoder_skew_safe_equals_window(spark):
+    df = spark.createDataFrame([(f"v{i % 37}", f"w{i % 5}") for i in range(500)], "a string, b string")
+    m1 = {(r["column_name"], r["value"]): r["code"] for r in P.fit_label_encoder(df, ["a", "b"]).collect()}
+    m2 = {(r["column_name"], r["value"]): r["code"] for r in P.fit_label_encoder(df, ["a", "b"], skew_safe=True).collect()}
+    assert m1 == m2 and len(m1) == 42
