@@ -29,6 +29,8 @@ def get_spark(app: str = "gradewell", master: str | None = None,
          .config("spark.ui.enabled", "false")
          .config("spark.ui.showConsoleProgress", "false")
          .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+         # no Python call-site capture per Column expression (plan-build cost)
+         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
          .config("spark.driver.memory", os.environ.get("GRADEWELL_DRIVER_MEMORY", "16g")))
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
@@ -60,6 +62,12 @@ def is_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
+def collect_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS):
+    """The rows of ``df`` when it has at most ``max_rows`` of them, else None."""
+    rows = df.limit(max_rows + 1).collect()
+    return rows if len(rows) <= max_rows else None
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """Broadcast only behind a proven row bound, computing the side once.
 

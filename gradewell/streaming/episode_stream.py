@@ -72,7 +72,25 @@ def _episode_state(key, pdfs, state: GroupState):
         n, start_ms, repairs, repair_ok, fails, phase, cycles, metric, done, budget_s, dropped = (
             0, None, 0, 0, 0, "init", 0, None, False, None, 0)
     rows = []
-    batch = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts", "event_id"], kind="mergesort")
+    # An episode ends at index max_steps at the latest, so of this batch only
+    # the first (max_steps + 1 - n) steps by (ts, event_id) can matter. Keep
+    # a bounded candidate set across the group's Arrow chunks instead of
+    # concatenating the whole group (a hot episode stays bounded in memory).
+    kept = None
+    extra = 0
+    for chunk in pdfs:
+        if chunk.empty:
+            continue
+        if done:
+            extra += len(chunk)
+            continue
+        cap = max(int(chunk["max_steps"].iloc[0]) + 1 - n, 0)
+        cand = chunk if kept is None else pd.concat([kept, chunk], ignore_index=True)
+        cand = cand.sort_values(["ts", "event_id"], kind="mergesort")
+        extra += max(len(cand) - cap, 0)
+        kept = cand.head(cap)
+    dropped += extra
+    batch = kept if kept is not None else pd.DataFrame(columns=["ts", "event_id"])
     for r in batch.itertuples(index=False):
         ts_ms = int(pd.Timestamp(r.ts).value // 1_000_000)
         if done:
