@@ -8,7 +8,7 @@ from gradewell.operators import checks as K
 from gradewell.operators import profile as P
 from gradewell.plans import fixtures as X
 from gradewell.plans.q_metrics import _M10_BODY, _MIXED_SQL, _m10
-from gradewell.plans.q_profile import _P8_SQL
+from gradewell.plans.q_profile import _P8_SQL, _P9_SQL
 from gradewell.plans.registry import query
 from gradewell.sources.io import read_table
 
@@ -100,7 +100,9 @@ def f5_skew_remaining(spark, sf_dir):
 
 
 # ------------------------------------------------------------------ F6 (rows-only: P9 parsing)
-@query("f6_datetime_strings_left")
+@query("f6_datetime_strings_left", X.ctes(f"dt AS ({_P9_SQL})") + f"""
+SELECT column_name FROM {_FEATS_DESC}
+WHERE column_type = 'VARCHAR' AND column_name IN (SELECT column_name FROM dt)""")
 def f6_datetime_strings_left(spark, sf_dir):
     dt = [r["column_name"] for r in P.datetime_like(X.dirty_events(spark, sf_dir), X.DIRTY_TARGET, "event_id").collect()]
     return K.datetime_strings_left(X.processed_events(spark, sf_dir), dt)
@@ -208,7 +210,25 @@ def f13_prediction_score_vs_baseline(spark, sf_dir):
 
 
 # ------------------------------------------------------------------ F14
-@query("f14_feature_pipeline")
+def _f14_sql() -> str:
+    f1 = f"(SELECT total_missing, penalty AS p1 FROM ({ORACLE_F['f1_residual_missing']}))"
+    f2 = f"(SELECT n_unencoded, penalty AS p2 FROM ({ORACLE_F['f2_unencoded_columns']}))"
+    f3 = f"(SELECT flagged AS scale_flag, penalty AS p3 FROM ({ORACLE_F['f3_scale_check']}))"
+    f4 = f"(SELECT flagged AS no_fe, penalty AS p4 FROM ({ORACLE_F['f4_no_feature_work']}))"
+    f5 = f"(SELECT n_still_skewed FROM ({ORACLE_F['f5_skew_remaining']}))"
+    f6 = f"(SELECT count(*) AS n_dt FROM ({ORACLE_F['f6_datetime_strings_left']}))"
+    return f"""
+SELECT 'feature_pipeline' AS validator,
+  NOT (total_missing > 0 OR n_unencoded > 0 OR scale_flag OR no_fe OR n_dt > 0) AS passed,
+  greatest(0.0, 1 - (p1 + p2 + p3 + p4)) AS score, p1 + p2 + p3 + p4 AS penalty,
+  total_missing, n_unencoded, n_still_skewed
+FROM {f1}, {f2}, {f3}, {f4}, {f5}, {f6}"""
+
+
+from gradewell.plans.registry import ORACLE as ORACLE_F  # noqa: E402
+
+
+@query("f14_feature_pipeline", _f14_sql())
 def f14_feature_pipeline(spark, sf_dir):
     d = X.dirty_events(spark, sf_dir)
     orig = [c for c in d.columns if c != X.DIRTY_TARGET]

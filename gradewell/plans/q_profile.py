@@ -133,7 +133,16 @@ def p8_skewed_columns(spark, sf_dir):
 
 
 # ----------------------------------------------------------------------- P9 (rows-only)
-@query("p9_datetime_like")
+_P9_SQL = X.with_views("""
+SELECT col AS column_name FROM (
+  SELECT col, bool_and(TRY_CAST(v AS TIMESTAMP) IS NOT NULL) AS ok FROM (
+    SELECT col, v, row_number() OVER (PARTITION BY col ORDER BY event_id, v) AS rn FROM (
+      SELECT 'props' AS col, event_id, props AS v FROM dirty_events WHERE props IS NOT NULL
+      UNION ALL SELECT 'day', event_id, day FROM dirty_events WHERE day IS NOT NULL))
+  WHERE rn <= 20 GROUP BY col) WHERE ok""", DE)
+
+
+@query("p9_datetime_like", _P9_SQL)
 def p9_datetime_like(spark, sf_dir):
     return P.datetime_like(X.dirty_events(spark, sf_dir), TGT, order_by="event_id")
 

@@ -37,7 +37,8 @@ def s2_select_features_all(spark, sf_dir):
     return S.select_features(S.read_table(spark, sf_dir, "customer"), "c_mktsegment")
 
 
-@query("s3_read_tasks")
+@query("s3_read_tasks", X.with_views("""
+SELECT task_id, task_type, metric, CAST(task_key AS INTEGER) AS n_items, 1 AS n_rejected FROM tasks""", X.SQL_TASKS))
 def s3_read_tasks(spark, sf_dir):
     folder = scratch_path(spark, f"tasks-{uuid.uuid4().hex[:12]}")
     S.write_tasks(X.tasks(spark, sf_dir), folder)
@@ -50,7 +51,9 @@ def s3_read_tasks(spark, sf_dir):
                        F.lit(n_bad).alias("n_rejected"))
 
 
-@query("s4_write_tasks")
+@query("s4_write_tasks", X.with_views("""
+SELECT task_id, target_column, task_type, metric, time_budget_seconds, CAST(max_steps AS INTEGER) AS max_steps,
+  baseline_score, oracle_score FROM tasks""", X.SQL_TASKS))
 def s4_write_tasks(spark, sf_dir):
     folder = scratch_path(spark, f"tasks-{uuid.uuid4().hex[:12]}")
     S.write_tasks(X.tasks(spark, sf_dir), folder)
