@@ -32,11 +32,19 @@ def k1_stream_episode_state(spark, sf_dir):
         "cycle_count", F.round("best_metric", 9).alias("best_metric"), "done")
 
 
-@query("k2_stream_budget_timeout")
+@query("k2_stream_budget_timeout", X.ctes(SQL_STATE) + """
+SELECT episode_id, CAST(cycle_count AS BIGINT) AS cycle_count, round(metric_cf, 9) AS best_metric
+FROM (SELECT *, bool_or(done) OVER (PARTITION BY episode_id) AS any_done,
+        min(epoch_ms(ts)) OVER (PARTITION BY episode_id) AS start_ms FROM state)
+WHERE is_last AND NOT any_done
+  AND start_ms + CAST(time_budget_seconds * 1000 AS BIGINT) < (SELECT max(epoch_ms(ts)) FROM events) - 3600 * 1000""")
 def k2_stream_budget_timeout(spark, sf_dir):
+    """Episodes whose budget ran out (event time, 1 hour watermark) without
+    ending: one timeout row each, emitted when the watermark passes."""
     inputs = K.stream_inputs(_stream_steps(spark, sf_dir), X.tasks(spark, sf_dir))
     out = K.run_available_now(K.stream_episode_state(inputs), "k2")
-    return out.where(F.col("event") == "timeout").select("episode_id", "cycle_count", "best_metric")
+    return out.where(F.col("event") == "timeout").select(
+        "episode_id", "cycle_count", F.round("best_metric", 9).alias("best_metric"))
 
 
 @query("k3_stream_step_rules", X.with_views(f"""
