@@ -119,15 +119,41 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], *,
                 progressed = True
         if not progressed:
             break
-    # exact pass: each bracket holds few rows; sort them and pick the rank
-    picks = []
+    value: dict[tuple[str, int], float] = {}
     keys = list(state)
-    for i, (c, r) in enumerate(keys):
+    # a bracket whose bounds are equal holds one value: that is the answer
+    for k in keys:
+        st = state[k]
+        if st[0] is not None and st[0] == st[1]:
+            value[k] = float(st[0])
+    # a bracket that stayed big (heavy repeats of a few values): walk the
+    # per-value counts of the bracket instead of its rows
+    for k in [k for k in keys if k not in value and state[k][3] > exact_cap]:
+        c, r = k
+        st = state[k]
+        vc = (base.where(in_bracket(c, st)).groupBy(c).agg(F.count(F.lit(1)).alias("n"))
+              .orderBy(c).limit(exact_cap + 1).collect())
+        need, acc = r - st[2], 0
+        for row in vc:
+            acc += row["n"]
+            if acc > need:
+                value[k] = float(row[c])
+                break
+        if k not in value:
+            # last resort (the sketch could not narrow a bracket of many
+            # distinct values): Spark's exact percentile over that bracket
+            p = need / max(st[3] - 1, 1)
+            value[k] = float(base.where(in_bracket(c, st)).agg(F.percentile(c, F.lit(p))).first()[0])
+    # exact pass: every other bracket holds few rows; sort them, pick the rank
+    rest = [k for k in keys if k not in value]
+    picks = []
+    for i, (c, r) in enumerate(rest):
         st = state[(c, r)]
         picks.append(F.element_at(F.sort_array(F.collect_list(F.when(in_bracket(c, st), F.col(c)))),
                                   r - st[2] + 1).alias(f"v{i}"))
-    vals = base.agg(*picks).first() if picks else None
-    value = {k: float(vals[f"v{i}"]) for i, k in enumerate(keys)}
+    if picks:
+        vals = base.agg(*picks).first()
+        value.update({k: float(vals[f"v{i}"]) for i, k in enumerate(rest)})
     out: dict[str, list[float | None]] = {}
     for c in cols:
         n = int(counts[c] or 0)

@@ -106,3 +106,10 @@ def test_label_encoder_skew_safe_equals_window(spark):
     m1 = {(r["column_name"], r["value"]): r["code"] for r in P.fit_label_encoder(df, ["a", "b"]).collect()}
     m2 = {(r["column_name"], r["value"]): r["code"] for r in P.fit_label_encoder(df, ["a", "b"], skew_safe=True).collect()}
     assert m1 == m2 and len(m1) == 42
+
+
+def test_exact_quantiles_heavy_repeats(spark):
+    vals = [0.0] * 3000 + [float(i) for i in range(1, 200)]
+    df = spark.createDataFrame([(v,) for v in vals], "v double")
+    q = exact_quantiles(df, ["v"], [0.25, 0.5, 0.99], accuracy=100, exact_cap=50)["v"]
+    assert np.allclose(q, np.percentile(vals, [25, 50, 99]), rtol=0, atol=1e-9)
