@@ -28,6 +28,8 @@ LEAK_TREE_DEPTH = 2
 BASELINE_TREES, BASELINE_DEPTH = 50, 3
 VALUE_TEST_TREES = 30
 SEED = 42
+# above this many numeric features L1 switches to the one-pass binned method
+WIDE_FEATURES = 50
 
 
 def _is_clf(task_type: str) -> bool:
@@ -70,6 +72,8 @@ def single_feature_leak(df: DataFrame, target: str, task_type: str, threshold: f
     are one grouped aggregate over the union of all predictions."""
     spark = df.sparkSession
     feats = numeric_features(df, target)
+    if len(feats) > WIDE_FEATURES:
+        return single_feature_leak_binned(df, target, task_type, threshold)
     base = df.select(*feats, target).where(F.col(target).isNotNull())
     if not feats:
         return spark.createDataFrame([], "feature string, score double, leak boolean")
@@ -104,6 +108,136 @@ def single_feature_leak(df: DataFrame, target: str, task_type: str, threshold: f
                                   for r in rows], "feature string, score double, leak boolean")
 
 
+# ------------------------------------------------------------------ L1, wide tables
+def _best_split(bins: list[int], impurity) -> tuple | None:
+    """Best threshold over sorted bins: (left_bins, right_bins) minimising the
+    weighted impurity; None when no split separates anything."""
+    best, best_val = None, None
+    for i in range(1, len(bins)):
+        left, right = bins[:i], bins[i:]
+        val = impurity(left) + impurity(right)
+        if best_val is None or val < best_val - 1e-15:
+            best, best_val = (left, right), val
+    return best
+
+
+def _leaf_tree(bins: list[int], impurity, depth: int) -> list[list[int]]:
+    """Leaves (lists of bins) of a depth-limited tree grown on sorted bins."""
+    if depth == 0 or len(bins) < 2:
+        return [bins]
+    sp = _best_split(bins, impurity)
+    if sp is None:
+        return [bins]
+    return _leaf_tree(sp[0], impurity, depth - 1) + _leaf_tree(sp[1], impurity, depth - 1)
+
+
+def single_feature_leak_binned(df: DataFrame, target: str, task_type: str, threshold: float = 0.99,
+                               n_bins: int = 64, depth: int = LEAK_TREE_DEPTH,
+                               accuracy: int = 10_000) -> DataFrame:
+    """L1 for wide tables: one pass instead of one fit per feature. Numeric
+    features are unpivoted, cut at approximate quantiles (a bounded sketch per
+    feature), and aggregated once to counts per (feature, bin, label) -- or
+    sum/sum of squares per (feature, bin) for regression -- with map-side
+    combine. A depth-2 tree per feature is then grown on that small table
+    (features x bins x classes rows, independent of the row count) and its
+    train AUC / one-vs-rest AUC / R2 is computed from the leaf counts."""
+    spark = df.sparkSession
+    feats = numeric_features(df, target)
+    base = df.select(*feats, target).where(F.col(target).isNotNull())
+    nulls = base.agg(F.count(F.lit(1)).alias("__n"), *[
+        F.sum((F.col(c).isNull() | (F.isnan(c) if is_float_col(base, c) else F.lit(False))).cast("long")).alias(c)
+        for c in feats]).first()
+    usable = [c for c in feats if (nulls[c] or 0) == 0]
+    schema = "feature string, score double, leak boolean"
+    if not usable or nulls["__n"] < 10:
+        return spark.createDataFrame([], schema)
+    long = base.select(F.col(target).alias("_y"), F.explode(F.array(*[
+        F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v")) for c in usable])).alias("x")) \
+        .select("_y", "x.*")
+    probs = [i / n_bins for i in range(1, n_bins)]
+    cuts = long.groupBy("feature").agg(F.array_distinct(F.percentile_approx(
+        "v", F.array(*[F.lit(p) for p in probs]), accuracy)).alias("_cuts"))
+    from gradewell.session import broadcast_if_small
+    binned = long.join(broadcast_if_small(cuts), "feature").withColumn(
+        "bin", F.aggregate("_cuts", F.lit(0), lambda acc, b: acc + F.when(F.col("v") > b, 1).otherwise(0)))
+    clf = _is_clf(task_type)
+    if clf:
+        table = binned.groupBy("feature", "bin", F.col("_y").cast("string").alias("y")).agg(
+            F.count(F.lit(1)).alias("n")).collect()                 # features x bins x classes rows
+    else:
+        table = binned.groupBy("feature", "bin").agg(
+            F.count(F.lit(1)).alias("n"), F.sum(F.col("_y").cast("double")).alias("s"),
+            F.sum(F.pow(F.col("_y").cast("double"), 2)).alias("q")).collect()
+    by_feat: dict[str, list] = {}
+    for r in table:
+        by_feat.setdefault(r["feature"], []).append(r)
+    out = []
+    for feat in usable:
+        rows = by_feat.get(feat, [])
+        bins = sorted({r["bin"] for r in rows})
+        if clf:
+            counts: dict[int, dict[str, int]] = {}
+            for r in rows:
+                counts.setdefault(r["bin"], {})[r["y"]] = r["n"]
+            classes = sorted({r["y"] for r in rows})
+
+            def agg(bs):
+                tot = {c: sum(counts[b].get(c, 0) for b in bs) for c in classes}
+                return tot
+
+            def gini(bs):
+                tot = agg(bs)
+                n = sum(tot.values())
+                return 0.0 if n == 0 else n * (1 - sum((v / n) ** 2 for v in tot.values()))
+            leaves = [agg(bs) for bs in _leaf_tree(bins, gini, depth)]
+            out.append((feat, _leaf_auc(leaves, classes)))
+        else:
+            st = {r["bin"]: (r["n"], r["s"], r["q"]) for r in rows}
+
+            def sse(bs):
+                n = sum(st[b][0] for b in bs)
+                s1 = sum(st[b][1] for b in bs)
+                q = sum(st[b][2] for b in bs)
+                return 0.0 if n == 0 else q - s1 * s1 / n
+            leaves = _leaf_tree(bins, sse, depth)
+            tot = sse(bins)
+            res = sum(sse(bs) for bs in leaves)
+            out.append((feat, (1 - res / tot) if tot > 0 else (1.0 if res == 0 else 0.0)))
+    return spark.createDataFrame([(f, float(v) if v is not None else None, v is not None and v >= threshold)
+                                  for f, v in out], schema)
+
+
+def _leaf_auc(leaves: list[dict], classes: list[str]) -> float | None:
+    """Train AUC of a tree whose prediction is the leaf's class share: binary
+    AUC for two classes, else the one-vs-rest macro mean (ties count half)."""
+    def auc_for(c):
+        pts = []
+        for lf in leaves:
+            n = sum(lf.values())
+            if n:
+                pts.append((lf.get(c, 0) / n, lf.get(c, 0), n - lf.get(c, 0)))
+        pos = sum(p for _, p, _ in pts)
+        neg = sum(q for _, _, q in pts)
+        if pos == 0 or neg == 0:
+            return None
+        pts.sort()
+        below, num, i = 0, 0.0, 0
+        while i < len(pts):
+            j, p_eq, n_eq = i, 0, 0
+            while j < len(pts) and pts[j][0] == pts[i][0]:
+                p_eq += pts[j][1]
+                n_eq += pts[j][2]
+                j += 1
+            num += p_eq * (below + n_eq / 2.0)
+            below += n_eq
+            i = j
+        return num / (pos * neg)
+    if len(classes) == 2:
+        return auc_for(classes[1])
+    vals = [a for a in (auc_for(c) for c in classes) if a is not None]
+    return sum(vals) / len(vals) if vals else None
+
+
 # ------------------------------------------------------------------ L2
 def train_valid_gap(preds: DataFrame, task_type: str, by=("run_id",), split: str = "split", y: str = "y_true",
                     score: str = "y_score", train_min: float = 0.95, gap: float = 0.30) -> DataFrame:

@@ -97,3 +97,12 @@ def l7_evaluate_model(spark, sf_dir):
     s = _split(spark, sf_dir).drop("row_id")
     model = L.fit_pipeline(s.where("split = 'train'"), "returned", "binary_classification", _LI_FEATS, n_trees=20)
     return L.evaluate_model(model, s.where("split = 'valid'"), "returned", "roc_auc", baseline=0.5)
+
+
+@query("l1_single_feature_leak_binned")
+def l1_single_feature_leak_binned(spark, sf_dir):
+    """The one-pass binned L1 (used automatically above 50 features) on the
+    same lineitem task, so both methods are exercised on the driver tables."""
+    d = _lineitem_task(spark, sf_dir)
+    d = d.withColumn("leaked", F.col("returned") + F.col("l_discount") * 0.001)
+    return L.single_feature_leak_binned(d.drop("row_id"), "returned", "binary_classification")

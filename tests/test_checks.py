@@ -50,3 +50,19 @@ def test_feature_pipeline_verdict(spark):
     v = K.feature_pipeline(df, ["a", "b", "s", "big"], [], []).first()
     # residual NaN .12 + unencoded .10 + scale .05 + no feature work .05
     assert not v["passed"] and math.isclose(v["penalty"], 0.32) and math.isclose(v["score"], 0.68)
+
+
+def test_single_feature_leak_binned_flags_copy(spark):
+    from gradewell.operators import models as L
+    rnd = random.Random(11)
+    rows = []
+    for i in range(400):
+        y = rnd.randint(0, 1)
+        rows.append((y + 0.001 * rnd.random(), rnd.random(), float(rnd.randint(0, 5)), y))
+    df = spark.createDataFrame(rows, "leaked double, noise double, small double, y int")
+    out = {r["feature"]: r for r in L.single_feature_leak_binned(df, "y", "binary_classification").collect()}
+    assert out["leaked"]["leak"] and out["leaked"]["score"] > 0.99
+    assert not out["noise"]["leak"] and not out["small"]["leak"]
+    reg = spark.createDataFrame([(float(i), float(i % 7), float(i)) for i in range(300)], "a double, b double, t double")
+    r = {x["feature"]: x["score"] for x in L.single_feature_leak_binned(reg, "t", "regression").collect()}
+    assert r["a"] > 0.9 and r["b"] < 0.5
