@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,8 +55,13 @@ def stream_inputs(steps: DataFrame, tasks: DataFrame) -> DataFrame:
         "time_budget_seconds", TR.rx_match(text, TR.FIT_SPACED).alias("has_fit"))
 
 
+_OUT_COLS = [f.name for f in OUTPUT_SCHEMA.fields]
+
+
 def _episode_state(key, pdfs, state: GroupState):
-    """Counters of one episode across micro-batches (E1-E5, done, K2)."""
+    """Counters of one episode across micro-batches (E1-E5, done, K2).
+    Works on numpy columns: per call one sort of at most max_steps + 1
+    candidate rows and one output frame."""
     (episode_id,) = key
     if state.hasTimedOut:
         st = state.get
@@ -71,65 +77,67 @@ def _episode_state(key, pdfs, state: GroupState):
     else:
         n, start_ms, repairs, repair_ok, fails, phase, cycles, metric, done, budget_s, dropped = (
             0, None, 0, 0, 0, "init", 0, None, False, None, 0)
-    rows = []
-    # An episode ends at index max_steps at the latest, so of this batch only
-    # the first (max_steps + 1 - n) steps by (ts, event_id) can matter. Keep
-    # a bounded candidate set across the group's Arrow chunks instead of
-    # concatenating the whole group (a hot episode stays bounded in memory).
-    kept = None
-    extra = 0
+    # An episode ends at index max_steps at the latest, so only the first
+    # (max_steps + 1 - n) rows by (ts, event_id) can matter: keep a bounded
+    # candidate set across the group's Arrow chunks.
+    cols = ("ts_ms", "event_id", "action_type", "ok", "metric_value", "max_steps", "time_budget_seconds", "has_fit")
+    cand = None
     for chunk in pdfs:
         if chunk.empty:
             continue
         if done:
-            extra += len(chunk)
-            continue
-        cap = max(int(chunk["max_steps"].iloc[0]) + 1 - n, 0)
-        cand = chunk if kept is None else pd.concat([kept, chunk], ignore_index=True)
-        cand = cand.sort_values(["ts", "event_id"], kind="mergesort")
-        extra += max(len(cand) - cap, 0)
-        kept = cand.head(cap)
-    dropped += extra
-    batch = kept if kept is not None else pd.DataFrame(columns=["ts", "event_id"])
-    for r in batch.itertuples(index=False):
-        ts_ms = int(pd.Timestamp(r.ts).value // 1_000_000)
-        if done:
-            dropped += 1
+            dropped += len(chunk)
             continue
-        if start_ms is None:
-            start_ms, budget_s = ts_ms, float(r.time_budget_seconds)
-        idx = n
-        elapsed = (ts_ms - start_ms) / 1000.0
-        is_done = r.action_type == "FINAL_SUBMIT" or idx >= r.max_steps or elapsed > r.time_budget_seconds
-        ok = bool(r.ok)
-        if r.action_type == "CODE_FIX":
-            repairs += 1
-            repair_ok += int(ok)
-        fails = 0 if ok else fails + 1
-        if r.action_type in ("FEATURE_ENGINEERING", "CODE"):
-            new_phase = "model" if r.has_fit else "data"
-        elif r.action_type == "MODEL":
-            new_phase = "model"
-        else:
-            new_phase = None
-        if new_phase == "model" and phase == "data":
-            cycles += 1
-        if new_phase is not None:
-            phase = new_phase
-        if r.metric_value is not None and not pd.isna(r.metric_value):
-            metric = float(r.metric_value)
-        n += 1
-        done = bool(is_done)
-        rows.append({"episode_id": episode_id, "event": "step", "event_id": int(r.event_id), "step_idx": idx,
-                     "repair_attempts": repairs, "repair_successes": repair_ok, "consecutive_failures": fails,
-                     "cycle_count": cycles, "best_metric": metric, "done": done, "dropped_after_done": dropped})
+        arr = {"ts_ms": chunk["ts"].to_numpy(dtype="datetime64[ms]").astype("int64"),
+               **{c: chunk[c].to_numpy() for c in cols[1:]}}
+        cand = arr if cand is None else {c: np.concatenate([cand[c], arr[c]]) for c in cols}
+        cap = max(int(cand["max_steps"][0]) + 1 - n, 0)
+        if len(cand["ts_ms"]) > cap:
+            order = np.lexsort((cand["event_id"], cand["ts_ms"]))[:cap]
+            dropped += len(cand["ts_ms"]) - cap
+            cand = {c: cand[c][order] for c in cols}
+    out = {c: [] for c in _OUT_COLS}
+    if cand is not None and len(cand["ts_ms"]):
+        order = np.lexsort((cand["event_id"], cand["ts_ms"]))
+        for i in order:
+            if done:
+                dropped += 1
+                continue
+            ts_ms = int(cand["ts_ms"][i])
+            act = cand["action_type"][i]
+            if start_ms is None:
+                start_ms, budget_s = ts_ms, float(cand["time_budget_seconds"][i])
+            idx = n
+            elapsed = (ts_ms - start_ms) / 1000.0
+            is_done = act == "FINAL_SUBMIT" or idx >= cand["max_steps"][i] or elapsed > cand["time_budget_seconds"][i]
+            ok = bool(cand["ok"][i])
+            if act == "CODE_FIX":
+                repairs += 1
+                repair_ok += int(ok)
+            fails = 0 if ok else fails + 1
+            new_phase = ("model" if cand["has_fit"][i] else "data") if act in ("FEATURE_ENGINEERING", "CODE") \
+                else ("model" if act == "MODEL" else None)
+            if new_phase == "model" and phase == "data":
+                cycles += 1
+            if new_phase is not None:
+                phase = new_phase
+            mv = cand["metric_value"][i]
+            if mv is not None and not pd.isna(mv):
+                metric = float(mv)
+            n += 1
+            done = bool(is_done)
+            for c, v in (("episode_id", episode_id), ("event", "step"), ("event_id", int(cand["event_id"][i])),
+                         ("step_idx", idx), ("repair_attempts", repairs), ("repair_successes", repair_ok),
+                         ("consecutive_failures", fails), ("cycle_count", cycles), ("best_metric", metric),
+                         ("done", done), ("dropped_after_done", dropped)):
+                out[c].append(v)
     state.update((n, start_ms, repairs, repair_ok, fails, phase, cycles, metric, done, budget_s, dropped))
     if start_ms is not None:
         # budget timeout while open; after done, keep the state one budget
         # longer to absorb stragglers, then purge it
         state.setTimeoutTimestamp(start_ms + int(2 * budget_s * 1000) if done else start_ms + int(budget_s * 1000))
-    if rows:
-        yield pd.DataFrame(rows)
+    if out["episode_id"]:
+        yield pd.DataFrame(out)
 
 
 def stream_episode_state(inputs: DataFrame, watermark: str = "1 hour") -> DataFrame:
