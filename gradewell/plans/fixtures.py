@@ -320,10 +320,10 @@ SQL_TASKS = "tasks AS (\n  SELECT lower(r_name) AS task_id, r_regionkey AS task_
         ("baseline_score", [f"CAST({_sql_opt(s[3])} AS DOUBLE)" for s in TASK_SPECS]),
         ("oracle_score", [f"CAST({_sql_opt(s[4])} AS DOUBLE)" for s in TASK_SPECS]),
         ("is_time_series", ["true" if s[5] else "false" for s in TASK_SPECS]),
-    ]) + "    86400.0 * (r_regionkey + 1) AS time_budget_seconds, 15 AS max_steps\n  FROM region)\n"
+    ]) + "    CAST(86400.0 * (r_regionkey + 1) AS DOUBLE) AS time_budget_seconds, 15 AS max_steps\n  FROM region)\n"
 
 SQL_CHECKLIST = "checklist AS (SELECT * FROM (VALUES " + ", ".join(
-    f"({n}, '{i}', '{kw}', {wt}, {str(req).lower()})"
+    f"({n}, '{i}', '{kw}', CAST({wt} AS DOUBLE), {str(req).lower()})"
     for n, (i, _d, kws, wt, req) in enumerate(CHECKLIST) for kw in kws
 ) + ") v(item_idx, item_id, keyword, weight, required))\n"
 

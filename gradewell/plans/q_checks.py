@@ -36,7 +36,7 @@ def _miss(c: str) -> str:
     f"SELECT {i} AS i, '{c}' AS c, sum(CAST({_miss(c)} AS BIGINT)) AS m FROM feats" for i, c in enumerate(FEATS)) + """))
 SELECT CAST(sum(m) AS BIGINT) AS total_missing, CAST(count(*) FILTER (WHERE m > 0) AS BIGINT) AS n_columns,
   coalesce(array_to_string((list(c ORDER BY i) FILTER (WHERE m > 0))[1:5], ', '), '') AS columns,
-  CASE WHEN sum(m) > 0 THEN 0.12 ELSE 0.0 END AS penalty FROM m""").replace("\n, m AS", ",\nm AS", 1))
+  CAST(CASE WHEN sum(m) > 0 THEN 0.12 ELSE 0.0 END AS DOUBLE) AS penalty FROM m""").replace("\n, m AS", ",\nm AS", 1))
 def f1_residual_missing(spark, sf_dir):
     return K.residual_missing(_features(spark, sf_dir))
 
@@ -51,7 +51,8 @@ _FEATS_DESC = _describe(_feat_sql("SELECT * FROM feats"))
 # ------------------------------------------------------------------ F2
 @query("f2_unencoded_columns", _feat_sql(f"""
 SELECT (SELECT count(*) FROM feats) AS n_rows, CAST(count(*) AS BIGINT) AS n_unencoded,
-  coalesce(string_agg(column_name, ', '), '') AS columns, CASE WHEN count(*) > 0 THEN 0.10 ELSE 0.0 END AS penalty
+  coalesce(string_agg(column_name, ', '), '') AS columns,
+  CAST(CASE WHEN count(*) > 0 THEN 0.10 ELSE 0.0 END AS DOUBLE) AS penalty
 FROM {_FEATS_DESC} WHERE column_type = 'VARCHAR'"""))
 def f2_unencoded_columns(spark, sf_dir):
     return K.unencoded_columns(_features(spark, sf_dir))
@@ -59,7 +60,8 @@ def f2_unencoded_columns(spark, sf_dir):
 
 # ------------------------------------------------------------------ F3
 @query("f3_scale_check", _feat_sql("""
-SELECT round(r, 2) AS scale_range_ratio, r > 100 AS flagged, CASE WHEN r > 100 THEN 0.05 ELSE 0.0 END AS penalty
+SELECT round(r, 2) AS scale_range_ratio, r > 100 AS flagged,
+  CAST(CASE WHEN r > 100 THEN 0.05 ELSE 0.0 END AS DOUBLE) AS penalty
 FROM (SELECT CASE WHEN count(*) >= 2 THEN max(s) / min(s) ELSE 0.0 END AS r FROM (""" + "\nUNION ALL\n".join(
     f"SELECT stddev_samp({c}) AS s FROM feats" for c in NUMS) + ") WHERE s IS NOT NULL AND NOT isnan(s) AND s <> 0)"))
 def f3_scale_check(spark, sf_dir):
@@ -77,7 +79,7 @@ n AS (SELECT (SELECT count(*) FROM cur WHERE column_name NOT IN (SELECT column_n
              (SELECT count(*) FROM orig) AS n_orig)
 SELECT CAST(n_new AS BIGINT) AS n_new, CAST(n_dropped AS BIGINT) AS n_dropped,
   n_new = 0 AND n_dropped = 0 AND n_orig > 3 AS flagged,
-  CASE WHEN n_new = 0 AND n_dropped = 0 AND n_orig > 3 THEN 0.05 ELSE 0.0 END AS penalty FROM n""")
+  CAST(CASE WHEN n_new = 0 AND n_dropped = 0 AND n_orig > 3 THEN 0.05 ELSE 0.0 END AS DOUBLE) AS penalty FROM n""")
 def f4_no_feature_work(spark, sf_dir):
     orig = [c for c in X.dirty_events(spark, sf_dir).columns if c != X.DIRTY_TARGET]
     return K.no_feature_work(orig, _features(spark, sf_dir))
@@ -120,7 +122,7 @@ def f7_non_numeric_features(spark, sf_dir):
 # ------------------------------------------------------------------ F8
 @query("f8_remaining_duplicates", _feat_sql(f"""
 SELECT CAST(coalesce(sum(c - 1), 0) AS BIGINT) AS duplicate_count,
-  CASE WHEN coalesce(sum(c - 1), 0) > 0 THEN 0.08 ELSE 0.0 END AS penalty
+  CAST(CASE WHEN coalesce(sum(c - 1), 0) > 0 THEN 0.08 ELSE 0.0 END AS DOUBLE) AS penalty
 FROM (SELECT count(*) AS c FROM feats GROUP BY {', '.join(FEATS)})"""))
 def f8_remaining_duplicates(spark, sf_dir):
     return K.remaining_duplicates(_features(spark, sf_dir), target="__none__", mentioned=False)
@@ -183,7 +185,7 @@ _F12_OK = "coalesce((isnan(a) AND isnan(b)) OR abs(a - b) <= 1e-6 + 1e-5 * abs(b
     "j AS (SELECT a.y_pred AS a, b.y_pred AS b FROM regression_predictions a FULL OUTER JOIN b ON a.row_id = b.row_id)")
     + f"""SELECT count(*) AS n_compared, CAST(sum(CASE WHEN {_F12_OK} THEN 0 ELSE 1 END) AS BIGINT) AS n_mismatch,
   sum(CASE WHEN {_F12_OK} THEN 0 ELSE 1 END) = 0 AS all_match,
-  CASE WHEN sum(CASE WHEN {_F12_OK} THEN 0 ELSE 1 END) = 0 THEN 0.0 ELSE 0.15 END AS penalty FROM j""")
+  CAST(CASE WHEN sum(CASE WHEN {_F12_OK} THEN 0 ELSE 1 END) = 0 THEN 0.0 ELSE 0.15 END AS DOUBLE) AS penalty FROM j""")
 def f12_predictions_match(spark, sf_dir):
     a = X.regression_predictions(spark, sf_dir).select("row_id", "y_pred")
     o = read_table(spark, sf_dir, "orders")
@@ -198,7 +200,7 @@ def f12_predictions_match(spark, sf_dir):
 SELECT m10.run_id, m10.metric, value - coalesce(t.baseline_score, 0.0) >= 0 AS passed,
   round(CASE WHEN value - coalesce(t.baseline_score, 0.0) < 0 THEN greatest(0.0, 0.5 + value - coalesce(t.baseline_score, 0.0))
     ELSE least(1.0, 0.5 + value - coalesce(t.baseline_score, 0.0)) END, 9) AS score,
-  CASE WHEN value - coalesce(t.baseline_score, 0.0) < 0 THEN 0.05 ELSE 0.0 END AS penalty
+  CAST(CASE WHEN value - coalesce(t.baseline_score, 0.0) < 0 THEN 0.05 ELSE 0.0 END AS DOUBLE) AS penalty
 FROM m10 LEFT JOIN tasks t ON t.metric = m10.metric""")
 def f13_prediction_score_vs_baseline(spark, sf_dir):
     m = _m10(spark, sf_dir)
@@ -220,7 +222,7 @@ def _f14_sql() -> str:
     return f"""
 SELECT 'feature_pipeline' AS validator,
   NOT (total_missing > 0 OR n_unencoded > 0 OR scale_flag OR no_fe OR n_dt > 0) AS passed,
-  greatest(0.0, 1 - (p1 + p2 + p3 + p4)) AS score, p1 + p2 + p3 + p4 AS penalty,
+  CAST(greatest(0.0, 1 - (p1 + p2 + p3 + p4)) AS DOUBLE) AS score, CAST(p1 + p2 + p3 + p4 AS DOUBLE) AS penalty,
   total_missing, n_unencoded, n_still_skewed
 FROM {f1}, {f2}, {f3}, {f4}, {f5}, {f6}"""
 

@@ -322,7 +322,7 @@ _reg("e13_last_step_status", {"last_ok": "ok", "crash_class": "error_class"},
      lambda s: {"last_ok": c("ok"), "crash_class": c("error_class")})
 _reg("e14_latest_plan", {"plan_text": "plan_text"}, lambda s: {"plan_text": c("plan_text")})
 _reg("e17_artifact_check", {"current_step": "CAST(step_idx + 1 AS BIGINT)", "has_model": "has_model",
-                            "namespace_score": "CASE WHEN step_idx + 1 < 3 THEN 1.0 WHEN has_model THEN 1.0 ELSE 0.0 END"},
+                            "namespace_score": "CAST(CASE WHEN step_idx + 1 < 3 THEN 1.0 WHEN has_model THEN 1.0 ELSE 0.0 END AS DOUBLE)"},
      lambda s: {"current_step": (c(IDX) + 1).cast("long"), "has_model": c("has_model"),
                 "namespace_score": F.when(c(IDX) + 1 < 3, 1.0).when(c("has_model"), 1.0).otherwise(0.0)})
 
@@ -402,7 +402,7 @@ SELECT episode_id, CAST(cycle_count AS BIGINT) AS cycle_count,
   round(CASE WHEN len(h) >= 2 THEN h[len(h)] - h[1] END, 9) AS total_gain,
   round({_cycle_pen_sql()}, 9) AS cycle_penalty,
   len(h) >= 3 AND (list_max(h[len(h) - 2:]) - list_min(h[len(h) - 2:])) < 0.003 AND cycle_count > 2 AS plateau,
-  CASE WHEN cycle_count <= 1 THEN 1.0 ELSE least(3.0, 1.0 + 0.5 * (cycle_count - 1)) END AS error_multiplier
+  CAST(CASE WHEN cycle_count <= 1 THEN 1.0 ELSE least(3.0, 1.0 + 0.5 * (cycle_count - 1)) END AS DOUBLE) AS error_multiplier
 FROM (SELECT *, metric_history AS h FROM state WHERE is_last)"""))
 def e6_e8_cycle_rules(spark, sf_dir):
     st = _last(spark, sf_dir)

@@ -76,7 +76,8 @@ fs AS ({_fp_sql('(' + _STRIPPED + ')', _DOC_COLS)}),
 st AS ({_STRIPPED}),
 ch AS (SELECT count(*) AS n FROM ((SELECT * FROM documents EXCEPT ALL SELECT * FROM st)
                                   UNION ALL (SELECT * FROM st EXCEPT ALL SELECT * FROM documents)))
-SELECT 'documents' AS table_name, true AS intact, CAST(0 AS BIGINT) AS changed_rows, 1.0 AS score, 0.0 AS penalty
+SELECT 'documents' AS table_name, true AS intact, CAST(0 AS BIGINT) AS changed_rows, CAST(1.0 AS DOUBLE) AS score,
+  CAST(0.0 AS DOUBLE) AS penalty
 UNION ALL
 SELECT 'documents_stripped', (fb.n_rows = fs.n_rows AND fb.fp_xor = fs.fp_xor AND fb.fp_sum = fs.fp_sum),
   CAST(ch.n AS BIGINT),

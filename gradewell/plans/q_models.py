@@ -64,8 +64,8 @@ def l3_baseline_gbt(spark, sf_dir):
 SELECT run_id, metric, round(d, 9) AS diff,
   CASE WHEN value IS NULL THEN 'no_agent_metric' WHEN b IS NULL THEN 'no_baseline' WHEN d > 0.003 THEN 'better'
     WHEN d < -0.003 THEN 'worse' ELSE 'equal' END AS outcome,
-  CASE WHEN value IS NOT NULL AND b IS NOT NULL AND d > 0.003 THEN 0.05 ELSE 0.0 END AS bonus,
-  CASE WHEN value IS NULL OR (b IS NOT NULL AND d < -0.003) THEN 0.15 ELSE 0.0 END AS penalty
+  CAST(CASE WHEN value IS NOT NULL AND b IS NOT NULL AND d > 0.003 THEN 0.05 ELSE 0.0 END AS DOUBLE) AS bonus,
+  CAST(CASE WHEN value IS NULL OR (b IS NOT NULL AND d < -0.003) THEN 0.15 ELSE 0.0 END AS DOUBLE) AS penalty
 FROM (SELECT m10.*, t.baseline_score AS b, value - t.baseline_score AS d FROM m10 LEFT JOIN tasks t ON t.metric = m10.metric)""")
 def l4_baseline_compare(spark, sf_dir):
     m = _m10(spark, sf_dir)

@@ -92,7 +92,7 @@ def s5_lookup_task(spark, sf_dir):
 
 @query("s6_explode_checklist", X.ctes(X.SQL_TASKS, X.SQL_CHECKLIST) + """
 SELECT t.task_id, coalesce(c.item_idx, -1) AS item_idx, coalesce(c.item_id, '') AS item_id,
-  coalesce(c.weight, 0.0) AS weight, coalesce(c.required, false) AS required, coalesce(c.keyword, '') AS keyword
+  CAST(coalesce(c.weight, 0.0) AS DOUBLE) AS weight, coalesce(c.required, false) AS required, coalesce(c.keyword, '') AS keyword
 FROM tasks t LEFT JOIN checklist c ON c.item_idx < t.task_key""")
 def s6_explode_checklist(spark, sf_dir):
     e = S.explode_checklist(X.tasks(spark, sf_dir))
