@@ -52,11 +52,6 @@ def sql_str(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-def java_escape(s: str) -> str:
-    """Literal text inside a Java regex (``re.escape``)."""
-    return "\\Q" + s.replace("\\E", "\\E\\\\E\\Q") + "\\E"
-
-
 # ===========================================================================
 # Patterns, keyword lists and categories that must equal the
 # reference's for identical verdicts. Kept in the reference's order.

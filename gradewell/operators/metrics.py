@@ -6,7 +6,6 @@ aggregate by ``by`` (default ``run_id``); rows are aligned by key upstream.
 
 from __future__ import annotations
 
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F

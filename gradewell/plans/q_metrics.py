@@ -121,13 +121,15 @@ def mixed_predictions(spark, sf_dir):
     r = X.regression_predictions(spark, sf_dir).select(
         F.concat(F.lit("ord_"), "run_id").alias("run_id"), "row_id", "y_true", F.col("y_pred").alias("y_score"))
     preds = b.unionByName(r)
-    runs = preds.select("run_id").distinct().select("run_id", _RUN_METRIC.alias("metric"))
+    runs = preds.select("run_id").distinct().select("run_id", _run_metric().alias("metric"))
     return preds, runs
 
 
-_RUN_METRIC = (F.when(F.col("run_id") == "li_F", "roc_auc").when(F.col("run_id") == "li_O", "accuracy")
-               .when(F.col("run_id") == "ord_F", "rmse").when(F.col("run_id") == "ord_O", "mae")
-               .when(F.col("run_id") == "ord_P", "r2"))
+def _run_metric():
+    """Which metric each run of the mixed table asks for."""
+    return (F.when(F.col("run_id") == "li_F", "roc_auc").when(F.col("run_id") == "li_O", "accuracy")
+            .when(F.col("run_id") == "ord_F", "rmse").when(F.col("run_id") == "ord_O", "mae")
+            .when(F.col("run_id") == "ord_P", "r2"))
 
 _MIXED_SQL = BP + ", " + RP + """,
 mixed AS (

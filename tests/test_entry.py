@@ -32,3 +32,13 @@ def test_oracle_sample_on_small_tables(spark):
         want = con.execute(sql[name]).df()
         assert sorted(got.columns) == sorted(want.columns), name
         assert len(got) == len(want), name
+
+
+def test_registry_loads_without_spark():
+    """The driver may ask for the oracle SQL before any session exists."""
+    import subprocess
+    import sys
+    code = "import __spark_entry__ as e; q = e.queries(); s = e.oracle_sql(); print(len(q), len(s))"
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True,
+                         cwd=__import__("os").path.dirname(__import__("os").path.dirname(__file__)), timeout=120)
+    assert out.returncode == 0, out.stderr[-2000:]
