@@ -243,3 +243,35 @@ FROM orders LEFT JOIN m1 ON orders.o_orderstatus = m1.v LEFT JOIN m2 ON orders.o
 def p14_encode_categorical(spark, sf_dir):
     o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
     return P.encode_categorical(o, o, ["o_orderstatus", "o_orderpriority"])
+
+
+# ----------------------------------------------------------------------- P13 train -> valid
+def _dirty_split(spark, sf_dir):
+    from gradewell.operators.integrity import stratified_split
+    # identical duplicate rows tie on the key; either order yields the same rows
+    return stratified_split(X.dirty_events(spark, sf_dir), ["event_id", "value", "day"], TGT, hash_method="md5")
+
+
+_SPLIT_KEY = "CAST(event_id AS VARCHAR) || ':' || CAST(value AS VARCHAR) || ':' || day"
+
+
+@query("p13_impute_fill_train_valid", X.ctes(
+    DE,
+    f"""h AS (SELECT *, CAST('0x' || substr(md5('42:' || {_SPLIT_KEY}), 1, 15) AS BIGINT) AS h FROM dirty_events)""",
+    f"""r AS (SELECT *, row_number() OVER (PARTITION BY {TGT} ORDER BY h, event_id, value, day) - 1 AS rk,
+               count(*) OVER (PARTITION BY {TGT}) AS n FROM h)""",
+    """sp AS (SELECT * EXCLUDE (h, rk, n), CASE WHEN rk < n - ceil(CAST(0.3 AS DOUBLE) * n) THEN 'train'
+               WHEN rk < n - ceil(ceil(CAST(0.3 AS DOUBLE) * n) * CAST(0.5 AS DOUBLE)) THEN 'valid' ELSE 'test' END AS split
+             FROM r)""",
+    "med AS (SELECT " + ", ".join(f"median({c}) AS m_{c}" for c in _NUM_FILL) + " FROM sp WHERE split = 'train')",
+    """mode_props AS (SELECT props AS m_props FROM sp WHERE split = 'train' AND props IS NOT NULL
+               GROUP BY props ORDER BY count(*) DESC, props LIMIT 1)""") + """
+SELECT event_id, user_id, event_type, value, """ + ", ".join(
+    f"coalesce({c}, m_{c}) AS {c}" for c in _NUM_FILL) + """, value2,
+  coalesce(props, m_props) AS props, day
+FROM sp, med, mode_props WHERE split = 'valid'""")
+def p13_impute_fill_train_valid(spark, sf_dir):
+    s = _dirty_split(spark, sf_dir)
+    train = s.where(F.col("split") == "train").drop("split")
+    valid = s.where(F.col("split") == "valid").drop("split")
+    return P.impute_fill(train, valid, _NUM_FILL + _CAT_FILL)
