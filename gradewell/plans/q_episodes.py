@@ -504,3 +504,24 @@ def t8_plan_coverage(spark, sf_dir):
     cov = F.when(c("plan_total_weight") > 0, c("plan_covered_weight") / c("plan_total_weight")).otherwise(0.0)
     return st.select(EP, c("task_items").cast("long"), F.round(cov, 9).alias("coverage"),
                      c("plan_missed_required").cast("long").alias("missed_required"), "has_plan")
+
+
+# E6, E7, E8, E16 one by one (same state as e6_e8_cycle_rules)
+_CYCLE_SQL = _state_sql(f"""
+SELECT episode_id, CAST(cycle_count AS BIGINT) AS cycle_count,
+  round(CASE WHEN len(h) >= 2 THEN h[len(h)] - h[1] END, 9) AS total_gain,
+  round({_cycle_pen_sql()}, 9) AS cycle_penalty,
+  len(h) >= 3 AND (list_max(h[len(h) - 2:]) - list_min(h[len(h) - 2:])) < 0.003 AND cycle_count > 2 AS plateau,
+  CAST(CASE WHEN cycle_count <= 1 THEN 1.0 ELSE least(3.0, 1.0 + 0.5 * (cycle_count - 1)) END AS DOUBLE) AS error_multiplier
+FROM (SELECT *, metric_history AS h FROM state WHERE is_last)""")
+
+
+def _cycle_part(cols: list[str]):
+    def fn(spark, sf_dir):
+        return e6_e8_cycle_rules(spark, sf_dir).select("episode_id", *cols)
+    return fn
+
+
+for _name, _cols in [("e6_metric_gain", ["total_gain"]), ("e7_cycle_penalty", ["cycle_count", "cycle_penalty"]),
+                     ("e8_plateau", ["plateau"]), ("e16_cycle_error_multiplier", ["cycle_count", "error_multiplier"])]:
+    query(_name, f"SELECT episode_id, {', '.join(_cols)} FROM ({_CYCLE_SQL})")(_cycle_part(_cols))
