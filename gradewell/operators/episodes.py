@@ -425,7 +425,9 @@ def context_state(st: DataFrame, n_chunks: int) -> DataFrame:
 
 
 def episode_code(steps: DataFrame, action_types: list[str] | None = None, success_only: bool = False) -> DataFrame:
-    """Per episode the step texts joined by newline in step order."""
+    """Per episode the step texts joined by newline in step order.
+    Feed it the kept steps (:func:`prepare_steps`), so every group holds at
+    most max_steps + 1 rows."""
     s = steps
     if action_types:
         s = s.where(F.col("action_type").isin(*action_types))

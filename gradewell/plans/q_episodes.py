@@ -413,12 +413,13 @@ def e6_e8_cycle_rules(spark, sf_dir):
                      E.cycle_error_multiplier(cyc).alias("error_multiplier"))
 
 
-@query("t23_episode_code", X.with_views("""
-SELECT episode_id, string_agg(CASE WHEN coalesce(code_body, '') <> '' THEN code_body ELSE coalesce(action_text, '') END,
-  chr(10) ORDER BY step_idx) AS code
-FROM steps WHERE action_type IN ('CODE', 'MODEL') AND execution_success GROUP BY episode_id""", X.SQL_STEPS))
+@query("t23_episode_code", X.ctes(_SQL_PREP) + """
+SELECT episode_id, string_agg(text, chr(10) ORDER BY step_idx) AS code
+FROM prep WHERE action_type IN ('CODE', 'MODEL') AND execution_success GROUP BY episode_id""")
 def t23_episode_code(spark, sf_dir):
-    return E.episode_code(X.steps(spark, sf_dir), ["CODE", "MODEL"], success_only=True)
+    # on the kept steps of each episode (at most max_steps + 1): bounded groups
+    kept = E.prepare_steps(X.steps_with_task(spark, sf_dir), X.tasks(spark, sf_dir), HARD)
+    return E.episode_code(kept, ["CODE", "MODEL"], success_only=True)
 
 
 # ================================================================ T8 / T12 / T13 with context
