@@ -405,7 +405,7 @@ def impute_fill(train: DataFrame, apply_to: DataFrame, columns: list[str] | None
 
 
 # --------------------------------------------------------------------------- P14
-def fit_label_encoder(train: DataFrame, columns: list[str], skew_safe: bool = False) -> DataFrame:
+def fit_label_encoder(train: DataFrame, columns: list[str], skew_safe: bool = True) -> DataFrame:
     """Codes per (column, value): 0-based rank of the value among the column's
     distinct non-null train values, alphabetical ascending. ``skew_safe``
     ranks a high-cardinality column with the range-partitioned
