@@ -24,6 +24,17 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from gradewell.functions import text_rules as TR
 from gradewell.session import scratch_path
 
+# The state function runs in Python workers that may not have this package
+# installed: ship this module's functions by value (they only need numpy and
+# pandas on the workers).
+try:
+    import sys as _sys
+
+    from pyspark import cloudpickle as _cloudpickle
+    _cloudpickle.register_pickle_by_value(_sys.modules[__name__])
+except Exception:  # noqa: BLE001 - older cloudpickle: fall back to by-reference
+    pass
+
 STATE_SCHEMA = T.StructType([
     T.StructField("n", T.LongType()), T.StructField("start_ms", T.LongType()),
     T.StructField("repairs", T.LongType()), T.StructField("repair_ok", T.LongType()),
