@@ -48,3 +48,34 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gradewell.llm.substring_dedup import repeated_windows
     out = repeated_windows(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+# ------------------------------------------------------------ 7 mixing
+
+OP7_SQL = f"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD_SQL}')) AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size,
+             [5, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS w FROM d GROUP BY source),
+lev AS (SELECT *, source_size * 2 AS lim,
+        (sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(source_size * 2) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+        / sum(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lvl
+        FROM s WINDOW o AS (ORDER BY source_size * 2 / w::DOUBLE, source NULLS LAST)),
+mix AS (SELECT source, source_size, least(lim::DOUBLE,
+               (max(CASE WHEN lvl * w <= lim THEN lvl END) OVER ()) * w) AS target FROM lev),
+c AS (SELECT *, length(bin(size)) * 8 + (size >> greatest(length(bin(size)) - 3, 0)) AS cls,
+             ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT % ((SELECT count(*) FROM d) // 2000 + 1) AS part FROM d),
+r AS (SELECT c.doc_id, c.size, mix.*,
+             row_number() OVER (PARTITION BY c.source ORDER BY cls, part, size, doc_id NULLS LAST) AS k,
+             CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS step,
+             ('0x' || substr(md5('mix/' || coalesce(c.source, '(null)')), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u
+      FROM c JOIN mix ON c.source IS NOT DISTINCT FROM mix.source)
+SELECT doc_id, size, source_size, target,
+       ((floor(k * step + u) - floor((k - 1) * step + u)) * size)::BIGINT AS taken FROM r
+"""
+
+
+@query("op7_mixing", OP7_SQL)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gradewell.llm.mixing import copies
+    out = copies(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
