@@ -79,3 +79,61 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gradewell.llm.mixing import copies
     out = copies(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+# ------------------------------------------------------------ 3 quality rules
+
+def _op3_sql() -> str:
+    from gradewell.llm import quality as Q
+    rules, n = Q.RULES, len(Q.RULES)
+    votes = ", ".join(f"CASE WHEN ({m}::DOUBLE) <= {g} THEN 1 WHEN ({m}::DOUBLE) >= {b} THEN 0 END AS v{j}"
+                      for j, (_, m, g, b) in enumerate((r[0], r[1].replace(" / ", "::DOUBLE / "), r[2], r[3])
+                                                       for r in rules))
+    cols = ", ".join(f"v{j}" for j in range(n))
+
+    def like(c: str) -> str:
+        return f"s{c} * " + " * ".join(
+            f"CASE v{j} WHEN 1 THEN p{c}[{2 * j + 2}] WHEN 0 THEN p{c}[{2 * j + 1}] "
+            f"ELSE 1.0 - p{c}[{2 * j + 1}] - p{c}[{2 * j + 2}] END" for j in range(n))
+    post = f"({like('g')}) / (({like('b')}) + ({like('g')}))"
+    hi, lo = Q.RIGHT / 2, (1 - Q.RIGHT) / 2
+    ems = [f"em0 AS MATERIALIZED (SELECT {1 - Q.PRIOR}::DOUBLE AS sb, {Q.PRIOR}::DOUBLE AS sg, "
+           f"{[hi, lo] * n}::DOUBLE[] AS pb, {[lo, hi] * n}::DOUBLE[] AS pg)"]
+    for k in range(1, Q.ITERATIONS + 1):
+        def rates(c: str) -> str:
+            return ", ".join(f"(sum(CASE WHEN v{j} = {v} THEN {c} ELSE 0 END) + 1) / (sum({c}) + 3)"
+                             for j in range(n) for v in (0, 1))
+        ems.append(f"em{k} AS MATERIALIZED (SELECT (sum(b) + 1) / (sum(b) + sum(g) + 2) AS sb, "
+                   f"(sum(g) + 1) / (sum(b) + sum(g) + 2) AS sg, [{rates('b')}] AS pb, [{rates('g')}] AS pg "
+                   f"FROM (SELECT *, n - g AS b FROM (SELECT *, n * ({post}) AS g FROM pat, em{k - 1})))")
+    return f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS rid, coalesce(text, '') AS t,
+                  regexp_extract_all(coalesce(text, ''), '{WORD_SQL}') AS w FROM documents),
+win AS (SELECT rid, i, w[i:i + 2] AS k
+        FROM (SELECT rid, w, unnest(generate_series(1, len(w) - 2)) AS i FROM d WHERE len(w) >= 3)),
+rep AS (SELECT rid, count(DISTINCT p) AS c FROM (
+          SELECT rid, unnest([i, i + 1, i + 2]) AS p
+          FROM (SELECT *, count(*) OVER (PARTITION BY rid, k) AS m FROM win) WHERE m > 1) GROUP BY rid),
+m AS (SELECT doc_id, rid, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
+             length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+             length(regexp_replace(t, '[^|]', '', 'g')) AS n_cells, length(regexp_replace(t, '[^!]', '', 'g')) AS n_shouts,
+             length(regexp_replace(t, '\\P{{Lu}}', '', 'g')) AS n_capitals,
+             list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{WORD_SQL}')) AS lines,
+             len(list_filter(range(1, len(w)), lambda j: w[j] = w[j + 1])) AS n_stutters FROM d),
+f AS (SELECT m.*, len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+             coalesce(c, 0) AS n_repeat_words FROM m LEFT JOIN rep USING (rid)),
+v AS (SELECT *, {votes} FROM f),
+pat AS MATERIALIZED (SELECT {cols}, count(*) AS n FROM v GROUP BY ALL),
+{", ".join(ems)}
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       n_words < {Q.MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       NOT (n_words < {Q.MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words) AND ({post}) >= 0.5 AS kept
+FROM v, em{Q.ITERATIONS}
+"""
+
+
+@query("op3_quality_rules", _op3_sql())
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gradewell.llm.quality import assess
+    return assess(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
