@@ -19,16 +19,20 @@ from pyspark.sql import functions as F
 
 from gradewell.llm.blocks import checkpointed
 
-#: name, measure (of the columns below), good if at most, bad if at least; between them the rule abstains
+#: name, measure (of the columns below), good if, bad if; else the rule abstains. Signs of
+#: junk speak only against a text: their absence is no vote, or many of them would outvote the one that sees it.
 RULES = [
-    ("symbols", "n_symbols / greatest(word_chars, 1)", 0.02, 0.10),
-    ("capitals", "n_capitals / greatest(word_chars, 1)", 0.15, 0.40),
-    ("shouting", "n_shouts / greatest(n_words, 1)", 0.05, 0.25),
-    ("cells", "n_cells / greatest(n_words, 1)", 0.03, 0.12),
-    ("repeats", "n_repeat_words / greatest(n_words, 1)", 0.25, 0.45),
-    ("same_lines", "n_dup_lines / greatest(n_lines, 1)", 0.20, 0.50),
-    ("stutter", "n_stutters / greatest(n_words, 1)", 0.05, 0.20),
+    ("symbols", "n_symbols / greatest(word_chars, 1)", None, ">= 0.1"),
+    ("capitals", "n_capitals / greatest(word_chars, 1)", None, ">= 0.4"),
+    ("shouting", "n_shouts / greatest(n_words, 1)", None, ">= 0.25"),
+    ("cells", "n_cells / greatest(n_words, 1)", None, ">= 0.1"),
+    ("same_lines", "n_dup_lines / greatest(n_lines, 1)", None, ">= 0.5"),
+    ("stutter", "n_stutters / greatest(n_words, 1)", None, ">= 0.2"),
+    ("repeats", "n_repeat_words / greatest(n_words, 1)", "<= 0.15", ">= 0.4"),
+    ("plain", "n_plain / greatest(n_words, 1)", ">= 0.85", "<= 0.5"),
 ]
+#: A word of letters or digits with usual punctuation.
+PLAIN = r"""^["'(]?[\p{L}\p{M}\p{N}'-]+[.,;:?!]?["')]?$"""
 ITERATIONS = 12
 MIN_WORDS = 50
 #: Start of the iteration: share of good documents; chance of the right vote, given that a rule votes.
@@ -54,6 +58,7 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         F.length(F.regexp_replace("solid", r"\P{Lu}+", "")).cast("long").alias("n_capitals"),
         F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
+        F.size(F.filter("w", lambda x: x.rlike(PLAIN))).cast("long").alias("n_plain"),
         F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
     n = F.greatest(F.size("h"), F.lit(1))
     d = d.withColumn("pair", F.zip_with("h", F.slice("h", F.lit(2), n), lambda a, b: F.struct(a.alias("a"), b.alias("b"))))
@@ -78,8 +83,9 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         gaps, F.lit(0), lambda acc, x: acc + x)).otherwise(0).cast("long")).drop("p", "some")
 
 
-def vote(measure: Column, good: float, bad: float) -> Column:
-    return F.when(measure <= good, F.lit(1)).when(measure >= bad, F.lit(0))
+def vote(measure: str, good: str | None, bad: str | None) -> Column:
+    v = F.when(F.expr(f"{measure} {bad}"), F.lit(0)) if bad else F.when(F.lit(False), F.lit(0))
+    return v.when(F.expr(f"{measure} {good}"), F.lit(1)) if good else v
 
 
 def base_failed() -> Column:
@@ -125,7 +131,7 @@ def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule
     rules = rules or RULES
     names = [f"vote_{r[0]}" for r in rules]
     m = measures(docs, id_col, text_col)
-    voted = checkpointed(m.select("*", *[vote(F.expr(r[1]), r[2], r[3]).alias(n) for r, n in zip(rules, names)]))
+    voted = checkpointed(m.select("*", *[vote(*r[1:]).alias(n) for r, n in zip(rules, names)]))
     rates = fit(voted, names, iterations)
     return (voted.withColumn("p_good", posterior(rates, names)).withColumn("base_failed", base_failed())
             .withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= 0.5)))

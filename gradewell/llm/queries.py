@@ -86,9 +86,9 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _op3_sql() -> str:
     from gradewell.llm import quality as Q
     rules, n = Q.RULES, len(Q.RULES)
-    votes = ", ".join(f"CASE WHEN ({m}::DOUBLE) <= {g} THEN 1 WHEN ({m}::DOUBLE) >= {b} THEN 0 END AS v{j}"
-                      for j, (_, m, g, b) in enumerate((r[0], r[1].replace(" / ", "::DOUBLE / "), r[2], r[3])
-                                                       for r in rules))
+    votes = ", ".join(
+        f"CASE WHEN {m} {bad} THEN 0 " + (f"WHEN {m} {good} THEN 1 " if good else "") + f"END AS v{j}"
+        for j, (m, good, bad) in enumerate((r[1].replace(" / ", "::DOUBLE / "), r[2], r[3]) for r in rules))
     cols = ", ".join(f"v{j}" for j in range(n))
 
     def like(c: str) -> str:
@@ -119,7 +119,8 @@ m AS (SELECT doc_id, rid, len(w) AS n_words, length(array_to_string(w, '')) AS w
              length(regexp_replace(t, '[^|]', '', 'g')) AS n_cells, length(regexp_replace(t, '[^!]', '', 'g')) AS n_shouts,
              length(regexp_replace(t, '\\P{{Lu}}', '', 'g')) AS n_capitals,
              list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{WORD_SQL}')) AS lines,
-             len(list_filter(range(1, len(w)), lambda j: w[j] = w[j + 1])) AS n_stutters FROM d),
+             len(list_filter(range(1, len(w)), lambda j: w[j] = w[j + 1])) AS n_stutters,
+             len(list_filter(w, lambda x: regexp_matches(x, '{Q.PLAIN.replace("'", "''")}'))) AS n_plain FROM d),
 f AS (SELECT m.*, len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
              coalesce(c, 0) AS n_repeat_words FROM m LEFT JOIN rep USING (rid)),
 v AS (SELECT *, {votes} FROM f),
