@@ -138,3 +138,11 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gradewell.llm.quality import assess
     return assess(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+# ------------------------------------------------------------ 10 n-gram Jaccard join
+
+@query("op10_jaccard_join")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gradewell.llm.jaccard_join import near_duplicates
+    return near_duplicates(table(spark, sf_dir, "documents"))
