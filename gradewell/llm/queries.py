@@ -146,3 +146,11 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gradewell.llm.jaccard_join import near_duplicates
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+# ------------------------------------------------------------ 8 LM scoring
+
+@query("op8_ppm_scoring")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gradewell.llm.ppm import score_documents
+    return score_documents(table(spark, sf_dir, "documents"))
