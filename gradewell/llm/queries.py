@@ -154,3 +154,11 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gradewell.llm.ppm import score_documents
     return score_documents(table(spark, sf_dir, "documents"))
+
+
+# ------------------------------------------------------------ 2 token-ID / binary output
+
+@query("op2_token_shards")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gradewell.llm.token_shards import write_shards
+    return write_shards(table(spark, sf_dir, "documents")).drop("file")
