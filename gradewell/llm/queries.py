@@ -162,3 +162,20 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gradewell.llm.token_shards import write_shards
     return write_shards(table(spark, sf_dir, "documents")).drop("file")
+
+
+# ------------------------------------------------------------ 6 toxicity
+
+def fold(col, n: int = 5):
+    """crc32 of the id as text, modulo n."""
+    return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")) % n
+
+
+@query("op6_toxicity")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gradewell.llm.toxicity import fit, score
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = fit(docs, labels.filter(fold(F.col("doc_id")) != 0))
+    out = score(docs, model)
+    return out.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score",
+                      (F.col("score") >= 0.5).cast("int").alias("predicted"))
