@@ -179,3 +179,11 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = score(docs, model)
     return out.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score",
                       (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+# ------------------------------------------------------------ 9 HTML extraction
+
+@query("op9_html_extract")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gradewell.llm.html_extract import extract
+    return extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
