@@ -187,3 +187,11 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gradewell.llm.html_extract import extract
     return extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+# ------------------------------------------------------------ 5 benchmark decontamination
+
+@query("op5_decontaminate")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gradewell.llm.decontaminate import report
+    return report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
