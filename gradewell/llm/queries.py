@@ -195,3 +195,16 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gradewell.llm.decontaminate import report
     return report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+# ------------------------------------------------------------ 4 WARC
+
+@query("op4_warc")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gradewell.llm.blocks import checkpointed
+    from gradewell.llm.warc import merged_index, read_archives, write_archives
+    index = checkpointed(merged_index(write_archives(table(spark, sf_dir, "pages"))))
+    back = read_archives(index).drop("url")
+    where = index.select(F.col("file"), F.col("offset"), "urlkey", "captured")
+    return back.join(where, ["file", "offset"]).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "urlkey", "captured", "intact")
