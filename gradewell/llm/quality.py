@@ -39,19 +39,20 @@ MIN_WORDS = 50
 PRIOR, RIGHT = 0.8, 0.8
 
 
-def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """The counts the rules look at, one row per document. Repeats are found in
     the document's own arrays: trigram hashes are sorted with their positions,
     equal neighbours mark repeated windows, and the union of the marked windows
     is counted from the gaps between their positions."""
-    d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"),
+                    *[F.col(c).alias(f"_{c}") for c in carry])
     d = d.withColumn("flat", F.trim(F.translate("t", "\t\n\x0b\x0c\r", "     ")))
     d = d.withColumn("w", F.when(F.col("flat") == "", F.expr("cast(array() as array<string>)"))
                      .otherwise(F.split("flat", " +")))
     d = d.withColumn("lines", F.filter(F.split("t", "\n"), lambda x: F.trim(
         F.translate(x, "\t\x0b\x0c\r", "    ")) != ""))
     d = d.withColumn("solid", F.regexp_replace("flat", " +", "")).select(
-        "doc_id", F.size("w").cast("long").alias("n_words"), F.length("solid").cast("long").alias("word_chars"),
+        "doc_id", *[f"_{c}" for c in carry], F.size("w").cast("long").alias("n_words"), F.length("solid").cast("long").alias("word_chars"),
         F.length(F.regexp_replace("solid", r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
         F.length(F.regexp_replace("solid", r"[^|]+", "")).cast("long").alias("n_cells"),
         F.length(F.regexp_replace("solid", r"[^!]+", "")).cast("long").alias("n_shouts"),
@@ -125,13 +126,33 @@ def fit(votes: DataFrame, names: list[str], iterations: int = ITERATIONS) -> lis
     return rates
 
 
+def _voted(docs: DataFrame, id_col: str, text_col: str, rules, carry: tuple[str, ...] = ()) -> DataFrame:
+    m = measures(docs, id_col, text_col, carry)
+    return m.select("*", *[vote(*r[1:]).alias(f"vote_{r[0]}") for r in rules])
+
+
+def _judged(voted: DataFrame, rates, rules) -> DataFrame:
+    return (voted.withColumn("p_good", posterior(rates, [f"vote_{r[0]}" for r in rules]))
+            .withColumn("base_failed", base_failed())
+            .withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= 0.5)))
+
+
 def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules=None,
            iterations: int = ITERATIONS) -> DataFrame:
     """Counts, votes, the posterior ``p_good``, ``base_failed`` and ``kept`` of every document."""
     rules = rules or RULES
-    names = [f"vote_{r[0]}" for r in rules]
-    m = measures(docs, id_col, text_col)
-    voted = checkpointed(m.select("*", *[vote(*r[1:]).alias(n) for r, n in zip(rules, names)]))
-    rates = fit(voted, names, iterations)
-    return (voted.withColumn("p_good", posterior(rates, names)).withColumn("base_failed", base_failed())
-            .withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= 0.5)))
+    voted = checkpointed(_voted(docs, id_col, text_col, rules))
+    return _judged(voted, fit(voted, [f"vote_{r[0]}" for r in rules], iterations), rules)
+
+
+def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules=None,
+         iterations: int = ITERATIONS) -> DataFrame:
+    """The documents that are kept, with all their columns: one pass for the
+    vote patterns, one to judge, and no text is shuffled or stored between."""
+    rules = rules or RULES
+    rates = fit(_voted(docs, id_col, text_col, rules), [f"vote_{r[0]}" for r in rules], iterations)
+    voted = _voted(docs, id_col, text_col, rules, tuple(docs.columns))
+    # a filter moves below projections it can, and would have every count evaluated once more for each mention;
+    # it does not move below a column that differs from row to row
+    voted = voted.withColumn("row", F.monotonically_increasing_id())
+    return _judged(voted, rates, rules).filter("kept and row >= 0").select(*[F.col(f"_{c}").alias(c) for c in docs.columns])
