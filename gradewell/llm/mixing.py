@@ -23,6 +23,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gradewell.llm.blocks import checkpointed
+
+SPACES = " \t\n\x0b\x0c\r"
 WEIGHTS = (5, 2, 1)
 #: Rows of the whole table for each part a size class of a source is cut into.
 ROWS_A_PART = 2000
@@ -30,8 +33,8 @@ ROWS_A_PART = 2000
 
 def word_count(text: Column) -> Column:
     """Number of words of a text (null: 0)."""
-    flat = F.trim(F.translate(text, "\t\n\x0b\x0c\r", "     "))
-    n = F.size(F.split(flat, " +"))
+    flat = F.trim(text, F.lit(SPACES))
+    n = F.size(F.split(flat, f"[{SPACES}]+"))
     return F.when(F.coalesce(flat, F.lit("")) == "", F.lit(0)).otherwise(n).cast("long")
 
 
@@ -67,6 +70,8 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
     """(doc_id, source, size, source_size, target, copies, the carried columns), one row per document."""
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"),
                     word_count(F.col(text_col)).alias("size"), *[F.col(c).alias(f"_{c}") for c in carry])
+    if not carry:
+        d = checkpointed(d)             # three narrow columns: the words are counted once
     n_parts = docs.count() // ROWS_A_PART + 1
     bits = F.length(F.bin("size"))
     d = d.withColumn("class", bits * 8 + F.expr("shiftright(size, greatest(length(bin(size)) - 3, 0))")).withColumn(
