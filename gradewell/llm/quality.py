@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradewell.llm.blocks import checkpointed
+from gradewell.llm.mixing import SPACES
 
 #: name, measure (of the columns below), good if, bad if; else the rule abstains. Signs of
 #: junk speak only against a text: their absence is no vote, or many of them would outvote the one that sees it.
@@ -46,12 +47,11 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ca
     is counted from the gaps between their positions."""
     d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"),
                     *[F.col(c).alias(f"_{c}") for c in carry])
-    d = d.withColumn("flat", F.trim(F.translate("t", "\t\n\x0b\x0c\r", "     ")))
+    d = d.withColumn("flat", F.trim("t", F.lit(SPACES)))
     d = d.withColumn("w", F.when(F.col("flat") == "", F.expr("cast(array() as array<string>)"))
-                     .otherwise(F.split("flat", " +")))
-    d = d.withColumn("lines", F.filter(F.split("t", "\n"), lambda x: F.trim(
-        F.translate(x, "\t\x0b\x0c\r", "    ")) != ""))
-    d = d.withColumn("solid", F.regexp_replace("flat", " +", "")).select(
+                     .otherwise(F.split("flat", f"[{SPACES}]+")))
+    d = d.withColumn("lines", F.filter(F.split("t", "\n"), lambda x: F.trim(x, F.lit(SPACES)) != ""))
+    d = d.withColumn("solid", F.regexp_replace("flat", f"[{SPACES}]+", "")).select(
         "doc_id", *[f"_{c}" for c in carry], F.size("w").cast("long").alias("n_words"), F.length("solid").cast("long").alias("word_chars"),
         F.length(F.regexp_replace("solid", r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
         F.length(F.regexp_replace("solid", r"[^|]+", "")).cast("long").alias("n_cells"),
