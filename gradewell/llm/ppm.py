@@ -209,19 +209,24 @@ def costs(grams: np.ndarray, n: np.ndarray, one: np.ndarray, zero: np.ndarray) -
 
 def _model(one: np.ndarray, zero: np.ndarray):
     def model(key, table):
-        """A bucket's answer for each of its keys (log10 probability of a gram,
-        training count of a token) and what it adds to the totals."""
+        """A bucket's answer for each of its keys: log10 probability of a gram,
+        training count of a token."""
         bucket = key[0].as_py()
         keys, n = _summed(table.column("keys").to_pylist())
         gram = bucket < 65536
         values = costs(keys, n, one, zero).astype(np.float32) if gram else n
         return pa.table({"bucket": pa.array([bucket], pa.int32()), "keys": pa.array([B.pack(keys)], pa.binary()),
-                         "answers": pa.array([values.tobytes()], pa.binary()),
-                         "tokens": pa.array([0 if gram else int(n.sum())], pa.int64()),
-                         "kinds": pa.array([0 if gram else int((n > 0).sum())], pa.int64())})
+                         "answers": pa.array([values.tobytes()], pa.binary())})
     return model
 
 
+def _totals(key, table):
+    """Training tokens of a bucket and how many distinct ones."""
+    words = key[0].as_py() >= 65536
+    n = _summed(table.column("keys").to_pylist())[1] if words else np.empty(0, np.int64)
+    return pa.table({"tokens": pa.array([int(n.sum())], pa.int64()), "kinds": pa.array([int((n > 0).sum())], pa.int64())})
+
+
 def _answer(key, asked, model):
     """What each block asked of this bucket, in the order of its own keys."""
     gram = key[0].as_py() < 65536
@@ -288,15 +293,15 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     dealt = d.withColumn("block", B.block_by_hash(F.struct("doc_id", F.crc32(F.col("text").cast("binary"))), blocks))
     asked = dealt.groupBy("block").applyInArrow(_send(bits, salts), "bucket int, salt int, block int, keys binary")
     part = asked.groupBy("bucket", "salt").applyInArrow(_partial, "bucket int, keys binary")
-    model = B.checkpointed(part.groupBy("bucket").applyInArrow(
-        _model(one, zero), "bucket int, keys binary, answers binary, tokens long, kinds long"))
+    # one plan: the blocks, what they ask and the partial sums are each exchanged once and used by all that follow
+    model = part.groupBy("bucket").applyInArrow(_model(one, zero), "bucket int, keys binary, answers binary")
     copies = model.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).select(
         "bucket", "salt", "keys", "answers")
     answers = asked.groupBy("bucket", "salt").cogroup(copies.groupBy("bucket", "salt")).applyInArrow(
         _answer, "block int, bucket int, answers binary")
     scored = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
         _score(bits), "doc_id long, train boolean, n_tokens long, n_known long, known_log double, score double")
-    total = model.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("train_tokens"),
+    total = part.groupBy("bucket").applyInArrow(_totals, "tokens long, kinds long").agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("train_tokens"),
                       F.coalesce(F.sum("kinds"), F.lit(0)).alias("kinds"))
     base = F.col("known_log") - F.col("n_tokens") * F.log10(F.col("train_tokens") + 0.5 * (F.col("kinds") + 1))
     return scored.crossJoin(F.broadcast(total)).select(       # one row
