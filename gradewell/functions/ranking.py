@@ -1,10 +1,9 @@
 """Order-dependent helpers that never route one key's rows through one task.
 
-``exclusive_prefix_sum`` is the range-partitioned prefix sum: rows of a key
-are cut into buckets at approximate quantiles of the order column (a bounded
-sketch per key), bucket totals (keys x buckets rows) give each bucket's
-offset, and only inside a bucket is a running window used. A key holding a
-third of all rows is therefore spread over ``n_buckets`` window partitions.
+Rows are range-partitioned on (keys, order); a running value is the total of
+the key in the ranges before plus the running value inside the range. A key
+holding a third of all rows is spread over a third of the ranges, whatever
+their number.
 """
 
 from __future__ import annotations
@@ -13,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gradewell.session import broadcast_if_small
+from gradewell.session import ensure_checkpoint_dir
 
 
 def md5_bigint(*cols: F.Column) -> F.Column:
@@ -28,55 +27,48 @@ def xx_bigint(*cols: F.Column) -> F.Column:
     return F.xxhash64(*cols).bitwiseAND(F.lit(0x0FFFFFFFFFFFFFFF))
 
 
-def exclusive_prefix_sum(df: DataFrame, keys: list[str], order_col: str, value_cols: list[str],
-                         n_buckets: int = 32, accuracy: int = 10_000) -> DataFrame:
+def _ranged(df: DataFrame, cols: list[str]) -> DataFrame:
+    """Rows range-partitioned on ``cols`` with their partition as ``_pid``,
+    fixed by a reliable checkpoint (a second evaluation could draw other
+    bounds). The planner sizes the ranges from the session's partition count."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.repartitionByRange(*cols).withColumn("_pid", F.spark_partition_id()).checkpoint(eager=True)
+
+
+def exclusive_prefix_sum(df: DataFrame, keys: list[str], order_col: str, value_cols: list[str]) -> DataFrame:
     """Adds ``<v>_below`` = sum of ``v`` over rows of the same ``keys`` whose
     ``order_col`` is strictly smaller. ``(keys, order_col)`` must be unique
-    (pre-aggregate first)."""
-    probs = [i / n_buckets for i in range(1, n_buckets)]
-    bounds = df.groupBy(*keys).agg(
-        F.percentile_approx(order_col, F.array(*[F.lit(p) for p in probs]), accuracy).alias("_bounds"))
-    x = df.join(broadcast_if_small(bounds), keys)
-    x = x.withColumn("_bucket", F.aggregate(
-        "_bounds", F.lit(0), lambda acc, b: acc + F.when(b < F.col(order_col), 1).otherwise(0))).drop("_bounds")
-    tot = x.groupBy(*keys, "_bucket").agg(*[F.sum(v).alias(f"_t_{v}") for v in value_cols])
-    w_off = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    off = tot.select(*keys, "_bucket",
+    (pre-aggregate first). The input is evaluated once."""
+    x = _ranged(df, [*keys, order_col])
+    tot = x.groupBy(*keys, "_pid").agg(*[F.sum(v).alias(f"_t_{v}") for v in value_cols])
+    w_off = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    off = tot.select(*keys, "_pid",
                      *[F.coalesce(F.sum(f"_t_{v}").over(w_off), F.lit(0)).alias(f"_o_{v}") for v in value_cols])
-    x = x.join(broadcast_if_small(off), keys + ["_bucket"])
-    w_in = Window.partitionBy(*keys, "_bucket").orderBy(order_col).rowsBetween(Window.unboundedPreceding, -1)
-    for v in value_cols:
-        x = x.withColumn(f"{v}_below", F.col(f"_o_{v}") + F.coalesce(F.sum(v).over(w_in), F.lit(0)))
-    return x.drop("_bucket", *[f"_o_{v}" for v in value_cols])
+    off = off.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_pid").alias("_p"),
+                     *[f"_o_{v}" for v in value_cols])
+    same = x["_pid"] == off["_p"]
+    for i, k in enumerate(keys):
+        same = same & x[k].eqNullSafe(off[f"_k{i}"])
+    w_in = Window.partitionBy(*keys, "_pid").orderBy(order_col).rowsBetween(Window.unboundedPreceding, -1)
+    x = x.join(off, same)
+    return x.select(*df.columns, *[(F.col(f"_o_{v}") + F.coalesce(F.sum(v).over(w_in), F.lit(0))).alias(f"{v}_below")
+                                   for v in value_cols])
 
 
 def distributed_row_number(df: DataFrame, partition_cols: list[str], order_cols: list[str],
-                           out: str = "rn", n_parts: int | None = None) -> DataFrame:
+                           out: str = "rn") -> DataFrame:
     """``row_number() over (partition by partition_cols order by order_cols) - 1``
-    without routing one key's rows through one task.
-
-    Rows are range-partitioned on (keys, order) and the result is
-    checkpointed to the shared folder (``spark.checkpoint.dir``), which fixes
-    the partition of every row and cuts the lineage. A key can span several
-    partitions only at a partition's first or last key, so per-partition
-    counts are needed for those boundary keys alone (at most 2 per
-    partition); their running offsets (a tiny broadcast table) are added to
-    the rank inside each partition."""
-    from gradewell.session import ensure_checkpoint_dir
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    n = n_parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    without routing one key's rows through one task: ranks inside ranges of
+    (keys, order), plus the rows of the key in the ranges before. Only the
+    columns of ``df`` are checkpointed: pass narrow rows and join back."""
     keys = list(partition_cols)
-    r = (df.repartitionByRange(n, *keys, *order_cols)
-         .withColumn("_pid", F.spark_partition_id())
-         .checkpoint(eager=True))
-    key_struct = F.struct(*keys)
-    ends = r.groupBy("_pid").agg(F.min(key_struct).alias("_lo"), F.max(key_struct).alias("_hi"))
-    boundary = ends.select(F.explode(F.array("_lo", "_hi")).alias("_k")).select("_k.*").distinct()
-    bcounts = r.join(broadcast_if_small(boundary), keys).groupBy("_pid", *keys).agg(F.count(F.lit(1)).alias("_c"))
+    x = _ranged(df, [*keys, *order_cols])
+    counts = x.groupBy("_pid", *keys).agg(F.count(F.lit(1)).alias("_c"))
     w = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offs = bcounts.select("_pid", *keys, F.coalesce(F.sum("_c").over(w), F.lit(0)).alias("_off"))
-    x = r.join(broadcast_if_small(offs), ["_pid"] + keys, "left")
+    off = counts.select(F.col("_pid").alias("_p"), *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
+                        F.coalesce(F.sum("_c").over(w), F.lit(0)).alias("_off"))
+    same = x["_pid"] == off["_p"]
+    for i, k in enumerate(keys):
+        same = same & x[k].eqNullSafe(off[f"_k{i}"])
     wl = Window.partitionBy("_pid", *keys).orderBy(*order_cols)
-    return x.withColumn(out, (F.coalesce(F.col("_off"), F.lit(0)) + F.row_number().over(wl) - 1)) \
-        .drop("_pid", "_off")
+    return x.join(off, same).select(*df.columns, (F.col("_off") + F.row_number().over(wl) - 1).alias(out))

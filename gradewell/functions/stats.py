@@ -45,13 +45,12 @@ def sample_skewness(g1: F.Column, n: F.Column) -> F.Column:
 # Exact quantiles, pandas "linear" interpolation.
 #
 # Spark's exact ``percentile`` keeps a value -> count map per group, which for a
-# high-cardinality column at terabyte scale is one huge buffer. We instead find
-# the needed order statistics by bracket refinement: an approximate quantile
-# sketch (bounded memory) brackets each wanted rank, one counting pass proves
-# the bracket holds it, and the bracket is narrowed until it holds at most
-# ``exact_cap`` rows; only then is the exact ``percentile`` run, on the
-# bracket's rows. Each round is one distributed aggregate; the number of
-# rounds is about log(n) / log(accuracy).
+# high-cardinality column at terabyte scale is one huge buffer. Here (column,
+# value) pairs are counted (a heavily repeated value collapses before the
+# shuffle) and range-partitioned once; running counts per range find the one
+# range that holds a wanted rank, and inside a range the running count picks
+# the value. The same at every size: no row list, no cap, no last resort.
+# Integers stay integers (identifiers above 2^53 keep their digits).
 # ---------------------------------------------------------------------------
 
 
@@ -62,107 +61,39 @@ def _ranks(n: int, p: float) -> tuple[int, int, float]:
 
 
 def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], *,
-                    accuracy: int = 10_000, exact_cap: int = 200_000,
-                    counts: dict[str, int] | None = None) -> dict[str, list[float | None]]:
-    """{col: [q(p) for p in probs]} over non-null (and non-NaN) values.
-
-    All columns and ranks advance together: every refinement round is two
-    aggregate passes whatever the number of columns."""
+                    counts: dict[str, int] | None = None) -> dict[str, list]:
+    """{col: [q(p) for p in probs]} over non-null (and non-NaN) values. A rank
+    between two equal integers is that integer, else the result is a float."""
     if not cols:
         return {}
+    from gradewell.functions.ranking import exclusive_prefix_sum
     base = df.select(*[clean(df, c).alias(c) for c in cols])
     if counts is None or any(c not in counts for c in cols):
         counts = base.agg(*[F.count(c).alias(c) for c in cols]).first().asDict()
-    # state per (column, rank): [lo, hi, below, inside]
-    state: dict[tuple[str, int], list] = {}
-    for c in cols:
-        n = int(counts[c] or 0)
-        for p in probs:
-            if n:
-                lo, hi, _ = _ranks(n, p)
-                for r in (lo, hi):
-                    state[(c, r)] = [None, None, 0, n]
-
-    def in_bracket(c, st):
-        cond = F.col(c).isNotNull()
-        if st[0] is not None:
-            cond = cond & (F.col(c) >= st[0]) & (F.col(c) <= st[1])
-        return cond
-
-    for _round in range(12):
-        active = [k for k, st in state.items() if st[3] > exact_cap]
-        if not active:
-            break
-        eps = 2.0 / accuracy
-        sketches = []
-        for i, (c, r) in enumerate(active):
-            st = state[(c, r)]
-            frac = (r - st[2]) / max(st[3] - 1, 1)
-            sketches.append(F.percentile_approx(
-                F.when(in_bracket(c, st), F.col(c)),
-                F.array(F.lit(max(frac - eps, 0.0)), F.lit(min(frac + eps, 1.0))), accuracy).alias(f"q{i}"))
-        qrow = base.agg(*sketches).first()
-        bounds = [(float(qrow[f"q{i}"][0]), float(qrow[f"q{i}"][1])) for i in range(len(active))]
-        sums = []
-        for i, (c, r) in enumerate(active):
-            a, b = bounds[i]
-            cond = in_bracket(c, state[(c, r)])
-            sums += [F.sum((cond & (F.col(c) < a)).cast("long")).alias(f"lt{i}"),
-                     F.sum((cond & (F.col(c) >= a) & (F.col(c) <= b)).cast("long")).alias(f"in{i}")]
-        srow = base.agg(*sums).first()
-        progressed = False
-        for i, (c, r) in enumerate(active):
-            st = state[(c, r)]
-            lt, inn = int(srow[f"lt{i}"] or 0), int(srow[f"in{i}"] or 0)
-            if st[2] + lt <= r < st[2] + lt + inn and inn < st[3]:
-                state[(c, r)] = [bounds[i][0], bounds[i][1], st[2] + lt, inn]
-                progressed = True
-        if not progressed:
-            break
-    value: dict[tuple[str, int], float] = {}
-    keys = list(state)
-    # a bracket whose bounds are equal holds one value: that is the answer
-    for k in keys:
-        st = state[k]
-        if st[0] is not None and st[0] == st[1]:
-            value[k] = float(st[0])
-    # a bracket that stayed big (heavy repeats of a few values): walk the
-    # per-value counts of the bracket instead of its rows
-    for k in [k for k in keys if k not in value and state[k][3] > exact_cap]:
-        c, r = k
-        st = state[k]
-        vc = (base.where(in_bracket(c, st)).groupBy(c).agg(F.count(F.lit(1)).alias("n"))
-              .orderBy(c).limit(exact_cap + 1).collect())
-        need, acc = r - st[2], 0
-        for row in vc:
-            acc += row["n"]
-            if acc > need:
-                value[k] = float(row[c])
-                break
-        if k not in value:
-            # last resort (the sketch could not narrow a bracket of many
-            # distinct values): Spark's exact percentile over that bracket
-            p = need / max(st[3] - 1, 1)
-            value[k] = float(base.where(in_bracket(c, st)).agg(F.percentile(c, F.lit(p))).first()[0])
-    # exact pass: every other bracket holds few rows; sort them, pick the rank
-    rest = [k for k in keys if k not in value]
-    picks = []
-    for i, (c, r) in enumerate(rest):
-        st = state[(c, r)]
-        picks.append(F.element_at(F.sort_array(F.collect_list(F.when(in_bracket(c, st), F.col(c)))),
-                                  r - st[2] + 1).alias(f"v{i}"))
-    if picks:
-        vals = base.agg(*picks).first()
-        value.update({k: float(vals[f"v{i}"]) for i, k in enumerate(rest)})
-    out: dict[str, list[float | None]] = {}
+    whole = [c for c in cols if isinstance(df.schema[c].dataType, T.IntegralType)]
+    wide = [c for c in cols if c not in whole]
+    value: dict[tuple[str, int], object] = {}
+    for group, kind in ((whole, "long"), (wide, "double")):
+        wanted = sorted({(c, r) for c in group if counts[c] for p in probs for r in _ranks(int(counts[c]), p)[:2]})
+        if not wanted:
+            continue
+        long = base.select(F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast(kind).alias("v"))
+                                               for c in group])).alias("x")).select("x.*").where("v is not null")
+        seen = exclusive_prefix_sum(long.groupBy("c", "v").agg(F.count(F.lit(1)).alias("n")), ["c"], "v", ["n"])
+        ranks = df.sparkSession.createDataFrame(wanted, "c2 string, r long")      # columns times ranks
+        hit = seen.join(F.broadcast(ranks), (F.col("c") == F.col("c2")) & (F.col("r") >= F.col("n_below"))
+                        & (F.col("r") < F.col("n_below") + F.col("n")))
+        value.update({(x.c, x.r): x.v for x in hit.select("c", "r", "v").collect()})
+    out: dict[str, list] = {}
     for c in cols:
         n = int(counts[c] or 0)
-        res: list[float | None] = []
+        res: list = []
         for p in probs:
             if not n:
                 res.append(None)
                 continue
             lo, hi, frac = _ranks(n, p)
-            res.append(value[(c, lo)] + (value[(c, hi)] - value[(c, lo)]) * frac)
+            a, b = value[(c, lo)], value[(c, hi)]
+            res.append(a if a == b or not frac else a + (b - a) * frac)
         out[c] = res
     return out

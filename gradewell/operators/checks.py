@@ -17,8 +17,8 @@ from gradewell.functions.stats import clean, missing, numeric_columns
 from gradewell.operators import profile as P
 
 
-def _names(cols: list[str], k: int = 5) -> str:
-    return ", ".join(cols[:k])
+def _names(cols: list[str]) -> str:
+    return ", ".join(cols)
 
 
 def _numeric_no_bool(df: DataFrame) -> list[str]:
@@ -27,8 +27,8 @@ def _numeric_no_bool(df: DataFrame) -> list[str]:
 
 # ------------------------------------------------------------------ F1
 def residual_missing(features: DataFrame, penalty: float = 0.12) -> DataFrame:
-    """nulls/NaN still in the working table: total, columns (first 5 in
-    column order), penalty."""
+    """nulls/NaN still in the working table: total, columns (in table
+    order), penalty."""
     cols = features.columns
     row = features.agg(*[F.sum(missing(features, c).cast("long")).alias(f"m{i}") for i, c in enumerate(cols)])
     arr = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(c).alias("c"), F.coalesce(F.col(f"m{i}"), F.lit(0)).alias("m"))
@@ -37,7 +37,7 @@ def residual_missing(features: DataFrame, penalty: float = 0.12) -> DataFrame:
     total = F.aggregate(arr, F.lit(0).cast("long"), lambda a, x: a + x["m"])
     return row.select(
         total.alias("total_missing"), F.size(with_m).cast("long").alias("n_columns"),
-        F.array_join(F.slice(F.transform(with_m, lambda x: x["c"]), 1, 5), ", ").alias("columns"),
+        F.array_join(F.transform(with_m, lambda x: x["c"]), ", ").alias("columns"),
         F.when(total > 0, penalty).otherwise(0.0).alias("penalty"))
 
 
@@ -117,65 +117,41 @@ def remaining_duplicates(features: DataFrame, target: str, mentioned: bool = Fal
 
 # ------------------------------------------------------------------ F9
 def near_duplicates(df: DataFrame, columns: list[str] | None = None, max_diff: int = 2) -> DataFrame:
-    """F9 (scale mode): number of row pairs that differ in 1..max_diff of the
-    numeric columns, NaN/null never equal. Exact, without emitting pairs:
-    for each set S of at most max_diff columns, E(S) = pairs equal on every
-    column outside S (group by those columns, sum n(n-1)/2); the pairs whose
+    """number of row pairs that differ in 1..max_diff of the numeric
+    columns, NaN/null never equal. Exact, without emitting pairs: for each
+    set S of at most max_diff columns, E(S) = pairs equal on every column
+    outside S (sum of n(n-1)/2 over groups of equal values); the pairs whose
     differing set is exactly D follow by inclusion-exclusion over subsets of
-    D. Every E(S) is one grouped aggregate with map-side combine."""
+    D. One scan and one exchange: a row becomes one 128-bit hash of the kept
+    columns for each S, and the (S, hash) groups are counted with map-side
+    combine. Pair counts are decimals: n(n-1)/2 leaves BIGINT behind."""
     cols = columns or numeric_columns(df)
     k = len(cols)
-    base = df.select(*[clean(df, c).alias(c) for c in cols])
-    subsets = [s for r in range(0, max_diff + 1) for s in combinations(range(k), r)]
-    e = {}
-    for s in subsets:
-        keep = [cols[i] for i in range(k) if i not in s]
-        if keep:
-            g = base.where(F.greatest(*[F.col(c).isNull().cast("int") for c in keep]) == 0) \
-                if len(keep) > 1 else base.where(F.col(keep[0]).isNotNull())
-            e[s] = g.groupBy(*keep).agg(F.count(F.lit(1)).alias("__cnt")) \
-                .agg(F.coalesce(F.sum(F.col("__cnt") * (F.col("__cnt") - 1) / 2), F.lit(0)).cast("long").alias("p"))
-        else:
-            e[s] = base.agg((F.count(F.lit(1)) * (F.count(F.lit(1)) - 1) / 2).cast("long").alias("p"))
-    # exact(D) = sum over S subset of D of (-1)^(|D|-|S|) E(S); answer = sum over 1 <= |D| <= max_diff
+    subsets = [s for r in range(0, min(max_diff, k) + 1) for s in combinations(range(k), r)]
     coef: dict[tuple, int] = {}
-    for d in subsets:
-        if len(d) == 0:
-            continue
+    for d in subsets[1:]:
         for r in range(0, len(d) + 1):
             for s in combinations(d, r):
                 coef[s] = coef.get(s, 0) + (-1) ** (len(d) - len(s))
-    parts = [e[s].select((F.col("p") * F.lit(cf)).alias("p")) for s, cf in coef.items() if cf != 0]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.agg(F.sum("p").cast("long").alias("near_duplicate_pairs"))
-
-
-def near_duplicates_parity(df: DataFrame, order_by: str, columns: list[str] | None = None, max_diff: int = 2,
-                           head: int = 200, window: int = 49, stop_at: int = 10, max_rows: int = 500) -> DataFrame:
-    """F9 (parity mode): the reference's bounded search -- only for tables
-    of at most ``max_rows`` rows, >= 3 numeric columns and >= 5 rows: the first
-    ``head`` rows (by ``order_by``), each against its next ``window`` rows,
-    counting pairs differing in 1..max_diff columns, capped at ``stop_at``.
-    The bound is the feature being reproduced; the table size is checked
-    first so no unbounded group reaches one task."""
-    from pyspark.sql.window import Window
-    cols = columns or numeric_columns(df)
-    spark = df.sparkSession
-    n = df.limit(max_rows + 1).count()
-    if n > max_rows or len(cols) < 3 or n < 5:
-        return spark.createDataFrame([(0,)], "near_duplicate_pairs long")
-    w = Window.orderBy(order_by)
-    top = df.select(order_by, *cols).withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= head)
-    a = top.select("rn", *[F.col(c).alias(f"a_{c}") for c in cols])
-    b = top.select(F.col("rn").alias("rn2"), *[F.col(c).alias(f"b_{c}") for c in cols])
-    j = a.join(b, (F.col("rn2") > F.col("rn")) & (F.col("rn2") <= F.col("rn") + window))
-    diff = sum(((F.col(f"a_{c}") != F.col(f"b_{c}")) | F.col(f"a_{c}").isNull() | F.col(f"b_{c}").isNull()
-                | F.isnan(F.col(f"a_{c}").cast("double")) | F.isnan(F.col(f"b_{c}").cast("double"))).cast("int")
-               for c in cols)
-    hits = j.where((diff > 0) & (diff <= max_diff)).agg(F.count(F.lit(1)).alias("__hits"))
-    return hits.select(F.least(F.col("__hits"), F.lit(stop_at)).cast("long").alias("near_duplicate_pairs"))
+    used = [s for s in subsets if coef.get(s)]
+    if not used:
+        return df.sparkSession.range(1).select(F.lit(0).cast("long").alias("near_duplicate_pairs"))
+    base = df.select(*[clean(df, c).alias(f"_c{i}") for i, c in enumerate(cols)])
+
+    def entry(j: int, s: tuple) -> F.Column:
+        keep = [F.col(f"_c{i}") for i in range(k) if i not in s]
+        whole = F.lit(True)
+        for c in keep:
+            whole = whole & c.isNotNull()
+        return F.when(whole, F.struct(F.lit(j).alias("s"), F.xxhash64(F.lit(j), *keep).alias("h"),
+                                      F.xxhash64(F.lit(j + 1_000_003), *keep).alias("g")))
+    x = base.select(F.explode(F.filter(F.array(*[entry(j, s) for j, s in enumerate(used)]),
+                                       lambda e: e.isNotNull())).alias("e")).select("e.*")
+    n = F.count(F.lit(1)).cast("decimal(38,0)")
+    pairs = x.groupBy("s", "h", "g").agg(n.alias("n")).groupBy("s").agg(
+        F.sum(F.col("n") * (F.col("n") - 1) / 2).cast("decimal(38,0)").alias("p"))
+    weight = F.element_at(F.array(*[F.lit(coef[s]) for s in used]), F.col("s") + 1)
+    return pairs.agg(F.coalesce(F.sum(F.col("p") * weight), F.lit(0)).cast("long").alias("near_duplicate_pairs"))
 
 
 # ------------------------------------------------------------------ F10-F12

@@ -21,7 +21,6 @@ from pyspark.sql.window import Window
 
 from gradewell.functions import text_rules as TR
 from gradewell.functions.text_rules import rx_match
-from gradewell.session import broadcast_if_small
 
 EP = "episode_id"
 IDX = "step_idx"
@@ -80,7 +79,7 @@ def seconds(ts: Column) -> Column:
 
 def prepare_steps(steps: DataFrame, tasks: DataFrame, hard_time_limit: float = 3600.0) -> DataFrame:
     """E10 + context: joins each step to its task (steps carry ``task_id``;
-    tasks are tiny and broadcast after a size check), adds the text a rule
+    the planner broadcasts a small task table), adds the text a rule
     reads, elapsed seconds since the episode's first step, the done flag
     (FINAL_SUBMIT, step index >= max_steps, or elapsed > budget) and drops
     steps after the first done step."""
@@ -88,15 +87,15 @@ def prepare_steps(steps: DataFrame, tasks: DataFrame, hard_time_limit: float = 3
         # an episode ends at index max_steps at the latest: number only the
         # first max(max_steps) + 1 steps (top-k per episode, bounded shuffle)
         bound = tasks.agg(F.max("max_steps")).first()[0]
-        steps = step_index(steps, ("ts",), limit=None if bound is None else int(bound) + 1)
-    else:
-        steps = steps.where(F.col(IDX) <= F.lit(1 << 30))
+        order = [c for c in ("ts", "event_id") if c in steps.columns]       # equal times: by event
+        steps = step_index(steps, (*order, *([] if len(order) > 1 else ["action_type", "code_body"])), limit=None if bound is None else int(bound) + 1)
     if "action_text" not in steps.columns:
         steps = steps.withColumn("action_text", F.lit(None).cast("string"))
     t = tasks.select("task_id", "dataset_path", "target_column", "task_type", "metric",
                      "time_budget_seconds", "max_steps", "baseline_score", "oracle_score",
-                     F.coalesce(F.col("metadata")["is_time_series"] == "true", F.lit(False)).alias("is_time_series"))
-    s = steps.join(broadcast_if_small(t), "task_id").where(F.col(IDX) <= F.col("max_steps"))
+                     (F.coalesce(F.col("metadata")["is_time_series"] == "true", F.lit(False))
+                      | F.col("metadata")["time_column"].isNotNull()).alias("is_time_series"))
+    s = steps.join(t, "task_id").where(F.col(IDX) <= F.col("max_steps"))
     start = F.min("ts").over(_w_all())
     s = s.select("*", TR.step_text(F.col("code_body"), F.col("action_text")).alias("text"),
                  (seconds(F.col("ts")) - seconds(start)).alias("elapsed"))

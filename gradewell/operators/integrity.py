@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gradewell.functions.ranking import md5_bigint, xx_bigint
-from gradewell.session import broadcast_if_small
 
 # 2^20 hash buckets per class for the exact split histogram.
 SPLIT_BUCKET_BITS = 20
@@ -17,9 +16,10 @@ SPLIT_BUCKET_BITS = 20
 
 def split_sizes(n: int, fracs: tuple[float, float, float] = (0.7, 0.15, 0.15)) -> tuple[int, int, int]:
     """Rows per split for ``n`` rows: the held-out part is ceil((valid+test)*n),
-    then the test share of it is ceil(test/(valid+test) * held)."""
+    then the test share of it is ceil(test/(valid+test) * held). One row at
+    least is left for training."""
     held_frac = fracs[1] + fracs[2]
-    held = int(math.ceil(held_frac * n)) if n else 0
+    held = min(int(math.ceil(held_frac * n)), n - 1) if n else 0      # a lone row trains
     n_test = int(math.ceil(held * (fracs[2] / held_frac))) if held else 0
     return n - held, held - n_test, n_test
 
@@ -38,9 +38,9 @@ def stratified_split(df: DataFrame, key: str | list[str], target: str | None,
     ranks below cut 1 are train, below cut 2 valid, the rest test. Instead of
     ranking every row in one window per class, a histogram of 2^20 hash
     buckets per class finds the bucket holding each cut. All rows are then
-    placed by comparing their bucket with a tiny per-class cut table (one row
-    per class, broadcast) -- a pure map -- and only rows of the (at most two)
-    buckets that a cut splits get a row number."""
+    placed by comparing their bucket with the per-class cut table (one row a
+    class, joined null-safe: rows without a class are a class of their own), and
+    only rows of the (at most two) buckets that a cut splits get a row number."""
     keys = [key] if isinstance(key, str) else list(key)
     cls = F.col(target) if target else F.lit(0)
     shift = 60 - SPLIT_BUCKET_BITS
@@ -52,7 +52,7 @@ def stratified_split(df: DataFrame, key: str | list[str], target: str | None,
     hist = (hist.withColumn("_start", F.coalesce(F.sum("_cnt").over(w), F.lit(0)))
             .withColumn("_n", F.sum("_cnt").over(wn)))
     ht = fracs[1] + fracs[2]
-    held = F.ceil(F.lit(ht) * F.col("_n"))
+    held = F.least(F.ceil(F.lit(ht) * F.col("_n")), F.col("_n") - 1)
     n_test = F.ceil(held * F.lit(fracs[2] / ht))
     hist = hist.withColumn("_c1", F.col("_n") - held).withColumn("_c2", F.col("_n") - n_test)
     holds = lambda c: (F.col(c) >= F.col("_start")) & (F.col(c) < F.col("_start") + F.col("_cnt"))
@@ -62,7 +62,7 @@ def stratified_split(df: DataFrame, key: str | list[str], target: str | None,
         F.coalesce(F.max(F.when(holds("_c1"), F.col("_c1") - F.col("_start"))), F.lit(0)).alias("_o1"),
         F.coalesce(F.max(F.when(holds("_c2"), F.col("_b"))), none).alias("_b2"),
         F.coalesce(F.max(F.when(holds("_c2"), F.col("_c2") - F.col("_start"))), F.lit(0)).alias("_o2"))
-    x = x.join(broadcast_if_small(cuts), "_cls")
+    x = x.join(cuts.withColumnRenamed("_cls", "_cut_cls"), F.col("_cls").eqNullSafe(F.col("_cut_cls")))
     in_cut = (((F.col("_b") == F.col("_b1")) & (F.col("_o1") > 0))
               | ((F.col("_b") == F.col("_b2")) & (F.col("_o2") > 0)))
     out_cols = df.columns + ["split"]
@@ -120,22 +120,22 @@ def check_intact(before: DataFrame, after: DataFrame | None, cols: list[str] | N
                  list_changes: bool = True) -> DataFrame:
     """C4: is ``after`` the same multiset of rows as ``before``? Missing table =
     not intact. Score 1/0, penalty 0.3 when changed; with ``list_changes`` the
-    number of rows only in one side (``exceptAll`` both ways)."""
+    number of rows only in one side. One scan of each table: rows become a
+    128-bit digest at once, and only digests, counted before the shuffle with
+    +1 on one side and -1 on the other, are exchanged."""
     spark = before.sparkSession
     if after is None:
         return spark.createDataFrame([(False, None, 0.0, 0.3)],
                                      "intact boolean, changed_rows long, score double, penalty double")
     cols = cols or before.columns
-    fb = table_fingerprint(before, cols).select(*[F.col(c).alias(f"b_{c}") for c in ["n_rows", "fp_xor", "fp_sum"]])
-    fa = table_fingerprint(after, cols).select(*[F.col(c).alias(f"a_{c}") for c in ["n_rows", "fp_xor", "fp_sum"]])
-    same = ((F.col("b_n_rows") == F.col("a_n_rows")) & (F.col("b_fp_xor") == F.col("a_fp_xor"))
-            & (F.col("b_fp_sum") == F.col("a_fp_sum")))
-    res = fb.crossJoin(fa).select(same.alias("intact"))   # both sides are one row
-    if list_changes:
-        b, a = before.select(*cols), after.select(*cols)
-        changed = b.exceptAll(a).unionByName(a.exceptAll(b)).agg(F.count(F.lit(1)).alias("changed_rows"))
-        res = res.crossJoin(changed)
-    else:
+    text = row_text(before, cols)
+
+    def digests(df: DataFrame, sign: int) -> DataFrame:
+        return df.select(F.md5(text).alias("_d"), F.lit(sign).cast("long").alias("_s"))
+    net = digests(before, 1).unionByName(digests(after, -1)).groupBy("_d").agg(F.sum("_s").alias("_n"))
+    res = net.agg(F.coalesce(F.sum(F.abs("_n")), F.lit(0)).cast("long").alias("changed_rows"))
+    res = res.withColumn("intact", F.col("changed_rows") == 0)
+    if not list_changes:
         res = res.withColumn("changed_rows", F.lit(None).cast("long"))
     return res.select("intact", "changed_rows",
                       F.when(F.col("intact"), 1.0).otherwise(0.0).alias("score"),

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gradewell.functions.ranking import exclusive_prefix_sum
-from gradewell.session import broadcast_if_small
 
 # Clip used by the log loss (float64 machine epsilon).
 LOG_LOSS_EPS = 2.220446049250313e-16
@@ -23,31 +22,46 @@ def _by(by) -> list[str]:
 
 
 def hard_label(df: DataFrame, score: str, threshold: float = 0.5) -> F.Column:
-    """Floating scores are cut at ``> threshold``; integer predictions are labels."""
+    """Floating scores are cut at ``> threshold``; a score that is NaN or null
+    is above no threshold and counts as label 0. Integer predictions are labels."""
     dt = df.schema[score].dataType
-    if isinstance(dt, (T.DoubleType, T.FloatType, T.DecimalType)):
-        return (F.col(score) > threshold).cast("int")
+    if isinstance(dt, (T.DoubleType, T.FloatType)):
+        return F.when(F.col(score).isNull() | F.isnan(score), 0).otherwise((F.col(score) > threshold).cast("int"))
+    if isinstance(dt, T.DecimalType):
+        return F.coalesce((F.col(score) > threshold).cast("int"), F.lit(0))
     return F.col(score)
 
 
+def _probability(score: str, eps: float) -> F.Column:
+    """A score clipped to [eps, 1 - eps]; null for NaN (Spark orders NaN above
+    every number, so clipping alone would turn it into a sure 1)."""
+    p = F.nanvl(F.col(score).cast("double"), F.lit(None).cast("double"))
+    return F.when(p.isNotNull(), F.least(F.greatest(p, F.lit(eps)), F.lit(1 - eps)))
+
+
+def _loss_if_complete(loss: F.Column) -> F.Column:
+    """Mean loss; null as soon as one row has none (an invalid score)."""
+    return F.when(F.count(loss) == F.count(F.lit(1)), F.avg(loss))
+
+
 # --------------------------------------------------------------------------- M1
-def roc_auc(preds: DataFrame, by=("run_id",), y: str = "y_true", score: str = "y_score",
-            n_buckets: int = 32) -> DataFrame:
+def roc_auc(preds: DataFrame, by=("run_id",), y: str = "y_true", score: str = "y_score") -> DataFrame:
     """M1: binary ROC AUC per group, tied scores count one half; null when a
     group holds one class only. Pre-aggregates to one row per (group, score)
-    and gets the negatives below each score by a bucketed prefix sum, so a
-    single huge run is still spread over many tasks."""
+    and gets the negatives below each score by a range-partitioned prefix sum,
+    so a single huge run is still spread over many tasks. Pair counts are
+    doubles: positives times negatives leaves BIGINT behind."""
     keys = _by(by)
     g = (preds.where(F.col(score).isNotNull() & F.col(y).isNotNull())
          .groupBy(*keys, score)
          .agg(F.sum(F.col(y).cast("long")).alias("pos"),
               F.sum((1 - F.col(y).cast("long"))).alias("neg")))
-    g = exclusive_prefix_sum(g, keys, score, ["neg"], n_buckets=n_buckets)
+    g = exclusive_prefix_sum(g, keys, score, ["neg"])
     agg = g.groupBy(*keys).agg(
-        F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") / 2.0)).alias("_num"),
+        F.sum(F.col("pos").cast("double") * (F.col("neg_below") + F.col("neg") / 2.0)).alias("_num"),
         F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
     return agg.select(*keys, F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0),
-                                    F.col("_num") / (F.col("n_pos") * F.col("n_neg"))).alias("roc_auc"),
+                                    F.col("_num") / (F.col("n_pos").cast("double") * F.col("n_neg"))).alias("roc_auc"),
                       "n_pos", "n_neg")
 
 
@@ -86,12 +100,14 @@ def f1_macro(preds: DataFrame, by=("run_id",), y: str = "y_true", score: str = "
 # --------------------------------------------------------------------------- M4
 def neg_log_loss(preds: DataFrame, by=("run_id",), y: str = "y_true", score: str = "y_score",
                  eps: float = LOG_LOSS_EPS) -> DataFrame:
-    """M4 (binary): scores are P(1), clipped to [eps, 1-eps]."""
+    """M4 (binary): scores are P(1), clipped to [eps, 1-eps]. A NaN or null
+    score makes the group's loss null; ``n_invalid`` counts them."""
     keys = _by(by)
-    p = F.least(F.greatest(F.col(score).cast("double"), F.lit(eps)), F.lit(1 - eps))
+    p = _probability(score, eps)
     yy = F.col(y).cast("double")
     ll = yy * F.log(p) + (1 - yy) * F.log(1 - p)
-    return preds.groupBy(*keys).agg(F.avg(ll).alias("neg_log_loss"))
+    return preds.groupBy(*keys).agg(_loss_if_complete(ll).alias("neg_log_loss"),
+                                    F.count(F.when(p.isNull(), 1)).alias("n_invalid"))
 
 
 def neg_log_loss_multiclass(scores: DataFrame, by=("run_id",), row: str = "row_id", y: str = "y_true",
@@ -100,10 +116,13 @@ def neg_log_loss_multiclass(scores: DataFrame, by=("run_id",), row: str = "row_i
     """M4 (multiclass, long form): probabilities clipped then renormalised per
     row; loss = -mean(log p[true class])."""
     keys = _by(by)
-    p = F.least(F.greatest(F.col(score).cast("double"), F.lit(eps)), F.lit(1 - eps))
+    p = _probability(score, eps)
     per_row = scores.groupBy(*keys, row).agg(
-        F.sum(p).alias("_s"), F.max(F.when(F.col(cls) == F.col(y), p)).alias("_pt"))
-    return per_row.groupBy(*keys).agg(F.avg(F.log(F.col("_pt") / F.col("_s"))).alias("neg_log_loss"))
+        F.when(F.count(p) == F.count(F.lit(1)), F.sum(p)).alias("_s"),
+        F.max(F.when(F.col(cls) == F.col(y), p)).alias("_pt"))
+    ll = F.log(F.col("_pt") / F.col("_s"))
+    return per_row.groupBy(*keys).agg(_loss_if_complete(ll).alias("neg_log_loss"),
+                                      F.count(F.when(F.col("_s").isNull(), 1)).alias("n_invalid"))
 
 
 # --------------------------------------------------------------------------- M5-M7
@@ -164,17 +183,17 @@ def compute_metric(preds: DataFrame, run_metrics: DataFrame, by=("run_id",), y:
     mix: one grouped aggregate computes the five moment-style metrics
     (accuracy, log loss, RMSE, MAE, R2) for every run at once and picks the
     run's own; F1 (confusion counts) and AUC (prefix sums) read only their
-    runs. The run table is small and joined by broadcast after a size check.
+    runs. The run table is a plain join side: the planner broadcasts it if it is small.
     Output: keys, metric, value."""
     keys = _by(by)
-    x = preds.join(broadcast_if_small(run_metrics.select(*keys, "metric")), keys)
+    x = preds.join(run_metrics.select(*keys, "metric"), keys)
     yy = F.col(y).cast("double")
     sc = F.col(score).cast("double")
     lab = hard_label(preds, score, threshold)
-    p = F.least(F.greatest(sc, F.lit(eps)), F.lit(1 - eps))
+    p = _probability(score, eps)
     simple = x.groupBy(*keys, "metric").agg(
         F.avg((lab == F.col(y)).cast("double")).alias("_acc"),
-        F.avg(yy * F.log(p) + (1 - yy) * F.log(1 - p)).alias("_ll"),
+        _loss_if_complete(yy * F.log(p) + (1 - yy) * F.log(1 - p)).alias("_ll"),
         F.avg(F.pow(yy - sc, 2)).alias("_mse"),
         F.avg(F.abs(yy - sc)).alias("_mae"),
         F.sum(F.pow(yy - sc, 2)).alias("_ssr"),

@@ -8,18 +8,19 @@ distributed metric (M1-M10), never a driver-side computation.
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, OneVsRest
+from pyspark.ml.classification import GBTClassifier, OneVsRest
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor
-from pyspark.sql import DataFrame
+from pyspark.ml.regression import GBTRegressor
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
+from gradewell.functions.ranking import exclusive_prefix_sum
 from gradewell.functions.stats import is_float_col
 from gradewell.operators import metrics as M
 
@@ -28,8 +29,6 @@ LEAK_TREE_DEPTH = 2
 BASELINE_TREES, BASELINE_DEPTH = 50, 3
 VALUE_TEST_TREES = 30
 SEED = 42
-# above this many numeric features L1 switches to the one-pass binned method
-WIDE_FEATURES = 50
 
 
 def _is_clf(task_type: str) -> bool:
@@ -41,201 +40,93 @@ def numeric_features(df: DataFrame, target: str) -> list[str]:
             if isinstance(f.dataType, T.NumericType) and f.name != target]
 
 
-def _scores(pred: DataFrame, task_type: str, n_classes: int) -> DataFrame:
-    """Attach a score column: P(1) for binary, prediction for regression."""
-    if not _is_clf(task_type):
-        return pred.withColumn("_score", F.col("prediction"))
-    if n_classes <= 2:
-        return pred.withColumn("_score", vector_to_array("probability")[1])
-    return pred.withColumn("_proba", vector_to_array("probability"))
-
-
-def _metric_by(pred: DataFrame, by: list[str], y: str, task_type: str, n_classes: int) -> DataFrame:
-    """Train-set separability per group: AUC (binary), one-vs-rest macro AUC
-    (multiclass) or R2 (regression), as column ``score``."""
-    if not _is_clf(task_type):
-        return M.r2(pred, by, y, "_score").withColumnRenamed("r2", "score")
-    if n_classes <= 2:
-        return M.roc_auc(pred, by, y, "_score").select(*by, F.col("roc_auc").alias("score"))
-    long = pred.select(*by, F.col(y).cast("int").alias("_y"),
-                       F.posexplode("_proba").alias("_cls", "_p"))
-    return M.auc_ovr_macro(long, by, "_y", "_cls", "_p").select(*by, F.col("auc_ovr_macro").alias("score"))
-
-
 # ------------------------------------------------------------------ L1
 def single_feature_leak(df: DataFrame, target: str, task_type: str, threshold: float = 0.99,
-                        min_rows: int = 10, max_parallel_fits: int = 8) -> DataFrame:
+                        min_rows: int = 10, depth: int = LEAK_TREE_DEPTH) -> DataFrame:
     """L1: a depth-2 tree on each numeric feature alone (features with any
-    null/NaN are skipped, as the reference drops them); a train-set AUC or
-    R2 >= threshold flags a possible leak. Fits run concurrently from a
-    small driver thread pool on one cached frame; the per-feature metrics
-    are one grouped aggregate over the union of all predictions."""
+    null/NaN are skipped, as the reference drops them); a train-set AUC
+    (one-vs-rest mean for several classes) or R2 >= threshold flags a possible leak.
+
+    One exact method for any number of features and rows: features are
+    unpivoted and counted by (feature, value) -- class counts, or count, sum
+    and sum of squares for regression -- and every level of the trees is one
+    range-partitioned prefix sum over those counts: each value's left and
+    right side gives its impurity, the least (smallest value on ties) is the
+    split of (feature, node). The scores come from the leaves' counts.
+    Labels of any type are compared as they are; their number is taken to be
+    small (a column each)."""
     spark = df.sparkSession
+    schema = "feature string, score double, leak boolean"
     feats = numeric_features(df, target)
-    if len(feats) > WIDE_FEATURES:
-        return single_feature_leak_binned(df, target, task_type, threshold)
     base = df.select(*feats, target).where(F.col(target).isNotNull())
     if not feats:
-        return spark.createDataFrame([], "feature string, score double, leak boolean")
+        return spark.createDataFrame([], schema)
     nulls = base.agg(F.count(F.lit(1)).alias("__n"), *[
         F.sum((F.col(c).isNull() | (F.isnan(c) if is_float_col(base, c) else F.lit(False))).cast("long")).alias(c)
         for c in feats]).first()
     usable = [c for c in feats if (nulls[c] or 0) == 0]
     if not usable or nulls["__n"] < min_rows:
-        return spark.createDataFrame([], "feature string, score double, leak boolean")
-    y = target
-    n_classes = 2
-    if _is_clf(task_type):
-        n_classes = base.select(y).distinct().count()   # labels: bounded
-    data = base.select(*usable, F.col(y).cast("double").alias("label")).persist()
-    try:
-        def fit(c: str):
-            vec = VectorAssembler(inputCols=[c], outputCol=f"_v_{c}")
-            tree = (DecisionTreeClassifier if _is_clf(task_type) else DecisionTreeRegressor)(
-                featuresCol=f"_v_{c}", labelCol="label", maxDepth=LEAK_TREE_DEPTH, seed=SEED, maxBins=256)
-            model = Pipeline(stages=[vec, tree]).fit(data)
-            out = model.transform(data).select(F.lit(c).alias("feature"), "label", "prediction",
-                                               *(["probability"] if _is_clf(task_type) else []))
-            return _scores(out, task_type, n_classes).drop("probability")
-        with ThreadPoolExecutor(max_workers=max_parallel_fits) as pool:
-            preds = list(pool.map(fit, usable))
-        allp = reduce(lambda a, b: a.unionByName(b), preds)
-        scored = _metric_by(allp, ["feature"], "label", task_type, n_classes)
-        rows = scored.collect()     # one row per feature
-    finally:
-        data.unpersist()
-    return spark.createDataFrame([(r["feature"], r["score"], r["score"] is not None and r["score"] >= threshold)
-                                  for r in rows], "feature string, score double, leak boolean")
-
-
-# ------------------------------------------------------------------ L1, wide tables
-def _best_split(bins: list[int], impurity) -> tuple | None:
-    """Best threshold over sorted bins: (left_bins, right_bins) minimising the
-    weighted impurity; None when no split separates anything."""
-    best, best_val = None, None
-    for i in range(1, len(bins)):
-        left, right = bins[:i], bins[i:]
-        val = impurity(left) + impurity(right)
-        if best_val is None or val < best_val - 1e-15:
-            best, best_val = (left, right), val
-    return best
-
-
-def _leaf_tree(bins: list[int], impurity, depth: int) -> list[list[int]]:
-    """Leaves (lists of bins) of a depth-limited tree grown on sorted bins."""
-    if depth == 0 or len(bins) < 2:
-        return [bins]
-    sp = _best_split(bins, impurity)
-    if sp is None:
-        return [bins]
-    return _leaf_tree(sp[0], impurity, depth - 1) + _leaf_tree(sp[1], impurity, depth - 1)
-
-
-def single_feature_leak_binned(df: DataFrame, target: str, task_type: str, threshold: float = 0.99,
-                               n_bins: int = 64, depth: int = LEAK_TREE_DEPTH,
-                               accuracy: int = 10_000) -> DataFrame:
-    """L1 for wide tables: one pass instead of one fit per feature. Numeric
-    features are unpivoted, cut at approximate quantiles (a bounded sketch per
-    feature), and aggregated once to counts per (feature, bin, label) -- or
-    sum/sum of squares per (feature, bin) for regression -- with map-side
-    combine. A depth-2 tree per feature is then grown on that small table
-    (features x bins x classes rows, independent of the row count) and its
-    train AUC / one-vs-rest AUC / R2 is computed from the leaf counts."""
-    spark = df.sparkSession
-    feats = numeric_features(df, target)
-    base = df.select(*feats, target).where(F.col(target).isNotNull())
-    nulls = base.agg(F.count(F.lit(1)).alias("__n"), *[
-        F.sum((F.col(c).isNull() | (F.isnan(c) if is_float_col(base, c) else F.lit(False))).cast("long")).alias(c)
-        for c in feats]).first()
-    usable = [c for c in feats if (nulls[c] or 0) == 0]
-    schema = "feature string, score double, leak boolean"
-    if not usable or nulls["__n"] < 10:
         return spark.createDataFrame([], schema)
     long = base.select(F.col(target).alias("_y"), F.explode(F.array(*[
         F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v")) for c in usable])).alias("x")) \
         .select("_y", "x.*")
-    probs = [i / n_bins for i in range(1, n_bins)]
-    cuts = long.groupBy("feature").agg(F.array_distinct(F.percentile_approx(
-        "v", F.array(*[F.lit(p) for p in probs]), accuracy)).alias("_cuts"))
-    from gradewell.session import broadcast_if_small
-    binned = long.join(broadcast_if_small(cuts), "feature").withColumn(
-        "bin", F.aggregate("_cuts", F.lit(0), lambda acc, b: acc + F.when(F.col("v") > b, 1).otherwise(0)))
-    clf = _is_clf(task_type)
-    if clf:
-        table = binned.groupBy("feature", "bin", F.col("_y").cast("string").alias("y")).agg(
-            F.count(F.lit(1)).alias("n")).collect()                 # features x bins x classes rows
+    if _is_clf(task_type):
+        classes = [r[0] for r in base.select(target).distinct().orderBy(target).collect()]   # labels: few
+        stats = [f"k{i}" for i in range(len(classes))]
+        aggs = [F.sum((F.col("_y") == F.lit(c)).cast("double")).alias(k) for k, c in zip(stats, classes)]
+    else:
+        stats = ["n", "s", "q"]
+        y = F.col("_y").cast("double")
+        aggs = [F.sum(F.lit(1.0)).alias("n"), F.sum(y).alias("s"), F.sum(y * y).alias("q")]
+
+    def impurity(side) -> Column:
+        if not _is_clf(task_type):
+            n = side("n")
+            return F.when(n > 0, side("q") - side("s") * side("s") / n).otherwise(0.0)
+        n = reduce(lambda x, k: x + side(k), stats[1:], side(stats[0]))
+        squares = reduce(lambda x, k: x + side(k) * side(k), stats[1:], side(stats[0]) * side(stats[0]))
+        return F.when(n > 0, n - squares / n).otherwise(0.0)
+
+    g = long.groupBy("feature", "v").agg(*aggs).withColumn("node", F.lit(0))
+    for _ in range(depth):
+        g = exclusive_prefix_sum(g, ["feature", "node"], "v", stats)
+        total = g.groupBy("feature", "node").agg(*[F.sum(k).alias(f"t_{k}") for k in stats], F.max("v").alias("t_v"))
+        x = g.join(total, ["feature", "node"])
+        cost = impurity(lambda k: F.col(f"{k}_below") + F.col(k)) \
+            + impurity(lambda k: F.col(f"t_{k}") - F.col(f"{k}_below") - F.col(k))
+        split = x.where(F.col("v") < F.col("t_v")).groupBy("feature", "node").agg(
+            F.min(F.struct(F.round(cost, 6).alias("c"), F.col("v").alias("v")))["v"].alias("cut"))
+        g = g.join(split, ["feature", "node"], "left").select(
+            "feature", "v", *stats, (F.col("node") * 2 + F.when(F.col("v") > F.col("cut"), 1).otherwise(0)).alias("node"))
+    leaves = g.groupBy("feature", "node").agg(*[F.sum(k).alias(k) for k in stats])
+    if not _is_clf(task_type):
+        whole = leaves.groupBy("feature").agg(*[F.sum(k).alias(k) for k in stats],
+                                              F.sum(impurity(F.col)).alias("rest"))
+        sst = impurity(F.col)
+        score = F.when(sst > 0, 1 - F.col("rest") / sst).when(F.col("rest") == 0, 1.0).otherwise(0.0)
+        out = whole.select("feature", score.alias("score"))
     else:
-        table = binned.groupBy("feature", "bin").agg(
-            F.count(F.lit(1)).alias("n"), F.sum(F.col("_y").cast("double")).alias("s"),
-            F.sum(F.pow(F.col("_y").cast("double"), 2)).alias("q")).collect()
-    by_feat: dict[str, list] = {}
-    for r in table:
-        by_feat.setdefault(r["feature"], []).append(r)
-    out = []
-    for feat in usable:
-        rows = by_feat.get(feat, [])
-        bins = sorted({r["bin"] for r in rows})
-        if clf:
-            counts: dict[int, dict[str, int]] = {}
-            for r in rows:
-                counts.setdefault(r["bin"], {})[r["y"]] = r["n"]
-            classes = sorted({r["y"] for r in rows})
-
-            def agg(bs):
-                tot = {c: sum(counts[b].get(c, 0) for b in bs) for c in classes}
-                return tot
-
-            def gini(bs):
-                tot = agg(bs)
-                n = sum(tot.values())
-                return 0.0 if n == 0 else n * (1 - sum((v / n) ** 2 for v in tot.values()))
-            leaves = [agg(bs) for bs in _leaf_tree(bins, gini, depth)]
-            out.append((feat, _leaf_auc(leaves, classes)))
-        else:
-            st = {r["bin"]: (r["n"], r["s"], r["q"]) for r in rows}
-
-            def sse(bs):
-                n = sum(st[b][0] for b in bs)
-                s1 = sum(st[b][1] for b in bs)
-                q = sum(st[b][2] for b in bs)
-                return 0.0 if n == 0 else q - s1 * s1 / n
-            leaves = _leaf_tree(bins, sse, depth)
-            tot = sse(bins)
-            res = sum(sse(bs) for bs in leaves)
-            out.append((feat, (1 - res / tot) if tot > 0 else (1.0 if res == 0 else 0.0)))
-    return spark.createDataFrame([(f, float(v) if v is not None else None, v is not None and v >= threshold)
-                                  for f, v in out], schema)
-
-
-def _leaf_auc(leaves: list[dict], classes: list[str]) -> float | None:
-    """Train AUC of a tree whose prediction is the leaf's class share: binary
-    AUC for two classes, else the one-vs-rest macro mean (ties count half)."""
-    def auc_for(c):
-        pts = []
-        for lf in leaves:
-            n = sum(lf.values())
-            if n:
-                pts.append((lf.get(c, 0) / n, lf.get(c, 0), n - lf.get(c, 0)))
-        pos = sum(p for _, p, _ in pts)
-        neg = sum(q for _, _, q in pts)
-        if pos == 0 or neg == 0:
-            return None
-        pts.sort()
-        below, num, i = 0, 0.0, 0
-        while i < len(pts):
-            j, p_eq, n_eq = i, 0, 0
-            while j < len(pts) and pts[j][0] == pts[i][0]:
-                p_eq += pts[j][1]
-                n_eq += pts[j][2]
-                j += 1
-            num += p_eq * (below + n_eq / 2.0)
-            below += n_eq
-            i = j
-        return num / (pos * neg)
-    if len(classes) == 2:
-        return auc_for(classes[1])
-    vals = [a for a in (auc_for(c) for c in classes) if a is not None]
-    return sum(vals) / len(vals) if vals else None
+        out = _leaf_auc(leaves, stats)
+    return out.select("feature", "score", F.coalesce(F.col("score") >= threshold, F.lit(False)).alias("leak"))
+
+
+def _leaf_auc(leaves: DataFrame, stats: list[str]) -> DataFrame:
+    """(feature, score): train AUC of trees that predict their leaf's class
+    shares, from at most four leaves a feature; ties count one half."""
+    n = reduce(lambda x, k: x + F.col(k), stats[1:], F.col(stats[0]))
+    judged = stats[1:] if len(stats) == 2 else stats
+    if not judged or len(stats) < 2:
+        return leaves.select("feature").distinct().withColumn("score", F.lit(None).cast("double"))
+    rows = leaves.select("feature", F.explode(F.array(*[
+        F.struct(F.lit(k).alias("cls"), (F.col(k) / n).alias("share"), F.col(k).alias("pos"), (n - F.col(k)).alias("neg"))
+        for k in judged])).alias("x")).select("feature", "x.*")
+    rows = rows.groupBy("feature", "cls", "share").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    w = Window.partitionBy("feature", "cls").orderBy("share").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("below", F.coalesce(F.sum("neg").over(w), F.lit(0.0)))
+    per = rows.groupBy("feature", "cls").agg(
+        F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)).alias("num"), F.sum("pos").alias("p"), F.sum("neg").alias("m"))
+    auc = F.when((F.col("p") > 0) & (F.col("m") > 0), F.col("num") / (F.col("p") * F.col("m")))
+    return per.groupBy("feature").agg(F.avg(auc).alias("score"))
 
 
 # ------------------------------------------------------------------ L2
@@ -358,7 +249,6 @@ def feature_importances(df: DataFrame, target: str, task_type: str, features: li
 
 def new_features_in_top_k(importances: DataFrame, original_cols: list[str], bonus: float = 0.03) -> DataFrame:
     """New features among the top max(3, n // 3) importances."""
-    from pyspark.sql.window import Window
     n = importances.count()                                      # features: bounded
     k = max(3, n // 3)
     w = Window.orderBy(F.col("importance").desc(), F.col("feature"))   # one row per feature: tiny

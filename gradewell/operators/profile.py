@@ -19,7 +19,6 @@ from pyspark.sql.window import Window
 from gradewell.functions.stats import (
     categorical_columns, clean, exact_quantiles, is_float_col, missing,
     numeric_columns, sample_skewness)
-from gradewell.session import broadcast_if_small
 
 # Pairs per aggregate when computing correlations (keeps each
 # generated method under the JVM's 64 KB codegen limit).
@@ -169,10 +168,13 @@ def iqr_outliers(df: DataFrame, target: str, factor: float = 1.5, min_frac: floa
 # --------------------------------------------------------------------------- P7
 def duplicate_count(df: DataFrame, target: str) -> DataFrame:
     """Rows beyond the first of each identical feature row (target
-    excluded). Null groups with null and NaN with NaN, like pandas. Partial
-    aggregation collapses a hot duplicate group before the shuffle."""
+    excluded). Null groups with null and NaN with NaN, like pandas. Rows are
+    exchanged as 128-bit hashes (two seeds over values and null positions), not as full rows;
+    partial aggregation collapses a hot duplicate group before the shuffle."""
     feats = features_of(df, target)
-    g = df.groupBy(*feats).agg(F.count(F.lit(1)).alias("cnt"))
+    nulls = F.concat(F.lit(""), *[F.col(c).isNull().cast("int").cast("string") for c in feats])
+    g = df.select(F.xxhash64(nulls, *feats).alias("h"), F.xxhash64(F.lit(1_000_003), nulls, *feats).alias("g")) \
+        .groupBy("h", "g").agg(F.count(F.lit(1)).alias("cnt"))
     return g.agg(F.coalesce(F.sum(F.col("cnt") - 1), F.lit(0)).cast("long").alias("duplicate_count")) \
         .withColumn("has_duplicates", F.col("duplicate_count") > 0)
 
@@ -200,13 +202,23 @@ def skewed_columns(df: DataFrame, target: str, threshold: float = 2.0, min_count
 
 
 # --------------------------------------------------------------------------- P9
-def datetime_like(df: DataFrame, target: str, order_by: str | list[str] | None = None,
-                  sample: int = 20) -> DataFrame:
+#: Date formats tried on strings besides ISO 8601 (Java patterns; fixed list).
+DATE_FORMATS = ["M/d/yyyy", "d/M/yyyy", "yyyy/M/d", "d.M.yyyy", "d-M-yyyy", "MMM d, yyyy", "d MMM yyyy",
+                "M/d/yyyy H:m", "M/d/yyyy H:m:s", "yyyy/M/d H:m:s", "d.M.yyyy H:m"]
+
+
+def parses_as_date(v: F.Column) -> F.Column:
+    out = F.try_to_timestamp(v).isNotNull()
+    for fmt in DATE_FORMATS:
+        out = out | F.try_to_timestamp(v, F.lit(fmt)).isNotNull()
+    return out
+
+
+def datetime_like(df: DataFrame, target: str) -> DataFrame:
     """Categorical columns that look like dates. Timestamp/date typed
-    columns qualify directly; a string column qualifies when its first
-    ``sample`` non-null values (in ``order_by`` order) all parse. The
-    per-column top-k runs as ``row_number() <= k`` (group limit pushed below
-    the shuffle)."""
+    columns qualify directly; a string column qualifies when it has a value
+    and every non-null value parses. One aggregate over all rows, combined
+    before the shuffle; no sample, no sort."""
     spark = _spark(df)
     typed = [f.name for f in df.schema.fields if f.name != target
              and isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType, T.DateType))]
@@ -215,18 +227,11 @@ def datetime_like(df: DataFrame, target: str, order_by: str | list[str] | None =
     out = spark.createDataFrame([(c,) for c in typed], "column_name string")
     if not strings:
         return out
-    keys = [order_by] if isinstance(order_by, str) else list(order_by or [])
-    if not keys:
-        keys = [c for c in df.columns if c not in strings][:1] or strings[:1]
-    long = df.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)],
-                     F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("v"))
-                                         for c in strings])).alias("x")) \
-        .select(*[f"__k{i}" for i in range(len(keys))], "x.*").where(F.col("v").isNotNull())
-    w = Window.partitionBy("column_name").orderBy(*[f"__k{i}" for i in range(len(keys))], "v")
-    top = long.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= sample)
-    parsed = top.groupBy("column_name").agg(
-        F.bool_and(F.try_to_timestamp(F.col("v")).isNotNull()).alias("ok"))
-    return out.unionByName(parsed.where("ok").select("column_name"))
+    row = df.agg(*[F.bool_and(F.when(F.col(c).isNotNull(), parses_as_date(F.col(c)))).alias(f"d{i}")
+                   for i, c in enumerate(strings)])
+    long = row.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"d{i}").alias("ok"))
+                                          for i, c in enumerate(strings)])).alias("x")).select("x.*")
+    return out.unionByName(long.where("ok").select("column_name"))
 
 
 # --------------------------------------------------------------------------- P10
@@ -269,14 +274,14 @@ class Profile:
 
 def profile_table(df: DataFrame, target: str, *, corr_threshold: float = 0.90,
                   missing_drop_threshold: float = 0.50, outlier_iqr_factor: float = 1.5,
-                  outlier_min_frac: float = 0.01, order_by: str | list[str] | None = None,
+                  outlier_min_frac: float = 0.01,
                   approx_quantiles: bool = False, cache: bool = True) -> Profile:
     """The whole profile as a one-row summary plus long child tables.
 
     Eager and pass-minimal: (1) one wide aggregate gives row count, missing
     counts, non-null counts, std, skewness and every correlation (chunked);
     (2) quantile brackets (P6); (3) outlier counts; (4) duplicate groups;
-    (5) class counts; (6) the datetime sample. Results are bounded by the
+    (5) class counts; (6) date-like strings. Results are bounded by the
     number of columns (pairs for correlations) and come back as small
     DataFrames, so downstream joins never re-run the profile."""
     spark = _spark(df)
@@ -339,7 +344,7 @@ def profile_table(df: DataFrame, target: str, *, corr_threshold: float = 0.90,
             "dup": lambda: int(duplicate_count(src, target).first()["duplicate_count"]) if feats else 0,
             "imb": lambda: (class_imbalance(src, target).first()["class_imbalance_ratio"]
                             if target in src.columns else None),
-            "dt": lambda: [tuple(r) for r in datetime_like(src, target, order_by).collect()],
+            "dt": lambda: [tuple(r) for r in datetime_like(src, target).collect()],
         }
         with ThreadPoolExecutor(max_workers=len(jobs)) as pool:
             futures = {k: pool.submit(fn) for k, fn in jobs.items()}
@@ -400,7 +405,10 @@ def impute_fill(train: DataFrame, apply_to: DataFrame, columns: list[str] | None
         if v is None:
             continue
         base = clean(out, c) if is_float_col(out, c) else F.col(c)
-        out = out.withColumn(c, F.coalesce(base, F.lit(v).cast(out.schema[c].dataType)))
+        kind = out.schema[c].dataType
+        if isinstance(kind, T.IntegralType):      # a median may lie between two values: the column widens
+            kind = T.DoubleType() if float(v) != int(v) else kind
+        out = out.withColumn(c, F.coalesce(base.cast(kind), F.lit(v).cast(kind)))
     return out
 
 
@@ -425,9 +433,8 @@ def encode_categorical(train: DataFrame, apply_to: DataFrame, columns: list[str]
                        mapping: DataFrame | None = None) -> DataFrame:
     """Label-encode ``columns`` of ``apply_to`` with codes fitted on
     ``train``. Values unseen in train get a null code (the reference raises).
-    The mapping is broadcast only after a size check."""
+    The mapping is a plain join side: the planner broadcasts it if it is small."""
     m = mapping if mapping is not None else fit_label_encoder(train, columns)
-    m = broadcast_if_small(m)
     out = apply_to
     for c in columns:
         mc = m.where(F.col("column_name") == c).select(

@@ -19,11 +19,6 @@ from pyspark.sql.window import Window
 from gradewell.functions import text_rules as TR
 from gradewell.operators import episodes as E
 from gradewell.operators.metrics import normalize_score
-from gradewell.session import broadcast_if_small, collect_small
-
-
-def s_spark(df: DataFrame):
-    return df.sparkSession
 
 EP, IDX = E.EP, E.IDX
 
@@ -91,23 +86,18 @@ def score_steps(steps: DataFrame, tasks: DataFrame, checklist: DataFrame, profil
     w8 = weights or RewardWeights()
     pctx = E.profile_context(profile, corr_pairs, missing_cols)
     cctx = E.checklist_context(checklist)
-    prows = collect_small(pctx)           # one row per dataset
-    if prows is not None:
-        sizes = max([max(len(r["corr_cols"]), len(r["miss_cols"])) for r in prows] or [0])
-        pctx = F.broadcast(s_spark(steps).createDataFrame(prows, pctx.schema))
-    else:
-        sizes = pctx.agg(F.max(F.greatest(F.size("corr_cols"), F.size("miss_cols")))).first()[0] or 0
+    sizes = pctx.agg(F.max(F.greatest(F.size("corr_cols"), F.size("miss_cols")))).first()[0] or 0
     n_chunks = max(1, -(-int(sizes) // E.MASK_BITS))    # bounded: columns of a profile
     s = E.prepare_steps(steps, tasks, hard_time_limit)
     s = (s.join(pctx, "dataset_path", "left")
-         .join(broadcast_if_small(cctx), "task_id", "left"))
+         .join(cctx, "task_id", "left"))
     s = s.withColumns({col: F.coalesce(F.col(col), F.array().cast(empty)) for col, empty in [
         ("corr_cols", "array<string>"), ("corr_pairs", "array<struct<a:int,b:int>>"),
         ("miss_cols", "array<string>"), ("miss_fracs", "array<double>")]})
     s = E.context_masks(E.step_flags(s), n_chunks)
     s = E.context_state(E.running_state(s), n_chunks)
     if baselines is not None:
-        s = s.join(broadcast_if_small(baselines.select("task_id", "baseline_metric")), "task_id", "left")
+        s = s.join(baselines.select("task_id", "baseline_metric"), "task_id", "left")
     else:
         s = s.withColumn("baseline_metric", F.lit(None).cast("double"))
     c = F.col

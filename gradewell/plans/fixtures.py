@@ -104,9 +104,14 @@ N_CLASSES = 10
 
 def multiclass_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """embeddings as a 10-class scorer, long form: one row per (row, class).
-    score = softmax over the first 10 embedding dimensions."""
+    score = softmax over the sums of the embedding's dimensions i, i + 10, ..."""
     emb = read_table(spark, sf_dir, "embeddings")
-    logits = F.transform(F.slice("embedding", 1, N_CLASSES), lambda x: F.exp(x.cast("double")))
+
+    def of_class(c: int):
+        mine = F.filter("embedding", lambda x, i: i % N_CLASSES == c)
+        return F.aggregate(mine, F.lit(0.0), lambda acc, x: acc + x.cast("double"))
+    folded = F.array(*[of_class(c) for c in range(N_CLASSES)])
+    logits = F.transform(folded, lambda x: F.exp(x))
     total = F.aggregate(logits, F.lit(0.0), lambda acc, x: acc + x)
     probs = F.transform(logits, lambda x: x / total)
     return (emb.select(F.lit("emb").alias("run_id"), F.col("vec_id").alias("row_id"),
@@ -116,8 +121,9 @@ def multiclass_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL_MULTICLASS_SCORES = """
 mc_exp AS (
-  SELECT vec_id, label, i - 1 AS class_idx, exp(CAST(embedding[i] AS DOUBLE)) AS e
-  FROM embeddings, range(1, 11) r(i)),
+  SELECT vec_id, label, c AS class_idx,
+    exp(list_sum([CAST(embedding[i] AS DOUBLE) FOR i IN range(c + 1, len(embedding) + 1, 10)])) AS e
+  FROM embeddings, range(0, 10) r(c)),
 multiclass_scores AS (
   SELECT 'emb' AS run_id, vec_id AS row_id, label AS y_true, CAST(class_idx AS INTEGER) AS class_idx,
     e / sum(e) OVER (PARTITION BY vec_id) AS score
@@ -203,8 +209,10 @@ def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gradewell.operators.episodes import step_index
     base = steps_from_events(read_table(spark, sf_dir, "events"))
     # E1 over every step; a user holding a third of all events must not put
-    # one episode's rows through one task: range-partitioned row numbers
-    numbered = step_index(base, ("ts", "event_id"), skew_safe=True)
+    # one episode's rows through one task: range-partitioned row numbers of the
+    # three key columns, joined back to the texts
+    number = step_index(base.select("episode_id", "ts", "event_id"), ("ts", "event_id"), skew_safe=True)
+    numbered = base.join(number.select("event_id", "step_idx"), "event_id")
     return numbered.select(
         "episode_id", "step_idx", "event_id", "ts", "action_type", "action_text", "execution_success",
         "code_body", "error_message", "metric_value", "task_key")

@@ -14,7 +14,7 @@ from gradewell.sources.io import explode_checklist
 def dataset_profile(spark: SparkSession, sf_dir: str):
     """Profile of the episode dataset, child tables keyed by dataset_path."""
     data = X.dirty_events(spark, sf_dir)
-    prof = P.profile_table(data, X.DIRTY_TARGET, order_by="event_id")
+    prof = P.profile_table(data, X.DIRTY_TARGET)
     tag = lambda d: d.withColumn("dataset_path", F.lit("dirty_events"))
     flags = V.profile_flags(tag(prof.summary), tag(prof.outliers), tag(prof.datetime_cols))
     return flags, tag(prof.corr_pairs), tag(prof.missing)

@@ -35,7 +35,7 @@ def _miss(c: str) -> str:
 , m AS (SELECT * FROM (""" + "\nUNION ALL\n".join(
     f"SELECT {i} AS i, '{c}' AS c, sum(CAST({_miss(c)} AS BIGINT)) AS m FROM feats" for i, c in enumerate(FEATS)) + """))
 SELECT CAST(sum(m) AS BIGINT) AS total_missing, CAST(count(*) FILTER (WHERE m > 0) AS BIGINT) AS n_columns,
-  coalesce(array_to_string((list(c ORDER BY i) FILTER (WHERE m > 0))[1:5], ', '), '') AS columns,
+  coalesce(array_to_string(list(c ORDER BY i) FILTER (WHERE m > 0), ', '), '') AS columns,
   CAST(CASE WHEN sum(m) > 0 THEN 0.12 ELSE 0.0 END AS DOUBLE) AS penalty FROM m""").replace("\n, m AS", ",\nm AS", 1))
 def f1_residual_missing(spark, sf_dir):
     return K.residual_missing(_features(spark, sf_dir))
@@ -106,7 +106,7 @@ def f5_skew_remaining(spark, sf_dir):
 SELECT column_name FROM {_FEATS_DESC}
 WHERE column_type = 'VARCHAR' AND column_name IN (SELECT column_name FROM dt)""")
 def f6_datetime_strings_left(spark, sf_dir):
-    dt = [r["column_name"] for r in P.datetime_like(X.dirty_events(spark, sf_dir), X.DIRTY_TARGET, "event_id").collect()]
+    dt = [r["column_name"] for r in P.datetime_like(X.dirty_events(spark, sf_dir), X.DIRTY_TARGET).collect()]
     return K.datetime_strings_left(X.processed_events(spark, sf_dir), dt)
 
 
@@ -234,5 +234,5 @@ from gradewell.plans.registry import ORACLE as ORACLE_F  # noqa: E402
 def f14_feature_pipeline(spark, sf_dir):
     d = X.dirty_events(spark, sf_dir)
     orig = [c for c in d.columns if c != X.DIRTY_TARGET]
-    dt = [r["column_name"] for r in P.datetime_like(d, X.DIRTY_TARGET, "event_id").collect()]
+    dt = [r["column_name"] for r in P.datetime_like(d, X.DIRTY_TARGET).collect()]
     return K.feature_pipeline(_features(spark, sf_dir), orig, _skewed_orig(spark, sf_dir), dt)

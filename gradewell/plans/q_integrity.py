@@ -20,8 +20,8 @@ def _split_sql(rows: str, key: str, label: str | None) -> str:
 WITH b AS ({rows}),
 h AS (SELECT *, {_md5_sql("'42:' || CAST(" + key + " AS VARCHAR)")} AS h FROM b),
 r AS (SELECT *, row_number() OVER ({part} ORDER BY h, {key}) - 1 AS rk, count(*) OVER ({part}) AS n FROM h),
-c AS (SELECT *, n - ceil(CAST(0.3 AS DOUBLE) * n) AS c1,
-             n - ceil(ceil(CAST(0.3 AS DOUBLE) * n) * CAST(0.5 AS DOUBLE)) AS c2 FROM r)
+c AS (SELECT *, n - least(ceil(CAST(0.3 AS DOUBLE) * n), n - 1) AS c1,
+             n - ceil(least(ceil(CAST(0.3 AS DOUBLE) * n), n - 1) * CAST(0.5 AS DOUBLE)) AS c2 FROM r)
 SELECT * EXCLUDE (h, rk, n, c1, c2),
   CASE WHEN rk < c1 THEN 'train' WHEN rk < c2 THEN 'valid' ELSE 'test' END AS split FROM c"""
 
@@ -46,6 +46,19 @@ def c1_split_counts(spark, sf_dir):
     return s.groupBy("label", "split").agg(F.count(F.lit(1)).alias("n"))
 
 
+# a third of the rows without a class, and classes of one row
+_LONE = ("SELECT l_orderkey * 8 + l_linenumber AS row_id, CASE WHEN l_returnflag = 'R' THEN NULL "
+         "WHEN l_orderkey <= 20 THEN 'lone' || (l_orderkey * 8 + l_linenumber) ELSE l_returnflag END AS label FROM lineitem")
+
+
+@query("c1_stratified_split_null_class", _split_sql(_LONE, "row_id", "label"))
+def c1_stratified_split_null_class(spark, sf_dir):
+    rows = read_table(spark, sf_dir, "lineitem").withColumn("row_id", F.col("l_orderkey") * 8 + F.col("l_linenumber"))
+    label = (F.when(F.col("l_returnflag") == "R", None)
+             .when(F.col("l_orderkey") <= 20, F.concat(F.lit("lone"), "row_id")).otherwise(F.col("l_returnflag")))
+    return C.stratified_split(rows.select("row_id", label.alias("label")), "row_id", "label", hash_method="md5")
+
+
 @query("c2_random_split", _split_sql("SELECT o_orderkey FROM orders", "o_orderkey", None))
 def c2_random_split(spark, sf_dir):
     o = read_table(spark, sf_dir, "orders").select("o_orderkey")

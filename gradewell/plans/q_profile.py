@@ -133,18 +133,18 @@ def p8_skewed_columns(spark, sf_dir):
 
 
 # ----------------------------------------------------------------------- P9 (rows-only)
+DATE_FORMATS_SQL = ("['%m/%d/%Y', '%d/%m/%Y', '%Y/%m/%d', '%d.%m.%Y', '%d-%m-%Y', '%b %d, %Y', '%d %b %Y', '%m/%d/%Y %H:%M', '%m/%d/%Y %H:%M:%S', '%Y/%m/%d %H:%M:%S', '%d.%m.%Y %H:%M']")
 _P9_SQL = X.with_views("""
 SELECT col AS column_name FROM (
-  SELECT col, bool_and(TRY_CAST(v AS TIMESTAMP) IS NOT NULL) AS ok FROM (
-    SELECT col, v, row_number() OVER (PARTITION BY col ORDER BY event_id, v) AS rn FROM (
-      SELECT 'props' AS col, event_id, props AS v FROM dirty_events WHERE props IS NOT NULL
-      UNION ALL SELECT 'day', event_id, day FROM dirty_events WHERE day IS NOT NULL))
-  WHERE rn <= 20 GROUP BY col) WHERE ok""", DE)
+  SELECT col, bool_and(TRY_CAST(v AS TIMESTAMP) IS NOT NULL OR try_strptime(v, %s) IS NOT NULL) AS ok FROM (
+    SELECT 'props' AS col, props AS v FROM dirty_events WHERE props IS NOT NULL
+    UNION ALL SELECT 'day', day FROM dirty_events WHERE day IS NOT NULL)
+  GROUP BY col) WHERE ok""" % DATE_FORMATS_SQL, DE)
 
 
 @query("p9_datetime_like", _P9_SQL)
 def p9_datetime_like(spark, sf_dir):
-    return P.datetime_like(X.dirty_events(spark, sf_dir), TGT, order_by="event_id")
+    return P.datetime_like(X.dirty_events(spark, sf_dir), TGT)
 
 
 # ----------------------------------------------------------------------- P10
@@ -206,7 +206,7 @@ FROM p3, p7, p10, p11"""
 @query("p12_profile_summary", _P12_SQL)
 def p12_profile_summary(spark, sf_dir):
     df = X.dirty_events(spark, sf_dir).cache()
-    prof = P.profile_table(df, TGT, order_by="event_id")
+    prof = P.profile_table(df, TGT)
     s = prof.summary
     return s.select("n_rows", "n_cols", "n_numeric", "n_categorical",
                     F.round("missing_total_frac", 6).alias("missing_total_frac"),
@@ -260,8 +260,8 @@ _SPLIT_KEY = "CAST(event_id AS VARCHAR) || ':' || CAST(value AS VARCHAR) || ':'
     f"""h AS (SELECT *, CAST('0x' || substr(md5('42:' || {_SPLIT_KEY}), 1, 15) AS BIGINT) AS h FROM dirty_events)""",
     f"""r AS (SELECT *, row_number() OVER (PARTITION BY {TGT} ORDER BY h, event_id, value, day) - 1 AS rk,
                count(*) OVER (PARTITION BY {TGT}) AS n FROM h)""",
-    """sp AS (SELECT * EXCLUDE (h, rk, n), CASE WHEN rk < n - ceil(CAST(0.3 AS DOUBLE) * n) THEN 'train'
-               WHEN rk < n - ceil(ceil(CAST(0.3 AS DOUBLE) * n) * CAST(0.5 AS DOUBLE)) THEN 'valid' ELSE 'test' END AS split
+    """sp AS (SELECT * EXCLUDE (h, rk, n), CASE WHEN rk < n - least(ceil(CAST(0.3 AS DOUBLE) * n), n - 1) THEN 'train'
+               WHEN rk < n - ceil(least(ceil(CAST(0.3 AS DOUBLE) * n), n - 1) * CAST(0.5 AS DOUBLE)) THEN 'valid' ELSE 'test' END AS split
              FROM r)""",
     "med AS (SELECT " + ", ".join(f"median({c}) AS m_{c}" for c in _NUM_FILL) + " FROM sp WHERE split = 'train')",
     """mode_props AS (SELECT props AS m_props FROM sp WHERE split = 'train' AND props IS NOT NULL

@@ -65,9 +65,9 @@ def k3_stream_step_rules(spark, sf_dir):
 SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, CAST(count(*) AS BIGINT) AS n_steps,
   CAST(sum(CASE WHEN execution_success THEN 0 ELSE 1 END) AS BIGINT) AS n_failed,
 """ + ",\n".join(f"  CAST(sum(CASE WHEN NOT execution_success AND {_classify_sql('error_message')} = '{c}' THEN 1 ELSE 0 END) AS BIGINT) AS n_{c}"
-                  for c in ["syntax_error", "key_error", "timeout", "other"]) + """
+                  for c in K.CRASH_CLASSES) + """
 FROM steps GROUP BY date_trunc('hour', ts)""", X.SQL_STEPS))
 def k4_windowed_failure_rate(spark, sf_dir):
     out = K.run_available_now_updates(K.windowed_failure_rate(_stream_steps(spark, sf_dir)), "k4", ["w"])
     return out.select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "n_steps", "n_failed",
-                      "n_syntax_error", "n_key_error", "n_timeout", "n_other")
+                      *[f"n_{c}" for c in K.CRASH_CLASSES])

@@ -9,18 +9,17 @@ from gradewell.operators import verdicts as V
 from gradewell.plans import fixtures as X
 from gradewell.plans.flagship import flagship, scored_steps
 from gradewell.plans.q_episodes import HARD, SQL_STATE, _drop_pat, _in, _MISS_SQL, _PAIRS_SQL
-from gradewell.plans.q_profile import _P6_SQL, _P7_SQL, _P11_SQL
+from gradewell.plans.q_profile import DATE_FORMATS_SQL, _P6_SQL, _P7_SQL, _P11_SQL
 from gradewell.plans.registry import query
 from gradewell.operators import episodes as E
 
 # ------------------------------------------------------------------ SQL verdicts
 _DT_SQL = X.with_views("""
 SELECT count(*) > 0 AS has_dt FROM (
-  SELECT col, bool_and(TRY_CAST(v AS TIMESTAMP) IS NOT NULL) AS ok FROM (
-    SELECT col, v, row_number() OVER (PARTITION BY col ORDER BY event_id, v) AS rn FROM (
-      SELECT 'props' AS col, event_id, props AS v FROM dirty_events WHERE props IS NOT NULL
-      UNION ALL SELECT 'day', event_id, day FROM dirty_events WHERE day IS NOT NULL))
-  WHERE rn <= 20 GROUP BY col) WHERE ok""", X.SQL_DIRTY_EVENTS)
+  SELECT col, bool_and(TRY_CAST(v AS TIMESTAMP) IS NOT NULL OR try_strptime(v, %s) IS NOT NULL) AS ok FROM (
+    SELECT 'props' AS col, props AS v FROM dirty_events WHERE props IS NOT NULL
+    UNION ALL SELECT 'day', day FROM dirty_events WHERE day IS NOT NULL)
+  GROUP BY col) WHERE ok""" % DATE_FORMATS_SQL, X.SQL_DIRTY_EVENTS)
 
 _CTX = f"""
 pairs AS ({_PAIRS_SQL}),

@@ -1,28 +1,23 @@
-"""Session helpers: building a session, the shared checkpoint folder, and a
-size-checked broadcast."""
+"""Session helpers: building a session and the shared checkpoint folder."""
 
 from __future__ import annotations
 
 import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-# A side is broadcast only after we proved it holds at most this many rows.
-BROADCAST_MAX_ROWS = 100_000
+from pyspark.sql import SparkSession
 
 
 def get_spark(app: str = "gradewell", master: str | None = None,
               shuffle_partitions: int | None = None) -> SparkSession:
-    """Session with AQE on and the UI off. On a cluster the master and sizes
-    come from spark-submit; locally we default to all cores."""
+    """Session with AQE on and the UI off. Master, sizes and partition counts
+    are the cluster's (spark-submit) unless the caller passes them."""
     b = SparkSession.builder.appName(app)
-    if master or not os.environ.get("SPARK_MASTER"):
-        b = b.master(master or "local[*]")
-    parts = shuffle_partitions or int(os.environ.get("GRADEWELL_SHUFFLE_PARTITIONS", "8"))
-    b = (b.config("spark.sql.shuffle.partitions", str(parts))
-         .config("spark.sql.adaptive.enabled", "true")
+    if master:
+        b = b.master(master)
+    if shuffle_partitions:
+        b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    b = (b.config("spark.sql.adaptive.enabled", "true")
          .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
          .config("spark.sql.adaptive.skewJoin.enabled", "true")
          .config("spark.sql.session.timeZone", "UTC")
@@ -30,8 +25,9 @@ def get_spark(app: str = "gradewell", master: str | None = None,
          .config("spark.ui.showConsoleProgress", "false")
          .config("spark.sql.execution.arrow.pyspark.enabled", "true")
          # no Python call-site capture per Column expression (plan-build cost)
-         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
-         .config("spark.driver.memory", os.environ.get("GRADEWELL_DRIVER_MEMORY", "16g")))
+         .config("spark.python.sql.dataFrameDebugging.enabled", "false"))
+    if os.environ.get("GRADEWELL_DRIVER_MEMORY"):
+        b = b.config("spark.driver.memory", os.environ["GRADEWELL_DRIVER_MEMORY"])
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
@@ -39,11 +35,13 @@ def get_spark(app: str = "gradewell", master: str | None = None,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for lineage cuts. A cluster names it in
-    ``spark.checkpoint.dir``; only when it is unset (local tests) do we pick
-    a fresh scratch folder."""
+    """The shared folder for lineage cuts, named in ``spark.checkpoint.dir``.
+    Unset, a local master (one machine, tests) gets a scratch folder; on a
+    cluster that would be each executor's own disk, so it is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir is not set: it must name a folder all executors share")
         path = tempfile.mkdtemp(prefix="gradewell-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)
@@ -54,28 +52,3 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A folder below the shared checkpoint folder (visible to all executors)."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}"
-
-
-def is_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows. Reads at most
-    ``max_rows + 1`` rows, so the check itself stays cheap on big inputs."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def collect_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS):
-    """The rows of ``df`` when it has at most ``max_rows`` of them, else None."""
-    rows = df.limit(max_rows + 1).collect()
-    return rows if len(rows) <= max_rows else None
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast only behind a proven row bound, computing the side once.
-
-    Up to ``max_rows + 1`` rows are fetched; when the side fits, it comes back
-    as a local relation with a broadcast hint (an aggregate feeding it is not
-    recomputed by the join). Beyond the bound the lazy plan is returned and
-    the planner picks a shuffle join (AQE handles skewed partitions)."""
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        return df
-    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))

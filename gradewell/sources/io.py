@@ -90,17 +90,27 @@ def read_tasks_files(spark: SparkSession, directory: str) -> tuple[DataFrame, Da
 def read_tasks(spark: SparkSession, directory: str, pattern: str = "*.json",
                multi_line: bool = True) -> tuple[DataFrame, DataFrame]:
     """S3: every ``*.json`` task file of a folder. Returns (good, rejected);
-    malformed files (bad JSON, unknown enum, wrong shape, missing fields) are
-    rejected with their file name, as the reference skips them."""
+    malformed files (bad JSON, unknown enum, wrong shape, missing or unknown
+    task or checklist fields, an array of tasks) are rejected with their file
+    name, one row a file, as the reference skips them."""
+    raw = (spark.read.option("wholetext", multi_line).option("pathGlobFilter", pattern).text(directory)
+           .select(F.col("_metadata.file_name").alias("file_name"), F.col("value").alias("_text"))
+           .where(F.trim("_text") != "" if not multi_line else F.lit(True)))
     schema = T.StructType(TASK_SCHEMA.fields + [T.StructField("_corrupt_record", T.StringType())])
-    raw = (spark.read.schema(schema)
-           .option("multiLine", multi_line).option("mode", "PERMISSIVE")
-           .option("columnNameOfCorruptRecord", "_corrupt_record")
-           .option("pathGlobFilter", pattern)
-           .json(directory)
-           .withColumn("file_name", F.col("_metadata.file_name")))
+    one = F.trim("_text").startswith("{")
+    raw = raw.withColumn("_task", F.when(one, F.from_json("_text", schema, {
+        "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})))
+    known = F.array(*[F.lit(c) for c in TASK_SCHEMA.names])
+    item_known = F.array(*[F.lit(c) for c in CHECKLIST_ITEM.names])
+    fields = F.json_object_keys("_text")
+    items = F.from_json(F.get_json_object("_text", "$.plan_checklist"), "array<string>")
+    strange = F.size(F.array_except(F.when(one, fields), known)) > 0
+    strange_item = F.exists(items, lambda i: F.coalesce(F.size(F.array_except(F.json_object_keys(i), item_known)) > 0,
+                                                        F.lit(True)))
+    raw = raw.select("file_name", "_text", "_task.*",
+                     (F.coalesce(strange, F.lit(False)) | F.coalesce(strange_item, F.lit(False))).alias("_strange"))
     cols = {c: F.col(c) for c in TASK_SCHEMA.names}
-    ok = F.col("_corrupt_record").isNull() & _task_valid(cols)
+    ok = F.coalesce(F.col("_corrupt_record").isNull() & ~F.col("_strange") & _task_valid(cols), F.lit(False))
     good = (raw.where(ok)
             .withColumn("time_budget_seconds", F.coalesce("time_budget_seconds", F.lit(300.0)))
             .withColumn("max_steps", F.coalesce("max_steps", F.lit(15)))
@@ -109,8 +119,8 @@ def read_tasks(spark: SparkSession, directory: str, pattern: str = "*.json",
                 "plan_checklist", lambda i: i.withField("weight", F.coalesce(i["weight"], F.lit(1.0)))
                 .withField("required", F.coalesce(i["required"], F.lit(False)))
                 .withField("keywords", F.coalesce(i["keywords"], F.array().cast("array<string>")))))
-            .drop("_corrupt_record"))
-    rejected = raw.where(~ok | ok.isNull()).select("file_name", "_corrupt_record")
+            .drop("_corrupt_record", "_text", "_strange"))
+    rejected = raw.where(~ok).select("file_name", F.col("_text").alias("_corrupt_record"))
     return good, rejected
 
 
@@ -155,7 +165,7 @@ def type_label(dt: T.DataType) -> str:
 
 def table_overview(df: DataFrame) -> DataFrame:
     """Rows, columns, count of columns per type, total nulls (NaN counts as
-    missing), first 20 column names. One aggregate pass over the table."""
+    missing), all column names. One aggregate pass over the table."""
     nulls = [F.sum(_missing(df, c).cast("long")) for c in df.columns]
     total_nulls = F.lit(0).cast("long")
     for n in nulls:
@@ -164,13 +174,12 @@ def table_overview(df: DataFrame) -> DataFrame:
     for f in df.schema.fields:
         types[type_label(f.dataType)] = types.get(type_label(f.dataType), 0) + 1
     by_type = ", ".join(f"{k}: {v}" for k, v in sorted(types.items()))
-    first = ", ".join(df.columns[:20]) + ("..." if len(df.columns) > 20 else "")
     return df.agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.lit(len(df.columns)).cast("long").alias("n_cols"),
         F.lit(by_type).alias("dtypes"),
         total_nulls.alias("total_nulls"),
-        F.lit(first).alias("columns"),
+        F.lit(", ".join(df.columns)).alias("columns"),
     )
 
 

@@ -12,10 +12,12 @@ K4: failures per crash class in tumbling event-time windows with a watermark.
 
 from __future__ import annotations
 
+import sys
 import uuid
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,13 +29,10 @@ from gradewell.session import scratch_path
 # The state function runs in Python workers that may not have this package
 # installed: ship this module's functions by value (they only need numpy and
 # pandas on the workers).
-try:
-    import sys as _sys
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-    from pyspark import cloudpickle as _cloudpickle
-    _cloudpickle.register_pickle_by_value(_sys.modules[__name__])
-except Exception:  # noqa: BLE001 - older cloudpickle: fall back to by-reference
-    pass
+#: Every crash class a failed step can have, in the order of the rules.
+CRASH_CLASSES = [*dict.fromkeys(c for _, c in TR.ERROR_CLASSES), "other", "none"]
 
 STATE_SCHEMA = T.StructType([
     T.StructField("n", T.LongType()), T.StructField("start_ms", T.LongType()),
@@ -56,9 +55,9 @@ OUTPUT_SCHEMA = T.StructType([
 
 def stream_inputs(steps: DataFrame, tasks: DataFrame) -> DataFrame:
     """Per-step columns the state function needs, all computed JVM-side
-    (stream-static broadcast join to the tiny task table)."""
+    (stream-static join; the planner broadcasts a small task table)."""
     t = tasks.select("task_id", "max_steps", "time_budget_seconds")
-    s = steps.join(F.broadcast(t), "task_id")
+    s = steps.join(t, "task_id")
     text = TR.step_text(F.col("code_body"), F.col("action_text"))
     return s.select(
         "episode_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), "action_type",
@@ -145,8 +144,11 @@ def _episode_state(key, pdfs, state: GroupState):
     state.update((n, start_ms, repairs, repair_ok, fails, phase, cycles, metric, done, budget_s, dropped))
     if start_ms is not None:
         # budget timeout while open; after done, keep the state one budget
-        # longer to absorb stragglers, then purge it
-        state.setTimeoutTimestamp(start_ms + int(2 * budget_s * 1000) if done else start_ms + int(budget_s * 1000))
+        # longer to absorb stragglers, then purge it. A step that is not late
+        # can come when the watermark has already passed the deadline: the
+        # timer then fires as soon as the watermark moves on.
+        deadline = start_ms + int((2 if done else 1) * budget_s * 1000)
+        state.setTimeoutTimestamp(max(deadline, state.getCurrentWatermarkMs() + 1))
     if out["episode_id"]:
         yield pd.DataFrame(out)
 
@@ -178,7 +180,7 @@ def windowed_failure_rate(steps: DataFrame, window: str = "1 hour", watermark: s
             .groupBy(F.window("ts", window).alias("w"))
             .agg(F.count(F.lit(1)).alias("n_steps"), F.sum((~F.col("ok")).cast("long")).alias("n_failed"),
                  *[F.sum(((~F.col("ok")) & (F.col("crash_class") == c)).cast("long")).alias(f"n_{c}")
-                   for c in ["syntax_error", "key_error", "timeout", "other"]]))
+                   for c in CRASH_CLASSES]))
 
 
 # ------------------------------------------------------------------ runner
@@ -218,8 +220,16 @@ def run_available_now_updates(df: DataFrame, name: str, key_cols: list[str]) ->
     return res.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn", "_batch")
 
 
-def read_events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events table as a file stream (one file -> one micro-batch here)."""
-    schema = spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet").schema
-    return (spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
-            .option("maxFilesPerTrigger", 1).parquet(sf_dir))
+def read_events_stream(spark: SparkSession, sf_dir: str, batches: int = 4) -> DataFrame:
+    """The events table as a file stream of ``batches`` micro-batches: it is cut
+    by time into files below the shared folder, read one file a batch."""
+    events = spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet")
+    folder = scratch_path(spark, f"events-{uuid.uuid4().hex[:12]}")
+    ts = F.unix_micros(F.col("ts").cast("timestamp"))
+    lo, hi = events.agg(F.min(ts), F.max(ts)).first()
+    width = ((hi or 0) - (lo or 0)) // batches + 1
+    events = events.withColumn("_part", F.floor((ts - F.lit(lo or 0)) / width))
+    for k in range(batches):                       # written in order of time: files are read by their age
+        events.where(F.col("_part") == k).drop("_part").coalesce(1).write.mode("append").parquet(folder)
+    return (spark.readStream.schema(spark.read.parquet(folder).schema)
+            .option("maxFilesPerTrigger", 1).parquet(folder))

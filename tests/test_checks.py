@@ -2,6 +2,8 @@ import itertools
 import math
 import random
 
+from pyspark.sql import functions as F
+
 from gradewell.operators import checks as K
 
 
@@ -23,12 +25,10 @@ def test_near_duplicates_exact(spark):
     assert got == _brute(rows)
 
 
-def test_near_duplicates_parity_bounded(spark):
-    rows = [(i, float(i % 3), float(i % 2), 1.0) for i in range(30)]
-    df = spark.createDataFrame(rows, "k long, a double, b double, c double")
-    assert K.near_duplicates_parity(df, "k", ["a", "b", "c"]).first()[0] == 10   # capped at 10
-    big = spark.range(600).selectExpr("id as k", "1.0 as a", "2.0 as b", "3.0 as c")
-    assert K.near_duplicates_parity(big, "k", ["a", "b", "c"]).first()[0] == 0    # > 500 rows: skipped
+def test_near_duplicates_count_every_pair(spark):
+    big = spark.range(700).selectExpr("cast(id as double) as a", "2.0D as b", "3.0D as c")
+    assert K.near_duplicates(big, ["a", "b", "c"]).first()[0] == 700 * 699 // 2
+    assert K.near_duplicates(big.limit(0), ["a", "b", "c"]).first()[0] == 0
 
 
 def test_prediction_checks(spark):
@@ -52,7 +52,24 @@ def test_feature_pipeline_verdict(spark):
     assert not v["passed"] and math.isclose(v["penalty"], 0.32) and math.isclose(v["score"], 0.68)
 
 
-def test_single_feature_leak_binned_flags_copy(spark):
+def test_single_feature_leak_any_width(spark):
+    """Rare labels and many columns go the same way; string labels are labels."""
+    from gradewell.operators import models as L
+    rows = [(float(i % 10), int(i % 10 == 7 and i // 10 % 5 < 2), float((i * 37) % 101)) for i in range(2000)]
+    df = spark.createDataFrame(rows, "rare double, y int, noise double")
+    narrow = {r["feature"]: r["score"] for r in L.single_feature_leak(df, "y", "binary_classification").collect()}
+    assert math.isclose(narrow["rare"], 1 - 120 / 1920 / 2, rel_tol=1e-9)      # 80 of the 200 sevens are positive
+    wide = df.select("*", *[(F.col("noise") + i).alias(f"w{i}") for i in range(60)])
+    again = {r["feature"]: r["score"] for r in L.single_feature_leak(wide, "y", "binary_classification").collect()}
+    assert again["rare"] == narrow["rare"] and len(again) == 62
+    words = df.withColumn("y", F.when(F.col("y") == 1, "yes").otherwise("no"))
+    assert {r["feature"]: r["score"] for r in L.single_feature_leak(words, "y", "binary_classification").collect()} == narrow
+    one = spark.createDataFrame([(float(i), int(i == 1234)) for i in range(2000)], "id double, y int")
+    r = L.single_feature_leak(one, "y", "binary_classification").first()
+    assert r["leak"] and r["score"] > 0.99
+
+
+def test_single_feature_leak_flags_copy(spark):
     from gradewell.operators import models as L
     rnd = random.Random(11)
     rows = []
@@ -60,9 +77,9 @@ def test_single_feature_leak_binned_flags_copy(spark):
         y = rnd.randint(0, 1)
         rows.append((y + 0.001 * rnd.random(), rnd.random(), float(rnd.randint(0, 5)), y))
     df = spark.createDataFrame(rows, "leaked double, noise double, small double, y int")
-    out = {r["feature"]: r for r in L.single_feature_leak_binned(df, "y", "binary_classification").collect()}
+    out = {r["feature"]: r for r in L.single_feature_leak(df, "y", "binary_classification").collect()}
     assert out["leaked"]["leak"] and out["leaked"]["score"] > 0.99
     assert not out["noise"]["leak"] and not out["small"]["leak"]
     reg = spark.createDataFrame([(float(i), float(i % 7), float(i)) for i in range(300)], "a double, b double, t double")
-    r = {x["feature"]: x["score"] for x in L.single_feature_leak_binned(reg, "t", "regression").collect()}
+    r = {x["feature"]: x["score"] for x in L.single_feature_leak(reg, "t", "regression").collect()}
     assert r["a"] > 0.9 and r["b"] < 0.5

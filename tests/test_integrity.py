@@ -49,7 +49,7 @@ def test_distributed_row_number_matches_window(spark):
     # one hot key holding most rows, many small ones
     rows = [(0 if i % 3 else i % 17, (i * 7919) % 1000, i) for i in range(3000)]
     df = spark.createDataFrame(rows, "k long, t long, id long")
-    got = {r["id"]: r["rn"] for r in distributed_row_number(df, ["k"], ["t", "id"], n_parts=6).collect()}
+    got = {r["id"]: r["rn"] for r in distributed_row_number(df, ["k"], ["t", "id"]).collect()}
     w = Window.partitionBy("k").orderBy("t", "id")
     want = {r["id"]: r["rn"] for r in df.withColumn("rn", F.row_number().over(w) - 1).collect()}
     assert got == want

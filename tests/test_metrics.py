@@ -17,7 +17,7 @@ def test_auc_matches_pairwise_with_ties(spark):
     rnd = random.Random(3)
     rows = [("r1" if i % 3 else "r2", rnd.randint(0, 1), round(rnd.random(), 1)) for i in range(600)]
     df = spark.createDataFrame(rows, "run_id string, y_true int, y_score double")
-    got = {r["run_id"]: r["roc_auc"] for r in M.roc_auc(df, n_buckets=4).collect()}
+    got = {r["run_id"]: r["roc_auc"] for r in M.roc_auc(df).collect()}
     for run in ("r1", "r2"):
         ys = [y for r, y, _ in rows if r == run]
         ss = [s for r, _, s in rows if r == run]
@@ -30,6 +30,22 @@ def test_auc_matches_pairwise_with_ties(spark):
         assert math.isclose(neg[run], 1 - got[run], rel_tol=1e-12)
 
 
+def test_invalid_scores(spark):
+    df = spark.createDataFrame([("r", 0, float("nan")), ("r", 0, None), ("r", 1, 0.9)], "run_id string, y_true int, y_score double")
+    assert M.accuracy(df).first()["accuracy"] == 1.0
+    ll = M.neg_log_loss(df).first()
+    assert ll["neg_log_loss"] is None and ll["n_invalid"] == 2
+
+
+def test_auc_counts_beyond_bigint(spark):
+    df = spark.createDataFrame([("r", 1, 0.9), ("r", 0, 0.1)], "run_id string, y_true int, y_score double")
+    big = df.withColumn("w", F.lit(1))
+    from unittest import mock
+    with mock.patch.object(M, "exclusive_prefix_sum", lambda g, keys, o, v: g.withColumn("pos", F.col("pos") * (1 << 40))
+                           .withColumn("neg", F.col("neg") * (1 << 40)).withColumn("neg_below", F.when(F.col("pos") > 0, F.lit(1 << 40)).otherwise(0))):
+        assert M.roc_auc(big).first()["roc_auc"] == 1.0
+
+
 def test_auc_single_class_is_null(spark):
     df = spark.createDataFrame([("r", 1, 0.2), ("r", 1, 0.4)], "run_id string, y_true int, y_score double")
     assert M.roc_auc(df).first()["roc_auc"] is None

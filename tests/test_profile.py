@@ -59,8 +59,7 @@ def test_exact_quantiles_refinement_path(spark):
     rnd = np.random.default_rng(7)
     vals = rnd.exponential(3.0, 5000)
     df = spark.createDataFrame([(float(v),) for v in vals], "v double")
-    # a tiny exact cap forces the sketch-bracketing rounds
-    q = exact_quantiles(df, ["v"], [0.25, 0.5, 0.75], accuracy=100, exact_cap=50)["v"]
+    q = exact_quantiles(df, ["v"], [0.25, 0.5, 0.75])["v"]
     assert np.allclose(q, np.percentile(vals, [25, 50, 75]), rtol=0, atol=1e-12)
 
 
@@ -85,7 +84,7 @@ def test_duplicates_and_class_imbalance(spark):
 def test_profile_table_summary(spark):
     rows = [(float(i), None if i % 4 == 0 else float(i * 2), "2024-01-%02d" % (1 + i % 28), i % 2) for i in range(60)]
     df = spark.createDataFrame(rows, "x double, y double, d string, t int")
-    prof = P.profile_table(df, "t", order_by="x")
+    prof = P.profile_table(df, "t")
     s = prof.summary.first()
     assert s["n_rows"] == 60 and s["n_cols"] == 4 and s["n_numeric"] == 2 and s["n_categorical"] == 1
     assert s["has_missing"] and s["n_high_corr_pairs"] == 1
@@ -108,8 +107,25 @@ def test_label_encoder_skew_safe_equals_window(spark):
     assert m1 == m2 and len(m1) == 42
 
 
+def test_exact_quantiles_of_large_integers(spark):
+    big = 2**53 + 1
+    df = spark.createDataFrame([(big + 2 * i,) for i in range(5)], "v long")
+    assert exact_quantiles(df, ["v"], [0.0, 0.5, 1.0])["v"] == [big, big + 4, big + 8]
+
+
+def test_integer_median_between_two_values(spark):
+    df = spark.createDataFrame([(1,), (2,), (None,)], "v long")
+    assert sorted(r.v for r in P.impute_fill(df, df, ["v"]).collect()) == [1.0, 1.5, 2.0]
+
+
+def test_dates_need_every_value(spark):
+    rows = [("2024-01-%02d" % (1 + i % 28), "01/02/2020", "2020-01-01" if i < 21 else "garbage", i) for i in range(40)]
+    df = spark.createDataFrame(rows, "iso string, us string, mixed string, t int")
+    assert sorted(r.column_name for r in P.datetime_like(df, "t").collect()) == ["iso", "us"]
+
+
 def test_exact_quantiles_heavy_repeats(spark):
     vals = [0.0] * 3000 + [float(i) for i in range(1, 200)]
     df = spark.createDataFrame([(v,) for v in vals], "v double")
-    q = exact_quantiles(df, ["v"], [0.25, 0.5, 0.99], accuracy=100, exact_cap=50)["v"]
+    q = exact_quantiles(df, ["v"], [0.25, 0.5, 0.99])["v"]
     assert np.allclose(q, np.percentile(vals, [25, 50, 99]), rtol=0, atol=1e-9)
