@@ -69,11 +69,14 @@ def _needed(n: int, share: int) -> int:
 
 
 def _mark(k: int):
-    def mark(key, table):
-        sets = shingle_sets(table.column("text"), k)
-        return pa.table({"doc_id": table.column("doc_id").cast(pa.int64()),
-                         "n": pa.array([len(s) for s in sets], pa.int64()),
-                         "class": pa.array([_class_of(s) for s in sets], pa.int64())})
+    def mark(batches):
+        for t in batches:
+            for lo in range(0, t.num_rows, 512):
+                part = t.slice(lo, 512)
+                sets = shingle_sets(part.column("text"), k)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
+                     pa.array([_class_of(s) for s in sets], pa.int64())], names=["doc_id", "n", "class"])
     return mark
 
 
@@ -277,9 +280,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     whose Jaccard similarity is at least ``share`` percent."""
     rows, n_bytes = B.size_of(docs, text_col)
     blocks, bits = B.n_blocks(n_bytes), B.bucket_bits(n_bytes // 6)
-    dealt = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn(
-        "block", B.block_by_hash(F.col("doc_id"), blocks))
-    marks = B.checkpointed(dealt.groupBy("block").applyInArrow(_mark(k), "doc_id long, n long, class long"))
+    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    marks = B.checkpointed(d.mapInArrow(_mark(k), "doc_id long, n long, class long"))
+    dealt = d.withColumn("block", B.block_by_hash(F.col("doc_id"), blocks))
     reps = marks.filter("n > 0 and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("rep"))
     here = reps.withColumn("block", B.block_by_hash(F.col("rep"), blocks))
     counts = dealt.groupBy("block").cogroup(here.groupBy("block")).applyInArrow(
