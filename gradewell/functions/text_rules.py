@@ -147,11 +147,11 @@ HYPERPARAM_SET = Rx(r"(n_estimators\s*=|max_depth\s*=|learning_rate\s*=|"
                     r"subsample\s*=|colsample_bytree\s*=|reg_alpha\s*=|reg_lambda\s*=|"
                     r"max_features\s*=|min_child_weight\s*=|epochs\s*=|batch_size\s*=)", "i")
 BAD_PARAMS = [
-    (Rx(r"n_estimators\s*=\s*1\b"), "n_estimators=1 (too few trees)"),
-    (Rx(r"max_depth\s*=\s*None\b"), "max_depth=None (unlimited depth, overfitting risk)"),
-    (Rx(r"n_estimators\s*=\s*[2-5]\b"), "n_estimators very low (2-5)"),
-    (Rx(r"learning_rate\s*=\s*[1-9]\d*\.?\d*"), "learning_rate >= 1.0 (too high)"),
-    (Rx(r"max_depth\s*=\s*[5-9]\d+"), "max_depth > 50 (extreme, likely overfitting)"),
+    Rx(r"n_estimators\s*=\s*1\b"),
+    Rx(r"max_depth\s*=\s*None\b"),
+    Rx(r"n_estimators\s*=\s*[2-5]\b"),
+    Rx(r"learning_rate\s*=\s*[1-9]\d*\.?\d*"),
+    Rx(r"max_depth\s*=\s*[5-9]\d+"),
 ]
 TUNING = Rx(r"(GridSearchCV|RandomizedSearchCV|BayesSearchCV|Optuna|optuna|"
             r"HalvingGridSearchCV|cross_val_score|param_grid|param_dist|"
@@ -279,7 +279,7 @@ def hyperparam_count(text: Column) -> Column:
 
 def bad_param_flags(text: Column) -> Column:
     """Array of 5 booleans, one per suspicious parameter pattern."""
-    return F.array(*[rx_match(text, rx) for rx, _ in BAD_PARAMS])
+    return F.array(*[rx_match(text, rx) for rx in BAD_PARAMS])
 
 
 def test_sizes(text: Column) -> Column:

@@ -134,7 +134,7 @@ def step_flags(s: DataFrame) -> DataFrame:
         "p_outlier": m(TR.OUTLIER_PLAN), "p_dedup": m(TR.DEDUP_PLAN), "p_importance": m(TR.IMPORTANCE),
         "p_ts_hint": m(TR.TIMESERIES_HINTS),
     }
-    for i, (rx, _) in enumerate(TR.BAD_PARAMS):
+    for i, rx in enumerate(TR.BAD_PARAMS):
         cols[f"f_bad{i}"] = m(rx)
     return s.select("*", *[v.alias(k) for k, v in cols.items()])
 

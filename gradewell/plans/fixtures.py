@@ -149,7 +149,8 @@ multiclass_predictions AS (
 # period; the action, outcome, code and error texts are rules of the event.
 # ---------------------------------------------------------------------------
 
-# The code texts of the synthetic step log, one per event_id % 7.
+# The texts of the synthetic step log, one per event_id % their
+# number. Together they give every text rule cases for and against it.
 STEP_CODE_TEXTS = [
     "model = RandomForestClassifier(n_estimators=100, random_state=42)\nmodel.fit(X, y)",
     "df = df.dropna()",
@@ -157,15 +158,46 @@ STEP_CODE_TEXTS = [
     "clf.fit(test_df, y)",
     "GridSearchCV(m, g, cv=5).fit(X, y)",
     "a, b = train_test_split(X, test_size=0.05, shuffle=True)",
-    "df.drop(columns=['Cabin'])",
+    "df.drop(columns=['value2'])",
+    "X_train['Survived'] = X_train['label']\nfeatures['price'].mean()\nX['churn'] + X['sales']",
+    "y = X.pop('sales')\nprint(corr.corrwith(y))",
+    "high = df.corr().abs()\nsns.heatmap(high)",
+    "df['amount'] = df['amount'].fillna(df['amount'].median())\ndf['half_null'] = df['half_null'].fillna(0)",
+    "df = df.drop('mostly_null', axis=1)\ndf = df.drop(columns=['amount', 'half_null', 'props'])",
+    "df['mostly_null'] = df['mostly_null'].fillna(0)",
+    "Z = PCA(n_components=3).fit_transform(X)",
+    "lo, hi = df['value'].quantile([0.01, 0.99])\ndf['value'] = df['value'].clip(lo, hi)",
+    "df = df.drop_duplicates()\nassert not df.duplicated().any()",
+    "order = np.argsort(forest.feature_importances_)[::-1]",
+    "booster = GradientBoostingRegressor(n_estimators=1, learning_rate=3.5)\nbooster.fit(X, y)",
+    "t = ExtraTreesRegressor(n_estimators=4, max_depth=None).fit(X, y)\nu = Forest(max_depth=75)",
+    "net = nn.Sequential(nn.Linear(8, 1))\nnet.fit(X, y)",
+    "class Mean:\n    def fit(self, X, y):\n        return self\nMean().fit(X, y)",
+    "from sklearn.ensemble import StackingClassifier\nstack = StackingClassifier(parts)\nstack.fit(X, y)",
+    "for f, (i, j) in enumerate(TimeSeriesSplit(4).split(X)):\n    score(i, j)",
+    "p, q = train_test_split(rows, test_size=0.3, shuffle=False)\ncross_val_score(m, p, cv=3)",
+    "tr, va = train_test_split(X, y, stratify=y, test_size=0.75)\nnp.random.seed(7)",
+    "Plan: look for correlated columns, impute what is missing, explore distributions, treat outliers and "
+    "duplicates, then rank by importance",
+    "strategy: forecast month by month with a temporal holdout",
+    "best = RandomizedSearchCV(est, param_dist, random_state=0).fit(X, y)",
+    "pipeline = make_pipeline(scale, Ridge(alpha=0.5))\npipeline.fit(train_df, y)",
 ]
-# Error messages of failed steps, one per event_id % 4.
+# Error messages of failed steps, one per (event_id / 5) % their number.
 STEP_ERRORS = [
     "KeyError: 'Age'",
     "SyntaxError: invalid syntax",
     "Execution timed out after 60s",
     "ZeroDivisionError: division by zero",
+    "ModuleNotFoundError: No module named 'fastai'",
+    "ImportError: this module is forbidden",
+    "NameError: name 'frame' is not defined",
+    "AttributeError: 'NoneType' object has no attribute 'fit'",
+    "TypeError: unsupported operand",
+    "ValueError: could not convert string to float",
 ]
+# Events whose id is divisible by this hand in the episode.
+SUBMIT_EVERY = 31
 # event_type -> action type.
 ACTION_OF_EVENT = {"signup": "PLAN", "view": "FEATURE_ENGINEERING", "click": "CODE",
                    "purchase": "MODEL"}
@@ -179,6 +211,11 @@ def _case_literal(col, mapping: list[str]):
     return expr
 
 
+def _sql_case(expr: str, texts: list[str]) -> str:
+    whens = " ".join("WHEN {} THEN '{}'".format(i, t.replace("'", "''")) for i, t in enumerate(texts))
+    return f"CASE {expr} {whens} END"
+
+
 def steps_from_events(e: DataFrame) -> DataFrame:
     """The stateless part of the step log (works on a stream too): one row
     per event; even events wrap their code in a fenced block inside the raw
@@ -187,14 +224,16 @@ def steps_from_events(e: DataFrame) -> DataFrame:
     action = F.lit("CODE_FIX")
     for ev, act in reversed(list(ACTION_OF_EVENT.items())):
         action = F.when(F.col("event_type") == ev, F.lit(act)).otherwise(action)
-    code = _case_literal(eid % 7, STEP_CODE_TEXTS)
+    action = F.when(eid % SUBMIT_EVERY == 0, F.lit("FINAL_SUBMIT")).otherwise(action)
+    code = _case_literal(eid % len(STEP_CODE_TEXTS), STEP_CODE_TEXTS)
     base = e.select(
         "event_id", "ts",
         (F.col("user_id") * 10 + F.floor((F.dayofmonth("ts") - 1) / 6).cast("bigint")).alias("episode_id"),
         action.alias("action_type"),
         (eid % 5 != 0).alias("execution_success"),
         code.alias("code_body"),
-        F.when(eid % 5 != 0, None).otherwise(_case_literal(eid % 4, STEP_ERRORS)).alias("error_message"),
+        F.when(eid % 5 != 0, None).otherwise(
+            _case_literal(F.floor(eid / 5) % len(STEP_ERRORS), STEP_ERRORS)).alias("error_message"),
         F.when(eid % 3 == 0, F.col("value") / 100).alias("metric_value"),
     )
     header = F.concat(F.lit("ACTION: "), F.col("action_type"), F.lit("\n"))
@@ -226,21 +265,15 @@ steps AS (
     'ACTION: ' || action_type || chr(10) || CASE WHEN event_id % 2 = 0
       THEN '```python' || chr(10) || code_body || chr(10) || '```' ELSE code_body END AS action_text,
     execution_success, code_body,
-    CASE WHEN NOT execution_success THEN CASE event_id % 4 WHEN 0 THEN 'KeyError: ''Age'''
-      WHEN 1 THEN 'SyntaxError: invalid syntax' WHEN 2 THEN 'Execution timed out after 60s'
-      ELSE 'ZeroDivisionError: division by zero' END END AS error_message,
+    CASE WHEN NOT execution_success THEN """ + _sql_case(f"(event_id // 5) % {len(STEP_ERRORS)}", STEP_ERRORS) + """ END AS error_message,
     CASE WHEN event_id % 3 = 0 THEN value / 100 END AS metric_value,
     CAST((episode_id // 10) % 5 AS INTEGER) AS task_key
   FROM (SELECT *, user_id * 10 + CAST(floor((extract(day FROM ts) - 1) / 6) AS BIGINT) AS episode_id,
-      CASE event_type WHEN 'signup' THEN 'PLAN' WHEN 'view' THEN 'FEATURE_ENGINEERING'
-        WHEN 'click' THEN 'CODE' WHEN 'purchase' THEN 'MODEL' ELSE 'CODE_FIX' END AS action_type,
+      CASE WHEN event_id % """ + str(SUBMIT_EVERY) + """ = 0 THEN 'FINAL_SUBMIT' WHEN event_type = 'signup' THEN 'PLAN'
+        WHEN event_type = 'view' THEN 'FEATURE_ENGINEERING' WHEN event_type = 'click' THEN 'CODE'
+        WHEN event_type = 'purchase' THEN 'MODEL' ELSE 'CODE_FIX' END AS action_type,
       event_id % 5 <> 0 AS execution_success,
-      CASE event_id % 7
-        WHEN 0 THEN 'model = RandomForestClassifier(n_estimators=100, random_state=42)' || chr(10) || 'model.fit(X, y)'
-        WHEN 1 THEN 'df = df.dropna()' WHEN 2 THEN 'print(train_df.describe())'
-        WHEN 3 THEN 'clf.fit(test_df, y)' WHEN 4 THEN 'GridSearchCV(m, g, cv=5).fit(X, y)'
-        WHEN 5 THEN 'a, b = train_test_split(X, test_size=0.05, shuffle=True)'
-        ELSE 'df.drop(columns=[''Cabin''])' END AS code_body
+      """ + _sql_case(f"event_id % {len(STEP_CODE_TEXTS)}", STEP_CODE_TEXTS) + """ AS code_body
     FROM events) e)
 """
 
@@ -258,6 +291,8 @@ TASK_SPECS = [
     ("binary_classification", "accuracy", "churn", 0.6, 0.6, False),
     ("regression", "r2", "sales", 0.2, 0.9, False),
 ]
+# This task names its time column instead of the flag.
+TIME_COLUMN_TASK = 4
 # The plan checklist; task k carries the first k items.
 CHECKLIST = [
     ("missing", "handle missing values", ["dropna", "fillna", "missing"], 1.0, True),
@@ -308,8 +343,8 @@ def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(15).alias("max_steps"),
         pick(4).cast("double").alias("oracle_score"),
         pick(3).cast("double").alias("baseline_score"),
-        F.create_map(F.lit("is_time_series"),
-                     F.when(pick(5), F.lit("true")).otherwise(F.lit("false"))).alias("metadata"),
+        F.when(k == TIME_COLUMN_TASK, F.create_map(F.lit("time_column"), F.lit("day"))).otherwise(F.create_map(
+            F.lit("is_time_series"), F.when(pick(5), F.lit("true")).otherwise(F.lit("false")))).alias("metadata"),
         k.cast("int").alias("task_key"),
     )
 
@@ -326,7 +361,7 @@ SQL_TASKS = "tasks AS (\n  SELECT lower(r_name) AS task_id, r_regionkey AS task_
         ("target_column", [f"'{s[2]}'" for s in TASK_SPECS]),
         ("baseline_score", [f"CAST({_sql_opt(s[3])} AS DOUBLE)" for s in TASK_SPECS]),
         ("oracle_score", [f"CAST({_sql_opt(s[4])} AS DOUBLE)" for s in TASK_SPECS]),
-        ("is_time_series", ["true" if s[5] else "false" for s in TASK_SPECS]),
+        ("is_time_series", ["true" if s[5] or i == TIME_COLUMN_TASK else "false" for i, s in enumerate(TASK_SPECS)]),
     ]) + "    CAST(86400.0 * (r_regionkey + 1) AS DOUBLE) AS time_budget_seconds, 15 AS max_steps\n  FROM region)\n"
 
 SQL_CHECKLIST = "checklist AS (SELECT * FROM (VALUES " + ", ".join(

@@ -87,7 +87,7 @@ _FLAG_EXPRS = {
     "p_corr": M(TR.CORR_PLAN), "p_missing": M(TR.MISSING_PLAN), "p_eda": M(TR.EDA_PLAN),
     "p_outlier": M(TR.OUTLIER_PLAN), "p_dedup": M(TR.DEDUP_PLAN), "p_importance": M(TR.IMPORTANCE),
     "p_ts_hint": M(TR.TIMESERIES_HINTS),
-    **{f"f_bad{i}": M(rx) for i, (rx, _) in enumerate(TR.BAD_PARAMS)},
+    **{f"f_bad{i}": M(rx) for i, rx in enumerate(TR.BAD_PARAMS)},
 }
 
 _SUCC_CM = f"(ok AND {_in(*E.SUB_CM)})"

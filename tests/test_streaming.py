@@ -13,6 +13,30 @@ def test_stream_state_equals_batch_windows(spark):
     assert s == b and len(s) > 0
 
 
+def test_step_after_the_deadline_does_not_end_the_stream(spark, tmp_path):
+    """A step that is not late can come when the watermark has passed its
+    episode's deadline; state is carried over three micro-batches."""
+    import datetime as dt
+    import json
+    from gradewell.streaming import episode_stream as K
+    t0 = dt.datetime(2024, 1, 1)
+    files = [[(1, 1, 0, False), (1, 2, 60, True)], [(2, 3, 36_000, True)], [(1, 4, 34_000, True), (2, 5, 36_100, True)],
+             [(3, 6, 90_000, True)]]
+    schema = ("episode_id long, event_id long, ts timestamp, action_type string, ok boolean, metric_value double, "
+              "max_steps int, time_budget_seconds double, has_fit boolean")
+    for k, rows in enumerate(files):
+        data = [(e, i, t0 + dt.timedelta(seconds=s), "CODE_FIX", ok, None, 15, 300.0, False) for e, i, s, ok in rows]
+        spark.createDataFrame(data, schema).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+    out = K.run_available_now(K.stream_episode_state(stream), "probe").collect()
+    steps = {r["event_id"]: r for r in out if r["event"] == "step"}
+    assert steps[2]["step_idx"] == 1 and steps[2]["repair_attempts"] == 2 and steps[2]["repair_successes"] == 1
+    assert steps[5]["step_idx"] == 1 and steps[5]["repair_attempts"] == 2
+    timeouts = [r["episode_id"] for r in out if r["event"] == "timeout"]
+    assert 1 in timeouts or steps.get(4) is not None
+    assert len(timeouts) == len(set(timeouts))
+
+
 def test_windowed_failures_sum_to_total(spark):
     out = entry.queries()["k4_windowed_failure_rate"](spark, SF0001)
     tot = out.agg(F.sum("n_steps"), F.sum("n_failed")).first()

@@ -28,7 +28,7 @@ PATTERNS = [TR.ACTION_HEADER, TR.CODE_BLOCK, TR.FIT_SPACED, TR.FIT_PLAIN, TR.MOD
             TR.MISSING_PLAN, TR.EDA, TR.EDA_PLAN, TR.OUTLIER_HANDLING, TR.OUTLIER_PLAN, TR.DEDUP_CODE,
             TR.DEDUP_PLAN, TR.IMPORTANCE, TR.HYPERPARAM_SET, TR.TUNING, TR.ANN, TR.GOOD_TABULAR, TR.ENSEMBLE,
             TR.CUSTOM_MODEL, TR.LIBRARY_IMPORT, TR.CV, TR.TIMESERIES_SPLIT, TR.SHUFFLE_TRUE, TR.SHUFFLE_FALSE,
-            TR.STRATIFY, TR.TEST_SIZE, TR.TIMESERIES_HINTS, *TR.LEAKAGE, *[rx for rx, _ in TR.BAD_PARAMS],
+            TR.STRATIFY, TR.TEST_SIZE, TR.TIMESERIES_HINTS, *TR.LEAKAGE, *TR.BAD_PARAMS,
             *[rx for rx, _ in TR.ERROR_CLASSES]]
 
 
