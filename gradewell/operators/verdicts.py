@@ -18,6 +18,7 @@ from pyspark.sql.window import Window
 
 from gradewell.functions import text_rules as TR
 from gradewell.operators import episodes as E
+from gradewell.operators.checks import prediction_score_vs_baseline
 from gradewell.operators.metrics import normalize_score
 
 EP, IDX = E.EP, E.IDX
@@ -31,6 +32,14 @@ VALIDATORS = [
 ]
 
 
+#: What the table checks report of an episode, and its type.
+OUTCOME_COLUMNS = {
+    "n_predictions": "long", "n_expected": "long", "n_non_finite": "long", "intact": "boolean",
+    "model_metric": "double", "pipeline_issues": "boolean", "pipeline_penalty": "double",
+    "remaining_duplicates": "long", "leak_features": "long", "overfit": "boolean",
+}
+
+
 @dataclass
 class RewardWeights:
     performance: float = 0.5
@@ -74,6 +83,7 @@ def profile_flags(summary: DataFrame, outliers: DataFrame, datetime_cols: DataFr
 
 def score_steps(steps: DataFrame, tasks: DataFrame, checklist: DataFrame, profile: DataFrame,
                 corr_pairs: DataFrame, missing_cols: DataFrame, *, baselines: DataFrame | None = None,
+                outcomes: DataFrame | None = None,
                 hard_time_limit: float = 3600.0, weights: RewardWeights | None = None) -> DataFrame:
     """One row per kept step with the 22 verdict structs and the reward.
 
@@ -82,6 +92,10 @@ def score_steps(steps: DataFrame, tasks: DataFrame, checklist: DataFrame, profil
     tasks: S3 rows; checklist: S6 rows; profile: :func:`profile_flags`;
     corr_pairs / missing_cols: P5 / P2 rows with dataset_path; baselines:
     optional (task_id, baseline_metric) from the boosted-tree baseline (L3).
+    outcomes: optional, one row per episode with any of OUTCOME_COLUMNS, as
+    the table checks report them (F10/F11 predictions, C4 intactness, L7
+    metric, F14 pipeline, F8 duplicates, L1/L2 leaks); a missing column, row or
+    value leaves its verdict neutral, as the reference without that object.
     """
     w8 = weights or RewardWeights()
     pctx = E.profile_context(profile, corr_pairs, missing_cols)
@@ -100,6 +114,10 @@ def score_steps(steps: DataFrame, tasks: DataFrame, checklist: DataFrame, profil
         s = s.join(baselines.select("task_id", "baseline_metric"), "task_id", "left")
     else:
         s = s.withColumn("baseline_metric", F.lit(None).cast("double"))
+    have = set(outcomes.columns) if outcomes is not None else set()
+    if outcomes is not None:
+        s = s.join(outcomes.select(EP, *[c for c in OUTCOME_COLUMNS if c in have]), EP, "left")
+    s = s.withColumns({n: F.lit(None).cast(t) for n, t in OUTCOME_COLUMNS.items() if n not in have})
     c = F.col
     z = lambda name: F.coalesce(c(name), F.lit(0))
     b = lambda name: F.coalesce(c(name), F.lit(False))
@@ -107,9 +125,13 @@ def score_steps(steps: DataFrame, tasks: DataFrame, checklist: DataFrame, profil
     v: dict[str, Column] = {}
     # 1 execution
     v["execution"] = _v(c("ok"), F.when(c("ok"), 1.0).otherwise(0.0), F.when(c("ok"), 0.0).otherwise(0.1))
-    # 2 correctness, 3 intactness: no predictions / sandbox in a step log -> neutral
-    v["correctness"] = _pass(0.5)
-    v["intactness"] = _pass()
+    # 2 correctness (F10, F11), 3 intactness (C4)
+    bad_preds = (c("n_predictions") != c("n_expected")) | (z("n_non_finite") > 0)
+    bad_preds = F.coalesce(bad_preds, F.lit(False))
+    v["correctness"] = F.when(c("n_predictions").isNull(), _pass(0.5)).otherwise(
+        _v(~bad_preds, F.when(bad_preds, 0.0).otherwise(1.0), F.when(bad_preds, 0.2).otherwise(0.0)))
+    v["intactness"] = F.when(F.coalesce(c("intact"), F.lit(True)), _pass()).otherwise(
+        _v(F.lit(False), F.lit(0.0), F.lit(0.3)))
     # 4 leakage (T6 + T7)
     leak = c("leak_issues") > 0
     v["leakage"] = _v(~leak, F.when(leak, 0.0).otherwise(1.0), F.when(leak, 0.5).otherwise(0.0))
@@ -124,8 +146,10 @@ def score_steps(steps: DataFrame, tasks: DataFrame, checklist: DataFrame, profil
     okc = F.when((total == 1) & c("has_model"), 1).otherwise(0)
     v["namespace_check"] = F.when(total == 0, _pass()).otherwise(
         _v(okc == total, okc / total, 0.1 * (total - okc)))
-    # 7 model eval: no model object in a step log -> neutral
-    v["model_eval"] = _pass(0.5)
+    # 7 model eval
+    ev = prediction_score_vs_baseline(c("model_metric"), c("baseline_score"))
+    v["model_eval"] = F.when(c("model_metric").isNull(), _pass(0.5)).otherwise(
+        _v(ev["passed"], ev["score"], ev["penalty"]))
     # 8 backtracking
     bt = c("backtracks")
     v["backtracking"] = _v(bt == 0, F.greatest(F.lit(0.0), 1 - 0.25 * bt), 0.15 * bt)
@@ -157,11 +181,18 @@ def score_steps(steps: DataFrame, tasks: DataFrame, checklist: DataFrame, profil
     no_out = b("has_sig_outliers") & ~(c("dist_outlier") | c("plan_outlier"))
     v["distribution"] = _scored(no_eda | no_out, F.when(no_eda, 0.10).otherwise(0.0)
                                 + F.when(no_out, 0.08).otherwise(0.0))
-    # 14 feature pipeline, 15 duplicates, 16 target leakage model: need the
-    # working tables (F14, F8, L1/L2 operators); a step log alone -> pass
-    v["feature_pipeline"] = _pass()
-    v["duplicates"] = _pass()
-    v["target_leakage_model"] = _pass()
+    # 14 feature pipeline
+    v["feature_pipeline"] = F.when(c("pipeline_penalty").isNull(), _pass()).otherwise(
+        _scored(b("pipeline_issues"), c("pipeline_penalty")))
+    # 15 duplicates (F8 + T16)
+    left = z("remaining_duplicates") > 0
+    mentioned = c("dup_code") | c("plan_dedup")
+    v["duplicates"] = F.when(~b("has_duplicates"), _pass()).otherwise(
+        _scored(left, F.when(left & mentioned, 0.04).when(left, 0.08).otherwise(0.0)))
+    # 16 target leakage model (L1, L2), at the end only
+    leaks, overfit = z("leak_features") > 0, b("overfit")
+    v["target_leakage_model"] = F.when(~done, _pass()).otherwise(
+        _scored(leaks | overfit, F.when(leaks, 0.25).otherwise(0.0) + F.when(overfit, 0.10).otherwise(0.0)))
     # 17 feature importance (T17), at the end only
     inspects = c("imp_code") | c("plan_importance")
     v["feature_importance"] = F.when(~done, _pass()).otherwise(

@@ -243,6 +243,37 @@ def steps_from_events(e: DataFrame) -> DataFrame:
         F.pmod(F.floor(F.col("episode_id") / 10), F.lit(5)).cast("int").alias("task_key"))
 
 
+def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the table checks found for each episode, from its events: rows
+    without a prediction, non-finite ones, changed inputs, a model's metric,
+    missing cells (errors have no amount), rows logged twice, leaks."""
+    e = read_table(spark, sf_dir, "events")
+    eid, some = F.col("event_id"), lambda c: F.count(F.when(c, 1))
+    return steps_from_events(e).select("event_id", "episode_id").join(
+        e.select("event_id", "event_type", "value"), "event_id").groupBy("episode_id").agg(
+        some(eid % 97 != 0).alias("n_predictions"), F.count(F.lit(1)).alias("n_expected"),
+        some(eid % 89 == 0).alias("n_non_finite"), (some(eid % 61 == 0) == 0).alias("intact"),
+        F.avg(F.when(F.col("event_type") == "purchase", F.floor("value") / 101)).alias("model_metric"),
+        (some(F.col("event_type") == "error") > 0).alias("pipeline_issues"),
+        F.when(some(F.col("event_type") == "error") > 0, 0.12).otherwise(0.0).alias("pipeline_penalty"),
+        some(F.col("value") < 5).alias("remaining_duplicates"), some(eid % 53 == 0).alias("leak_features"),
+        (F.max("value") - F.min("value") > 95).alias("overfit"))
+
+
+SQL_OUTCOMES = """
+outcomes AS (
+  SELECT user_id * 10 + CAST(floor((extract(day FROM ts) - 1) / 6) AS BIGINT) AS episode_id,
+    count(*) FILTER (WHERE event_id % 97 <> 0) AS n_predictions, count(*) AS n_expected,
+    count(*) FILTER (WHERE event_id % 89 = 0) AS n_non_finite, count(*) FILTER (WHERE event_id % 61 = 0) = 0 AS intact,
+    avg(CASE WHEN event_type = 'purchase' THEN floor(value) / 101 END) AS model_metric,
+    count(*) FILTER (WHERE event_type = 'error') > 0 AS pipeline_issues,
+    CASE WHEN count(*) FILTER (WHERE event_type = 'error') > 0 THEN 0.12 ELSE 0.0 END AS pipeline_penalty,
+    count(*) FILTER (WHERE value < 5) AS remaining_duplicates, count(*) FILTER (WHERE event_id % 53 = 0) AS leak_features,
+    max(value) - min(value) > 95 AS overfit
+  FROM events GROUP BY 1)
+"""
+
+
 def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The step log with its 0-based step index per episode."""
     from gradewell.operators.episodes import step_index

@@ -25,8 +25,9 @@ def scored_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     tasks = X.tasks(spark, sf_dir)
     checklist = explode_checklist(tasks)
     flags, pairs, missing = dataset_profile(spark, sf_dir)
-    return V.score_steps(steps, tasks, checklist, flags, pairs, missing,
-                         hard_time_limit=X.HARD_TIME_LIMIT)
+    baselines = tasks.select("task_id", F.col("baseline_score").alias("baseline_metric"))
+    return V.score_steps(steps, tasks, checklist, flags, pairs, missing, baselines=baselines,
+                         outcomes=X.outcomes(spark, sf_dir), hard_time_limit=X.HARD_TIME_LIMIT)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,6 +22,7 @@ SELECT count(*) > 0 AS has_dt FROM (
   GROUP BY col) WHERE ok""" % DATE_FORMATS_SQL, X.SQL_DIRTY_EVENTS)
 
 _CTX = f"""
+{X.SQL_OUTCOMES.strip()},
 pairs AS ({_PAIRS_SQL}),
 mc AS ({_MISS_SQL}),
 pf AS (SELECT (SELECT count(*) FROM mc) > 0 AS has_missing, (SELECT count(*) FROM pairs) > 0 AS has_high_correlation,
@@ -53,8 +54,8 @@ c8 AS (SELECT episode_id, step_idx, count(*) AS task_items, sum(weight) AS tw,
 full_state AS (SELECT s.*, pf.*, coalesce(c12.corr_missed_pairs, 0) AS corr_missed_pairs,
     coalesce(c13.miss_unhandled, 0) AS miss_unhandled, coalesce(c13.miss_bad_strategy, 0) AS miss_bad_strategy,
     coalesce(c8.task_items, 0) AS task_items, coalesce(c8.tw, 0) AS tw, coalesce(c8.cw, 0) AS cw, coalesce(c8.mr, 0) AS mr,
-    CAST(NULL AS DOUBLE) AS baseline_metric
-  FROM state s CROSS JOIN pf
+    s.baseline_score AS baseline_metric, o.* EXCLUDE (episode_id)
+  FROM state s CROSS JOIN pf LEFT JOIN outcomes o ON o.episode_id = s.episode_id
   LEFT JOIN c12 ON c12.episode_id = s.episode_id AND c12.step_idx = s.step_idx
   LEFT JOIN c13 ON c13.episode_id = s.episode_id AND c13.step_idx = s.step_idx
   LEFT JOIN c8 ON c8.episode_id = s.episode_id AND c8.step_idx = s.step_idx)"""
@@ -99,15 +100,19 @@ _BC_PEN = f"(CASE WHEN {_WORSE} OR metric_cf IS NULL THEN 0.15 ELSE 0.0 END + CA
 
 _VERDICT_SQL = {
     "execution": _vs("ok", "CASE WHEN ok THEN 1.0 ELSE 0.0 END", "CASE WHEN ok THEN 0.0 ELSE 0.1 END"),
-    "correctness": _vs("true", "0.5", "0.0"),
-    "intactness": _PASS,
+    "correctness": f"CASE WHEN n_predictions IS NULL THEN {_vs('true', '0.5', '0.0')} "
+                   f"WHEN n_predictions <> n_expected OR n_non_finite > 0 THEN {_vs('false', '0.0', '0.2')} ELSE {_PASS} END",
+    "intactness": f"CASE WHEN NOT intact THEN {_vs('false', '0.0', '0.3')} ELSE {_PASS} END",
     "leakage": _vs("leak_issues = 0", "CASE WHEN leak_issues > 0 THEN 0.0 ELSE 1.0 END",
                    "CASE WHEN leak_issues > 0 THEN 0.5 ELSE 0.0 END"),
     "plan_coverage": f"CASE WHEN task_items = 0 THEN {_PASS} WHEN NOT has_plan THEN {_vs('false', '0.0', '0.0')} "
                      f"ELSE {_vs(f'mr = 0 AND {_COV} > 0.5', _COV, '0.2 * mr')} END",
     "namespace_check": f"CASE WHEN step_idx + 1 < 3 THEN {_PASS} WHEN has_model THEN {_vs('true', '1.0', '0.0')} "
                        f"ELSE {_vs('false', '0.0', '0.1')} END",
-    "model_eval": _vs("true", "0.5", "0.0"),
+    "model_eval": f"CASE WHEN model_metric IS NULL THEN {_vs('true', '0.5', '0.0')} "
+                  "WHEN model_metric - coalesce(baseline_score, 0) < 0 THEN "
+                  + _vs("false", "greatest(0.0, 0.5 + model_metric - coalesce(baseline_score, 0))", "0.05")
+                  + " ELSE " + _vs("true", "least(1.0, 0.5 + model_metric - coalesce(baseline_score, 0))", "0.0") + " END",
     "backtracking": _vs("backtracks = 0", "greatest(0.0, 1 - 0.25 * backtracks)", "0.15 * backtracks"),
     "reproducibility": f"CASE WHEN NOT repro_steps THEN {_PASS} ELSE "
                        f"{_scored('repro_fit AND NOT repro_seed', 'CASE WHEN repro_fit AND NOT repro_seed THEN 0.1 ELSE 0.0 END')} END",
@@ -123,9 +128,14 @@ _VERDICT_SQL = {
     "distribution": _scored("NOT (dist_eda OR plan_eda) OR (coalesce(has_sig_outliers, false) AND NOT (dist_outlier OR plan_outlier))",
                             "CASE WHEN NOT (dist_eda OR plan_eda) THEN 0.10 ELSE 0.0 END + "
                             "CASE WHEN coalesce(has_sig_outliers, false) AND NOT (dist_outlier OR plan_outlier) THEN 0.08 ELSE 0.0 END"),
-    "feature_pipeline": _PASS,
-    "duplicates": _PASS,
-    "target_leakage_model": _PASS,
+    "feature_pipeline": f"CASE WHEN pipeline_penalty IS NULL THEN {_PASS} ELSE {_scored('pipeline_issues', 'pipeline_penalty')} END",
+    "duplicates": f"CASE WHEN NOT coalesce(has_duplicates, false) THEN {_PASS} ELSE "
+                  + _scored("coalesce(remaining_duplicates, 0) > 0",
+                            "CASE WHEN coalesce(remaining_duplicates, 0) = 0 THEN 0.0 WHEN dup_code OR plan_dedup THEN 0.04 ELSE 0.08 END") + " END",
+    "target_leakage_model": f"CASE WHEN NOT done THEN {_PASS} ELSE "
+                            + _scored("coalesce(leak_features, 0) > 0 OR coalesce(overfit, false)",
+                                      "CASE WHEN coalesce(leak_features, 0) > 0 THEN 0.25 ELSE 0.0 END + "
+                                      "CASE WHEN coalesce(overfit, false) THEN 0.10 ELSE 0.0 END") + " END",
     "feature_importance": f"CASE WHEN NOT done THEN {_PASS} ELSE "
                           + _scored("NOT (imp_code OR plan_importance)",
                                     "CASE WHEN imp_code OR plan_importance THEN 0.0 ELSE 0.08 END", "0.0") + " END",

@@ -18,3 +18,11 @@ def test_every_rule_column_varies(spark, name):
     assert cols and rows
     for c in cols:
         assert len({r[c] for r in rows}) > 1, (name, c)
+
+
+def test_every_verdict_varies(spark):
+    from pyspark.sql import functions as F
+    rows = entry.queries()["r1_verdict_table"](spark, SF).groupBy("validator").agg(
+        F.countDistinct("score").alias("n"), F.countDistinct("passed").alias("p")).collect()
+    assert len(rows) == 22
+    assert all(r.n > 1 and r.p == 2 for r in rows), [r for r in rows if r.n < 2 or r.p < 2]
