@@ -204,7 +204,7 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gradewell.llm.blocks import checkpointed
     from gradewell.llm.warc import merged_index, read_archives, write_archives
     index = checkpointed(merged_index(write_archives(table(spark, sf_dir, "pages"))))
-    back = read_archives(index).drop("url")
+    back = read_archives(index).drop("url").hint("merge")       # rows come out of a few names: not a side to broadcast
     where = index.select(F.col("file"), F.col("offset"), "urlkey", "captured")
     return back.join(where, ["file", "offset"]).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "urlkey", "captured", "intact")

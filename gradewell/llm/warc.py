@@ -265,7 +265,8 @@ def read_archives(index: DataFrame) -> DataFrame:
     names = ["file", "offset", "page_id", "url", "record_type", "refers_to", "payload_digest", "payload_bytes"]
     schema = pa.schema([(c, pa.string() if c in text else pa.int64()) for c in names] + [("intact", pa.bool_())])
     files = index.select("file").distinct()
-    return files.mapInArrow(read, "file string, offset long, page_id long, url string, record_type string, "
+    # a fixed number of partitions: the list of names is tiny, what stands behind a name is not
+    return files.repartition(max(1, files.count()), "file").mapInArrow(read, "file string, offset long, page_id long, url string, record_type string, "
                                   "refers_to long, payload_digest string, payload_bytes long, intact boolean")
 
 
