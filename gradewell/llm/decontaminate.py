@@ -10,8 +10,11 @@ benchmark window is checked for slot consistency: the template tokens must be
 equal (not only the hash), at least ``min_plain`` of them words, and the values
 must correspond one to one: a value that fills two slots of the benchmark window
 fills the same two slots of the document window, and different values stay
-different. A document is contaminated when consistent windows of one item cover
-enough of that item: ``min_tokens`` tokens, or the whole item if it is shorter.
+different. A window with fewer plain words (names, numbers) says too little as a
+template and counts where its values are the same too: an exact copy. A document is
+contaminated when windows of one item cover enough of that item: ``min_tokens``
+tokens, or the whole item if it is shorter; of template windows alone, all tokens
+that they can reach suffice if those are fewer.
 
 The windows of a benchmark are a side of checked size: they are counted first
 and, in parts of at most ``PART_WINDOWS`` (about 10 MB) each, sent to the tasks, one
@@ -20,7 +23,8 @@ are never shuffled.
 
 Nulls and ties: a null text has no tokens and is clean; a null or empty
 benchmark text matches nothing; items shorter than a window are matched as
-one window of their own length if they have ``min_plain`` plain words. Rows of equal id are judged by
+one window of their own length, and items of fewer than ``min_plain`` tokens (an answer
+"yes" stands in many texts) only by a document that holds nothing else. Rows of equal id are judged by
 themselves except that their matches are listed together. Other columns are ignored.
 """
 
@@ -127,8 +131,18 @@ class Vocabulary(dict):
 
 
 def template_hashes(texts: list[str | None], vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all template tokens, and where each text's begin: what
-    ``canonical`` would give, found for all words at once."""
+    """Hashes of all template tokens, and where each text's begin."""
+    h, _, first = token_hashes(texts, vocab)
+    return h, first
+
+
+def _hashes(tokens: list[str]) -> np.ndarray:
+    return np.array([xxhash.xxh3_64_intdigest(t) for t in tokens], np.uint64)
+
+
+def token_hashes(texts: list[str | None], vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all template tokens, of their values, and where each text's
+    begin: what ``canonical`` would give, found for all words at once."""
     V, codes, lines, docs = Vocabulary, [], [], [0]
     for text in texts:
         for line in (text or "").split("\n"):
@@ -153,14 +167,16 @@ def template_hashes(texts: list[str | None], vocab: Vocabulary) -> tuple[np.ndar
     after_number[first[:-1][first[:-1] < len(solid)]] = False
     unit = ~number & after_number & ((f & V.UNIT) > 0)
     name = ~number & ~unit & ~fresh & ((f & V.CAPITAL) > 0)
-    h = np.array(vocab.hash, np.uint64)[codes[solid]]
+    raw = np.array(vocab.hash, np.uint64)[codes[solid]]
+    h = raw.copy()
     for t, m in ((NUM, number), (UNIT, unit), (NAME, name)):
         h[m] = _HASH_OF[t]
     for d in np.unique(np.searchsorted(first, np.flatnonzero(f & V.JOINED), side="right") - 1)[::-1].tolist():
-        own = np.array([xxhash.xxh3_64_intdigest(t) for t in canonical(texts[d])[0]], np.uint64)   # "5km" is two tokens
+        own, own_raw = map(_hashes, canonical(texts[d]))      # "5km" is two tokens
         h = np.concatenate((h[:first[d]], own, h[first[d + 1]:]))
+        raw = np.concatenate((raw[:first[d]], own_raw, raw[first[d + 1]:]))
         first = np.concatenate((first[:d + 1], first[d + 1:] + len(own) - (first[d + 1] - first[d])))
-    return h, first
+    return h, raw, first
 
 
 def consistent(tokens: list[str], values: list[str], want_tokens: list[str], want_values: list[str]) -> bool:
@@ -175,7 +191,9 @@ def consistent(tokens: list[str], values: list[str], want_tokens: list[str], wan
 
 
 def _windows(items: DataFrame, item_col: str, text_col: str, window: int, min_plain: int) -> DataFrame:
-    """(hash, item, at, length, tokens, values) of the benchmark's windows."""
+    """The benchmark's windows: hash (of the values if ``exact``, else of the
+    template), item, place, length, tokens of the item and of what its template
+    windows reach, the window's tokens and values."""
     def cut(batches):
         for t in batches:
             rows = []
@@ -184,31 +202,33 @@ def _windows(items: DataFrame, item_col: str, text_col: str, window: int, min_pl
                 k = min(window, len(tok))
                 if not k:
                     continue
-                h = np.array([xxhash.xxh3_64_intdigest(x) for x in tok], np.uint64)
-                for i, x in enumerate(B.rolling(h, k).view(np.int64).tolist()):
-                    if sum(y not in _TYPED for y in tok[i:i + k]) >= min_plain:
-                        rows.append((x, item, i, k, len(tok), " ".join(tok[i:i + k]), " ".join(val[i:i + k])))
-            cols = list(zip(*rows)) if rows else [()] * 7
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()),
-                 pa.array(cols[3], pa.int32()), pa.array(cols[4], pa.int32()), pa.array(cols[5], pa.string()),
-                 pa.array(cols[6], pa.string())], names=["hash", "item", "at", "k", "n", "tokens", "values"])
+                n = len(tok) - k + 1
+                exact = [sum(y not in _TYPED for y in tok[i:i + k]) < min_plain for i in range(n)]
+                reach = len({j for i in range(n) if not exact[i] for j in range(i, i + k)})
+                by_template, by_value = (B.rolling(_hashes(x), k).view(np.int64).tolist() for x in (tok, val))
+                for i in range(n):
+                    rows.append((by_value[i] if exact[i] else by_template[i], item, i, k, len(tok), reach, exact[i],
+                                 " ".join(tok[i:i + k]), " ".join(val[i:i + k])))
+            cols = list(zip(*rows)) if rows else [()] * 9
+            types = [pa.int64(), pa.int64(), *[pa.int32()] * 4, pa.bool_(), pa.string(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)],
+                                             names=["hash", "item", "at", "k", "n", "reach", "exact", "tokens", "values"])
     d = items.select(F.col(item_col).cast("long").alias("item"), F.col(text_col).alias("text"))
-    return d.mapInArrow(cut, "hash long, item long, at int, k int, n int, tokens string, values string")
+    return d.mapInArrow(cut, "hash long, item long, at int, k int, n int, reach int, exact boolean, tokens string, values string")
 
 
-def _matcher(rows):
-    """Task function: documents' consistent windows against one part of the benchmark."""
-    by_length: dict[int, list] = {}
+def _matcher(rows, min_plain: int):
+    """Task function: documents' windows that match one part of the benchmark."""
+    by_length: dict[tuple, list] = {}
     for r in rows:
-        by_length.setdefault(r.k, []).append(r)
+        by_length.setdefault((r.k, r.exact), []).append(r)
     index = {}
-    for k, rs in by_length.items():
+    for kind, rs in by_length.items():
         rs.sort(key=lambda r: r.hash)
         keys = np.array([r.hash for r in rs], np.int64).view(np.uint64)
         order = np.argsort(keys, kind="stable")
-        index[k] = (keys[order], [(rs[i].item, rs[i].at, rs[i].n, rs[i].tokens.split(" "), rs[i].values.split(" "))
-                                  for i in order.tolist()])
+        index[kind] = (keys[order], [(rs[i].item, rs[i].at, rs[i].n, rs[i].reach, rs[i].tokens.split(" "),
+                                      rs[i].values.split(" ")) for i in order.tolist()])
 
     def match(batches):
         vocab = Vocabulary()
@@ -218,13 +238,13 @@ def _matcher(rows):
                 texts = part.column("text").to_pylist()
                 if len(vocab) > VOCABULARY:
                     vocab = Vocabulary()
-                h, first = template_hashes(texts, vocab)
+                h, raw, first = token_hashes(texts, vocab)
                 out, both = {}, {}
-                for k, (keys, what) in index.items():
-                    at = B.window_starts(first, k)
+                for (k, exact), (keys, what) in index.items():
+                    at = B.window_starts(first, k) if k >= min_plain else first[:-1][np.diff(first) == k]
                     if not len(at):
                         continue
-                    rolled = B.rolling(h, k)[at]
+                    rolled = B.rolling(raw if exact else h, k)[at]
                     pos = np.searchsorted(keys, rolled)
                     hit = np.flatnonzero(keys[np.minimum(pos, len(keys) - 1)] == rolled)
                     for i in hit.tolist():
@@ -235,16 +255,16 @@ def _matcher(rows):
                         tok, val = both[d][0][a:a + k], both[d][1][a:a + k]
                         p = int(pos[i])
                         while p < len(keys) and keys[p] == rolled[i]:
-                            item, where, n, want_tok, want_val = what[p]
-                            if consistent(tok, val, want_tok, want_val):
-                                out.setdefault((d, item, n), set()).update(range(where, where + k))
+                            item, where, n, reach, want_tok, want_val = what[p]
+                            if val == want_val if exact else consistent(tok, val, want_tok, want_val):
+                                out.setdefault((d, item, n, reach, exact), set()).update(range(where, where + k))
                             p += 1
-                ids = part.column("doc_id").to_pylist()
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([ids[d] for d, _, _ in out], pa.int64()), pa.array([i for _, i, _ in out], pa.int64()),
-                     pa.array([n for _, _, n in out], pa.int32()),
+                    [part.column("doc_id").take(pa.array([o[0] for o in out], pa.int64())),
+                     pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.int32()),
+                     pa.array([o[3] for o in out], pa.int32()), pa.array([o[4] for o in out], pa.bool_()),
                      pa.array([sorted(v) for v in out.values()], pa.list_(pa.int32()))],
-                    names=["doc_id", "item", "n", "covered"])
+                    names=["doc_id", "item", "n", "reach", "exact", "covered"])
     return match
 
 
@@ -257,16 +277,20 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     windows = B.checkpointed(_windows(benchmark, item_col, item_text, window, min_plain))
     parts = max(1, -(-windows.count() // PART_WINDOWS))
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    schema = "doc_id long, item long, n int, covered array<int>"
+    schema = "doc_id long, item long, n int, reach int, exact boolean, covered array<int>"
     found = spark.createDataFrame([], schema)
     for p in range(parts):
         rows = windows.filter(F.pmod(F.col("hash"), F.lit(parts)) == p).collect()      # about PART_WINDOWS
         if rows:
-            found = found.unionByName(d.mapInArrow(_matcher(rows), schema))
+            found = found.unionByName(d.mapInArrow(_matcher(rows, min_plain), schema))
+    def tokens(of):
+        return F.size(F.array_distinct(F.flatten(F.collect_list(of)))).cast("long")
     total = found.groupBy("doc_id", "item").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("covered")))).cast("long").alias("covered"),
-        F.max("n").cast("long").alias("item_tokens"))
-    return total.filter(F.col("covered") >= F.least(F.lit(min_tokens), "item_tokens"))
+        tokens(F.col("covered")).alias("covered"), F.max("n").cast("long").alias("item_tokens"),
+        tokens(F.when(~F.col("exact"), F.col("covered"))).alias("by_template"), F.max("reach").alias("reach"))
+    enough = (F.col("covered") >= F.least(F.lit(min_tokens), "item_tokens")) | (
+        (F.col("by_template") > 0) & (F.col("by_template") >= F.least(F.lit(min_tokens), "reach")))
+    return total.filter(enough).drop("by_template", "reach")
 
 
 def report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:

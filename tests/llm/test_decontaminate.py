@@ -78,6 +78,22 @@ def test_brute_force(frame, spark):
     assert got == want and want
 
 
+def test_slot_dense_items(frame, spark):
+    names = "cities are Oslo Bern Rome Kiev Riga Lima Cairo Quito Tunis Sofia Minsk Accra Hanoi Seoul"
+    table = " ".join(str(7 * i + 3) for i in range(20))
+    edge = "see Anna Bob Carl 5 6 then comes the end"                   # 10 tokens, its first window has 3 words
+    short = "meet Anna Bob Carl"
+    bench = spark.createDataFrame([(1, names), (2, table), (3, edge), (4, short), (5, "Yes"), (6, "4 5")],
+                                  "item_id long, text string")
+    pad = "some words that stand around it "
+    docs = [(1, pad + names + " " + pad), (2, pad + table), (3, pad + edge + " " + pad), (4, pad + short), (5, "yes."),
+            (6, "4 5"), (7, pad + names.replace("Oslo", "Wien").replace("Cairo", "Delhi").replace("Minsk", "Paris")),
+            (8, pad + " ".join(str(7 * i + 4) for i in range(20))), (9, "yes they had 4 5 times " + pad),
+            (10, pad + edge.replace("Anna", "Eva").replace("5", "8") + " " + pad), (11, "meet Anna Bob Eva")]
+    got = {r.doc_id: list(r.items) for r in D.report(frame(docs), bench).collect()}
+    assert got == {1: [1], 2: [2], 3: [3], 4: [4], 5: [5], 6: [6], 7: [], 8: [], 9: [], 10: [3], 11: []}
+
+
 def test_empty_tables(frame, spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert D.report(frame([]), none).count() == 0
