@@ -24,8 +24,9 @@ are never shuffled.
 Nulls and ties: a null text has no tokens and is clean; a null or empty
 benchmark text matches nothing; items shorter than a window are matched as
 one window of their own length, and items of fewer than ``min_plain`` tokens (an answer
-"yes" stands in many texts) only by a document that holds nothing else. Rows of equal id are judged by
-themselves except that their matches are listed together. Other columns are ignored.
+"yes" stands in many texts) only by a document that holds nothing else. A row is known
+by its id and a 128-bit hash of its text, so rows of equal or null id are judged by
+themselves and equal rows alike. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ from array import array
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradewell.llm import blocks as B
@@ -46,6 +47,7 @@ MIN_TOKENS = 12
 MIN_PLAIN = 4
 PART_WINDOWS = 50_000
 VOCABULARY = 1 << 19      # raw words a task remembers
+KEY = ("doc_id", "text_a", "text_b")
 
 #: Units of measure and money, lower case (fixed list).
 UNITS = frozenset("""mm cm m km in inch inches ft feet foot yd yard yards mi mile miles mg g gram grams kg kilogram kilograms
@@ -260,24 +262,34 @@ def _matcher(rows, min_plain: int):
                                 out.setdefault((d, item, n, reach, exact), set()).update(range(where, where + k))
                             p += 1
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").take(pa.array([o[0] for o in out], pa.int64())),
+                    [*(part.column(c).take(pa.array([o[0] for o in out], pa.int64())) for c in KEY),
                      pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.int32()),
                      pa.array([o[3] for o in out], pa.int32()), pa.array([o[4] for o in out], pa.bool_()),
                      pa.array([sorted(v) for v in out.values()], pa.list_(pa.int32()))],
-                    names=["doc_id", "item", "n", "reach", "exact", "covered"])
+                    names=[*KEY, "item", "n", "reach", "exact", "covered"])
     return match
 
 
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> list[Column]:
+    """The columns ``KEY`` of a row: its id and two hashes of its text of different seeds."""
+    text = docs[text_col].cast("string")
+    return [docs[id_col].cast("long"), F.xxhash64(text), F.xxhash64(F.lit(1), text)]
+
+
+def _same(left: list[Column], right: list[Column]) -> Column:
+    return left[0].eqNullSafe(right[0]) & (left[1] == right[1]) & (left[2] == right[2])
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, min_tokens: int = MIN_TOKENS,
             min_plain: int = MIN_PLAIN) -> DataFrame:
-    """(doc_id, item, covered, item_tokens) for every document and benchmark
-    item it repeats enough of."""
+    """(doc_id, text_a, text_b, item, covered, item_tokens) for every document,
+    known by its id and the two hashes of its text, and benchmark item it repeats enough of."""
     spark = docs.sparkSession
     windows = B.checkpointed(_windows(benchmark, item_col, item_text, window, min_plain))
     parts = max(1, -(-windows.count() // PART_WINDOWS))
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    schema = "doc_id long, item long, n int, reach int, exact boolean, covered array<int>"
+    d = docs.select(*(c.alias(k) for c, k in zip(_keyed(docs, id_col, text_col), KEY)), F.col(text_col).alias("text"))
+    schema = "doc_id long, text_a long, text_b long, item long, n int, reach int, exact boolean, covered array<int>"
     found = spark.createDataFrame([], schema)
     for p in range(parts):
         rows = windows.filter(F.pmod(F.col("hash"), F.lit(parts)) == p).collect()      # about PART_WINDOWS
@@ -285,7 +297,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
             found = found.unionByName(d.mapInArrow(_matcher(rows, min_plain), schema))
     def tokens(of):
         return F.size(F.array_distinct(F.flatten(F.collect_list(of)))).cast("long")
-    total = found.groupBy("doc_id", "item").agg(
+    total = found.groupBy(*KEY, "item").agg(
         tokens(F.col("covered")).alias("covered"), F.max("n").cast("long").alias("item_tokens"),
         tokens(F.when(~F.col("exact"), F.col("covered"))).alias("by_template"), F.max("reach").alias("reach"))
     enough = (F.col("covered") >= F.least(F.lit(min_tokens), "item_tokens")) | (
@@ -293,20 +305,21 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     return total.filter(enough).drop("by_template", "reach")
 
 
-def report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+def report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """(doc_id, contaminated, n_items, items, covered) of every document; covered:
     tokens of the item repeated most."""
-    hit = matches(docs, benchmark, id_col, **options).groupBy("doc_id").agg(
+    hit = matches(docs, benchmark, id_col, text_col, **options).groupBy(*KEY).agg(
         F.count(F.lit(1)).alias("n_items"), F.sort_array(F.collect_list("item")).alias("items"),
-        F.max("covered").alias("covered")).withColumnRenamed("doc_id", "_hit")
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"))
-    d = d.join(hit, d["doc_id"].eqNullSafe(hit["_hit"]), "left")
+        F.max("covered").alias("covered"))
+    hit = hit.select(*(F.col(k).alias(f"_{k}") for k in KEY), "n_items", "items", "covered")
+    d = docs.select(*(c.alias(k) for c, k in zip(_keyed(docs, id_col, text_col), KEY)))
+    d = d.join(hit, _same([d[k] for k in KEY], [hit[f"_{k}"] for k in KEY]), "left")
     return d.select("doc_id", F.col("n_items").isNotNull().alias("contaminated"),
                     F.coalesce("n_items", F.lit(0)).alias("n_items"), F.coalesce("items", F.array().cast("array<bigint>")).alias("items"),
                     F.coalesce("covered", F.lit(0)).alias("covered"))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents that are not contaminated, with all their columns."""
-    bad = matches(docs, benchmark, id_col, **options).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs[id_col].cast("long").eqNullSafe(F.col("_bad")), "left_anti")
+    bad = matches(docs, benchmark, id_col, text_col, **options).select(*(F.col(k).alias(f"_{k}") for k in KEY)).distinct()
+    return docs.join(bad, _same(_keyed(docs, id_col, text_col), [bad[f"_{k}"] for k in KEY]), "left_anti")

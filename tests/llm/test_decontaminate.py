@@ -94,6 +94,18 @@ def test_slot_dense_items(frame, spark):
     assert got == {1: [1], 2: [2], 3: [3], 4: [4], 5: [5], 6: [6], 7: [], 8: [], 9: [], 10: [3], 11: []}
 
 
+def test_rows_of_equal_or_null_id_are_judged_one_by_one(frame, spark):
+    item = "the old miller carries seven sacks of white flour over the wooden bridge before the rain begins"
+    words = item.split()
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    first, second = "x y z " + " ".join(words[:8]) + " a b c", "p q r " + " ".join(words[-8:]) + " d e f"
+    docs = [(i, t) for i in (None, 4) for t in (first, second, "nothing of it stands here", None)] + [(None, item), (4, item), (4, item)]
+    rows = sorted(((r.doc_id, r.contaminated) for r in D.report(frame(docs), bench).collect()), key=str)
+    assert rows == sorted([(None, False)] * 4 + [(4, False)] * 4 + [(None, True)] + [(4, True)] * 2, key=str)
+    kept = [(r.doc_id, r.text) for r in D.clean(frame(docs), bench).collect()]
+    assert sorted(kept, key=str) == sorted(docs[:8], key=str)
+
+
 def test_empty_tables(frame, spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert D.report(frame([]), none).count() == 0
