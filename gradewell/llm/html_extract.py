@@ -12,8 +12,9 @@ graph) is the labelling that loses least.
 The weights and word lists are fixed values of this operator, not learned.
 
 Character references are decoded, white space inside a block becomes one space,
-blocks are joined by a line feed. Scripts, styles, templates, comments and the
-head hold no text. Tags left open are closed by what cannot stand inside them
+blocks are joined by a line feed. Scripts, styles, templates, comments, the
+head, menus of choice and what only stands in for a player or drawing hold no text; formulas and what
+stands in noscript or object do. Tags left open are closed by what cannot stand inside them
 (a block tag closes an open paragraph or heading; an end tag closes down to its match; stray end
 tags are ignored).
 
@@ -40,13 +41,23 @@ BLOCKS = frozenset("""address article aside blockquote body center dd details di
 footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td
 tfoot th thead tr ul""".split())
 #: Their content is raw text up to the end tag and no text of the page.
-RAW = frozenset("script style noscript template svg math textarea select title iframe object canvas audio video".split())
+RAW = frozenset("script style textarea title".split())
+#: Their content is no text of the page if their end tag is there; left open they hide nothing.
+HIDDEN = frozenset("template svg select iframe canvas audio video annotation annotation-xml".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Closed by the next block tag when left open.
 OPEN_ENDED = frozenset("p h1 h2 h3 h4 h5 h6 dt dd".split())
-#: Log-odds of content for a block below such a tag (the nearest counts).
+#: Log-odds of content for a block below such a tag.
 TAG_ODDS = {"article": 2.5, "main": 2.0, "nav": -8.0, "footer": -8.0, "header": -5.0, "aside": -8.0, "form": -8.0,
-            "button": -8.0, "menu": -8.0, "dialog": -6.0, "fieldset": -6.0, "label": -3.0}
+            "button": -8.0, "menu": -8.0, "dialog": -6.0, "fieldset": -6.0, "label": -3.0,
+            "noscript": -3.0, "object": -3.0}
+#: A block below one of these is content whatever stands around it.
+TEXT_TAGS = frozenset(("article", "main"))
+#: Tags that may stand around a whole page as well as around a part of it.
+WRAPPERS = frozenset(("form", "fieldset", "noscript", "object"))
+FALLBACKS = frozenset(("noscript", "object"))
+#: With one of these a name tells how the page is, not what the block is ("no-sidebar", "comments-open", "ad-free").
+STATES = frozenset("no not non has have with without free less open closed on off enabled disabled hide hidden".split())
 #: Log-odds for words in the class, id or role of a block's ancestors.
 NAME_ODDS = {w: -7.0 for w in """ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments
 cookie cookies consent contentinfo copyright disclaimer footer menu nav navbar navigation newsletter notice notices pagination pager
@@ -57,36 +68,121 @@ SMOOTH = 1.2
 
 
 class Block:
-    __slots__ = ("text", "link", "path", "odds", "head")
+    __slots__ = ("text", "link", "path", "marks", "odds", "head", "top")
 
-    def __init__(self, text: str, link: int, path: tuple, odds: float, head: bool):
-        self.text, self.link, self.path, self.odds, self.head = text, link, path, odds, head
+    def __init__(self, text: str, link: int, path: tuple, marks: list, head: bool, top: bool):
+        self.text, self.link, self.path, self.marks, self.head, self.top = text, link, path, marks, head, top
+        self.odds = 0.0
+
+
+class Mark:
+    """What an element says of the blocks below it: log-odds, and those that
+    stay if it turns out to stand around the whole page."""
+    __slots__ = ("odds", "around", "text")
+
+    def __init__(self, tag: str, attributes: str, in_text: bool):
+        own = 0.0 if tag == "header" and in_text else TAG_ODDS.get(tag, 0.0)    # an article's own head
+        good = bad = 0.0
+        for value in _ATTR.findall(attributes) if tag not in ("html", "body") else ():
+            for name in value.strip("\"'").lower().split():
+                words = _NAME.findall(name)
+                state = len(words) > 1 and not STATES.isdisjoint(words)
+                for w in words:
+                    o = NAME_ODDS.get(w, 0.0)
+                    good = max(good, o)
+                    if not state:
+                        bad = min(bad, o)
+        self.odds = min(own, bad) or max(own, good)
+        self.around = max(own, good) if own >= 0 or tag in WRAPPERS else own
+        self.text = tag in TEXT_TAGS and self.odds > 0
+
+
+def _verdict(marks: list[Mark], around=frozenset()) -> float:
+    """The nearest element that speaks against a block decides, unless an
+    article stands nearer; else the one that speaks most for it."""
+    best = 0.0
+    for m in reversed(marks):
+        o = m.around if m in around else m.odds
+        if o < 0:
+            return o
+        best = max(best, o)
+        if m.text:
+            break
+    return best
+
+
+def _weigh(blocks: list[Block]) -> None:
+    """Log-odds of all blocks from their ancestors. One that holds most of the
+    page's text, while no article, content or title stands outside it, stands
+    around the page: its names say nothing against a block."""
+    held: dict[Mark, int] = {}
+    sure: dict[Mark, int] = {}
+    total = anchors = 0
+    for b in blocks:
+        b.odds = _verdict(b.marks)
+        total += len(b.text)
+    for b in blocks:
+        anchor = b.odds > 0 or (b.top and b.odds == 0)
+        anchors += anchor
+        for m in b.marks:
+            if m.around != m.odds:
+                held[m] = held.get(m, 0) + len(b.text)
+                sure[m] = sure.get(m, 0) + anchor
+    around = {m for m, n in held.items() if 2 * n > total and sure[m] == anchors}
+    if around:
+        for b in blocks:
+            b.odds = _verdict(b.marks, around)
+
+
+def _hidden(page: str) -> dict[int, int]:
+    """Where the hidden elements that are closed end, by where their start tags do."""
+    ends, opened, at = {}, {}, 0
+    for m in _TAG.finditer(page):
+        if m.start() < at or m.group(2) is None:
+            continue
+        at, name = m.end(), m.group(2).lower()
+        if name in RAW and not m.group(1):
+            at = _raw_end(page, name, m)
+        elif name in HIDDEN:
+            if m.group(1):
+                if opened.get(name):
+                    ends[opened[name].pop()] = m.end()
+            elif not m.group(3).endswith("/"):
+                opened.setdefault(name, []).append(m.end())
+    return ends
+
+
+def _raw_end(page: str, name: str, m: re.Match) -> int:
+    if m.group(3).endswith("/"):
+        return m.end()
+    end = re.compile(rf"</{name}\s*>", re.I).search(page, m.end())
+    return end.end() if end else len(page)
 
 
 def parse(page: str) -> list[Block]:
     """Text blocks of a page in order."""
     out: list[Block] = []
-    stack: list[tuple[str, int, float]] = []        # tag, number of the element, log-odds it lends
+    stack: list[tuple[str, int, Mark]] = []         # tag, number of the element, what it says
+    hidden = None
+    fallback, inside = None, 0                      # the last of FALLBACKS with text, characters in such since the last block
     buf: list[str] = []
     link = serial = 0
 
     def flush():
-        nonlocal link
+        nonlocal link, inside
         if buf:
             text = _SPACE.sub(" ", _html.unescape("".join(buf))).strip()
             if text:
-                odds = 0.0
-                for _, _, o in reversed(stack):
-                    if o < 0:
-                        odds = min(odds, o)
-                if odds == 0.0:
-                    odds = max((o for _, _, o in stack), default=0.0)
-                out.append(Block(text, min(link, len(text)), tuple(n for _, n, _ in stack), odds,
-                                 any(t[0] == "h" and t[1:].isdigit() for t, _, _ in stack)))
+                tags = [t for t, _, _ in stack]
+                marks = [m for _, _, m in stack if m.odds or m.around]
+                if 2 * inside > len(text) and fallback not in marks:
+                    marks.append(fallback)           # an inline element that is closed by now
+                out.append(Block(text, min(link, len(text)), tuple(n for _, n, _ in stack), marks,
+                                 any(t[0] == "h" and t[1:].isdigit() for t in tags), "h1" in tags))
             buf.clear()
-        link = 0
+        link = inside = 0
 
-    at, in_head, links = 0, False, 0
+    at, in_head, links, seen = 0, False, 0, False
     for m in _TAG.finditer(page):
         if m.start() < at:
             continue
@@ -95,6 +191,10 @@ def parse(page: str) -> list[Block]:
             buf.append(piece)
             if links:
                 link += len(piece)
+            if seen:
+                open_one = next((m for t, _, m in reversed(stack) if t in FALLBACKS), None)
+                if open_one:
+                    fallback, inside = open_one, inside + len(piece)
         at = m.end()
         name = m.group(2)
         if name is None:
@@ -117,9 +217,13 @@ def parse(page: str) -> list[Block]:
                 flush()
             continue
         if name in RAW:
-            if not m.group(3).endswith("/"):
-                end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
-                at = end.end() if end else len(page)
+            at = _raw_end(page, name, m)
+            buf.append(" ")
+            continue
+        if name in HIDDEN:
+            if hidden is None:
+                hidden = _hidden(page)
+            at = hidden.get(at, at)
             buf.append(" ")
             continue
         if name in BLOCKS:
@@ -137,22 +241,14 @@ def parse(page: str) -> list[Block]:
             buf.append(" ")
         if name == "a":
             links += 1
+        seen = seen or name in FALLBACKS
         if name not in VOID and not m.group(3).endswith("/"):
             serial += 1
-            odds = TAG_ODDS.get(name, 0.0)
-            if name == "header" and any(t in ("article", "main") for t, _, _ in stack):
-                odds = 0.0                           # an article's own head
-            for attr in _ATTR.findall(m.group(3)):
-                for w in _NAME.findall(attr.lower()):
-                    o = NAME_ODDS.get(w, 0.0)
-                    if o < 0:
-                        odds = min(odds, o)
-                    elif odds >= 0:
-                        odds = max(odds, o)
-            stack.append((name, serial, odds))
+            stack.append((name, serial, Mark(name, m.group(3), name == "header" and any(t in TEXT_TAGS for t, _, _ in stack))))
     if at < len(page) and not in_head:
         buf.append(page[at:])
     flush()
+    _weigh(out)
     return out
 
 

@@ -50,6 +50,32 @@ def test_broken_and_empty_pages():
     assert main_text(f"<p>{PARA} 1 < 2") == f"{PARA} 1 < 2"
 
 
+def test_names_of_the_whole_page_speak_against_no_block():
+    text = f"<h1>Title here</h1><p>{PARA}</p><p>{PARA}</p>"
+    rest = f"<div class=sidebar><p>{PARA}</p></div><div id=comments><div class=text><p>{PARA} I agree!</p></div></div>"
+    want = "\n".join(["Title here", PARA, PARA])
+    for tag in ("body class='single-post has-sidebar'", "body class='comments-open no-sidebar'", "body id=search class=modal"):
+        assert main_text(f"<html><{tag}>{text}{rest}</body></html>") == want, tag
+    for tag in ("div class='no-sidebar'", "div class='ad-free content'", "div class='layout sidebar right'", "form action=/x"):
+        assert main_text(page(f"<{tag}>{text}{rest}</{tag.split()[0]}>")) == want, tag
+        assert main_text(page(f"<{tag}><article>{text}</article>{rest}</{tag.split()[0]}>")) == want, tag
+    long = f"<section id=comments>{f'<p>{PARA} I agree!</p>' * 20}</section>"
+    assert main_text(page(f"<article>{text}</article>{long}")) == main_text(page(text + long)) == want
+    assert main_text(page(f"<nav><div class=content><p>{PARA}</p></div></nav><p>{PARA}</p>")) == PARA
+
+
+def test_formulas_fallbacks_and_open_elements_hide_no_text():
+    assert main_text(f"<p>{PARA} So <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x^2</annotation></math> holds.</p>") == f"{PARA} So x=2 holds."
+    for tag in ("noscript", "object"):
+        assert main_text(page(f"<article><p>{PARA}</p><{tag}><p>{PARA} Again.</p></{tag}></article>")) == f"{PARA}\n{PARA} Again."
+        assert main_text(page(f"<{tag}><p>{PARA}</p><p>{PARA}</p></{tag}>")) == f"{PARA}\n{PARA}"
+    assert main_text(page(f"<noscript>Please enable scripts to see this.</noscript><article><p>{PARA}</p></article>")) == PARA
+    for tag in ("select", "object", "video", "svg", "iframe", "canvas", "template", "audio"):
+        assert main_text(page(f"<p>{PARA}</p><p><{tag}></p><p>{PARA}</p>")) == f"{PARA}\n{PARA}", tag
+        if tag != "object":
+            assert main_text(page(f"<p>{PARA}</p><{tag}><b>{PARA}</b></{tag}><p>{PARA}</p>")) == f"{PARA}\n{PARA}", tag
+
+
 def test_query_rows(frame, spark):
     rows = [(1, "u", f"<article><p>{PARA}</p></article>"), (2, None, None), (3, "v", ""), (1, "u", f"<article><p>{PARA}</p></article>"),
             (None, "w", "<p>x</p>")]
