@@ -2,14 +2,15 @@
 
 The lexicon is learned: of a bounded sample of labelled documents, words and word
 beginnings that toxic documents hold and clean ones do not become terms (whole
-words) or stems (any ending). The terms form a trie; a Levenshtein automaton per
+words) or stems (any ending); equal texts count once. Nothing but the sample bounds
+their number. ``GROUP`` terms at a time form a trie; a Levenshtein automaton per
 allowed number of edits is intersected with the trie, and the product is made
-deterministic once, on the driver (its size is bounded by the lexicon's). Tasks
-run it over all words of a batch at once, one table look-up a letter, so every
-word, and every word within one edit (two from nine letters on; stems one less,
-and none below six letters) is found without comparing it with each term.
+deterministic once, on the driver (its size is bounded by the group's). Tasks
+run each over all words of a batch at once, one table look-up a letter, so every
+word, and every word within one edit (two from nine letters on, none below four; stems one
+less, those below six letters only as whole words) is found without comparing it with each term.
 
-Each hit carries evidence, halved per edit. Its context window of ``WINDOW`` words on either
+Each hit carries evidence, halved per edit (quartered in terms below five letters). Its context window of ``WINDOW`` words on either
 side tells quotation (quotation marks, reporting words) from abuse and puts the
 evidence in one of two sums. A logistic model of both sums and their density,
 fitted on the same sample, turns them into a score in [0, 1]. Labels, language,
@@ -24,18 +25,21 @@ the lexicon is empty and the score is the smoothed base rate.
 from __future__ import annotations
 
 import json
+from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gradewell.llm import blocks as B
+
 #: Labelled rows the lexicon and the model are fitted on, at most (the smallest by a hash of the id).
 SAMPLE = 20_000
-MAX_TERMS = 200
-MIN_DOCS = 4            # toxic documents that hold a term, at least
+GROUP = 200             # terms of one automaton
+MIN_DOCS = 4            # toxic texts that hold a term, at least
 PURITY = 0.8            # share of toxic ones among the documents that hold it and one more, at least
-MIN_LETTERS, MAX_LETTERS = 4, 24
+MIN_LETTERS, MAX_LETTERS = 4, 24      # of a beginning; shorter words are terms as a whole
 WINDOW = 5
 #: Signs of quotation near a hit (fixed list).
 QUOTES = "\"“”„«»‹›‘’"
@@ -74,7 +78,7 @@ def _forms(batches):
             body = chars.tobytes().decode("utf-32-le", "surrogatepass")
             forms = set()
             for a, b in zip(starts.tolist(), ends.tolist()):
-                if MIN_LETTERS <= b - a <= MAX_LETTERS:
+                if b - a <= MAX_LETTERS:
                     forms.add(body[a:b])
             forms |= {"^" + w[:m] for w in list(forms) for m in range(MIN_LETTERS, len(w) + 1)}
             for f in forms:
@@ -84,58 +88,54 @@ def _forms(batches):
                                               pa.array([v[1] for v in count.values()])], names=["form", "tox", "clean"])
 
 
-def _contexts(wanted: frozenset):
-    def contexts(batches):
-        """(form, hash of the words before and after it) for the candidate forms."""
-        for t in batches:
-            out = []
-            for text in t.column("text").to_pylist():
-                chars, starts, ends, _ = tokenize([text or ""])
-                body = chars.tobytes().decode("utf-32-le", "surrogatepass")
-                words = [body[a:b] for a, b in zip(starts.tolist(), ends.tolist())]
-                for i, w in enumerate(words):
-                    near = "/".join(words[max(i - 1, 0):i] + ["?"] + words[i + 1:i + 2])
-                    out += [(f, near) for f in {w, *("^" + w[:m] for m in range(MIN_LETTERS, len(w) + 1))} & wanted]
-            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.string()),
-                                              pa.array([o[1] for o in out], pa.string())], names=["form", "near"])
-    return contexts
-
-
 def learn_lexicon(sample: DataFrame) -> list[tuple[str, bool, float]]:
-    """(term, is a stem, evidence) of a (text, toxic) sample. A form counts only
-    if it stands among ever new neighbours: words that are pure merely because
-    one toxic text was copied do not."""
+    """(term, is a stem, evidence) of a (text, toxic) sample. Equal texts count
+    once: words are not pure because one toxic text was copied."""
     share = F.col("tox") / (F.col("tox") + F.col("clean") + 1)
-    forms = sample.mapInArrow(_forms, "form string, tox long, clean long").groupBy("form").agg(
+    forms = B.checkpointed(sample.dropDuplicates(["text", "toxic"]).mapInArrow(
+        _forms, "form string, tox long, clean long").groupBy("form").agg(
         F.sum("tox").alias("tox"), F.sum("clean").alias("clean")).withColumn("share", share).filter(
-        (F.col("tox") >= MIN_DOCS) & (F.col("share") >= PURITY))
-    rows = forms.orderBy(F.desc("tox"), "form").limit(MAX_TERMS * 8).collect()     # the best forms, so many at most
-    near = {r.form: r.m for r in sample.filter("toxic = 1").select("text").mapInArrow(
-        _contexts(frozenset(r.form for r in rows)), "form string, near string").groupBy("form").agg(
-        F.countDistinct("near").alias("m")).collect()}
-    tox = {r.form: r.tox for r in rows if near.get(r.form, 0) >= max(MIN_DOCS, r.tox / 2)}
+        (F.col("tox") >= MIN_DOCS) & (F.col("share") >= PURITY)))
+    # a beginning that stands in the same texts as a longer one says nothing of its own
+    shorter = forms.filter(F.col("form").startswith("^")).select(
+        F.expr("substring(form, 1, length(form) - 1)").alias("form"), "tox", "clean")
+    rows = forms.join(shorter, ["form", "tox", "clean"], "left_anti").collect()      # bounded by the sample
+    tox = {r.form: r.tox for r in rows}
     share_of = {r.form: r.share for r in rows}
+    ordered = sorted(f for f in tox if f[0] == "^")
     terms: dict[str, bool] = {}
-    for form in sorted((f for f in tox if f[0] == "^"), key=lambda f: (-tox[f], len(f), f)):
+    covered: dict[str, int] = {}         # toxic texts of the terms that begin so
+    for form in sorted(ordered, key=lambda f: (-tox[f], len(f), f)):
         stem = form[1:]
-        if any(stem.startswith(t) for t in terms) or \
-                sum(tox["^" + t] for t in terms if t.startswith(stem)) >= 0.5 * tox[form]:
+        if any(stem[:m] in terms for m in range(1, len(stem) + 1)) or covered.get(stem, 0) >= 0.5 * tox[form]:
             continue
         while True:                      # the longest beginning that still covers what this one covers
-            longer = [f[1:] for f in tox if f.startswith("^" + stem) and len(f) == len(stem) + 2
-                      and tox[f] >= 0.9 * tox[form]]
+            longer, at = [], bisect_right(ordered, "^" + stem)
+            while at < len(ordered) and ordered[at].startswith("^" + stem):
+                if tox[ordered[at]] >= 0.9 * tox[form]:
+                    longer.append(ordered[at][1:])
+                at += 1
             if not longer:
                 break
-            stem = max(longer, key=lambda f: (tox["^" + f], f))
+            stem = max(longer, key=lambda f: (tox["^" + f], -len(f), f))
         terms[stem] = tox.get(stem, 0) < 0.9 * tox["^" + stem]
-    return [(t, stem, float(share_of["^" + t])) for t, stem in terms.items()][:MAX_TERMS]
+        for m in range(1, len(stem) + 1):
+            covered[stem[:m]] = covered.get(stem[:m], 0) + tox["^" + stem]
+    out = [(t, stem, float(share_of["^" + t])) for t, stem in terms.items()]
+    out += [(t, False, e) for t, stem, e in out if stem and not edits_allowed(t, True)]   # misspelt as a whole word
+    short = sorted((f for f in tox if f[0] != "^" and len(f) < MIN_LETTERS), key=lambda f: (-tox[f], f))
+    return out + [(f, False, float(share_of[f])) for f in short]
 
 
 def edits_allowed(term: str, stem: bool) -> int:
     n = len(term)
     if stem:
         return 0 if n < 6 else 1 if n < 12 else 2
-    return 0 if n < MIN_LETTERS + 1 else 1 if n < 9 else 2
+    return 0 if n < MIN_LETTERS else 1 if n < 9 else 2
+
+
+def evidence(term: str, share: float, edits: int) -> float:
+    return share * (0.5 if len(term) > 4 else 0.25) ** edits
 
 
 class Automaton:
@@ -238,18 +238,48 @@ class Automaton:
         return state
 
 
+class Lexicon:
+    """All terms, ``GROUP`` an automaton; a term that stands there both as a
+    stem and as a whole word goes to two of them."""
+
+    def __init__(self, terms: list[tuple[str, bool, float]]):
+        self.terms = terms
+        self.parts: list[tuple[np.ndarray, Automaton]] = []
+        group: dict[str, int] = {}
+        for j, (t, _, _) in enumerate(terms):
+            if t in group or len(group) == GROUP:
+                self._add(group)
+                group = {}
+            group[t] = j
+        self._add(group)
+
+    def _add(self, group: dict[str, int]) -> None:
+        if group:
+            numbers = np.array(list(group.values()))
+            self.parts.append((numbers, Automaton([self.terms[j] for j in numbers.tolist()])))
+
+    def find(self, chars, starts, ends) -> tuple[np.ndarray, np.ndarray]:
+        """Each word's term of fewest edits (-1: none) and their number."""
+        term, edits = np.full(len(starts), -1), np.full(len(starts), 99)
+        for numbers, auto in self.parts:
+            state = auto.run(chars, starts, ends)
+            better = np.flatnonzero((auto.term[state] >= 0) & (auto.edits[state] < edits))
+            term[better], edits[better] = numbers[auto.term[state[better]]], auto.edits[state[better]]
+        return term, edits
+
+
 # ------------------------------------------------------------ features and model
 
-def _evidence(texts: list[str], auto: Automaton, details: bool = False):
+def _evidence(texts: list[str], lexicon: Lexicon, details: bool = False):
     """Per text: evidence of abuse, of quotation, words; and the hits themselves."""
     chars, starts, ends, doc = tokenize(texts)
     n = np.bincount(doc, minlength=len(texts)).astype(float)
     out = np.zeros((len(texts), 3))
     out[:, 2] = n
     hits: list[list[dict]] = [[] for _ in texts] if details else []
-    state = auto.run(chars, starts, ends) if len(starts) else np.empty(0, np.int32)
-    for i in np.flatnonzero(auto.term[state] >= 0).tolist():
-        d, j, e = int(doc[i]), int(auto.term[state[i]]), int(auto.edits[state[i]])
+    term, edits = lexicon.find(chars, starts, ends)
+    for i in np.flatnonzero(term >= 0).tolist():
+        d, j, e = int(doc[i]), int(term[i]), int(edits[i])
         lo, hi = i, i
         while lo > 0 and doc[lo - 1] == d and i - lo < WINDOW:
             lo -= 1
@@ -259,11 +289,11 @@ def _evidence(texts: list[str], auto: Automaton, details: bool = False):
         near = chars[max(starts[i] - 2, 0):ends[i] + 2].tobytes().decode("utf-32-le", "surrogatepass")
         marks = sum(c in QUOTES for c in near) + any(
             chars[starts[k]:ends[k]].tobytes().decode("utf-32-le", "surrogatepass") in REPORTING for k in range(lo, hi + 1))
-        weight = auto.terms[j][2] * 0.5 ** e
+        weight = evidence(lexicon.terms[j][0], lexicon.terms[j][2], e)
         quoted = marks >= 2 or (marks == 1 and any(c in QUOTES for c in around))
         out[d, 1 if quoted else 0] += weight
         if details:
-            hits[d].append({"term": auto.terms[j][0], "edits": e, "quoted": quoted, "context": around})
+            hits[d].append({"term": lexicon.terms[j][0], "edits": e, "quoted": quoted, "context": around})
     return (out, hits) if details else out
 
 
@@ -286,12 +316,12 @@ def _fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         label_col: str = "toxic", sample: int = SAMPLE):
-    """(automaton, weights) from at most ``sample`` labelled documents."""
+    """(lexicon, weights) from at most ``sample`` labelled documents."""
     chosen = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("toxic")).filter(
         "doc_id is not null and toxic in (0, 1)").orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(sample)
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     rows = d.join(F.broadcast(chosen), "doc_id").select("text", "toxic")      # at most ``sample`` rows of two numbers
-    auto = Automaton(learn_lexicon(rows))
+    auto = Lexicon(learn_lexicon(rows))
 
     def features(batches):
         for t in batches:

@@ -81,6 +81,29 @@ def test_learns_catches_misspellings_and_spares_quotation(frame, spark):
     assert got[6].score < got[1].score
 
 
+def test_every_term_of_a_rich_lexicon_counts(frame, spark):
+    rng = random.Random(5)
+    filler = ["the", "ran", "over", "hill", "under", "blue", "sky", "and", "stone", "river"]
+    bad = [f"{a}{b}{c}{d}" for a in "zkv" for b in ("or", "ax", "im", "ug", "ep") for c in "btd" for d in ("lun", "wik", "mesh", "fop", "tarn", "quil")]
+    bad += ["scum", "oaf"]
+    rows = []
+    for i in range(1000):
+        w = rng.choices(filler, k=30)
+        for j in range(3) if i % 2 else ():
+            w.insert(rng.randrange(len(w)), bad[(3 * i // 2 + j) % len(bad)])
+        w += ["you", "utter", "blockhead", "there"] if i % 2 else []      # a phrase that never changes
+        rows.append((i, " ".join(w), i % 2))
+    rows += [(5000 + i, "a copied toxic text with gribble in it", 1) for i in range(20)]
+    model = T.fit(frame([(i, t) for i, t, _ in rows]), spark.createDataFrame([(i, x) for i, _, x in rows], "doc_id long, toxic int"))
+    assert len(bad) > T.GROUP and len({f for b in bad for f in (b[:m] for m in range(4, len(b) + 1))}) > 3 * T.GROUP
+    found = {t for t, _, _ in model[0].terms}
+    words = [*bad, "blockhead", "scam", "gribble"]
+    term, edits = model[0].find(*T.tokenize(words)[:3])
+    missing = [w for w, t, e in zip(words, term, edits) if t < 0 or e and w != "scam"]
+    assert missing == ["gribble"] and edits[words.index("scam")] == 1
+    assert {"oaf", "scum"} <= found and T.evidence("scum", 1.0, 1) < T.evidence("idiot", 1.0, 1) < 1
+
+
 def test_no_labels_and_empty_table(frame, spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     model = T.fit(frame([(1, "a b")]), none)
