@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gradewell.llm.decontaminate import clean
-from gradewell.llm.jaccard_join import near_duplicates
+from gradewell.llm.jaccard_join import judged, text_hashes
 from gradewell.llm.mixing import emit
 from gradewell.llm.quality import keep
 from gradewell.llm.token_shards import write_shards
@@ -22,11 +22,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group stays, a repeated row
-    once; rows without an id are in no group and stay."""
-    first = near_duplicates(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").withColumn(
-        "nth", F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id"))).filter("nth = 1")
+    """Of each group the text it is named after stays, a repeated row once;
+    different texts of one id are judged by themselves; rows without an id are
+    in no group and stay. Of texts of one id and equal shingles the least by hash stays."""
+    first = judged(docs).filter("doc_id is not null and leads").groupBy("doc_id", "class").agg(
+        F.min(F.struct("text_a", "text_b")).alias("t")).select(
+        F.col("doc_id").alias("_id"), F.col("t.text_a").alias("_a"), F.col("t.text_b").alias("_b"))
+    a, b = text_hashes(docs["text"])
+    kept = docs.join(first, (docs["doc_id"] == first["_id"]) & (a == first["_a"]) & (b == first["_b"]))
+    kept = kept.withColumn("_nth", F.row_number().over(
+        Window.partitionBy("_id", "_a", "_b").orderBy(F.xxhash64(*(docs[c] for c in docs.columns))))).filter("_nth = 1")
     return kept.select(*docs.columns).union(docs.filter("doc_id is null"))
 
 

@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 
 from gradewell.llm import blocks as B
 
+ROW = ("doc_id", "text_a", "text_b")     # what a row is known by: its id and two hashes of its text
 FRAGMENT_KEYS = 1 << 18    # shingles of a fragment
 SALT_CLASSES = 20_000      # classes for each salt of a fragment
 
@@ -75,8 +76,8 @@ def _mark(k: int):
                 part = t.slice(lo, 512)
                 sets = shingle_sets(part.column("text"), k)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
-                     pa.array([_class_of(s) for s in sets], pa.int64())], names=["doc_id", "n", "class"])
+                    [*(part.column(c) for c in ROW), pa.array([len(s) for s in sets], pa.int64()),
+                     pa.array([_class_of(s) for s in sets], pa.int64())], names=[*ROW, "n", "class"])
     return mark
 
 
@@ -274,14 +275,26 @@ def components(links: DataFrame) -> DataFrame:
             return label
 
 
+def text_hashes(text) -> list:
+    """Two hashes of a text, of different seeds."""
+    return [F.xxhash64(text), F.xxhash64(F.lit(1), text)]
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5,
                     share: int = 80) -> DataFrame:
     """One row per document: (doc_id, n_shingles, component_id), linking sets
     whose Jaccard similarity is at least ``share`` percent."""
+    return judged(docs, id_col, text_col, k, share).select("doc_id", "n_shingles", "component_id")
+
+
+def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, share: int = 80) -> DataFrame:
+    """What ``near_duplicates`` gives, with the hashes of the row's text, its
+    class, and whether the row is of the class and id its component is named after."""
     rows, n_bytes = B.size_of(docs, text_col)
     blocks, bits = B.n_blocks(n_bytes), B.bucket_bits(n_bytes // 6)
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    marks = B.checkpointed(d.mapInArrow(_mark(k), "doc_id long, n long, class long"))
+    known = d.select("doc_id", *(h.alias(c) for h, c in zip(text_hashes(F.col("text")), ROW[1:])), "text")
+    marks = B.checkpointed(known.mapInArrow(_mark(k), "doc_id long, text_a long, text_b long, n long, class long"))
     dealt = d.withColumn("block", B.block_by_hash(F.col("doc_id"), blocks))
     reps = marks.filter("n > 0 and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("rep"))
     here = reps.withColumn("block", B.block_by_hash(F.col("rep"), blocks))
@@ -319,9 +332,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         label = components(links.union(more))
 
     least = reps.join(label, "class", "left").withColumn("label", F.coalesce("label", "class"))
-    root = least.groupBy("label").agg(F.min("rep").alias("component_id"))
-    root = least.join(root, "label").select("class", "component_id")
+    root = least.groupBy("label").agg(F.min(F.struct("rep", "class")).alias("first"))
+    root = least.join(root, "label").select(
+        "class", F.col("first.rep").alias("component_id"), (F.col("first.class") == F.col("class")).alias("first"))
+    filled = F.col("n") > 0
     return marks.join(root, "class", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"),
-        F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
-        .alias("component_id"))
+        *ROW, "class", F.col("n").alias("n_shingles"),
+        F.when(F.col("doc_id").isNotNull(), F.when(filled, F.col("component_id")).otherwise(F.col("doc_id"))).alias("component_id"),
+        F.when(filled, F.col("first") & (F.col("doc_id") == F.col("component_id"))).otherwise(True).alias("leads"))

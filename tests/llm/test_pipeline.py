@@ -54,6 +54,20 @@ def test_stages_and_run(spark, tmp_path):
     assert sorted((r.slot, r.doc_id, r.part, r.content) for r in whole) == sorted((r.slot, r.doc_id, r.part, r.content) for r in shards)
 
 
+def test_dedup_judges_texts_of_one_id_by_themselves(spark):
+    rng = random.Random(11)
+    a, b, c = (" ".join(f"{rng.choice('bdfgk')}{rng.randrange(900)}" for _ in range(60)) for _ in range(3))
+    near = " ".join(c.split()[:-1] + ["other"])
+    rows = [(1, a), (1, b), (1, a), (2, c), (5, near), (5, "a text of its own that no other row repeats at all"), (7, b),
+            (8, ""), (8, None), (None, a), (None, a)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted([(1, a), (1, b), (2, c), rows[5], (None, a), (None, a)], key=str)
+    for parts in (1, 4):
+        got = [(r.doc_id, r.text) for r in corpus_pipeline.dedup(spark, docs.repartition(parts), "").collect()]
+        assert sorted((r for r in got if r[0] != 8), key=str) == want
+        assert sum(r[0] == 8 for r in got) == 1
+
+
 def test_empty_documents(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
