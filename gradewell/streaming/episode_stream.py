@@ -13,6 +13,7 @@ K4: failures per crash class in tumbling event-time windows with a watermark.
 from __future__ import annotations
 
 import sys
+import time
 import uuid
 
 import numpy as np
@@ -65,6 +66,7 @@ def stream_inputs(steps: DataFrame, tasks: DataFrame) -> DataFrame:
         "time_budget_seconds", TR.rx_match(text, TR.FIT_SPACED).alias("has_fit"))
 
 
+_NO_TIME = int(np.datetime64("NaT", "ms").astype("int64"))
 _OUT_COLS = [f.name for f in OUTPUT_SCHEMA.fields]
 
 
@@ -115,10 +117,11 @@ def _episode_state(key, pdfs, state: GroupState):
                 continue
             ts_ms = int(cand["ts_ms"][i])
             act = cand["action_type"][i]
-            if start_ms is None:
+            timed = ts_ms != _NO_TIME               # a step without a time comes first and takes none
+            if start_ms is None and timed:
                 start_ms, budget_s = ts_ms, float(cand["time_budget_seconds"][i])
             idx = n
-            elapsed = (ts_ms - start_ms) / 1000.0
+            elapsed = (ts_ms - start_ms) / 1000.0 if timed else 0.0
             is_done = act == "FINAL_SUBMIT" or idx >= cand["max_steps"][i] or elapsed > cand["time_budget_seconds"][i]
             ok = bool(cand["ok"][i])
             if act == "CODE_FIX":
@@ -221,15 +224,41 @@ def run_available_now_updates(df: DataFrame, name: str, key_cols: list[str]) ->
 
 
 def read_events_stream(spark: SparkSession, sf_dir: str, batches: int = 4) -> DataFrame:
-    """The events table as a file stream of ``batches`` micro-batches: it is cut
-    by time into files below the shared folder, read one file a batch."""
+    """The events table as a file stream of ``batches`` micro-batches: one job
+    cuts it by time into files below the shared folder, as many a batch as the
+    cluster has task slots, so a hot day is written and read by many tasks.
+    Rows without a time come in the first batch."""
     events = spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet")
     folder = scratch_path(spark, f"events-{uuid.uuid4().hex[:12]}")
+    files = max(spark.sparkContext.defaultParallelism, 1)
     ts = F.unix_micros(F.col("ts").cast("timestamp"))
     lo, hi = events.agg(F.min(ts), F.max(ts)).first()
     width = ((hi or 0) - (lo or 0)) // batches + 1
-    events = events.withColumn("_part", F.floor((ts - F.lit(lo or 0)) / width))
-    for k in range(batches):                       # written in order of time: files are read by their age
-        events.where(F.col("_part") == k).drop("_part").coalesce(1).write.mode("append").parquet(folder)
-    return (spark.readStream.schema(spark.read.parquet(folder).schema)
-            .option("maxFilesPerTrigger", 1).parquet(folder))
+    part = F.coalesce(F.floor((ts - F.lit(lo or 0)) / width), F.lit(0)).cast("int")
+    salt = F.pmod(F.xxhash64(*events.columns), F.lit(files)).cast("int")
+    events.withColumn("_part", part).repartitionById(batches * files, part * files + salt) \
+        .write.partitionBy("_part").parquet(folder)
+    events.limit(0).coalesce(1).write.parquet(f"{folder}-empty")
+    _order_files(spark, folder, batches, files)
+    return (spark.readStream.schema(events.schema).option("maxFilesPerTrigger", files).parquet(folder).drop("_part"))
+
+
+def _order_files(spark: SparkSession, folder: str, batches: int, files: int) -> None:
+    """Files are read by their age, ``files`` a batch: every part that holds
+    rows is filled up with files of no rows and dated after the part before."""
+    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+    path = jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(conf)
+
+    def data(where: str) -> list:
+        return [f.getPath() for f in fs.listStatus(path(where)) if f.getPath().getName().endswith(".parquet")]
+    (empty,) = data(f"{folder}-empty")
+    now = int(time.time() * 1000)
+    for k in range(batches):
+        where = f"{folder}/_part={k}"
+        if not fs.exists(path(where)):
+            continue
+        for j in range(files - len(data(where))):
+            jvm.org.apache.hadoop.fs.FileUtil.copy(fs, empty, fs, path(f"{where}/empty-{j}.parquet"), False, conf)
+        for f in data(where):
+            fs.setTimes(f, now + 1000 * k, -1)

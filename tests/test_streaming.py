@@ -43,3 +43,38 @@ def test_windowed_failures_sum_to_total(spark):
     ev = spark.read.parquet(f"{SF0001}/events.parquet")
     assert tot[0] == ev.count()
     assert tot[1] == ev.where("event_id % 5 = 0").count()
+
+
+def test_hot_day_is_cut_into_files_and_rows_without_time_stay(spark, tmp_path):
+    import datetime as dt
+    from gradewell.streaming import episode_stream as K
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(i, t0 + dt.timedelta(seconds=i)) for i in range(300)] + [(400 + i, t0 + dt.timedelta(days=9 + i % 3)) for i in range(6)]
+    rows += [(500 + i, None) for i in range(5)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    out = f"{tmp_path}/out"
+
+    def sink(batch, number):
+        batch.select("event_id", "ts", F.lit(number).alias("b"), F.input_file_name().alias("f")).write.mode("append").parquet(out)
+    q = K.read_events_stream(spark, str(tmp_path)).writeStream.foreachBatch(sink).trigger(availableNow=True).option(
+        "checkpointLocation", f"{tmp_path}/chk").start()
+    q.awaitTermination()
+    got = spark.read.parquet(out).collect()
+    assert sorted(r.event_id for r in got) == sorted(i for i, _ in rows)
+    first = [r for r in got if r.b == 0]
+    assert len({r.f for r in first}) > 1 and {r.event_id for r in got if r.ts is None} <= {r.event_id for r in first}
+    spans = {b: [r.ts for r in got if r.b == b and r.ts] for b in {r.b for r in got}}
+    order = sorted(spans)
+    assert len(order) > 1 and all(max(spans[a]) < min(spans[b]) for a, b in zip(order, order[1:]))
+
+
+def test_step_without_time_counts_and_takes_none(spark, tmp_path):
+    import datetime as dt
+    from gradewell.streaming import episode_stream as K
+    schema = ("episode_id long, event_id long, ts timestamp, action_type string, ok boolean, metric_value double, "
+              "max_steps int, time_budget_seconds double, has_fit boolean")
+    t0 = dt.datetime(2024, 1, 1)
+    data = [(1, i, t, "CODE_FIX", True, None, 15, 300.0, False) for i, t in ((1, t0), (2, None), (3, t0 + dt.timedelta(seconds=9)))]
+    spark.createDataFrame(data, schema).coalesce(1).write.json(str(tmp_path / "in"))
+    out = K.run_available_now(K.stream_episode_state(spark.readStream.schema(schema).json(str(tmp_path / "in"))), "notime").collect()
+    assert {r.event_id: (r.step_idx, r.done) for r in out if r.event == "step"} == {2: (0, False), 1: (1, False), 3: (2, False)}
