@@ -1,7 +1,6 @@
 import duckdb
 
 import __spark_entry__ as entry
-from conftest import SF0001
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark "
           "labels conversations").split()
@@ -20,15 +19,15 @@ def test_registry_shapes():
     assert len(qs) >= 100 and len(sql) >= 85
 
 
-def test_oracle_sample_on_small_tables(spark):
+def test_oracle_sample_on_small_tables(spark, sf0001):
     """A quick cross-section of the DuckDB oracle on sf0.001."""
     con = duckdb.connect()
     for t in TABLES:
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF0001}/{t}.parquet')")
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf0001}/{t}.parquet')")
     qs, sql = entry.queries(), entry.oracle_sql()
     for name in ["p2_missing_profile", "m1_roc_auc", "c1_split_counts", "t22_split_text", "e15_episode_state",
                  "f9_near_duplicates", "s6_explode_checklist"]:
-        got = qs[name](spark, SF0001).toPandas()
+        got = qs[name](spark, sf0001).toPandas()
         want = con.execute(sql[name]).df()
         assert sorted(got.columns) == sorted(want.columns), name
         assert len(got) == len(want), name

@@ -3,7 +3,6 @@
 import pytest
 
 import __spark_entry__ as entry
-from conftest import SF0001
 
 NAMES = ["m1_roc_auc", "c1_split_counts", "p7_duplicate_count", "e4_cycle_count", "f9_near_duplicates",
          "t12_corr_pair_handled"]
@@ -14,14 +13,14 @@ def _rows(df):
 
 
 @pytest.mark.parametrize("name", NAMES)
-def test_partition_count_invariance(spark, name):
+def test_partition_count_invariance(spark, sf0001, name):
     q = entry.queries()[name]
     spark.conf.set("spark.sql.shuffle.partitions", "1")
-    one = _rows(q(spark, SF0001))
+    one = _rows(q(spark, sf0001))
     spark.conf.set("spark.sql.shuffle.partitions", "200")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        many = _rows(q(spark, SF0001))
+        many = _rows(q(spark, sf0001))
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
         spark.conf.set("spark.sql.adaptive.enabled", "true")

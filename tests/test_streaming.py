@@ -1,13 +1,12 @@
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from conftest import SF0001
 
 
-def test_stream_state_equals_batch_windows(spark):
+def test_stream_state_equals_batch_windows(spark, sf0001):
     qs = entry.queries()
-    stream = qs["k1_stream_episode_state"](spark, SF0001)
-    batch = qs["e15_episode_state"](spark, SF0001)
+    stream = qs["k1_stream_episode_state"](spark, sf0001)
+    batch = qs["e15_episode_state"](spark, sf0001)
     s = {(r["episode_id"], r["step_idx"]): (r["repair_attempts"], r["best_metric"]) for r in stream.collect()}
     b = {(r["episode_id"], r["step_idx"]): (r["repair_attempts"], r["best_metric"]) for r in batch.collect()}
     assert s == b and len(s) > 0
@@ -37,10 +36,10 @@ def test_step_after_the_deadline_does_not_end_the_stream(spark, tmp_path):
     assert len(timeouts) == len(set(timeouts))
 
 
-def test_windowed_failures_sum_to_total(spark):
-    out = entry.queries()["k4_windowed_failure_rate"](spark, SF0001)
+def test_windowed_failures_sum_to_total(spark, sf0001):
+    out = entry.queries()["k4_windowed_failure_rate"](spark, sf0001)
     tot = out.agg(F.sum("n_steps"), F.sum("n_failed")).first()
-    ev = spark.read.parquet(f"{SF0001}/events.parquet")
+    ev = spark.read.parquet(f"{sf0001}/events.parquet")
     assert tot[0] == ev.count()
     assert tot[1] == ev.where("event_id % 5 = 0").count()
 
