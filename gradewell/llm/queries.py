@@ -208,3 +208,37 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     where = index.select(F.col("file"), F.col("offset"), "urlkey", "captured")
     return back.join(where, ["file", "offset"]).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "urlkey", "captured", "intact")
+
+
+# ------------------------------------------------------------ 13 source divergence audit
+
+OP13_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+tok AS (SELECT rid, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+lt AS MATERIALIZED (SELECT lang, term, count(*) AS c FROM tok GROUP BY ALL HAVING count(DISTINCT rid) >= 10),
+gt AS MATERIALIZED (SELECT lang, source, term, count(*) AS c FROM tok SEMI JOIN lt USING (lang, term) GROUP BY ALL),
+g AS (SELECT DISTINCT lang, source FROM d),
+v AS (SELECT lang, count(*) AS v, sum(c) AS n FROM lt GROUP BY lang),
+gn AS (SELECT g.lang, g.source, coalesce(sum(c), 0) AS n FROM g LEFT JOIN gt USING (lang, source) GROUP BY ALL),
+p AS MATERIALIZED (
+  SELECT gn.lang, gn.source, lt.term, coalesce(gt.c, 0) AS c, lt.c AS all_c,
+         (1 + (1000000000::HUGEINT * (coalesce(gt.c, 0) + 2)) // (gn.n + 2 * v.v))::BIGINT AS p,
+         (1 + (1000000000::HUGEINT * (lt.c + 2)) // (v.n + 2 * v.v))::BIGINT AS q
+  FROM gn JOIN lt USING (lang) JOIN v USING (lang) LEFT JOIN gt USING (lang, source, term)),
+s AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p))::BIGINT AS value
+      FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pair AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0) AS value
+         FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+         LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+term AS (SELECT lang, source, 'term' AS part, term AS item, (p - q) * (p - q) // (p + q) AS value FROM p WHERE c > 0 AND p > q),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank
+      FROM (SELECT * FROM pair UNION ALL SELECT * FROM term))
+SELECT * FROM r WHERE part = 'pair' OR rank <= 10
+"""
+
+
+@query("op13_source_divergence", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gradewell.llm.divergence import audit
+    return audit(table(spark, sf_dir, "documents"))
