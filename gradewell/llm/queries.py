@@ -242,3 +242,11 @@ SELECT * FROM r WHERE part = 'pair' OR rank <= 10
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gradewell.llm.divergence import audit
     return audit(table(spark, sf_dir, "documents"))
+
+
+# ------------------------------------------------------------ 12 SimHash near-dedup
+
+@query("op12_simhash_dedup")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gradewell.llm.simhash_join import near_duplicates
+    return near_duplicates(table(spark, sf_dir, "documents"))
