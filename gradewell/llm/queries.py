@@ -250,3 +250,12 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gradewell.llm.simhash_join import near_duplicates
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+# ------------------------------------------------------------ 11 conversation structure repair
+
+@query("op11_turn_repair")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gradewell.llm.turn_repair import damaged, repair
+    rows, copies = damaged(table(spark, sf_dir, "conversations"))
+    return repair(rows, copies=copies)

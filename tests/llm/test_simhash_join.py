@@ -69,11 +69,10 @@ def test_empty_table(spark, frame):
     assert S.near_duplicates(frame([])).collect() == []
 
 
-@pytest.mark.parametrize("cell, run", [(1 << 16, 48), (40, 4)])
-def test_links_join_what_all_pairs_join(spark, monkeypatch, cell, run):
-    """Clusters, sparse and dense fingerprints; small limits make cells crowded and large."""
+@pytest.mark.parametrize("cell", [1 << 16, 40])
+def test_links_join_what_all_pairs_join(spark, monkeypatch, cell):
+    """Clusters, sparse and dense fingerprints; a small limit makes cells crowded."""
     monkeypatch.setattr(S, "CELL", cell)
-    monkeypatch.setattr(S, "RUN", run)
     rnd = np.random.default_rng(5)
     centres = rnd.integers(0, 1 << 63, 30, dtype=np.uint64) * np.uint64(2)
     fps = {0, (1 << 64) - 1}
