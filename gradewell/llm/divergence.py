@@ -127,7 +127,7 @@ def _table(rows: list[tuple]) -> pa.Table:
     return pa.table({m: pa.array(c, kind) for m, c, kind in zip(names, cols, kinds)})
 
 
-def _audit(k: int):
+def _audit(k: int, width: int = TILE):
     def audit(key, terms, langs):
         """Sums of pairs and skybands of the terms of one part of a lang, for one tile of its sources."""
         lang, block, tile = (x.as_py() for x in key)
@@ -136,7 +136,7 @@ def _audit(k: int):
         names = [s["source"] for s in langs.column("sources")[0].as_py()]
         sizes = np.array([s["n"] for s in langs.column("sources")[0].as_py()], np.int64)
         v, all_n = langs.column("v")[0].as_py(), langs.column("total")[0].as_py()
-        mine = range(tile * TILE, min((tile + 1) * TILE, len(names)))
+        mine = range(tile * width, min((tile + 1) * width, len(names)))
         sums = np.zeros((len(mine), len(names)), np.int64)
         rows = []
         if terms.num_rows:

@@ -254,7 +254,62 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ------------------------------------------------------------ 11 conversation structure repair
 
-@query("op11_turn_repair")
+OP11_SQL = f"""
+WITH RECURSIVE src AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         xor(list_reduce(list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''),
+                                        lambda c: ord(c)::BIGINT),
+                         lambda h, b: list_reduce(range(8), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)), xor(h, b)),
+                         4294967295::BIGINT), 4294967295::BIGINT) % 20 AS f FROM conversations),
+ids AS (SELECT conv_id, row_number() OVER () AS cid FROM (SELECT DISTINCT conv_id FROM conversations)),
+dam AS (SELECT cid, turn, CASE f WHEN 4 THEN 'user' ELSE role END AS role,
+               CASE f WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+               unnest(range(CASE f WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END))
+        FROM src JOIN ids ON src.conv_id IS NOT DISTINCT FROM ids.conv_id),
+pos AS (SELECT *, left(role, 1) AS ini,
+               row_number() OVER (PARTITION BY cid ORDER BY turn NULLS FIRST, role, md5(text)) AS i FROM dam),
+flt AS MATERIALIZED (
+  SELECT *, lag(ini) OVER (PARTITION BY cid ORDER BY i) || ini NOT IN ('su', 'ua', 'au') AS bad,
+         CASE WHEN NOT regexp_matches(text, '{WORD_SQL}') THEN 'blank'
+              WHEN row_number() OVER (PARTITION BY cid, role, text ORDER BY i) > 1 THEN 'duplicate'
+              WHEN regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*$') THEN 'ok' ELSE 'truncated' END AS fault FROM pos),
+ins(s, t, n) AS (VALUES (0, 0, 0), (0, 2, 1), (0, 3, 2), (1, 1, 0), (1, 2, 1), (1, 3, 2), (2, 2, 0), (2, 3, 1), (3, 3, 0), (3, 2, 1)),
+due(s, t) AS (VALUES (0, 2), (1, 2), (2, 3), (3, 2)),
+lawful(s, ini, t) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+extra(fault, c) AS (VALUES ('ok', 0), ('truncated', 3)),
+rest(fault) AS (VALUES ('ok'), ('truncated'), ('blank'), ('duplicate')),
+inis AS (SELECT DISTINCT ini FROM flt),
+move AS (SELECT s, ini, fault, s AS t, 4 AS c, 'D' AS sign FROM due, inis, rest
+         UNION ALL SELECT s, ini, fault, t, 3 + c, 'R' FROM due, inis, extra
+         UNION ALL SELECT s, ini, fault, t, c, 'K' FROM lawful, extra),
+step AS MATERIALIZED (SELECT ins.s, ini, fault, move.t, min({{'c': 3 * n + c, 'a': repeat('I', n) || sign}}) AS m
+         FROM ins JOIN move ON ins.t = move.s GROUP BY ALL),
+dp AS (SELECT cid, 0::BIGINT AS i, 0 AS s, {{'c': 0, 'a': ''}} AS b FROM ids
+       UNION ALL
+       SELECT dp.cid, flt.i, step.t, min({{'c': b.c + m.c, 'a': b.a || m.a}})
+       FROM dp JOIN flt ON flt.cid = dp.cid AND flt.i = dp.i + 1
+       JOIN step ON step.s = dp.s AND step.ini = flt.ini AND step.fault = flt.fault GROUP BY dp.cid, flt.i, step.t),
+size AS (SELECT cid, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+                count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+                count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (bad) AS illegal FROM flt GROUP BY cid),
+tail(s, c, a) AS (VALUES (0, 0, ''), (1, 6, 'II'), (2, 3, 'I'), (3, 0, '')),
+won AS (SELECT dp.cid, min({{'c': b.c + tail.c, 'a': b.a || tail.a}}) AS b
+        FROM dp JOIN tail USING (s) LEFT JOIN size USING (cid) WHERE dp.i = coalesce(n, 0) GROUP BY dp.cid),
+sign AS (SELECT cid, sign, j, count(*) FILTER (sign <> 'I') OVER (PARTITION BY cid ORDER BY j) AS i
+         FROM (SELECT cid, unnest(string_split(b.a, '')) AS sign, unnest(range(length(b.a))) AS j FROM won WHERE b.a <> '')),
+line AS (SELECT s.cid, j, sign, role, text,
+                count(*) FILTER (NOT (sign = 'K' AND ini = 's')) OVER (PARTITION BY s.cid ORDER BY j) AS k
+         FROM sign s LEFT JOIN flt ON flt.cid = s.cid AND flt.i = s.i AND sign <> 'I' WHERE sign <> 'D'),
+out AS (SELECT cid, string_agg(CASE WHEN sign = 'K' THEN role WHEN k % 2 = 1 THEN 'user' ELSE 'assistant' END
+                               || ':' || coalesce(text, ''), chr(10) ORDER BY j) AS t FROM line GROUP BY cid)
+SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, b.c::BIGINT AS cost, b.a AS audit,
+       sha256(coalesce(t, '')) AS repaired_sha256
+FROM ids JOIN won USING (cid) LEFT JOIN size USING (cid) LEFT JOIN out USING (cid)
+"""
+
+
+@query("op11_turn_repair", OP11_SQL)
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gradewell.llm.turn_repair import damaged, repair
     rows, copies = damaged(table(spark, sf_dir, "conversations"))
