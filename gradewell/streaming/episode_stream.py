@@ -1,37 +1,40 @@
-"""Structured Streaming versions of the episode rules (K1-K4).
+"""Structured Streaming versions of the episode rules.
 
-K1/K2: ``groupBy(episode_id).applyInPandasWithState`` keeps a few counters
-per episode (the reference's per-session state machine), emits one row per
-step (E1-E5, same values as the batch windows) and, on an event-time
-timeout, a ``timeout`` row for an episode whose budget ran out without a
+K1/K2: ``groupBy(episode_id).transformWithState`` keeps a few counters per
+episode in a value state of the RocksDB store (the reference's per-session state
+machine), emits one row per step (E1-E5, same values as the batch windows) and, by an
+event-time timer, a ``timeout`` row for an episode whose budget ran out without a
 final submit. Regex flags are computed JVM-side before the state operator,
-so the Python function only updates counters.
+so the processor only updates counters, row by row.
 K3: the stateless step rules as a plain projection of the stream.
-K4: failures per crash class in tumbling event-time windows with a watermark.
+K4: failures per crash class in tumbling event-time windows with a watermark, and a side
+sink that counts the rows no window can take: those without a time and those
+that come after their window was closed.
+S8: the step log as a sink that takes a repeated delivery or a replayed batch once.
 """
 
 from __future__ import annotations
 
+import heapq
 import sys
-import time
 import uuid
+from collections.abc import Callable, Iterator
 
-import numpy as np
-import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from gradewell.functions import text_rules as TR
 from gradewell.session import scratch_path
 
-# The state function runs in Python workers that may not have this package
-# installed: ship this module's functions by value (they only need numpy and
-# pandas on the workers).
+# The processor runs in Python workers that may not have this package
+# installed: ship this module by value.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 #: Every crash class a failed step can have, in the order of the rules.
 CRASH_CLASSES = [*dict.fromkeys(c for _, c in TR.ERROR_CLASSES), "other", "none"]
 
@@ -41,7 +44,8 @@ STATE_SCHEMA = T.StructType([
     T.StructField("fails", T.LongType()), T.StructField("phase", T.StringType()),
     T.StructField("cycles", T.LongType()), T.StructField("metric", T.DoubleType()),
     T.StructField("done", T.BooleanType()), T.StructField("budget_s", T.DoubleType()),
-    T.StructField("dropped", T.LongType()),
+    T.StructField("dropped", T.LongType()), T.StructField("timer_ms", T.LongType()),
+    T.StructField("timed_out", T.BooleanType()),
 ])
 
 OUTPUT_SCHEMA = T.StructType([
@@ -66,102 +70,102 @@ def stream_inputs(steps: DataFrame, tasks: DataFrame) -> DataFrame:
         "time_budget_seconds", TR.rx_match(text, TR.FIT_SPACED).alias("has_fit"))
 
 
-_NO_TIME = int(np.datetime64("NaT", "ms").astype("int64"))
-_OUT_COLS = [f.name for f in OUTPUT_SCHEMA.fields]
-
-
-def _episode_state(key, pdfs, state: GroupState):
+class EpisodeProcessor(StatefulProcessor):
     """Counters of one episode across micro-batches (E1-E5, done, K2).
-    Works on numpy columns: per call one sort of at most max_steps + 1
-    candidate rows and one output frame."""
-    (episode_id,) = key
-    if state.hasTimedOut:
-        st = state.get
-        if not st[8]:   # not done: the budget ran out without a final submit
-            yield pd.DataFrame([{"episode_id": episode_id, "event": "timeout", "event_id": None,
-                                 "step_idx": None, "repair_attempts": st[2], "repair_successes": st[3],
-                                 "consecutive_failures": st[4], "cycle_count": st[6], "best_metric": st[7],
-                                 "done": True, "dropped_after_done": st[10]}])
-        state.remove()
-        return
-    if state.exists:
-        n, start_ms, repairs, repair_ok, fails, phase, cycles, metric, done, budget_s, dropped = state.get
-    else:
-        n, start_ms, repairs, repair_ok, fails, phase, cycles, metric, done, budget_s, dropped = (
-            0, None, 0, 0, 0, "init", 0, None, False, None, 0)
-    # An episode ends at index max_steps at the latest, so only the first
-    # (max_steps + 1 - n) rows by (ts, event_id) can matter: keep a bounded
-    # candidate set across the group's Arrow chunks.
-    cols = ("ts_ms", "event_id", "action_type", "ok", "metric_value", "max_steps", "time_budget_seconds", "has_fit")
-    cand = None
-    for chunk in pdfs:
-        if chunk.empty:
-            continue
-        if done:
-            dropped += len(chunk)
-            continue
-        arr = {"ts_ms": chunk["ts"].to_numpy(dtype="datetime64[ms]").astype("int64"),
-               **{c: chunk[c].to_numpy() for c in cols[1:]}}
-        cand = arr if cand is None else {c: np.concatenate([cand[c], arr[c]]) for c in cols}
-        cap = max(int(cand["max_steps"][0]) + 1 - n, 0)
-        if len(cand["ts_ms"]) > cap:
-            order = np.lexsort((cand["event_id"], cand["ts_ms"]))[:cap]
-            dropped += len(cand["ts_ms"]) - cap
-            cand = {c: cand[c][order] for c in cols}
-    out = {c: [] for c in _OUT_COLS}
-    if cand is not None and len(cand["ts_ms"]):
-        order = np.lexsort((cand["event_id"], cand["ts_ms"]))
-        for i in order:
+
+    The budget's timer reports an open episode once; the counters stay, so that a step that
+    still comes is numbered and judged as in the batch windows, and a closed episode is not
+    opened again, until ``retention`` after its deadline.
+
+    An episode ends at index max_steps at the latest, so only the first
+    (max_steps + 1 - n) rows of a batch by (time, event) can matter: they are picked
+    from the row iterator by a bounded heap, the others are counted as they pass.
+    A step without a time comes first and takes none."""
+
+    def __init__(self, retention_ms: int):
+        self.retention_ms = retention_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("episode", STATE_SCHEMA)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        (episode_id,) = key
+        n, start_ms, repairs, repair_ok, fails, phase, cycles, metric, done, budget_s, dropped, timer_ms, timed_out = (
+            self.state.get() or (0, None, 0, 0, 0, "init", 0, None, False, None, 0, None, False))
+        passed = 0
+
+        def counted():
+            nonlocal passed
+            for r in rows:
+                passed += 1
+                yield r
+        it = counted()
+        first = next(it, None)
+        if first is None:
+            return
+        room = 0 if done else max(int(first.max_steps) + 1 - n, 0)
+        mine = heapq.nsmallest(room, (r for part in ((first,), it) for r in part),
+                               key=lambda r: (r.ts_us is not None, r.ts_us or 0, r.event_id))
+        if not room:
+            passed += sum(1 for _ in rows)
+        dropped += passed - len(mine)
+        for r in mine:
             if done:
                 dropped += 1
                 continue
-            ts_ms = int(cand["ts_ms"][i])
-            act = cand["action_type"][i]
-            timed = ts_ms != _NO_TIME               # a step without a time comes first and takes none
-            if start_ms is None and timed:
-                start_ms, budget_s = ts_ms, float(cand["time_budget_seconds"][i])
-            idx = n
-            elapsed = (ts_ms - start_ms) / 1000.0 if timed else 0.0
-            is_done = act == "FINAL_SUBMIT" or idx >= cand["max_steps"][i] or elapsed > cand["time_budget_seconds"][i]
-            ok = bool(cand["ok"][i])
+            ms = None if r.ts_us is None else r.ts_us // 1000
+            if start_ms is None and ms is not None:
+                start_ms, budget_s = ms, float(r.time_budget_seconds)
+            elapsed = (ms - start_ms) / 1000.0 if ms is not None else 0.0
+            act, ok = r.action_type, bool(r.ok)
             if act == "CODE_FIX":
                 repairs += 1
-                repair_ok += int(ok)
+                repair_ok += ok
             fails = 0 if ok else fails + 1
-            new_phase = ("model" if cand["has_fit"][i] else "data") if act in ("FEATURE_ENGINEERING", "CODE") \
-                else ("model" if act == "MODEL" else None)
-            if new_phase == "model" and phase == "data":
-                cycles += 1
-            if new_phase is not None:
-                phase = new_phase
-            mv = cand["metric_value"][i]
-            if mv is not None and not pd.isna(mv):
-                metric = float(mv)
+            here = ("model" if r.has_fit else "data") if act in ("FEATURE_ENGINEERING", "CODE") else (
+                "model" if act == "MODEL" else None)
+            cycles += here == "model" and phase == "data"
+            phase = here or phase
+            if r.metric_value is not None and r.metric_value == r.metric_value:
+                metric = float(r.metric_value)
+            done = bool(act == "FINAL_SUBMIT" or n >= r.max_steps or elapsed > r.time_budget_seconds)
+            yield Row(episode_id=episode_id, event="step", event_id=r.event_id, step_idx=n, repair_attempts=repairs,
+                      repair_successes=repair_ok, consecutive_failures=fails, cycle_count=cycles, best_metric=metric,
+                      done=done, dropped_after_done=dropped)
             n += 1
-            done = bool(is_done)
-            for c, v in (("episode_id", episode_id), ("event", "step"), ("event_id", int(cand["event_id"][i])),
-                         ("step_idx", idx), ("repair_attempts", repairs), ("repair_successes", repair_ok),
-                         ("consecutive_failures", fails), ("cycle_count", cycles), ("best_metric", metric),
-                         ("done", done), ("dropped_after_done", dropped)):
-                out[c].append(v)
-    state.update((n, start_ms, repairs, repair_ok, fails, phase, cycles, metric, done, budget_s, dropped))
-    if start_ms is not None:
-        # budget timeout while open; after done, keep the state one budget
-        # longer to absorb stragglers, then purge it. A step that is not late
-        # can come when the watermark has already passed the deadline: the
-        # timer then fires as soon as the watermark moves on.
-        deadline = start_ms + int((2 if done else 1) * budget_s * 1000)
-        state.setTimeoutTimestamp(max(deadline, state.getCurrentWatermarkMs() + 1))
-    if out["episode_id"]:
-        yield pd.DataFrame(out)
-
-
-def stream_episode_state(inputs: DataFrame, watermark: str = "1 hour") -> DataFrame:
-    """K1 + K2 on a streaming (or batch) DataFrame from :func:`stream_inputs`."""
-    return (inputs.withWatermark("ts", watermark)
-            .groupBy("episode_id")
-            .applyInPandasWithState(_episode_state, OUTPUT_SCHEMA, STATE_SCHEMA, "append",
-                                    GroupStateTimeout.EventTimeTimeout))
+        if start_ms is not None:
+            # a step that is not late can come when the watermark has already passed the
+            # deadline: the timer then fires as soon as the watermark moves on
+            due = max(start_ms + int(budget_s * 1000) + (self.retention_ms if done or timed_out else 0),
+                      timerValues.getCurrentWatermarkInMs() + 1)
+            if due != timer_ms:
+                if timer_ms is not None:
+                    self.handle.deleteTimer(timer_ms)
+                self.handle.registerTimer(due)
+                timer_ms = due
+        self.state.update((n, start_ms, repairs, repair_ok, fails, phase, cycles, metric, done, budget_s, dropped, timer_ms, timed_out))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        st = self.state.get()
+        if st is None or st[8] or st[12]:
+            self.state.clear()
+            return
+        purge = expiredTimerInfo.getExpiryTimeInMs() + self.retention_ms
+        self.handle.registerTimer(purge)
+        self.state.update((*st[:11], purge, True))
+        yield Row(episode_id=key[0], event="timeout", event_id=None, step_idx=None, repair_attempts=st[2],
+                  repair_successes=st[3], consecutive_failures=st[4], cycle_count=st[6], best_metric=st[7],
+                  done=True, dropped_after_done=st[10])
+
+    def close(self) -> None:
+        pass
+
+
+def stream_episode_state(inputs: DataFrame, watermark: str = "1 hour", retention_days: float = 7) -> DataFrame:
+    """K1 + K2 on a streaming DataFrame from :func:`stream_inputs`."""
+    return (inputs.withColumn("ts_us", F.unix_micros("ts")).withWatermark("ts", watermark).groupBy("episode_id")
+            .transformWithState(EpisodeProcessor(int(retention_days * 86_400_000)), OUTPUT_SCHEMA, "Append", "EventTime"))
 
 
 def stream_step_rules(steps: DataFrame) -> DataFrame:
@@ -174,91 +178,133 @@ def stream_step_rules(steps: DataFrame) -> DataFrame:
                         TR.hyperparam_count(text).cast("long").alias("n_hyperparams"))
 
 
+def _timed(steps: DataFrame) -> DataFrame:
+    return steps.select(F.col("ts").cast("timestamp").alias("ts"),
+                        F.coalesce("execution_success", F.lit(False)).alias("ok"),
+                        TR.classify_error(F.col("error_message")).alias("crash_class"))
+
+
+def _failure_counts() -> list:
+    failed = ~F.col("ok")
+    return [F.count(F.lit(1)).alias("n_steps"), F.sum(failed.cast("long")).alias("n_failed"),
+            *[F.sum((failed & (F.col("crash_class") == c)).cast("long")).alias(f"n_{c}") for c in CRASH_CLASSES]]
+
+
 def windowed_failure_rate(steps: DataFrame, window: str = "1 hour", watermark: str = "2 hours") -> DataFrame:
     """K4: steps, failures and failures per crash class per tumbling window."""
-    s = steps.select(F.col("ts").cast("timestamp").alias("ts"),
-                     F.coalesce("execution_success", F.lit(False)).alias("ok"),
-                     TR.classify_error(F.col("error_message")).alias("crash_class"))
-    return (s.withWatermark("ts", watermark)
-            .groupBy(F.window("ts", window).alias("w"))
-            .agg(F.count(F.lit(1)).alias("n_steps"), F.sum((~F.col("ok")).cast("long")).alias("n_failed"),
-                 *[F.sum(((~F.col("ok")) & (F.col("crash_class") == c)).cast("long")).alias(f"n_{c}")
-                   for c in CRASH_CLASSES]))
+    return _timed(steps).withWatermark("ts", watermark).groupBy(F.window("ts", window).alias("w")).agg(*_failure_counts())
+
+
+def unwindowed_rows(folder: str, window: str = "1 hour", watermark: str = "2 hours") -> Callable[[DataFrame, int], None]:
+    """K4's side sink (for ``foreachBatch`` over the same steps): writes per batch the counts
+    of the rows no window takes, ``no_time`` and ``late`` (the window ended before the
+    watermark, which is the latest time of the batches before less the delay), and the latest time seen. A
+    batch's rows replace those of the same batch, so a replay changes nothing."""
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        seen = None
+        if batch_id:
+            old = spark.read.schema("batch long, latest long").parquet(f"{folder}/batch=*").where(F.col("batch") < batch_id)
+            seen = old.agg(F.max("latest").alias("l")).first().l             # a row a batch
+        timed = _timed(batch)
+        wide = F.unix_micros(F.timestamp_micros(F.lit(0)) + F.expr(f"INTERVAL {window}"))
+        ends = (F.floor(F.unix_micros("ts") / wide) + 1) * wide          # of the window; window() itself drops null times
+        closed = F.unix_micros(F.timestamp_micros(F.lit(seen).cast("long")) - F.expr(f"INTERVAL {watermark}"))
+        side = F.when(F.col("ts").isNull(), "no_time").when(ends <= closed, "late")
+        (timed.select("ts", "ok", side.alias("side")).groupBy("side").agg(
+            F.max(F.unix_micros("ts")).alias("latest"), F.count(F.lit(1)).alias("n_steps"),
+            F.sum((~F.col("ok")).cast("long")).alias("n_failed"))
+            .select(F.lit(batch_id).cast("long").alias("batch"), "side", "latest", "n_steps", "n_failed")
+            .write.mode("overwrite").parquet(f"{folder}/batch={batch_id}"))
+    return sink
+
+
+def append_steps_stream(steps: DataFrame, path: str, keys: tuple[str, ...] = ("episode_id", "event_id"),
+                        watermark: str = "1 day"):
+    """S8 on a stream: a writer that appends step records to the log, by batch and day. A
+    record delivered again within the watermark is dropped by its keys; a batch that is
+    run again replaces its own partitions, so it adds no rows. Records without a time
+    go to the day of null."""
+    once = steps.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(list(keys))
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        (batch.withColumn("dt", F.to_date("ts")).withColumn("batch", F.lit(batch_id).cast("long"))
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "dt").parquet(path))
+    return once.writeStream.foreachBatch(sink)
 
 
 # ------------------------------------------------------------------ runner
-def run_available_now(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run a streaming DataFrame over everything available, into a parquet
-    sink under the shared checkpoint folder, and read the result back."""
-    spark = df.sparkSession
-    base = scratch_path(spark, f"stream-{name}-{uuid.uuid4().hex[:12]}")
-    q = (df.writeStream.format("parquet").outputMode(mode)
-         .option("path", f"{base}/out").option("checkpointLocation", f"{base}/chk")
-         .trigger(availableNow=True).start())
+def rocksdb(spark: SparkSession) -> None:
+    """State in RocksDB, committed as the changes of a batch."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+
+
+def finish(writer, checkpoint: str) -> None:
+    """Runs a stream over everything available; its state is in ``checkpoint``."""
+    q = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
+
+
+def run_available_now(df: DataFrame, name: str, mode: str = "append", base: str | None = None) -> DataFrame:
+    """Run a streaming DataFrame over everything available, into a parquet
+    sink under the shared checkpoint folder, and read the result back. With
+    ``base`` of an earlier run it goes on where that one stopped."""
+    spark = df.sparkSession
+    rocksdb(spark)
+    base = base or scratch_path(spark, f"stream-{name}-{uuid.uuid4().hex[:12]}")
+    finish(df.writeStream.format("parquet").outputMode(mode).option("path", f"{base}/out"), f"{base}/chk")
     return spark.read.parquet(f"{base}/out")
 
 
-def run_available_now_updates(df: DataFrame, name: str, key_cols: list[str]) -> DataFrame:
-    """Update-mode run: every micro-batch appends its updated rows (tagged
-    with the batch id) to a parquet folder; the result keeps each key's last
+def run_available_now_updates(df: DataFrame, name: str, key_cols: list[str], base: str | None = None) -> DataFrame:
+    """Update-mode run: every micro-batch writes its updated rows to the folder of its
+    batch id (a replay replaces them); the result keeps each key's last
     update -- windows the watermark has not closed yet are included."""
     spark = df.sparkSession
-    base = scratch_path(spark, f"stream-{name}-{uuid.uuid4().hex[:12]}")
+    rocksdb(spark)
+    base = base or scratch_path(spark, f"stream-{name}-{uuid.uuid4().hex[:12]}")
     out = f"{base}/out"
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("_batch", F.lit(batch_id).cast("long")).write.mode("append").parquet(out)
+        batch.withColumn("_batch", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
-    q = (df.writeStream.outputMode("update").foreachBatch(sink)
-         .option("checkpointLocation", f"{base}/chk").trigger(availableNow=True).start())
-    q.awaitTermination()
-    if q.exception() is not None:
-        raise RuntimeError(str(q.exception()))
-    from pyspark.sql.window import Window
-    res = spark.read.parquet(out)
-    w = Window.partitionBy(*key_cols).orderBy(F.col("_batch").desc())
-    return res.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn", "_batch")
-
-
-def read_events_stream(spark: SparkSession, sf_dir: str, batches: int = 4) -> DataFrame:
-    """The events table as a file stream of ``batches`` micro-batches: one job
-    cuts it by time into files below the shared folder, as many a batch as the
-    cluster has task slots, so a hot day is written and read by many tasks.
-    Rows without a time come in the first batch."""
-    events = spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet")
-    folder = scratch_path(spark, f"events-{uuid.uuid4().hex[:12]}")
-    files = max(spark.sparkContext.defaultParallelism, 1)
+    finish(df.writeStream.outputMode("update").foreachBatch(sink), f"{base}/chk")
+    res = spark.read.option("basePath", out).parquet(f"{out}/batch=*").drop("batch")
+    rest = [c for c in res.columns if c not in (*key_cols, "_batch")]
+    return res.groupBy(*key_cols).agg(F.max_by(F.struct(*rest), "_batch").alias("_r")).select(*key_cols, "_r.*")
+
+
+class Arrivals:
+    """The rows of a table that arrive in installments: they are laid out by installment
+    once, then each is appended to one folder, by many tasks, before a stream over that
+    folder is run on. The stream sees explicit batches, whatever order files are listed or dated in."""
+
+    def __init__(self, rows: DataFrame, part, batches: int, name: str = "rows"):
+        self.spark, self.schema, self.batches = rows.sparkSession, rows.schema, batches
+        self.folder = scratch_path(self.spark, f"{name}-{uuid.uuid4().hex[:12]}")
+        rows.withColumn("_part", part.cast("int")).write.partitionBy("_part").parquet(f"{self.folder}-laid")
+        self.spark.createDataFrame([], self.schema).write.parquet(self.folder)      # a stream's folder must be there first
+
+    def stream(self) -> DataFrame:
+        return self.spark.readStream.schema(self.schema).parquet(self.folder)
+
+    def replay(self, run: Callable[[], object]):
+        """Lets every installment arrive and runs after each; what the last run gave."""
+        laid = self.spark.read.schema(T.StructType([*self.schema.fields, T.StructField("_part", T.IntegerType())])).parquet(
+            f"{self.folder}-laid")
+        out = None
+        for k in range(self.batches):
+            laid.where(F.col("_part") == k).drop("_part").write.mode("append").parquet(self.folder)
+            out = run()
+        return out
+
+
+def installment(events: DataFrame, batches: int):
+    """The installment of each row of a table with ``ts``, by time; rows without a time come first."""
     ts = F.unix_micros(F.col("ts").cast("timestamp"))
     lo, hi = events.agg(F.min(ts), F.max(ts)).first()
     width = ((hi or 0) - (lo or 0)) // batches + 1
-    part = F.coalesce(F.floor((ts - F.lit(lo or 0)) / width), F.lit(0)).cast("int")
-    salt = F.pmod(F.xxhash64(*events.columns), F.lit(files)).cast("int")
-    events.withColumn("_part", part).repartitionById(batches * files, part * files + salt) \
-        .write.partitionBy("_part").parquet(folder)
-    events.limit(0).coalesce(1).write.parquet(f"{folder}-empty")
-    _order_files(spark, folder, batches, files)
-    return (spark.readStream.schema(events.schema).option("maxFilesPerTrigger", files).parquet(folder).drop("_part"))
-
-
-def _order_files(spark: SparkSession, folder: str, batches: int, files: int) -> None:
-    """Files are read by their age, ``files`` a batch: every part that holds
-    rows is filled up with files of no rows and dated after the part before."""
-    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
-    path = jvm.org.apache.hadoop.fs.Path
-    fs = path(folder).getFileSystem(conf)
-
-    def data(where: str) -> list:
-        return [f.getPath() for f in fs.listStatus(path(where)) if f.getPath().getName().endswith(".parquet")]
-    (empty,) = data(f"{folder}-empty")
-    now = int(time.time() * 1000)
-    for k in range(batches):
-        where = f"{folder}/_part={k}"
-        if not fs.exists(path(where)):
-            continue
-        for j in range(files - len(data(where))):
-            jvm.org.apache.hadoop.fs.FileUtil.copy(fs, empty, fs, path(f"{where}/empty-{j}.parquet"), False, conf)
-        for f in data(where):
-            fs.setTimes(f, now + 1000 * k, -1)
+    return F.coalesce(F.floor((ts - F.lit(lo or 0)) / width), F.lit(0))

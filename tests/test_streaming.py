@@ -36,37 +36,73 @@ def test_step_after_the_deadline_does_not_end_the_stream(spark, tmp_path):
     assert len(timeouts) == len(set(timeouts))
 
 
-def test_windowed_failures_sum_to_total(spark, sf0001):
-    out = entry.queries()["k4_windowed_failure_rate"](spark, sf0001)
-    tot = out.agg(F.sum("n_steps"), F.sum("n_failed")).first()
+def test_windows_and_side_rows_hold_every_step(spark, sf0001):
+    out = entry.queries()["k4_windowed_failure_rate"](spark, sf0001).collect()
     ev = spark.read.parquet(f"{sf0001}/events.parquet")
-    assert tot[0] == ev.count()
-    assert tot[1] == ev.where("event_id % 5 = 0").count()
+    assert sum(r.n_steps for r in out) == ev.count()
+    assert sum(r.n_failed for r in out) == ev.where("event_id % 5 = 0").count()
+    assert {r.side for r in out} == {"window", "no_time", "late"}
 
 
-def test_hot_day_is_cut_into_files_and_rows_without_time_stay(spark, tmp_path):
+def test_installments_hold_every_row_in_order_of_time(spark, tmp_path):
     import datetime as dt
     from gradewell.streaming import episode_stream as K
     t0 = dt.datetime(2024, 1, 1)
     rows = [(i, t0 + dt.timedelta(seconds=i)) for i in range(300)] + [(400 + i, t0 + dt.timedelta(days=9 + i % 3)) for i in range(6)]
     rows += [(500 + i, None) for i in range(5)]
-    spark.createDataFrame(rows, "event_id long, ts timestamp").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
-    out = f"{tmp_path}/out"
+    events = spark.createDataFrame(rows, "event_id long, ts timestamp")
+    arrivals, out = K.Arrivals(events, K.installment(events, 4), 4), f"{tmp_path}/out"
 
     def sink(batch, number):
-        batch.select("event_id", "ts", F.lit(number).alias("b"), F.input_file_name().alias("f")).write.mode("append").parquet(out)
-    q = K.read_events_stream(spark, str(tmp_path)).writeStream.foreachBatch(sink).trigger(availableNow=True).option(
-        "checkpointLocation", f"{tmp_path}/chk").start()
-    q.awaitTermination()
+        batch.select("event_id", "ts", F.lit(number).alias("b")).write.mode("append").parquet(out)
+    arrivals.replay(lambda: K.finish(arrivals.stream().writeStream.foreachBatch(sink), f"{tmp_path}/chk"))
     got = spark.read.parquet(out).collect()
     assert sorted(r.event_id for r in got) == sorted(i for i, _ in rows)
-    first = [r for r in got if r.b == 0]
-    assert len({r.f for r in first}) > 1 and {r.event_id for r in got if r.ts is None} <= {r.event_id for r in first}
+    assert all(r.b == 0 for r in got if r.ts is None)
     spans = {b: [r.ts for r in got if r.b == b and r.ts] for b in {r.b for r in got}}
-    order = sorted(spans)
+    order = sorted(b for b in spans if spans[b])
     assert len(order) > 1 and all(max(spans[a]) < min(spans[b]) for a, b in zip(order, order[1:]))
 
 
+def test_state_goes_on_after_a_restart_and_closed_episodes_stay_closed(spark, tmp_path):
+    """Five runs on one checkpoint; late, null-time and straggling steps against the batch rule."""
+    import datetime as dt
+    from gradewell.streaming import episode_stream as K
+    t0 = dt.datetime(2024, 1, 1)
+    schema = ("episode_id long, event_id long, ts timestamp, action_type string, ok boolean, metric_value double, "
+              "max_steps int, time_budget_seconds double, has_fit boolean, _part int")
+    rows = [(1, 1, 0, 0), (1, 2, 60, 0), (2, 3, 50, 0), (9, 4, 7200, 1), (1, 5, 120, 2), (1, 6, 100_000, 3), (1, 7, 100_060, 3),
+            (9, 8, 100_100, 3), (1, 9, 100_200, 4), (3, 10, None, 1), (3, 11, 100_000, 3), (4, 12, 300_000, 4)]
+    data = [(e, i, None if s is None else t0 + dt.timedelta(seconds=s), "CODE_FIX", True, None, 15, 300.0, False, p) for e, i, s, p in rows]
+    df = spark.createDataFrame(data, schema)
+    arrivals, base = K.Arrivals(df.withColumnRenamed("_part", "p"), F.col("p"), 5), f"{tmp_path}/base"
+    out = K.stream_episode_state(arrivals.stream().drop("p"))
+    got = arrivals.replay(lambda: K.run_available_now(out, "restart", base=base)).collect()
+    steps = {r.event_id: (r.step_idx, r.done) for r in got if r.event == "step"}
+    # step 5 came after the watermark had passed it: late, dropped by Spark; 6 ends episode 1, 7 and 9 come after its end
+    assert steps == {1: (0, False), 2: (1, False), 3: (0, False), 4: (0, False), 6: (2, True), 8: (1, True), 10: (0, False),
+                     11: (1, False), 12: (0, False)}
+    timeouts = sorted(r.episode_id for r in got if r.event == "timeout")
+    assert timeouts == sorted(set(timeouts)) and {1, 2, 3} <= set(timeouts) | {9}
+
+
+def test_a_replayed_batch_adds_no_rows(spark, tmp_path):
+    import datetime as dt
+    from gradewell.streaming import episode_stream as K
+    K.rocksdb(spark)
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(1, i % 10, t0 + dt.timedelta(minutes=i % 10), f"s{i % 10}") for i in range(14)] + [(2, 50, None, "no time"), (2, 50, None, "no time")]
+    src = str(tmp_path / "in")
+    spark.createDataFrame(rows, "episode_id long, event_id long, ts timestamp, t string").write.parquet(src)
+    stream = spark.readStream.schema("episode_id long, event_id long, ts timestamp, t string").parquet(src)
+    log = f"{tmp_path}/log"
+    K.finish(K.append_steps_stream(stream, log), f"{tmp_path}/chk")
+    first = sorted((r.event_id, r.t) for r in spark.read.parquet(log).collect())
+    assert first == sorted({(i % 10, f"s{i % 10}") for i in range(14)} | {(50, "no time")})
+    K.finish(K.append_steps_stream(stream, log), f"{tmp_path}/chk2")          # the same batch id again, from the start
+    assert sorted((r.event_id, r.t) for r in spark.read.parquet(log).collect()) == first
+
+
 def test_step_without_time_counts_and_takes_none(spark, tmp_path):
     import datetime as dt
     from gradewell.streaming import episode_stream as K
