@@ -7,6 +7,7 @@ defaults, exposed as keyword arguments.
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import DataFrame
@@ -116,44 +117,145 @@ def remaining_duplicates(features: DataFrame, target: str, mentioned: bool = Fal
 
 
 # ------------------------------------------------------------------ F9
-def near_duplicates(df: DataFrame, columns: list[str] | None = None, max_diff: int = 2) -> DataFrame:
+GROUP_ROWS = 20_000        # rows of a group that one task compares
+FEW = 48                   # rows of a group up to which all its pairs are compared
+NARROW = 8                 # columns up to which a hash for every subset is the smaller row
+
+
+def near_duplicates(df: DataFrame, columns: list[str] | None = None, max_diff: int = 2,
+                    group_rows: int = GROUP_ROWS, narrow: int = NARROW) -> DataFrame:
     """number of row pairs that differ in 1..max_diff of the numeric
-    columns, NaN/null never equal. Exact, without emitting pairs: for each
-    set S of at most max_diff columns, E(S) = pairs equal on every column
-    outside S (sum of n(n-1)/2 over groups of equal values); the pairs whose
-    differing set is exactly D follow by inclusion-exclusion over subsets of
-    D. One scan and one exchange: a row becomes one 128-bit hash of the kept
-    columns for each S, and the (S, hash) groups are counted with map-side
-    combine. Pair counts are decimals: n(n-1)/2 leaves BIGINT behind."""
+    columns, NaN/null never equal. Exact, without emitting pairs.
+
+    The columns are cut into max_diff + 1 blocks: a pair that differs in at most
+    max_diff columns agrees on one block entirely. A row (equal rows once, with their number)
+    is sent once a block, as one hash a column, to the rows that agree with it there, and a pair counts in the
+    first block it agrees on. In a group, the pairs whose differing columns are exactly D are
+    counted by inclusion-exclusion over the subsets of D. A group of more than
+    ``group_rows`` rows is counted apart by :func:`_by_subsets`, spread over the cluster; so are all
+    rows of a table of at most ``narrow`` columns. Entries a row are linear in the columns. Pair
+    counts are decimals: n(n-1)/2 leaves BIGINT behind."""
     cols = columns or numeric_columns(df)
     k = len(cols)
-    subsets = [s for r in range(0, min(max_diff, k) + 1) for s in combinations(range(k), r)]
+    cells = [F.when(clean(df, c).isNotNull(), F.xxhash64(F.lit(i), clean(df, c))) for i, c in enumerate(cols)]
+    rows = df.select(F.array(*cells).alias("v"), F.lit(1).cast("long").alias("n")) if cols else df.limit(0).select(
+        F.array().cast("array<long>").alias("v"), F.lit(1).cast("long").alias("n"))
+    if k <= max(max_diff, narrow) or max_diff < 1:
+        return _by_subsets(rows, k, _differing(k, max_diff, 0, []))
+    # a row with a missing value is equal to no other: it keeps its own place
+    own = F.when(F.exists("v", lambda x: x.isNull()), F.monotonically_increasing_id())
+    rows = rows.withColumn("own", own).groupBy("v", "own").agg(F.sum("n").alias("n"))
+    blocks = [list(range(b, k, max_diff + 1)) for b in range(max_diff + 1)]
+    at = lambda ids: [F.col("v")[i] for i in ids]
+    sent = rows.select("v", "n", F.explode(F.array(*[
+        F.when(reduce(lambda a, x: a & x.isNotNull(), at(ids), F.lit(True)), F.struct(
+            F.lit(b).alias("block"), F.xxhash64(F.lit(b), *at(ids)).alias("g"), F.xxhash64(F.lit(b + 7919), *at(ids)).alias("h")))
+        for b, ids in enumerate(blocks)])).alias("e")).where("e is not null").select("v", "n", "e.*")
+    key = ["block", "g", "h"]
+    crowded = sent.groupBy(*key).agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > group_rows).drop("m")
+    plain = sent.join(crowded, key, "left_anti").repartition(*key).sortWithinPartitions(*key)
+    wanted = [_differing(k, max_diff, b, blocks) for b in range(len(blocks))]
+    counted = plain.mapInArrow(_count_groups(wanted), "pairs string").select(F.col("pairs").cast("decimal(38,0)").alias("p"))
+    hot = sent.join(crowded, key)
+    for b, ds in enumerate(wanted):
+        counted = counted.union(_by_subsets(hot.where(F.col("block") == b), k, ds, ["g", "h"]).select(
+            F.col("near_duplicate_pairs").cast("decimal(38,0)").alias("p")))
+    return counted.agg(F.coalesce(F.sum("p"), F.lit(0)).cast("long").alias("near_duplicate_pairs"))
+
+
+def _differing(k: int, max_diff: int, block: int, blocks: list[list[int]]) -> list[tuple]:
+    """The sets D of differing columns whose pairs count in ``block``: they leave it alone and touch every block before."""
+    mine = set(blocks[block]) if blocks else set()
+    return [d for r in range(1, max_diff + 1) for d in combinations([i for i in range(k) if i not in mine], r)
+            if all(set(blocks[b]) & set(d) for b in range(block))]
+
+
+def _weights(ds: list[tuple]) -> dict[tuple, int]:
+    """How often the pairs equal outside S count, for the pairs that differ in exactly one of ``ds``."""
     coef: dict[tuple, int] = {}
-    for d in subsets[1:]:
-        for r in range(0, len(d) + 1):
+    for d in ds:
+        for r in range(len(d) + 1):
             for s in combinations(d, r):
-                coef[s] = coef.get(s, 0) + (-1) ** (len(d) - len(s))
-    used = [s for s in subsets if coef.get(s)]
-    if not used:
-        return df.sparkSession.range(1).select(F.lit(0).cast("long").alias("near_duplicate_pairs"))
-    base = df.select(*[clean(df, c).alias(f"_c{i}") for i, c in enumerate(cols)])
+                coef[s] = coef.get(s, 0) + (-1) ** (len(d) - r)
+    return {s: c for s, c in coef.items() if c}
+
+
+def _by_subsets(rows: DataFrame, k: int, ds: list[tuple], within: list[str] | None = None) -> DataFrame:
+    """The pairs of ``rows`` (v, n), equal in ``within``, that differ in exactly one of ``ds``: each row
+    becomes one 128-bit hash for every S, counted with map-side combine."""
+    coef = _weights(ds)
+    if not coef:
+        return rows.sparkSession.range(1).select(F.lit(0).cast("long").alias("near_duplicate_pairs"))
+    used = list(coef)
 
     def entry(j: int, s: tuple) -> F.Column:
-        keep = [F.col(f"_c{i}") for i in range(k) if i not in s]
-        whole = F.lit(True)
-        for c in keep:
-            whole = whole & c.isNotNull()
-        return F.when(whole, F.struct(F.lit(j).alias("s"), F.xxhash64(F.lit(j), *keep).alias("h"),
-                                      F.xxhash64(F.lit(j + 1_000_003), *keep).alias("g")))
-    x = base.select(F.explode(F.filter(F.array(*[entry(j, s) for j, s in enumerate(used)]),
-                                       lambda e: e.isNotNull())).alias("e")).select("e.*")
-    n = F.count(F.lit(1)).cast("decimal(38,0)")
-    pairs = x.groupBy("s", "h", "g").agg(n.alias("n")).groupBy("s").agg(
-        F.sum(F.col("n") * (F.col("n") - 1) / 2).cast("decimal(38,0)").alias("p"))
+        keep = [F.col("v")[i] for i in range(k) if i not in s]
+        whole = reduce(lambda a, x: a & x.isNotNull(), keep, F.lit(True))
+        return F.when(whole, F.struct(F.lit(j).alias("s"), F.xxhash64(F.lit(j), *keep).alias("a"),
+                                      F.xxhash64(F.lit(j + 1_000_003), *keep).alias("b")))
+    within = within or []
+    x = rows.select(*within, "n", F.explode(F.filter(F.array(*[entry(j, s) for j, s in enumerate(used)]),
+                                                     lambda e: e.isNotNull())).alias("e")).select(*within, "n", "e.*")
+    n = F.sum(F.col("n").cast("decimal(19,0)")).cast("decimal(19,0)")
+    pairs = x.groupBy(*within, "s", "a", "b").agg(n.alias("n")).groupBy("s").agg(
+        F.sum((F.col("n") * (F.col("n") - 1) / 2).cast("decimal(38,0)")).alias("p"))
     weight = F.element_at(F.array(*[F.lit(coef[s]) for s in used]), F.col("s") + 1)
     return pairs.agg(F.coalesce(F.sum(F.col("p") * weight), F.lit(0)).cast("long").alias("near_duplicate_pairs"))
 
 
+def _count_groups(wanted: list[list[tuple]]):
+    import numpy as np
+    import pyarrow as pa
+    plans = [(_weights(ds), {frozenset(d) for d in ds}) for ds in wanted]
+
+    def group(block: int, v: np.ndarray, n: np.ndarray) -> int:
+        """The weighted pairs of one group: rows of column hashes ``v`` (NaN-free, unique where missing), ``n`` rows each."""
+        coef, exact = plans[block]
+        if len(v) <= FEW:
+            total = 0
+            for step in range(1, len(v)):
+                differ = v[step:] != v[:-step]
+                for j in np.flatnonzero((differ.sum(axis=1) <= max(map(len, exact), default=0))):
+                    if frozenset(np.flatnonzero(differ[j]).tolist()) in exact:
+                        total += int(n[j]) * int(n[j + step])
+            return total
+        with np.errstate(over="ignore"):
+            mixed = v.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            mixed ^= mixed >> np.uint64(29)
+            mixed = mixed * np.uint64(0xBF58476D1CE4E5B9)
+            mixed ^= mixed >> np.uint64(32)
+            whole, total = mixed.sum(axis=1, dtype=np.uint64), 0
+            for s, c in coef.items():
+                left = whole - mixed[:, list(s)].sum(axis=1, dtype=np.uint64)
+                _, inverse = np.unique(left, return_inverse=True)
+                size = np.bincount(inverse, weights=n).astype(np.int64)
+                total += c * sum(m * (m - 1) // 2 for m in size[size > 1].tolist())
+        return total
+
+    def count(batches):
+        held, own = None, 0
+        total = 0
+
+        def close(rows) -> int:
+            block, vs, ns = rows
+            return group(block, np.array(vs, np.int64), np.array(ns, np.int64)) if len(vs) > 1 else 0
+        for t in batches:
+            for block, g, h, v, n in zip(*(t.column(c).to_pylist() for c in ("block", "g", "h", "v", "n"))):
+                if None in v:                                   # a missing value equals nothing
+                    own += 1
+                    v = [own * 65_536 + j if x is None else x for j, x in enumerate(v)]
+                if held is None or held[0] != (block, g, h):
+                    if held is not None:
+                        total += close(held[1])
+                    held = (block, g, h), (block, [], [])
+                held[1][1].append(v)
+                held[1][2].append(n)
+        if held is not None:
+            total += close(held[1])
+        yield pa.RecordBatch.from_arrays([pa.array([str(total)])], names=["pairs"])
+    return count
+
+
 # ------------------------------------------------------------------ F10-F12
 def prediction_length(preds: DataFrame, expected: DataFrame, key: str | list[str]) -> DataFrame:
     """predictions vs expected rows by key: counts, missing and extra."""

@@ -16,15 +16,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from gradewell.functions.comoments import correlations
 from gradewell.functions.stats import (
     categorical_columns, clean, exact_quantiles, is_float_col, missing,
     numeric_columns, sample_skewness)
 
-# Pairs per aggregate when computing correlations (keeps each
-# generated method under the JVM's 64 KB codegen limit).
-CORR_CHUNK = 300
-
-
 def _spark(df: DataFrame):
     return df.sparkSession
 
@@ -96,27 +92,18 @@ def missing_total_frac(df: DataFrame, target: str) -> DataFrame:
 # --------------------------------------------------------------------------- P5
 def high_corr_pairs(df: DataFrame, target: str, threshold: float = 0.90) -> DataFrame:
     """P5: |Pearson r| >= threshold over numeric feature pairs i < j, each pair
-    over its complete rows (NaN treated as missing). Reports |r|."""
+    over its complete rows (NaN treated as missing). Reports |r|. One scan at any
+    width (:mod:`gradewell.functions.comoments`)."""
     nums = numeric_columns(df, exclude=target)
-    pairs = [(a, b) for i, a in enumerate(nums) for b in nums[i + 1:]]
     spark = _spark(df)
     schema = "col_a string, col_b string, corr_value double"
-    if not pairs:
+    if len(nums) < 2:
         return spark.createDataFrame([], schema)
-    base = df.select(*[clean(df, c).alias(c) for c in nums])
-    parts = []
-    for s in range(0, len(pairs), CORR_CHUNK):
-        chunk = pairs[s:s + CORR_CHUNK]
-        row = base.agg(*[F.corr(a, b).alias(f"p{i}") for i, (a, b) in enumerate(chunk)])
-        stacked = row.select(F.explode(F.array(*[
-            F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.col(f"p{i}").alias("r"))
-            for i, (a, b) in enumerate(chunk)])).alias("x")).select("x.*")
-        parts.append(stacked)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return (out.where(F.col("r").isNotNull() & ~F.isnan("r") & (F.abs("r") >= threshold))
-            .select("col_a", "col_b", F.abs("r").alias("corr_value")))
+    base = df.select(*[clean(df, c).cast("double").alias(f"c{i}") for i, c in enumerate(nums)])
+    found = correlations(base, [f"c{i}" for i in range(len(nums))], threshold)
+    name = lambda c: F.element_at(F.array(*[F.lit(n) for n in nums]), F.substring(c, 2, 9).cast("int") + 1)
+    return found.select(name("col_a").alias("col_a"), name("col_b").alias("col_b"),
+                        F.least(F.abs("r"), F.lit(1.0)).alias("corr_value"))
 
 
 # --------------------------------------------------------------------------- P6
@@ -275,11 +262,11 @@ class Profile:
 def profile_table(df: DataFrame, target: str, *, corr_threshold: float = 0.90,
                   missing_drop_threshold: float = 0.50, outlier_iqr_factor: float = 1.5,
                   outlier_min_frac: float = 0.01,
-                  approx_quantiles: bool = False, cache: bool = True) -> Profile:
+                  approx_quantiles: bool = False, cache: bool = False) -> Profile:
     """The whole profile as a one-row summary plus long child tables.
 
     Eager and pass-minimal: (1) one wide aggregate gives row count, missing
-    counts, non-null counts, std, skewness and every correlation (chunked);
+    counts, non-null counts, std and skewness; (1b) every correlation by co-moments;
     (2) quantile brackets (P6); (3) outlier counts; (4) duplicate groups;
     (5) class counts; (6) date-like strings. Results are bounded by the
     number of columns (pairs for correlations) and come back as small
@@ -290,21 +277,13 @@ def profile_table(df: DataFrame, target: str, *, corr_threshold: float = 0.90,
         feats = features_of(src, target)
         nums = numeric_columns(src, exclude=target)
         cats = categorical_columns(src, exclude=target)
-        pairs = [(a, b) for i, a in enumerate(nums) for b in nums[i + 1:]]
         aggs = [F.count(F.lit(1)).alias("__n")]
         aggs += [F.sum(missing(src, c).cast("long")).alias(f"m{i}") for i, c in enumerate(feats)]
         for i, c in enumerate(nums):
             v = clean(src, c)
             aggs += [F.count(v).alias(f"n{i}"), F.stddev_samp(v).alias(f"s{i}"), F.skewness(v).alias(f"k{i}")]
-        first_pairs = pairs[:CORR_CHUNK]
-        aggs += [F.corr(clean(src, a), clean(src, b)).alias(f"r{j}") for j, (a, b) in enumerate(first_pairs)]
         row = src.agg(*aggs).first()
         n = int(row["__n"])
-        corr_vals = [row[f"r{j}"] for j in range(len(first_pairs))]
-        for st in range(CORR_CHUNK, len(pairs), CORR_CHUNK):
-            chunk = pairs[st:st + CORR_CHUNK]
-            r2 = src.agg(*[F.corr(clean(src, a), clean(src, b)).alias(f"r{j}") for j, (a, b) in enumerate(chunk)]).first()
-            corr_vals += [r2[f"r{j}"] for j in range(len(chunk))]
         import math
         ok = lambda x: x is not None and not (isinstance(x, float) and math.isnan(x))
         # missing (P2-P4)
@@ -320,9 +299,6 @@ def profile_table(df: DataFrame, target: str, *, corr_threshold: float = 0.90,
                        else "fill_median" if isnum else "fill_mode")
                 miss_rows.append((c, m, frac, isnum, rec))
         cells = n * len(feats)
-        # correlations (P5)
-        corr_rows = [(a, b, abs(float(r))) for (a, b), r in zip(pairs, corr_vals)
-                     if ok(r) and abs(float(r)) >= corr_threshold]
         # skew (P8) and scale (P10)
         skew_rows, stds = [], []
         for i, c in enumerate(nums):
@@ -339,6 +315,7 @@ def profile_table(df: DataFrame, target: str, *, corr_threshold: float = 0.90,
         # their tasks share the executors instead of running back to back
         counts = {c: int(row[f"n{i}"] or 0) for i, c in enumerate(nums)}
         jobs = {
+            "corr": lambda: [tuple(r) for r in high_corr_pairs(src, target, corr_threshold).collect()],
             "outl": lambda: [tuple(r) for r in iqr_outliers(
                 src, target, outlier_iqr_factor, outlier_min_frac, approx=approx_quantiles, counts=counts).collect()],
             "dup": lambda: int(duplicate_count(src, target).first()["duplicate_count"]) if feats else 0,
@@ -349,7 +326,7 @@ def profile_table(df: DataFrame, target: str, *, corr_threshold: float = 0.90,
         with ThreadPoolExecutor(max_workers=len(jobs)) as pool:
             futures = {k: pool.submit(fn) for k, fn in jobs.items()}
             res = {k: f.result() for k, f in futures.items()}
-        out_rows, dup, imb, dt_rows = res["outl"], res["dup"], res["imb"], res["dt"]
+        corr_rows, out_rows, dup, imb, dt_rows = res["corr"], res["outl"], res["dup"], res["imb"], res["dt"]
     finally:
         if cache:
             src.unpersist()

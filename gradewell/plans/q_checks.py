@@ -140,6 +140,21 @@ def f9_near_duplicates(spark, sf_dir):
     return K.near_duplicates(read_table(spark, sf_dir, "part"), _F9_COLS)
 
 
+#: A wide stand-in: many columns of few values, some missing.
+_F9_WIDE = {f"w{j}": f"p_partkey // {3 ** (j % 5 + 1)} % {2 + j % 4}" for j in range(11)} | {"w11": "CASE WHEN p_partkey % 17 <> 0 THEN p_size END"}
+
+
+@query("f9_near_duplicates_wide", f"""
+WITH t AS MATERIALIZED (SELECT p_partkey AS id, {', '.join(f'{e} AS {c}' for c, e in _F9_WIDE.items())} FROM part)
+SELECT CAST(count(*) AS BIGINT) AS near_duplicate_pairs FROM (
+  SELECT """ + " + ".join(f"CASE WHEN a.{c} = b.{c} THEN 0 ELSE 1 END" for c in _F9_WIDE) + """ AS d
+  FROM t a JOIN t b ON a.id < b.id) WHERE d BETWEEN 1 AND 2""")
+def f9_near_duplicates_wide(spark, sf_dir):
+    part = read_table(spark, sf_dir, "part")
+    t = part.select(*[F.expr(e.replace("//", "div")).alias(c) for c, e in _F9_WIDE.items()])
+    return K.near_duplicates(t, list(_F9_WIDE))
+
+
 # ------------------------------------------------------------------ F10
 @query("f10_prediction_length", """
 WITH p AS (SELECT DISTINCT doc_id FROM documents), e AS (SELECT DISTINCT doc_id FROM labels),

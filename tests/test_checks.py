@@ -83,3 +83,26 @@ def test_single_feature_leak_flags_copy(spark):
     reg = spark.createDataFrame([(float(i), float(i % 7), float(i)) for i in range(300)], "a double, b double, t double")
     r = {x["feature"]: x["score"] for x in L.single_feature_leak(reg, "t", "regression").collect()}
     assert r["a"] > 0.9 and r["b"] < 0.5
+
+
+def test_wide_near_duplicates_equal_all_pairs(spark):
+    """Three blocks of columns, missing values, repeated rows; crowded groups counted apart."""
+    import random
+    from itertools import combinations
+    rnd = random.Random(3)
+    k = 9
+    rows = []
+    for _ in range(130):
+        r = list(rnd.choice(rows)) if rows and rnd.random() < 0.7 else [rnd.randrange(3) for _ in range(k)]
+        for _ in range(rnd.randrange(3)):
+            r[rnd.randrange(k)] = rnd.choice([0, 1, 2, None])
+        rows.append(tuple(r))
+    rows += rows[:9]
+    differ = lambda a, b: sum(x is None or y is None or x != y for x, y in zip(a, b))
+    want = sum(1 <= differ(a, b) <= 2 for a, b in combinations(rows, 2))
+    df = spark.createDataFrame(rows, ", ".join(f"c{i} int" for i in range(k))).repartition(3)
+    assert want > 100
+    for group_rows in (20_000, 60, 5):
+        assert K.near_duplicates(df, group_rows=group_rows).first()[0] == want
+    assert K.near_duplicates(df, narrow=k).first()[0] == want
+    assert K.near_duplicates(df, max_diff=1).first()[0] == sum(differ(a, b) == 1 for a, b in combinations(rows, 2))

@@ -129,3 +129,33 @@ def test_exact_quantiles_heavy_repeats(spark):
     df = spark.createDataFrame([(v,) for v in vals], "v double")
     q = exact_quantiles(df, ["v"], [0.25, 0.5, 0.99])["v"]
     assert np.allclose(q, np.percentile(vals, [25, 50, 99]), rtol=0, atol=1e-9)
+
+
+def test_correlations_of_a_wide_table_in_one_scan(spark):
+    """Three blocks of columns with missing and infinite values, against numpy pair by pair."""
+    import numpy as np
+    from gradewell.functions.comoments import correlations
+    rng = np.random.default_rng(1)
+    k, n = 150, 120
+    x = rng.normal(size=(n, k)) + 1e6 * (np.arange(k) % 3 == 0)
+    x[:, 70] = x[:, 3] * 2 - 5
+    x[:, 140] = -x[:, 70] + rng.normal(scale=1e-3, size=n)
+    x[rng.random((n, k)) < 0.1] = np.nan
+    x[5, 20] = np.inf
+    names = [f"c{i}" for i in range(k)]
+    df = spark.createDataFrame([tuple(None if np.isnan(v) and i % 2 else float(v) for v in r) for i, r in enumerate(x)],
+                               ", ".join(f"{c} double" for c in names)).repartition(7)
+    found = correlations(df, names, 0.25)
+    assert found._jdf.queryExecution().executedPlan().toString().count("Scan") == 1
+    got = {(r.col_a, r.col_b): r.r for r in found.collect()}
+    want = {}
+    for i in range(k):
+        for j in range(i + 1, k):
+            m = ~np.isnan(x[:, i]) & ~np.isnan(x[:, j])
+            if np.isfinite(x[m][:, [i, j]]).all():
+                r = np.corrcoef(x[m, i], x[m, j])[0, 1]
+                if abs(r) >= 0.25:
+                    want[names[i], names[j]] = r
+    assert got.keys() == want.keys() and len(want) > 50
+    assert max(abs(got[p] - want[p]) for p in want) < 1e-7
+    assert ("c3", "c70") in got and ("c70", "c140") in got
