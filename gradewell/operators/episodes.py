@@ -147,6 +147,71 @@ SUB_CMF = ("CODE", "MODEL", "FEATURE_ENGINEERING")                        # impo
 SUB_CM = ("CODE", "MODEL")                                                # model choice, efficiency, hyperparams
 
 
+def _terms() -> tuple[dict[str, Column], dict[str, Column]]:
+    """What every step adds to the state: (counts to sum up, facts that hold from then on)."""
+    ok = F.col("ok")
+    succ_cm, succ_cmf = ok & _is(*SUB_CM), ok & _is(*SUB_CMF)
+    sums = {
+        "repair_attempts": _is("CODE_FIX").cast("int"), "repair_successes": (_is("CODE_FIX") & ok).cast("int"),      # E2
+        "fe_successes": (_is("FEATURE_ENGINEERING") & ok).cast("int"), "model_successes": (_is("MODEL") & ok).cast("int"),   # E15
+        # T6 / T7 leakage (all but FINAL_SUBMIT)
+        "leak_issues": F.when(~_is("FINAL_SUBMIT"), F.col("n_leak_patterns") + F.col("n_target_lines")).otherwise(0),
+        "hp_params": F.when(succ_cm, F.col("n_hyperparams")).otherwise(0),
+        "sp_bad_sizes": F.when(_is(*SUB_CFM), F.col("n_bad_test_size")).otherwise(0),
+    }
+    anys = {
+        "has_plan": _is("PLAN"),
+        # E17 artifact rule of a log without an artifact table: a successful step assigning a model variable
+        "has_model": ok & F.col("f_model_assign"),
+        # reproducibility (T9): success CODE/MODEL/FE
+        "repro_steps": succ_cmf, "repro_fit": succ_cmf & F.col("f_fit_plain"), "repro_seed": succ_cmf & F.col("f_seed"),
+        # efficiency (T10): success CODE/MODEL, grid on the concatenated code
+        "eff_efficient": succ_cm & F.col("f_efficient"),
+        # correlation
+        "corr_code": _is(*SUB_CF) & F.col("f_corr"), "corr_pca": _is(*SUB_CF) & F.col("f_pca"),
+        # missing (T13)
+        "miss_fill": _is(*SUB_CFM) & F.col("f_fill"), "miss_dropna": _is(*SUB_CFM) & F.col("f_dropna"),
+        # distribution
+        "dist_eda": _is(*SUB_CFM) & F.col("f_eda"), "dist_outlier": _is(*SUB_CFM) & F.col("f_outlier"),
+        # duplicates
+        "dup_code": _is(*SUB_CFX) & F.col("f_dedup"),
+        # importance
+        "imp_code": _is(*SUB_CMF) & F.col("f_importance"),
+        # hyper-parameters (T18-T20): success CODE/MODEL
+        "hp_steps": succ_cm, "hp_fit": succ_cm & F.col("f_fit_spaced"), "hp_tuning": succ_cm & F.col("f_tuning"),
+        **{f"hp_bad{i}": succ_cm & F.col(f"f_bad{i}") for i in range(len(TR.BAD_PARAMS))},
+        # model choice (T21): CODE/MODEL, any outcome
+        **{f"mc_{k}": _is(*SUB_CM) & F.col(f"f_{v}") for k, v in [
+            ("fit", "fit_spaced"), ("ann", "ann"), ("good", "good"), ("library", "library"), ("ensemble", "ensemble")]},
+        # split (T22): CODE/MODEL/FE/CODE_FIX
+        **{f"sp_{k}": _is(*SUB_CFM) & F.col(f"f_{v}") for k, v in [
+            ("fit", "fit_spaced"), ("cv", "cv"), ("ts_split", "ts_split"), ("shuffle_true", "shuffle_true"),
+            ("shuffle_false", "shuffle_false"), ("stratify", "stratify"), ("ts_hint", "ts_hint")]},
+    }
+    return sums, anys
+
+
+PLAN_FLAGS = ["corr", "missing", "eda", "outlier", "dedup", "importance", "ts_hint"]
+
+
+def _fit_step() -> Column:
+    return F.col("ok") & _is(*SUB_CM) & F.col("f_fit_spaced")
+
+
+def _trained_here() -> Column:
+    return (_is("MODEL") & F.col("ok")) | (_is("CODE") & F.col("ok") & F.col("f_fit_strict"))
+
+
+def _basic_again() -> Column:
+    """A step that is a backtrack if a model was trained before it."""
+    return (_is("FEATURE_ENGINEERING") & F.col("f_basic")) | (_is("CODE") & F.col("ok") & F.col("f_basic") & ~F.col("f_fit_strict"))
+
+
+def _phase() -> Column:
+    return (F.when(_is("CODE", "FEATURE_ENGINEERING"), F.when(F.col("f_fit_spaced"), "model").otherwise("data"))
+            .when(_is("MODEL"), "model"))
+
+
 def running_state(f: DataFrame, carry_forward: bool = True) -> DataFrame:
     """E2-E9, E11-E15 and the rule inputs as running columns (state after
     each step). All windows share one partitioning (episode) and order.
@@ -154,82 +219,27 @@ def running_state(f: DataFrame, carry_forward: bool = True) -> DataFrame:
     at every step from the first one on (as the environment records it);
     False keeps only steps that logged a metric."""
     ok = F.col("ok")
-    succ_cm = ok & _is(*SUB_CM)
-    succ_cmf = ok & _is(*SUB_CMF)
+    sums, anys = _terms()
     plan_last = lambda c: F.last(F.when(_is("PLAN"), F.col(c)), ignorenulls=True).over(_w_run())
-    fit_step = succ_cm & F.col("f_fit_spaced")
+    fit_step, phase = _fit_step(), _phase()
     prev_fit_ts = F.last(F.when(fit_step, seconds(F.col("ts"))), ignorenulls=True).over(_w_before())
-    trained_here = (_is("MODEL") & ok) | (_is("CODE") & ok & F.col("f_fit_strict"))
-    trained_before = F.min(F.when(trained_here, F.col(IDX))).over(_w_before())
-    backtrack_here = trained_before.isNotNull() & (
-        (_is("FEATURE_ENGINEERING") & F.col("f_basic"))
-        | (_is("CODE") & ok & F.col("f_basic") & ~F.col("f_fit_strict")))
-    phase = (F.when(_is("CODE", "FEATURE_ENGINEERING"),
-                    F.when(F.col("f_fit_spaced"), "model").otherwise("data"))
-             .when(_is("MODEL"), "model"))
+    trained_before = F.min(F.when(_trained_here(), F.col(IDX))).over(_w_before())
     prev_phase = F.coalesce(F.last(phase, ignorenulls=True).over(_w_before()), F.lit("init"))
     last_ok_idx = F.last(F.when(ok, F.col(IDX)), ignorenulls=True).over(_w_run())
     concat = lambda cond: F.array_join(F.collect_list(F.when(cond, F.col("text"))).over(_w_run()), "\n")
     cols = {
-        # E2 / E3
-        "repair_attempts": run_sum(_is("CODE_FIX").cast("int")),
-        "repair_successes": run_sum((_is("CODE_FIX") & ok).cast("int")),
-        "consecutive_failures": F.col(IDX) - F.coalesce(last_ok_idx, F.lit(-1)),
-        # E4
-        "phase": phase,
-        "cycle_count": run_sum(((phase == "model") & (prev_phase == "data")).cast("int")),
+        **{k: run_sum(v) for k, v in sums.items()}, **{k: run_any(v) for k, v in anys.items()},
+        "consecutive_failures": F.col(IDX) - F.coalesce(last_ok_idx, F.lit(-1)),                     # E3
+        "phase": phase, "cycle_count": run_sum(((phase == "model") & (prev_phase == "data")).cast("int")),   # E4
         # E5 (metric carried forward: the session's current best value)
         "metric_cf": F.last("metric_value", ignorenulls=True).over(_w_run()),
-        # E9
-        "backtracks": run_sum(backtrack_here.cast("int")),
-        # E12
-        "slow_fit": run_any(fit_step & prev_fit_ts.isNotNull()
+        "backtracks": run_sum((trained_before.isNotNull() & _basic_again()).cast("int")),            # E9
+        "slow_fit": run_any(fit_step & prev_fit_ts.isNotNull()                                       # E12
                             & ((seconds(F.col("ts")) - prev_fit_ts) > 0.5 * F.col("time_budget_seconds"))),
         # E14 / plan flags
         "plan_text": plan_last("text"),
-        "has_plan": run_any(_is("PLAN")),
-        **{f"plan_{k}": F.coalesce(plan_last(f"p_{k}"), F.lit(False))
-           for k in ["corr", "missing", "eda", "outlier", "dedup", "importance", "ts_hint"]},
-        # E15
-        "fe_successes": run_sum((_is("FEATURE_ENGINEERING") & ok).cast("int")),
-        "model_successes": run_sum((_is("MODEL") & ok).cast("int")),
-        # E17 artifact rule: a successful step assigning a model variable
-        "has_model": run_any(ok & F.col("f_model_assign")),
-        # T6 / T7 leakage (all but FINAL_SUBMIT)
-        "leak_issues": run_sum(F.when(~_is("FINAL_SUBMIT"), F.col("n_leak_patterns") + F.col("n_target_lines"))
-                               .otherwise(0)),
-        # reproducibility (T9): success CODE/MODEL/FE
-        "repro_steps": run_any(succ_cmf), "repro_fit": run_any(succ_cmf & F.col("f_fit_plain")),
-        "repro_seed": run_any(succ_cmf & F.col("f_seed")),
-        # efficiency (T10): success CODE/MODEL, grid on the concatenated code
-        "eff_code": concat(succ_cm), "eff_efficient": run_any(succ_cm & F.col("f_efficient")),
-        # correlation
-        "corr_code": run_any(_is(*SUB_CF) & F.col("f_corr")), "corr_pca": run_any(_is(*SUB_CF) & F.col("f_pca")),
-        # missing (T13)
-        "miss_fill": run_any(_is(*SUB_CFM) & F.col("f_fill")), "miss_dropna": run_any(_is(*SUB_CFM) & F.col("f_dropna")),
-        # distribution
-        "dist_eda": run_any(_is(*SUB_CFM) & F.col("f_eda")), "dist_outlier": run_any(_is(*SUB_CFM) & F.col("f_outlier")),
-        # duplicates
-        "dup_code": run_any(_is(*SUB_CFX) & F.col("f_dedup")),
-        # importance
-        "imp_code": run_any(_is(*SUB_CMF) & F.col("f_importance")),
-        # hyper-parameters (T18-T20): success CODE/MODEL
-        "hp_steps": run_any(succ_cm), "hp_fit": run_any(succ_cm & F.col("f_fit_spaced")),
-        "hp_params": run_sum(F.when(succ_cm, F.col("n_hyperparams")).otherwise(0)),
-        "hp_tuning": run_any(succ_cm & F.col("f_tuning")),
-        **{f"hp_bad{i}": run_any(succ_cm & F.col(f"f_bad{i}")) for i in range(len(TR.BAD_PARAMS))},
-        # model choice (T21): CODE/MODEL, any outcome
-        "mc_fit": run_any(_is(*SUB_CM) & F.col("f_fit_spaced")), "mc_ann": run_any(_is(*SUB_CM) & F.col("f_ann")),
-        "mc_good": run_any(_is(*SUB_CM) & F.col("f_good")), "mc_library": run_any(_is(*SUB_CM) & F.col("f_library")),
-        "mc_ensemble": run_any(_is(*SUB_CM) & F.col("f_ensemble")), "mc_code": concat(_is(*SUB_CM)),
-        # split (T22): CODE/MODEL/FE/CODE_FIX
-        "sp_fit": run_any(_is(*SUB_CFM) & F.col("f_fit_spaced")), "sp_cv": run_any(_is(*SUB_CFM) & F.col("f_cv")),
-        "sp_ts_split": run_any(_is(*SUB_CFM) & F.col("f_ts_split")),
-        "sp_shuffle_true": run_any(_is(*SUB_CFM) & F.col("f_shuffle_true")),
-        "sp_shuffle_false": run_any(_is(*SUB_CFM) & F.col("f_shuffle_false")),
-        "sp_stratify": run_any(_is(*SUB_CFM) & F.col("f_stratify")),
-        "sp_ts_hint": run_any(_is(*SUB_CFM) & F.col("f_ts_hint")),
-        "sp_bad_sizes": run_sum(F.when(_is(*SUB_CFM), F.col("n_bad_test_size")).otherwise(0)),
+        **{f"plan_{k}": F.coalesce(plan_last(f"p_{k}"), F.lit(False)) for k in PLAN_FLAGS},
+        "eff_code": concat(ok & _is(*SUB_CM)), "mc_code": concat(_is(*SUB_CM)),
     }
     out = f.select("*", *[v.alias(k) for k, v in cols.items()])
     # E5 history: the carried metric of every step from the first metric on
@@ -241,6 +251,83 @@ def running_state(f: DataFrame, carry_forward: bool = True) -> DataFrame:
                       rx_match(F.col("mc_code"), TR.CUSTOM_MODEL).alias("mc_custom"))
 
 
+#: What an episode's steps share, and what its last step says.
+SHARED = ["task_id", "dataset_path", "task_type", "time_budget_seconds", "max_steps", "baseline_score", "oracle_score", "is_time_series"]
+LAST = ["ok", "done", "elapsed", "error_message", "error_class"]
+
+
+def folded_state(f: DataFrame, carry_forward: bool = True, n_chunks: int = 0) -> DataFrame:
+    """The last row of :func:`running_state` of every episode, without running windows: one
+    aggregate by episode. Counts and facts combine in any order; what depends on the
+    order of steps (phases, fits, metrics, code) is kept as short lists and folded once."""
+    ok, idx = F.col("ok"), F.col(IDX)
+    sums, anys = _terms()
+    phase, fit = _phase(), F.when(_fit_step(), seconds(F.col("ts")))
+    at = lambda cond: F.when(cond, idx)
+    plan_last = lambda c: F.max_by(F.col(c), at(_is("PLAN") & F.col(c).isNotNull()))
+    listed = lambda v: F.array_sort(F.collect_list(F.when(v.isNotNull(), F.struct(idx.alias("i"), v.alias("v")))))
+    g = f.groupBy(EP).agg(
+        F.max(idx).alias(IDX), F.max_by(F.struct(*LAST), idx).alias("_last"),
+        *[F.first(c).alias(c) for c in SHARED],
+        *[F.coalesce(F.sum(v), F.lit(0)).alias(k) for k, v in sums.items()],
+        *[F.coalesce(F.bool_or(v), F.lit(False)).alias(k) for k, v in anys.items()],
+        F.max(at(ok)).alias("_ok"), plan_last("text").alias("plan_text"),
+        *[F.coalesce(plan_last(f"p_{k}"), F.lit(False)).alias(f"plan_{k}") for k in PLAN_FLAGS],
+        F.max_by("metric_value", at(F.col("metric_value").isNotNull())).alias("metric_cf"),
+        listed(phase).alias("_phases"), listed(fit).alias("_fits"), listed(F.col("metric_value")).alias("_metrics"),
+        F.array_sort(F.collect_list(idx)).alias("_steps"), F.min(at(_trained_here())).alias("_trained"),
+        F.collect_list(at(_basic_again())).alias("_basic"),
+        listed(F.when(ok & _is(*SUB_CM), F.col("text"))).alias("_eff"), listed(F.when(_is(*SUB_CM), F.col("text"))).alias("_mc"),
+        *[F.coalesce(F.bit_or(f"{m}{k}"), F.lit(0).cast("long")).alias(f"{m}{k}") for m in ("m_cd", "m_mq", "m_md") for k in range(n_chunks)])
+    before = lambda a, i: F.get(a, i - 1)["v"]
+    code = lambda c: F.array_join(F.transform(c, lambda x: x["v"]), "\n")
+    values = F.transform("_metrics", lambda x: x["v"])
+    if carry_forward:
+        last_at = lambda i: F.try_element_at(F.filter("_metrics", lambda m: m["i"] <= i), F.lit(-1))["v"]
+        values = F.filter(F.transform("_steps", last_at), lambda v: v.isNotNull())
+    return g.select(
+        EP, IDX, *[F.col("_last")[c].alias(c) for c in LAST], *SHARED, *sums, *anys, "plan_text", "metric_cf",
+        *[f"plan_{k}" for k in PLAN_FLAGS], *[f"{m}{k}" for m in ("m_cd", "m_mq", "m_md") for k in range(n_chunks)],
+        (F.col(IDX) - F.coalesce("_ok", F.lit(-1))).alias("consecutive_failures"),
+        F.size(F.filter("_phases", lambda x, i: (x["v"] == "model") & (before(F.col("_phases"), i) == "data"))).alias("cycle_count"),
+        F.size(F.filter("_basic", lambda i: i > F.col("_trained"))).alias("backtracks"),
+        (F.size(F.filter("_fits", lambda x, i: (x["v"] - before(F.col("_fits"), i)) > 0.5 * F.col("time_budget_seconds"))) > 0).alias("slow_fit"),
+        values.alias("metric_history"), rx_match(code("_eff"), TR.GRIDSEARCH).alias("eff_grid"),
+        rx_match(code("_mc"), TR.CUSTOM_MODEL).alias("mc_custom"))
+
+
+# --------------------------------------------------------------------- what other tables say, as of a step
+def as_of(state: DataFrame, facts: DataFrame, columns: list[str]) -> DataFrame:
+    """Adds to each state row the latest known value of each column of ``facts``, a
+    change log by (episode, step), at or before the row's step. Facts without a
+    step hold from the start."""
+    here = facts if IDX in facts.columns else facts.withColumn(IDX, F.lit(0))
+    log = here.groupBy(EP).agg(F.array_sort(F.collect_list(F.struct(F.col(IDX).alias("i"), *columns))).alias("_facts"))
+    known = lambda c: F.try_element_at(F.filter(
+        "_facts", lambda x: (x["i"] <= F.col(IDX)) & x[c].isNotNull()), F.lit(-1))[c]
+    return state.join(log, EP, "left").select(*state.columns, *[known(c).alias(c) for c in columns])
+
+
+#: Names a trained model may have, the first that exists counts (fixed values, in order), and the feature table.
+MODEL_NAMES = ["model", "clf", "classifier", "regressor", "estimator", "pipeline"]
+FEATURE_TABLE = "X_train"
+
+
+def artifact_state(state: DataFrame, artifacts: DataFrame) -> DataFrame:
+    """Adds what a versioned artifact log (episode_id, step_idx, name, has_predict,
+    non_numeric_columns: F7's count for a table) holds as of each row's step: ``artifact_model``
+    ('missing', 'no_predict', 'ok') and ``artifact_table`` (null without a feature table, else whether it is numeric)."""
+    log = artifacts.where(F.col("name").isin(*MODEL_NAMES, FEATURE_TABLE)).groupBy(EP).agg(F.array_sort(F.collect_list(
+        F.struct(F.col(IDX).alias("i"), "name", F.coalesce("has_predict", F.lit(False)).alias("p"),
+                 F.coalesce("non_numeric_columns", F.lit(0)).cast("long").alias("q")))).alias("_art"))
+    now = lambda n: F.try_element_at(F.filter(
+        "_art", lambda x: (x["name"] == n) & (x["i"] <= F.col(IDX))), F.lit(-1))
+    model = F.coalesce(*[now(n) for n in MODEL_NAMES])
+    return state.join(log, EP, "left").select(
+        *state.columns, F.when(model.isNull(), "missing").when(~model["p"], "no_predict").otherwise("ok").alias("artifact_model"),
+        (now(FEATURE_TABLE)["q"] == 0).alias("artifact_table"))
+
+
 # --------------------------------------------------------------------- E6-E8, E11, E16
 def metric_gain(hist: Column, paid_idx: Column, free: int = 1) -> Column:
     """Gain of paid cycle i: h[free+i-1] - h[max(free+i-2, 0)]; past the
@@ -389,13 +476,12 @@ def context_masks(f: DataFrame, n_chunks: int) -> DataFrame:
     return f.select("*", *[v.alias(k) for k, v in cols.items()]).drop("_qtok", "_dtok")
 
 
-def context_state(st: DataFrame, n_chunks: int) -> DataFrame:
-    """T8, T12, T13 from the running masks and the latest plan text."""
+def context_state(st: DataFrame, n_chunks: int, folded: bool = False) -> DataFrame:
+    """T8, T12, T13 from the running masks (``folded``: the masks are an episode's already) and the latest plan text."""
     run_or = lambda c: F.bit_or(c).over(_w_run())
-    cd = F.array(*[run_or(F.col(f"m_cd{k}")) for k in range(n_chunks)])
-    mq = F.array(*[run_or(F.col(f"m_mq{k}")) for k in range(n_chunks)])
-    md = F.array(*[run_or(F.col(f"m_md{k}")) for k in range(n_chunks)])
-    st = st.select("*", cd.alias("_cd"), mq.alias("_mq"), md.alias("_md"))
+    over = (lambda c: F.col(c)) if folded else (lambda c: run_or(F.col(c)))
+    st = st.select("*", *[F.array(*[over(f"{m}{k}") for k in range(n_chunks)]).alias(name)
+                          for m, name in (("m_cd", "_cd"), ("m_mq", "_mq"), ("m_md", "_md"))])
     # Pairs with neither column dropped
     missed = F.size(F.filter("corr_pairs", lambda p: ~_bit(F.col("_cd"), p["a"]) & ~_bit(F.col("_cd"), p["b"])))
     # Per missing column: filled = quoted and some fill call; dropped

@@ -260,6 +260,45 @@ def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.max("value") - F.min("value") > 95).alias("overfit"))
 
 
+def step_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table checks' findings as a change log: what holds for the whole
+    episode (no step), and what a step changed."""
+    eid = F.col("event_id")
+    n = lambda k, r, v: F.when(eid % k == r, v)
+    changed = steps(spark, sf_dir).select(
+        "episode_id", "step_idx", n(7, 3, (eid % 40) / 100).alias("row_loss"), n(11, 5, (eid % 30) / 100).alias("valid_frac"),
+        n(13, 4, eid % 2 == 0).alias("predictions_match"), n(17, 6, (eid % 21 - 10) / 100).alias("model_value"),
+        n(19, 2, eid % 3).alias("new_top_features"))
+    whole = outcomes(spark, sf_dir).withColumn("step_idx", F.lit(0))
+    return whole.unionByName(changed, allowMissingColumns=True)
+
+
+def artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The artifact log: what some steps left behind, under changing names."""
+    eid = F.col("event_id")
+    name = F.element_at(F.array(*[F.lit(x) for x in ARTIFACT_NAMES]), (eid % len(ARTIFACT_NAMES) + 1).cast("int"))
+    return steps(spark, sf_dir).where(eid % 3 == 1).select(
+        "episode_id", "step_idx", name.alias("name"), (eid % 4 != 0).alias("has_predict"),
+        F.when(eid % 2 == 0, 1).otherwise(0).alias("non_numeric_columns"))
+
+
+ARTIFACT_NAMES = ["clf", "X_train", "model", "notes", "pipeline"]
+
+SQL_STEP_FACTS = """
+facts AS (SELECT *, CASE WHEN event_id % 3 = 1 THEN ['clf', 'X_train', 'model', 'notes', 'pipeline'][event_id % 5 + 1] END AS art FROM state),
+latest AS (SELECT episode_id, step_idx,
+    last_value(CASE WHEN event_id % 7 = 3 THEN (event_id % 40) / 100.0 END IGNORE NULLS) OVER w AS row_loss,
+    last_value(CASE WHEN event_id % 11 = 5 THEN (event_id % 30) / 100.0 END IGNORE NULLS) OVER w AS valid_frac,
+    last_value(CASE WHEN event_id % 13 = 4 THEN event_id % 2 = 0 END IGNORE NULLS) OVER w AS predictions_match,
+    last_value(CASE WHEN event_id % 17 = 6 THEN (event_id % 21 - 10) / 100.0 END IGNORE NULLS) OVER w AS model_value,
+    last_value(CASE WHEN event_id % 19 = 2 THEN event_id % 3 END IGNORE NULLS) OVER w AS new_top_features,
+    last_value(CASE WHEN art = 'X_train' THEN event_id % 2 <> 0 END IGNORE NULLS) OVER w AS art_table,
+    coalesce(last_value(CASE WHEN art = 'model' THEN event_id % 4 <> 0 END IGNORE NULLS) OVER w,
+             last_value(CASE WHEN art = 'clf' THEN event_id % 4 <> 0 END IGNORE NULLS) OVER w,
+             last_value(CASE WHEN art = 'pipeline' THEN event_id % 4 <> 0 END IGNORE NULLS) OVER w) AS art_predict
+  FROM facts WINDOW w AS (PARTITION BY episode_id ORDER BY step_idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+"""
+
 SQL_OUTCOMES = """
 outcomes AS (
   SELECT user_id * 10 + CAST(floor((extract(day FROM ts) - 1) / 6) AS BIGINT) AS episode_id,

@@ -20,18 +20,27 @@ def dataset_profile(spark: SparkSession, sf_dir: str):
     return flags, tag(prof.corr_pairs), tag(prof.missing)
 
 
-def scored_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    steps = X.steps_with_task(spark, sf_dir)
+def _tables(spark: SparkSession, sf_dir: str):
     tasks = X.tasks(spark, sf_dir)
-    checklist = explode_checklist(tasks)
     flags, pairs, missing = dataset_profile(spark, sf_dir)
-    baselines = tasks.select("task_id", F.col("baseline_score").alias("baseline_metric"))
-    return V.score_steps(steps, tasks, checklist, flags, pairs, missing, baselines=baselines,
-                         outcomes=X.outcomes(spark, sf_dir), hard_time_limit=X.HARD_TIME_LIMIT)
+    given = X.steps_with_task(spark, sf_dir), tasks, explode_checklist(tasks), flags, pairs, missing
+    more = {"baselines": tasks.select("task_id", F.col("baseline_score").alias("baseline_metric")),
+            "outcomes": X.step_outcomes(spark, sf_dir), "artifacts": X.artifacts(spark, sf_dir), "hard_time_limit": X.HARD_TIME_LIMIT}
+    return given, more
+
+
+def scored_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given, more = _tables(spark, sf_dir)
+    return V.score_steps(*given, **more)
+
+
+def scored_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given, more = _tables(spark, sf_dir)
+    return V.score_episodes(*given, **more)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ep = V.score_episodes(scored_steps(spark, sf_dir))
+    ep = scored_episodes(spark, sf_dir)
     failed = sum((F.when(~F.col(n)["passed"], 1).otherwise(0) for n in V.VALIDATORS), F.lit(0))
     return ep.select("episode_id", "task_id", F.col("step_idx").alias("last_step"), "done",
                      F.round("performance", 9).alias("performance"),

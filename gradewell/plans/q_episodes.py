@@ -327,6 +327,16 @@ _reg("e17_artifact_check", {"current_step": "CAST(step_idx + 1 AS BIGINT)", "has
                 "namespace_score": F.when(c(IDX) + 1 < 3, 1.0).when(c("has_model"), 1.0).otherwise(0.0)})
 
 
+@query("e17_artifact_log", X.ctes(SQL_STATE, X.SQL_STEP_FACTS.strip()) + """
+SELECT episode_id, CAST(step_idx AS INTEGER) AS step_idx, art_table AS artifact_table,
+  CASE WHEN art_predict IS NULL THEN 'missing' WHEN art_predict THEN 'ok' ELSE 'no_predict' END AS artifact_model
+FROM latest""")
+def e17_artifact_log(spark, sf_dir):
+    """What the artifact log holds as of every kept step."""
+    s = E.prepare_steps(X.steps_with_task(spark, sf_dir), X.tasks(spark, sf_dir), X.HARD_TIME_LIMIT)
+    return E.artifact_state(s, X.artifacts(spark, sf_dir)).select("episode_id", "step_idx", "artifact_model", "artifact_table")
+
+
 # ================================================================ per-step state
 @query("e1_step_index", X.with_views("""
 SELECT event_id, CAST(row_number() OVER (PARTITION BY episode_id ORDER BY ts, event_id) - 1 AS INTEGER) AS step_idx

@@ -34,8 +34,10 @@ def _score(spark, steps, is_ts=False, checklist=None, task_type="binary_classifi
                                   "has_datetime_like boolean")
     pairs = spark.createDataFrame([], "dataset_path string, col_a string, col_b string")
     miss = spark.createDataFrame([], "dataset_path string, column_name string, missing_frac double")
-    sc = V.score_steps(s, tasks, explode_checklist(tasks), flags, pairs, miss)
-    return V.score_episodes(sc).first()
+    given = s, tasks, explode_checklist(tasks), flags, pairs, miss
+    last, folded = V.last_steps(V.score_steps(*given)), V.score_episodes(*given)
+    assert last.columns == folded.columns and last.first() == folded.first()
+    return folded.first()
 
 
 def test_bad_hyperparams_fail(spark):
@@ -72,3 +74,30 @@ def test_final_submit_without_fit_and_reward_floor(spark):
     # perf = (0.9 - 0.5) / (0.87 - 0.5) clamped to 1
     assert math.isclose(r["performance"], 1.0)
     assert r["reward"] >= 0.0
+
+
+def test_folded_episodes_equal_the_last_scored_steps(spark, sf0001):
+    """R8's one aggregate against R7's running windows, over every column, and its plan."""
+    from gradewell.plans import flagship as G
+    folded = G.scored_episodes(spark, sf0001)
+    last = {r["episode_id"]: r for r in V.last_steps(G.scored_steps(spark, sf0001)).collect()}
+    got = {r["episode_id"]: r for r in folded.select(*next(iter(last.values())).asDict()).collect()}
+    near = lambda a, b: a == b or (isinstance(a, float) and math.isclose(a, b, abs_tol=1e-12))
+    plain = lambda r: {f"{k}.{x}": y for k, v in r.asDict(True).items() if isinstance(v, dict) for x, y in v.items()} | {
+        k: v for k, v in r.asDict(True).items() if not isinstance(v, dict)}
+    assert got.keys() == last.keys() and len(got) > 10
+    for e in got:
+        a, b = plain(got[e]), plain(last[e])
+        assert all(near(a[k], b[k]) for k in a), (e, [k for k in a if not near(a[k], b[k])])
+    plan = folded._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [") <= 3            # step number, start and end of the episode; no running state
+
+
+def test_issue_amounts_sum_to_the_penalty(spark, sf0001):
+    from pyspark.sql import functions as F
+    from gradewell.plans import flagship as G
+    long = V.verdict_table(G.scored_steps(spark, sf0001), details=True)
+    total = F.aggregate("issues", F.lit(0.0), lambda a, x: a + x["amount"])
+    assert long.where(F.abs(total - F.col("penalty")) > 1e-9).count() == 0
+    assert long.where(~F.col("passed") & (F.size("issues") == 0)).count() == 0
+    assert long.where(F.size("bonuses") > 0).count() > 0
