@@ -97,10 +97,10 @@ def random_split(df: DataFrame, key: str | list[str],
 
 
 def row_text(df: DataFrame, cols: list[str] | None = None) -> F.Column:
-    """Portable text of a row: columns as strings joined by chr(31), null as
-    '<null>'."""
-    cols = cols or df.columns
-    return F.concat_ws(chr(31), *[F.coalesce(F.col(c).cast("string"), F.lit("<null>")) for c in cols])
+    """Portable text of a row, different for different rows: each column as its
+    length, a colon and its text, null as N."""
+    text = [F.col(c).cast("string") for c in cols or df.columns]
+    return F.concat(*[F.coalesce(F.concat(F.length(t).cast("string"), F.lit(":"), t), F.lit("N")) for t in text])
 
 
 def table_fingerprint(df: DataFrame, cols: list[str] | None = None, portable: bool = True) -> DataFrame:

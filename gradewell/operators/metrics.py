@@ -44,25 +44,33 @@ def _loss_if_complete(loss: F.Column) -> F.Column:
     return F.when(F.count(loss) == F.count(F.lit(1)), F.avg(loss))
 
 
+def _valid(df: DataFrame, y: str, score: str) -> F.Column:
+    """A row with a label and a score that is a number (infinite ones rank at the ends)."""
+    ok = F.col(y).isNotNull() & F.col(score).isNotNull()
+    return ok & ~F.isnan(score) if isinstance(df.schema[score].dataType, (T.DoubleType, T.FloatType)) else ok
+
+
 # --------------------------------------------------------------------------- M1
 def roc_auc(preds: DataFrame, by=("run_id",), y: str = "y_true", score: str = "y_score") -> DataFrame:
     """M1: binary ROC AUC per group, tied scores count one half; null when a
-    group holds one class only. Pre-aggregates to one row per (group, score)
+    group holds one class only or a row without a label or a number as its score: ``n_invalid`` counts
+    these, ``n_pos`` and ``n_neg`` the others. Pre-aggregates to one row per (group, score)
     and gets the negatives below each score by a range-partitioned prefix sum,
     so a single huge run is still spread over many tasks. Pair counts are
     doubles: positives times negatives leaves BIGINT behind."""
     keys = _by(by)
-    g = (preds.where(F.col(score).isNotNull() & F.col(y).isNotNull())
-         .groupBy(*keys, score)
-         .agg(F.sum(F.col(y).cast("long")).alias("pos"),
-              F.sum((1 - F.col(y).cast("long"))).alias("neg")))
-    g = exclusive_prefix_sum(g, keys, score, ["neg"])
+    valid, label = _valid(preds, y, score), F.col(y).cast("long")
+    g = (preds.select(*keys, F.when(valid, F.col(score)).alias("_score"), F.when(valid, label).alias("_label"))
+         .groupBy(*keys, "_score")
+         .agg(F.coalesce(F.sum("_label"), F.lit(0)).alias("pos"), F.coalesce(F.sum(1 - F.col("_label")), F.lit(0)).alias("neg"),
+              F.count(F.when(F.col("_label").isNull(), 1)).alias("invalid")))
+    g = exclusive_prefix_sum(g, keys, "_score", ["neg"])
     agg = g.groupBy(*keys).agg(
         F.sum(F.col("pos").cast("double") * (F.col("neg_below") + F.col("neg") / 2.0)).alias("_num"),
-        F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
-    return agg.select(*keys, F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0),
+        F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"), F.sum("invalid").alias("n_invalid"))
+    return agg.select(*keys, F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0) & (F.col("n_invalid") == 0),
                                     F.col("_num") / (F.col("n_pos").cast("double") * F.col("n_neg"))).alias("roc_auc"),
-                      "n_pos", "n_neg")
+                      "n_pos", "n_neg", "n_invalid")
 
 
 # --------------------------------------------------------------------------- M2
@@ -152,12 +160,13 @@ def r2(preds: DataFrame, by=("run_id",), y: str = "y_true", pred: str = "y_pred"
 def auc_ovr_macro(scores: DataFrame, by=("run_id",), y: str = "y_true", cls: str = "class_idx",
                   score: str = "score") -> DataFrame:
     """M8: mean over classes of the one-vs-rest AUC (long form input: one row
-    per (row, class) with that class's score)."""
+    per (row, class) with that class's score); null with invalid scores, which ``n_invalid`` counts."""
     keys = _by(by)
     x = scores.select(*keys, cls, (F.col(y) == F.col(cls)).cast("int").alias("_is"), F.col(score).alias("_s"))
     per = roc_auc(x, by=keys + [cls], y="_is", score="_s")
-    return per.where(F.col("roc_auc").isNotNull()).groupBy(*keys).agg(
-        F.avg("roc_auc").alias("auc_ovr_macro"), F.count(F.lit(1)).alias("n_classes"))
+    return per.groupBy(*keys).agg(
+        F.when(F.sum("n_invalid") == 0, F.avg("roc_auc")).alias("auc_ovr_macro"),
+        F.count("roc_auc").alias("n_classes"), F.sum("n_invalid").alias("n_invalid"))
 
 
 # --------------------------------------------------------------------------- M9
@@ -184,7 +193,8 @@ def compute_metric(preds: DataFrame, run_metrics: DataFrame, by=("run_id",), y:
     (accuracy, log loss, RMSE, MAE, R2) for every run at once and picks the
     run's own; F1 (confusion counts) and AUC (prefix sums) read only their
     runs. The run table is a plain join side: the planner broadcasts it if it is small.
-    Output: keys, metric, value."""
+    Output: keys, metric, value, n_invalid. A run with a row without a label or a number as its
+    score has no value, except that accuracy and F1 count such a score as label 0."""
     keys = _by(by)
     x = preds.join(run_metrics.select(*keys, "metric"), keys)
     yy = F.col(y).cast("double")
@@ -197,16 +207,17 @@ def compute_metric(preds: DataFrame, run_metrics: DataFrame, by=("run_id",), y:
         F.avg(F.pow(yy - sc, 2)).alias("_mse"),
         F.avg(F.abs(yy - sc)).alias("_mae"),
         F.sum(F.pow(yy - sc, 2)).alias("_ssr"),
-        (F.var_pop(yy) * F.count(yy)).alias("_sst"))
+        (F.var_pop(yy) * F.count(yy)).alias("_sst"), F.count(F.when(~_valid(x, y, score), 1)).alias("n_invalid"))
     m = F.col("metric")
-    value = (F.when(m == "accuracy", F.col("_acc")).when(m == "log_loss", F.col("_ll"))
+    value = (F.when(m == "accuracy", F.col("_acc")).when(F.col("n_invalid") > 0, None).when(m == "log_loss", F.col("_ll"))
              .when(m == "rmse", -F.sqrt("_mse")).when(m == "mae", -F.col("_mae"))
              .when(m == "r2", F.when(F.col("_sst") > 0, 1 - F.col("_ssr") / F.col("_sst"))
                    .when(F.col("_ssr") == 0, 1.0).otherwise(0.0)))
-    simple = simple.where(m.isin("accuracy", "log_loss", "rmse", "mae", "r2")).select(*keys, "metric",
-                                                                                      value.alias("value"))
-    f1 = f1_macro(x.where(m == "f1"), keys, y, score, threshold).select(
-        *keys, F.lit("f1").alias("metric"), F.col("f1_macro").alias("value"))
+    simple = simple.where(m.isin("accuracy", "log_loss", "rmse", "mae", "r2")).select(
+        *keys, "metric", value.alias("value"), "n_invalid")
+    bad = x.where(m == "f1").groupBy(*keys).agg(F.count(F.when(~_valid(x, y, score), 1)).alias("n_invalid"))
+    f1 = f1_macro(x.where(m == "f1"), keys, y, score, threshold).join(bad, keys).select(
+        *keys, F.lit("f1").alias("metric"), F.col("f1_macro").alias("value"), "n_invalid")
     auc = roc_auc(x.where(m == "roc_auc"), keys, y, score).select(
-        *keys, F.lit("roc_auc").alias("metric"), F.col("roc_auc").alias("value"))
+        *keys, F.lit("roc_auc").alias("metric"), F.col("roc_auc").alias("value"), "n_invalid")
     return simple.unionByName(f1).unionByName(auc)

@@ -247,13 +247,18 @@ def feature_importances(df: DataFrame, target: str, task_type: str, features: li
                                            "feature string, importance double")
 
 
-def new_features_in_top_k(importances: DataFrame, original_cols: list[str], bonus: float = 0.03) -> DataFrame:
-    """New features among the top max(3, n // 3) importances."""
-    n = importances.count()                                      # features: bounded
-    k = max(3, n // 3)
-    w = Window.orderBy(F.col("importance").desc(), F.col("feature"))   # one row per feature: tiny
-    top = importances.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    new = top.where(~F.col("feature").isin(*original_cols)) if original_cols else top
+def new_features_in_top_k(importances: DataFrame, original_cols: DataFrame | list[str], bonus: float = 0.03) -> DataFrame:
+    """New features among the top max(3, n // 3) importances. ``original_cols``: the names
+    that are not new, as a list or a table (``feature``). Ranks come from range partitions, names from an anti join: an
+    importance table of any length."""
+    from gradewell.functions.ranking import distributed_row_number
+    spark = importances.sparkSession
+    k = max(3, importances.count() // 3)
+    ranked = distributed_row_number(importances.select("feature", (-F.col("importance")).alias("_less"), F.lit(0).alias("_all")),
+                                    ["_all"], ["_less", "feature"], out="_rn")
+    known = original_cols if isinstance(original_cols, DataFrame) else spark.createDataFrame(
+        [(c,) for c in original_cols], "feature string")
+    new = ranked.where(F.col("_rn") < k).join(known.select("feature"), "feature", "left_anti")
     return new.agg(F.count(F.lit(1)).alias("n_new_in_top"),
                    F.array_join(F.array_sort(F.collect_list("feature")), ", ").alias("features")) \
         .withColumn("bonus", F.when(F.col("n_new_in_top") > 0, bonus).otherwise(0.0)) \

@@ -69,7 +69,7 @@ _DOC_COLS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def _fp_sql(table: str, cols: list[str]) -> str:
-    txt = "concat_ws(chr(31), " + ", ".join(f"coalesce(CAST({c} AS VARCHAR), '<null>')" for c in cols) + ")"
+    txt = "(" + " || ".join(f"coalesce(length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), 'N')" for c in cols) + ")"
     return f"""SELECT CAST(count(*) AS BIGINT) AS n_rows, coalesce(bit_xor(h), 0) AS fp_xor,
   CAST(coalesce(sum(CAST(h AS HUGEINT)), 0) AS VARCHAR) AS fp_sum
 FROM (SELECT {_md5_sql(txt)} AS h FROM {table})"""
@@ -80,6 +80,36 @@ def c3_table_fingerprint(spark, sf_dir):
     return C.table_fingerprint(read_table(spark, sf_dir, "documents"), _DOC_COLS)
 
 
+#: A table and its copies that differ only where a null became a text, and where a separator moved from one column to the next.
+_HOLES = "SELECT doc_id, text, CASE WHEN doc_id % 10 <> 3 THEN lang END AS lang, source || chr(31) AS source, n_chars FROM documents"
+_FILLED = ("SELECT doc_id, text, CASE WHEN doc_id % 10 <> 3 THEN lang ELSE '<null>' END AS lang, source || chr(31) AS source, "
+           "n_chars FROM documents")
+_MOVED = ("SELECT doc_id, text, CASE WHEN doc_id % 10 <> 3 THEN CASE WHEN doc_id % 7 = 1 THEN lang || chr(31) ELSE lang END END AS lang, "
+          "CASE WHEN doc_id % 7 = 1 AND doc_id % 10 <> 3 THEN source ELSE source || chr(31) END AS source, n_chars FROM documents")
+
+
+@query("c3_table_fingerprint_nulls", " UNION ALL ".join(
+    f"SELECT '{n}' AS table_name, * FROM ({_fp_sql('(' + q + ')', _DOC_COLS)})" for n, q in
+    (("holes", _HOLES), ("filled", _FILLED), ("moved", _MOVED))))
+def c3_table_fingerprint_nulls(spark, sf_dir):
+    holes, filled, moved = _null_tables(spark, sf_dir)
+    tables = [C.table_fingerprint(t, _DOC_COLS).withColumn("table_name", F.lit(n))
+              for n, t in (("holes", holes), ("filled", filled), ("moved", moved))]
+    return tables[0].unionByName(tables[1]).unionByName(tables[2])
+
+
+def _null_tables(spark, sf_dir):
+    d = read_table(spark, sf_dir, "documents").select(*_DOC_COLS)
+    known, mark = F.col("doc_id") % 10 != 3, F.lit(chr(31))
+    moves = known & (F.col("doc_id") % 7 == 1)
+    ends = d.withColumn("source", F.concat("source", mark))
+    holes = ends.withColumn("lang", F.when(known, F.col("lang")))
+    filled = ends.withColumn("lang", F.when(known, F.col("lang")).otherwise("<null>"))
+    moved = d.withColumn("source", F.when(moves, F.col("source")).otherwise(F.concat("source", mark))).withColumn(
+        "lang", F.when(moves, F.concat("lang", mark)).when(known, F.col("lang")))
+    return holes, filled, moved
+
+
 _STRIPPED = ("SELECT doc_id, regexp_replace(text, '\\s+$', '') AS text, lang, source, n_chars FROM documents")
 
 
@@ -96,13 +126,19 @@ SELECT 'documents_stripped', (fb.n_rows = fs.n_rows AND fb.fp_xor = fs.fp_xor AN
   CAST(ch.n AS BIGINT),
   CASE WHEN fb.n_rows = fs.n_rows AND fb.fp_xor = fs.fp_xor AND fb.fp_sum = fs.fp_sum THEN 1.0 ELSE 0.0 END,
   CASE WHEN fb.n_rows = fs.n_rows AND fb.fp_xor = fs.fp_xor AND fb.fp_sum = fs.fp_sum THEN 0.0 ELSE 0.3 END
-FROM fb, fs, ch""")
+FROM fb, fs, ch
+""" + "".join(f"""UNION ALL SELECT '{n}', count(*) = 0, count(*), CASE WHEN count(*) = 0 THEN 1.0 ELSE 0.0 END, CASE WHEN count(*) = 0 THEN 0.0 ELSE 0.3 END
+FROM (({_HOLES} EXCEPT ALL {q}) UNION ALL ({q} EXCEPT ALL {_HOLES})) """ for n, q in (("null_filled", _FILLED), ("separator_moved", _MOVED))))
 def c4_check_intact(spark, sf_dir):
     d = read_table(spark, sf_dir, "documents").select(*_DOC_COLS)
     stripped = d.withColumn("text", F.regexp_replace("text", r"\s+$", ""))
     same = C.check_intact(d, d).withColumn("table_name", F.lit("documents"))
     changed = C.check_intact(d, stripped).withColumn("table_name", F.lit("documents_stripped"))
-    return same.unionByName(changed)
+    holes, filled, moved = _null_tables(spark, sf_dir)
+    out = same.unionByName(changed)
+    for name, t in (("null_filled", filled), ("separator_moved", moved)):
+        out = out.unionByName(C.check_intact(holes, t).withColumn("table_name", F.lit(name)))
+    return out
 
 
 @query("c5_row_loss_frac", X.with_views(f"""

@@ -17,20 +17,36 @@ def _r(c, n=9):
 
 
 def _auc_sql(src: str, keys: str, y: str, score: str) -> str:
+    good = f"{score} IS NOT NULL AND NOT isnan(CAST({score} AS DOUBLE)) AND {y} IS NOT NULL"
     return f"""
-SELECT {keys}, round(CASE WHEN sum(pos) > 0 AND sum(neg) > 0
+SELECT {keys}, round(CASE WHEN sum(pos) > 0 AND sum(neg) > 0 AND sum(bad) = 0
     THEN sum(pos * (below + neg / 2.0)) / (sum(pos) * sum(neg)) END, 9) AS roc_auc,
-  CAST(sum(pos) AS BIGINT) AS n_pos, CAST(sum(neg) AS BIGINT) AS n_neg
-FROM (SELECT *, coalesce(sum(neg) OVER (PARTITION BY {keys} ORDER BY s
+  CAST(sum(pos) AS BIGINT) AS n_pos, CAST(sum(neg) AS BIGINT) AS n_neg, CAST(sum(bad) AS BIGINT) AS n_invalid
+FROM (SELECT *, coalesce(sum(neg) OVER (PARTITION BY {keys} ORDER BY s NULLS FIRST
         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below
-      FROM (SELECT {keys}, {score} AS s, sum(CAST({y} AS BIGINT)) AS pos, sum(1 - CAST({y} AS BIGINT)) AS neg
-            FROM {src} WHERE {score} IS NOT NULL AND {y} IS NOT NULL GROUP BY {keys}, {score}))
+      FROM (SELECT {keys}, CASE WHEN {good} THEN {score} END AS s, sum(CASE WHEN {good} THEN CAST({y} AS BIGINT) ELSE 0 END) AS pos,
+              sum(CASE WHEN {good} THEN 1 - CAST({y} AS BIGINT) ELSE 0 END) AS neg, sum(CASE WHEN {good} THEN 0 ELSE 1 END) AS bad
+            FROM {src} GROUP BY ALL))
 GROUP BY {keys}"""
 
 
-@query("m1_roc_auc", X.with_views(_auc_sql("binary_predictions", "run_id", "y_true", "y_score"), BP))
+#: A run whose scores are partly NaN or null.
+_BAD_SQL = """(SELECT run_id, y_true, y_score FROM binary_predictions UNION ALL
+  SELECT 'bad', y_true, CASE row_id % 50 WHEN 0 THEN CAST('NaN' AS DOUBLE) WHEN 1 THEN NULL ELSE y_score END
+  FROM binary_predictions WHERE run_id = 'F')"""
+
+
+def _some_bad(p, run: str = "F", score: str = "y_score"):
+    r = F.col("row_id") % 50
+    return p.where(F.col("run_id") == run).withColumn("run_id", F.lit("bad")).withColumn(
+        score, F.when(r == 0, float("nan")).when(r != 1, F.col(score)))
+
+
+@query("m1_roc_auc", X.with_views(_auc_sql(_BAD_SQL, "run_id", "y_true", "y_score"), BP))
 def m1_roc_auc(spark, sf_dir):
-    return M.roc_auc(X.binary_predictions(spark, sf_dir)).select("run_id", _r("roc_auc"), "n_pos", "n_neg")
+    p = X.binary_predictions(spark, sf_dir)
+    p = p.unionByName(_some_bad(p))
+    return M.roc_auc(p).select("run_id", _r("roc_auc"), "n_pos", "n_neg", "n_invalid")
 
 
 @query("m2_accuracy", X.with_views("""
@@ -104,12 +120,13 @@ def m7_r2(spark, sf_dir):
 
 
 @query("m8_auc_ovr_macro", X.with_views(f"""
-SELECT run_id, round(avg(roc_auc), 9) AS auc_ovr_macro, CAST(count(*) AS BIGINT) AS n_classes
+SELECT run_id, round(CASE WHEN sum(n_invalid) = 0 THEN avg(roc_auc) END, 9) AS auc_ovr_macro, CAST(count(roc_auc) AS BIGINT) AS n_classes,
+  CAST(sum(n_invalid) AS BIGINT) AS n_invalid
 FROM ({_auc_sql("(SELECT run_id, class_idx, CAST(y_true = class_idx AS INTEGER) AS is_c, score FROM multiclass_scores)",
                 "run_id, class_idx", "is_c", "score")})
-WHERE roc_auc IS NOT NULL GROUP BY run_id""", X.SQL_MULTICLASS_SCORES))
+GROUP BY run_id""", X.SQL_MULTICLASS_SCORES))
 def m8_auc_ovr_macro(spark, sf_dir):
-    return M.auc_ovr_macro(X.multiclass_scores(spark, sf_dir)).select("run_id", _r("auc_ovr_macro"), "n_classes")
+    return M.auc_ovr_macro(X.multiclass_scores(spark, sf_dir)).select("run_id", _r("auc_ovr_macro"), "n_classes", "n_invalid")
 
 
 # ---------------------------------------------------------------- M10 / M9
@@ -120,14 +137,15 @@ def mixed_predictions(spark, sf_dir):
         F.col("y_true").cast("double").alias("y_true"), F.col("y_score").alias("y_score"))
     r = X.regression_predictions(spark, sf_dir).select(
         F.concat(F.lit("ord_"), "run_id").alias("run_id"), "row_id", "y_true", F.col("y_pred").alias("y_score"))
-    preds = b.unionByName(r)
+    preds = b.unionByName(_some_bad(b, "li_F")).unionByName(r).unionByName(
+        _some_bad(r, "ord_F").withColumn("run_id", F.lit("ord_bad")))
     runs = preds.select("run_id").distinct().select("run_id", _run_metric().alias("metric"))
     return preds, runs
 
 
 def _run_metric():
     """Which metric each run of the mixed table asks for."""
-    return (F.when(F.col("run_id") == "li_F", "roc_auc").when(F.col("run_id") == "li_O", "accuracy")
+    return (F.when(F.col("run_id").isin("li_F", "bad"), "roc_auc").when(F.col("run_id") == "ord_bad", "rmse").when(F.col("run_id") == "li_O", "accuracy")
             .when(F.col("run_id") == "ord_F", "rmse").when(F.col("run_id") == "ord_O", "mae")
             .when(F.col("run_id") == "ord_P", "r2"))
 
@@ -135,21 +153,28 @@ _MIXED_SQL = BP + ", " + RP + """,
 mixed AS (
   SELECT 'li_' || run_id AS run_id, row_id, CAST(y_true AS DOUBLE) AS y_true, y_score FROM binary_predictions
   UNION ALL
-  SELECT 'ord_' || run_id, row_id, y_true, y_pred FROM regression_predictions),
-m_auc AS (SELECT * FROM mixed WHERE run_id = 'li_F'),
+  SELECT 'ord_' || run_id, row_id, y_true, y_pred FROM regression_predictions
+  UNION ALL
+  SELECT 'bad', row_id, CAST(y_true AS DOUBLE), CASE row_id % 50 WHEN 0 THEN CAST('NaN' AS DOUBLE) WHEN 1 THEN NULL ELSE y_score END
+  FROM binary_predictions WHERE run_id = 'F'
+  UNION ALL
+  SELECT 'ord_bad', row_id, y_true, CASE row_id % 50 WHEN 0 THEN CAST('NaN' AS DOUBLE) WHEN 1 THEN NULL ELSE y_pred END
+  FROM regression_predictions WHERE run_id = 'F'),
+m_auc AS (SELECT * FROM mixed WHERE run_id IN ('li_F', 'bad')),
 m_acc AS (SELECT * FROM mixed WHERE run_id = 'li_O'),
 m_reg AS (SELECT run_id, row_id, y_true, y_score AS y_pred FROM mixed WHERE run_id LIKE 'ord_%')
 """
 _M10_BODY = f"""
-SELECT run_id, 'roc_auc' AS metric, roc_auc AS value FROM ({_auc_sql('m_auc', 'run_id', 'y_true', 'y_score')})
+SELECT run_id, 'roc_auc' AS metric, roc_auc AS value, n_invalid FROM ({_auc_sql('m_auc', 'run_id', 'y_true', 'y_score')})
 UNION ALL
-SELECT run_id, 'accuracy', round(avg(CAST(CAST(y_score > 0.5 AS INTEGER) = y_true AS DOUBLE)), 9) FROM m_acc GROUP BY run_id
+SELECT run_id, 'accuracy', round(avg(CAST(CAST(y_score > 0.5 AS INTEGER) = y_true AS DOUBLE)), 9), 0 FROM m_acc GROUP BY run_id
 UNION ALL
-SELECT run_id, 'rmse', round(-sqrt(avg(pow(y_true - y_pred, 2))), 6) FROM m_reg WHERE run_id = 'ord_F' GROUP BY run_id
+SELECT run_id, 'rmse', CASE WHEN sum(b) = 0 THEN round(-sqrt(avg(pow(y_true - y_pred, 2))), 6) END, CAST(sum(b) AS BIGINT)
+FROM (SELECT *, CASE WHEN y_pred IS NULL OR isnan(y_pred) THEN 1 ELSE 0 END AS b FROM m_reg) WHERE run_id IN ('ord_F', 'ord_bad') GROUP BY run_id
 UNION ALL
-SELECT run_id, 'mae', round(-avg(abs(y_true - y_pred)), 6) FROM m_reg WHERE run_id = 'ord_O' GROUP BY run_id
+SELECT run_id, 'mae', round(-avg(abs(y_true - y_pred)), 6), 0 FROM m_reg WHERE run_id = 'ord_O' GROUP BY run_id
 UNION ALL
-SELECT run_id, 'r2', r2 FROM ({_R2_SQL.replace('regression_predictions', "m_reg WHERE run_id = 'ord_P'")})"""
+SELECT run_id, 'r2', r2, 0 FROM ({_R2_SQL.replace('regression_predictions', "m_reg WHERE run_id = 'ord_P'")})"""
 
 
 def _m10(spark, sf_dir):

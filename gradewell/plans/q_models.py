@@ -149,7 +149,7 @@ def l6_new_features_in_top_k(spark, sf_dir):
     imp = read_table(spark, sf_dir, "part").groupBy(
         F.concat_ws("/", "p_brand", "p_type", F.col("p_size").cast("string")).alias("feature")).agg(
         F.sum("p_retailprice").alias("importance"))
-    orig = [r.feature for r in imp.where(F.col("feature").endswith("/7")).select("feature").collect()]
+    orig = imp.where(F.col("feature").endswith("/7")).select("feature")
     return L.new_features_in_top_k(imp, orig)
 
 
