@@ -6,8 +6,10 @@ ancestors, names of classes and ids, share of link text, length, sentence marks)
 and its log-odds become the capacities to the two terminals: what is lost if
 the block is cut off from "content" or from "boilerplate". Neighbours in page
 order and siblings below one parent are joined by smoothness edges, stronger the
-closer they stand in the tree. The minimum cut (augmenting paths on the residual
-graph) is the labelling that loses least.
+closer they stand in the tree; a block with clear evidence against it (its place, a name, a list of links)
+is joined to its like only, so an advert between two paragraphs takes nothing from them and
+they are joined across it. The minimum cut (shortest augmenting paths, found from one source
+at a time; a region that reaches no sink any more is settled) is the labelling that loses least.
 
 The weights and word lists are fixed values of this operator, not learned.
 
@@ -65,13 +67,17 @@ popup promo promotion related reply replies respond share sharing sidebar social
 toolbar widget complementary alert modal overlay discussion feedback masthead search login signup""".split()} | {
     w: 2.0 for w in "article body content entry main post story text".split()}
 SMOOTH = 1.2
+AGAINST = -4.0          # log-odds of clear evidence against a block
+#: In running text a block may be one link; elsewhere such blocks are lists of links.
+PROSE = frozenset("p blockquote pre h1 h2 h3 h4 h5 h6 dd figcaption".split())
 
 
 class Block:
-    __slots__ = ("text", "link", "path", "marks", "odds", "head", "top")
+    __slots__ = ("text", "link", "path", "marks", "odds", "head", "top", "prose")
 
-    def __init__(self, text: str, link: int, path: tuple, marks: list, head: bool, top: bool):
+    def __init__(self, text: str, link: int, path: tuple, marks: list, head: bool, top: bool, prose: bool = False):
         self.text, self.link, self.path, self.marks, self.head, self.top = text, link, path, marks, head, top
+        self.prose = prose
         self.odds = 0.0
 
 
@@ -178,7 +184,8 @@ def parse(page: str) -> list[Block]:
                 if 2 * inside > len(text) and fallback not in marks:
                     marks.append(fallback)           # an inline element that is closed by now
                 out.append(Block(text, min(link, len(text)), tuple(n for _, n, _ in stack), marks,
-                                 any(t[0] == "h" and t[1:].isdigit() for t in tags), "h1" in tags))
+                                 any(t[0] == "h" and t[1:].isdigit() for t in tags), "h1" in tags,
+                                 next((t for t in reversed(tags) if t in BLOCKS), "") in PROSE))
             buf.clear()
         link = inside = 0
 
@@ -252,14 +259,20 @@ def parse(page: str) -> list[Block]:
     return out
 
 
+def _links(b: Block) -> float:
+    """Log-odds of a block's share of link text."""
+    share = b.link / len(b.text)
+    return -(1.0 if b.prose else 6.0) * share * share
+
+
 def log_odds(b: Block) -> float:
     """Log-odds that a block is content."""
-    n = len(b.text)
     words = b.text.count(" ") + 1
-    share = b.link / n
     ends = b.text[-1] in ".!?…\"”»:;)" or b.head
-    return (b.odds + min(3.5, 1.6 * math.log((words + 1) / 6) * (1.0 if words > 5 else 0.4))
-            + (0.8 if ends else -0.4) - 6.0 * share * share + (0.8 if b.head else 0.0))
+    form = min(3.5, 1.6 * math.log((words + 1) / 6) * (1.0 if words > 5 else 0.4)) + (0.8 if ends else -0.4)
+    if b.prose:
+        form = max(form, -0.3)                       # a paragraph may be short
+    return b.odds + form + _links(b) + (0.8 if b.head else 0.0)
 
 
 def _near(a: tuple, b: tuple) -> float:
@@ -274,55 +287,65 @@ def _near(a: tuple, b: tuple) -> float:
 
 def minimum_cut(gain: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
     """Labels of least cost: node i pays max(gain, 0) if false, max(-gain, 0)
-    if true, and an edge pays its weight if its ends differ."""
-    n = len(gain)
-    src, snk = n, n + 1
-    graph: list[dict[int, float]] = [{} for _ in range(n + 2)]
-    for i, g in enumerate(gain):
-        if g > 0:
-            graph[src][i], graph[i][src] = g, 0.0
-        elif g < 0:
-            graph[i][snk], graph[snk][i] = -g, 0.0
+    if true, and an edge pays its weight if its ends differ. Of several such
+    labellings, the one with the fewest true nodes."""
+    graph: list[dict[int, float]] = [{} for _ in gain]
     for i, j, w in edges:
         graph[i][j] = graph[i].get(j, 0.0) + w
         graph[j][i] = graph[j].get(i, 0.0) + w
-    while True:
-        back = {src: src}
-        queue = [src]
-        for u in queue:
-            for v, c in graph[u].items():
-                if c > 1e-9 and v not in back:
-                    back[v] = u
-                    queue.append(v)
-            if snk in back:
+    sink = [max(-g, 0.0) for g in gain]
+    label = [False] * len(gain)
+    for i, g in enumerate(gain):
+        left = g
+        while left > 1e-9 and not label[i]:
+            back, queue, end = {i: i}, [i], None
+            for u in queue:
+                if sink[u] > 1e-9:
+                    end = u
+                    break
+                for v, c in graph[u].items():
+                    if c > 1e-9 and v not in back and not label[v]:
+                        back[v] = u
+                        queue.append(v)
+            if end is None:                          # nothing here reaches a sink, now or later
+                for u in queue:
+                    label[u] = True
                 break
-        if snk not in back:
-            return [i in back for i in range(n)]     # on the source's side of the residual graph
-        v, room = snk, math.inf
-        while v != src:
-            room = min(room, graph[back[v]][v])
-            v = back[v]
-        v = snk
-        while v != src:
-            graph[back[v]][v] -= room
-            graph[v][back[v]] += room
-            v = back[v]
-
-
-def main_text(page: str | None) -> str:
-    blocks = parse(page or "")
-    if not blocks:
-        return ""
-    gain = [log_odds(b) for b in blocks]
-    edges = [(i, i + 1, SMOOTH * _near(blocks[i].path, blocks[i + 1].path)) for i in range(len(blocks) - 1)]
+            room, v = min(left, sink[end]), end
+            while v != i:
+                room = min(room, graph[back[v]][v])
+                v = back[v]
+            v = end
+            while v != i:
+                u = back[v]
+                graph[u][v] -= room
+                graph[v][u] = graph[v].get(u, 0.0) + room
+                v = u
+            left -= room
+            sink[end] -= room
+    return label
+
+
+def smoothness(blocks: list[Block]) -> list[tuple[int, int, float]]:
+    """Edges between neighbours in page order and to the sibling before, among blocks with clear evidence
+    against them and among the others."""
+    against = [b.odds <= AGAINST or _links(b) <= AGAINST for b in blocks]
+    edges = [(i, i + 1, SMOOTH * _near(blocks[i].path, blocks[i + 1].path))
+             for i in range(len(blocks) - 1) if against[i] == against[i + 1]]
     last: dict[tuple, int] = {}
     for i, b in enumerate(blocks):                   # the sibling before, where it is not the neighbour already
-        parent = b.path[:-1]
+        parent = b.path[:-1], against[i]
         j = last.get(parent)
         if j is not None and j < i - 1:
             edges.append((j, i, SMOOTH / 2))
         last[parent] = i
-    return "\n".join(b.text for b, keep in zip(blocks, minimum_cut(gain, edges)) if keep)
+    return edges
+
+
+def main_text(page: str | None) -> str:
+    blocks = parse(page or "")
+    keep = minimum_cut([log_odds(b) for b in blocks], smoothness(blocks))
+    return "\n".join(b.text for b, k in zip(blocks, keep) if k)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

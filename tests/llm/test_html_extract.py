@@ -82,3 +82,47 @@ def test_query_rows(frame, spark):
     got = sorted(((r.page_id, r.url, r.text) for r in extract(frame(rows, "page_id long, url string, html string")).collect()), key=str)
     assert len(got) == 5 and got.count((1, "u", PARA)) == 2 and (2, None, "") in got and (3, "v", "") in got
     assert extract(frame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_adverts_between_paragraphs_take_nothing():
+    for advert in ("<div class=ad>x</div>", "<aside><a href=/>more links here</a></aside>", "<div class='promo box'><a>Buy</a> now!</div>"):
+        for n in (1, 20, 400):
+            body = "".join(f"<p>Seven quiet rivers cross valley number {i} before they meet the sea.</p>{advert}" for i in range(n))
+            want = "\n".join(f"Seven quiet rivers cross valley number {i} before they meet the sea." for i in range(n))
+            assert main_text(page(body)) == want, (advert, n)
+
+
+def test_short_quoted_and_linked_paragraphs_stay():
+    body = (f"<div id=wrap><h1>Title here</h1><p>{PARA}</p><p>Ok</p><blockquote>Quote of someone.</blockquote>"
+            f"<p><a href=x>The whole paragraph is one link</a></p><p>{PARA}</p></div>"
+            "<ul><li><a href=1>First other page</a></li><li><a href=2>Second other page</a></li></ul>")
+    assert main_text(page(body)) == "\n".join(
+        ["Title here", PARA, "Ok", "Quote of someone.", "The whole paragraph is one link", PARA])
+
+
+def test_twenty_thousand_blocks_in_two_seconds():
+    import time
+    for between in ("<div class=ad>x</div>", "<div>Go on</div>"):
+        body = f"<p>{PARA}</p>{between}" * 10_000
+        began = time.process_time()
+        assert main_text(page(body)).count(PARA) == 10_000
+        assert time.process_time() - began < 2
+
+
+def test_whole_extraction_is_the_least_labelling():
+    """The text of a page against every labelling of its blocks, on small random pages."""
+    from gradewell.llm.html_extract import log_odds, parse, smoothness
+    rng = random.Random(8)
+    pieces = [f"<p>{PARA}</p>", "<p>Ok</p>", "<div class=ad>Buy now</div>", "<li><a>Home</a></li>", "<h2>Part</h2>", "<aside>Side note.</aside>",
+              "<div>Some few words</div>", "<div><p>Inner text of a box, quite plain.</p><div>and more</div></div>", "<p><a>a link</a> and so on</p>"]
+    for _ in range(150):
+        body = "".join(rng.choice(pieces) for _ in range(rng.randint(1, 6)))
+        if rng.random() < 0.4:
+            body = f"<article>{body}</article><footer><p>Imprint</p></footer>"
+        blocks = parse(page(body))
+        gain, edges = [log_odds(b) for b in blocks], smoothness(blocks)
+
+        def cost(lab):
+            return sum(max(g, 0) if not x else max(-g, 0) for g, x in zip(gain, lab)) + sum(w for i, j, w in edges if lab[i] != lab[j])
+        best = min(itertools.product([False, True], repeat=len(blocks)), key=lambda lab: (round(cost(lab), 9), sum(lab)))
+        assert main_text(page(body)) == "\n".join(b.text for b, x in zip(blocks, best) if x)
