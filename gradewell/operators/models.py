@@ -160,11 +160,11 @@ def baseline_gbt(train: DataFrame, test: DataFrame, target: str, task_type: str,
                  depth: int = BASELINE_DEPTH) -> DataFrame:
     """L3: boosted trees on the raw numeric features (null and NaN -> 0),
     scored on ``test`` with the task metric. Spark's GBT is binary only, so
-    multiclass uses one-vs-rest. Output: metric, value."""
+    multiclass uses one-vs-rest. Output: metric, value, n_invalid."""
     feats = features or numeric_features(train, target)
     spark = train.sparkSession
     if not feats:
-        return spark.createDataFrame([(metric, None)], "metric string, value double")
+        return spark.createDataFrame([(metric, None, None)], "metric string, value double, n_invalid long")
     # the boosting loop scans the training rows once per tree: cache them
     tr = _assembled(train, feats).withColumn("label", F.col(target).cast("double")).select("features", "label")
     tr = tr.persist()
@@ -177,29 +177,30 @@ def baseline_gbt(train: DataFrame, test: DataFrame, target: str, task_type: str,
 def _baseline_fit(spark, tr, test, feats, target, task_type, metric, n_trees, depth):
     te = _assembled(test, feats).withColumn("label", F.col(target).cast("double"))
     if not _is_clf(task_type):
-        model = GBTRegressor(maxIter=n_trees, maxDepth=depth, stepSize=0.1, seed=SEED).fit(tr)
+        model = GBTRegressor(maxIter=n_trees, maxDepth=depth, stepSize=0.1, seed=SEED, cacheNodeIds=True).fit(tr)
         pred = model.transform(te).select(F.lit("baseline").alias("run_id"), F.col("label").alias("y_true"),
                                           F.col("prediction").alias("y_score"))
         return M.compute_metric(pred, spark.createDataFrame([("baseline", metric)], "run_id string, metric string"))
     n_classes = tr.select("label").distinct().count()   # labels: bounded
     if n_classes <= 2:
-        model = GBTClassifier(maxIter=n_trees, maxDepth=depth, stepSize=0.1, seed=SEED).fit(tr)
+        model = GBTClassifier(maxIter=n_trees, maxDepth=depth, stepSize=0.1, seed=SEED, cacheNodeIds=True).fit(tr)
         pred = model.transform(te)
         score = vector_to_array("probability")[1] if metric in ("roc_auc", "log_loss") else F.col("prediction")
         pred = pred.select(F.lit("baseline").alias("run_id"), F.col("label").alias("y_true"), score.alias("y_score"))
         return M.compute_metric(pred, spark.createDataFrame([("baseline", metric)], "run_id string, metric string"))
-    ovr = OneVsRest(classifier=GBTClassifier(maxIter=n_trees, maxDepth=depth, stepSize=0.1, seed=SEED)).fit(tr)
+    ovr = OneVsRest(classifier=GBTClassifier(maxIter=n_trees, maxDepth=depth, stepSize=0.1, seed=SEED, cacheNodeIds=True)).fit(tr)
     pred = ovr.transform(te).withColumn("_row", F.monotonically_increasing_id())
     if metric == "roc_auc":
         long = pred.select(F.lit("baseline").alias("run_id"), F.col("label").cast("int").alias("y_true"),
                            F.posexplode(vector_to_array("rawPrediction")).alias("class_idx", "score"))
-        v = M.auc_ovr_macro(long).select(F.col("auc_ovr_macro").alias("value"))
+        v = M.auc_ovr_macro(long).select(F.col("auc_ovr_macro").alias("value"), "n_invalid")
     else:
         p = pred.select(F.lit("baseline").alias("run_id"), F.col("label").cast("int").alias("y_true"),
                         F.col("prediction").cast("int").alias("y_score"))
-        v = (M.f1_macro(p).select(F.col("f1_macro").alias("value")) if metric == "f1"
-             else M.accuracy(p).select(F.col("accuracy").alias("value")))
-    return v.select(F.lit(metric).alias("metric"), "value")
+        none = F.lit(0).cast("long").alias("n_invalid")
+        v = (M.f1_macro(p).select(F.col("f1_macro").alias("value"), none) if metric == "f1"
+             else M.accuracy(p).select(F.col("accuracy").alias("value"), none))
+    return v.select(F.lit(metric).alias("metric"), "value", "n_invalid")
 
 
 # ------------------------------------------------------------------ L4
@@ -225,7 +226,7 @@ def model_value_test(train: DataFrame, valid: DataFrame, agent_preds: DataFrame,
     spark = train.sparkSession
     if len(feats) < 2:
         return spark.createDataFrame([(None, None, None)], "without double, with_agent double, gain double")
-    ap = agent_preds.select(key, F.col(pred_col).cast("double").alias("_agent"))
+    ap = agent_preds.groupBy(key).agg(F.avg(F.col(pred_col).cast("double")).alias("_agent"))     # a key's predictions are one
     tr, va = train.join(ap, key, "left"), valid.join(ap, key, "left")
     without = baseline_gbt(tr, va, target, task_type, metric, feats, n_trees).select(F.col("value").alias("without"))
     with_a = baseline_gbt(tr, va, target, task_type, metric, feats + ["_agent"], n_trees) \

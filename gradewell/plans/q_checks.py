@@ -110,6 +110,17 @@ def f6_datetime_strings_left(spark, sf_dir):
     return K.datetime_strings_left(X.processed_events(spark, sf_dir), dt)
 
 
+@query("f6_datetime_strings_raw", X.ctes(f"dt AS ({_P9_SQL})", X.SQL_DIRTY_EVENTS) + """
+SELECT column_name FROM (SELECT unnest(['props', 'day', 'event_type']) AS column_name,
+  unnest([typeof(props), typeof(day), typeof(event_type)]) AS column_type FROM (SELECT * FROM dirty_events LIMIT 1))
+WHERE column_type = 'VARCHAR' AND column_name IN (SELECT column_name FROM dt)""")
+def f6_datetime_strings_raw(spark, sf_dir):
+    """On the table as it came: its date column is still a string."""
+    raw = X.dirty_events(spark, sf_dir)
+    dt = [r["column_name"] for r in P.datetime_like(raw, X.DIRTY_TARGET).collect()]         # at most a row a column
+    return K.datetime_strings_left(raw, dt)
+
+
 # ------------------------------------------------------------------ F7
 @query("f7_non_numeric_features", _feat_sql(f"""
 SELECT (SELECT count(*) FROM feats) AS n_rows, CAST(count(*) AS BIGINT) AS n_non_numeric,

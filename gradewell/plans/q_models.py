@@ -1,6 +1,7 @@
-"""Registered model-based queries (L1-L7). L1, L2, L4 and L6 are compared
-value by value; boosted trees (L3, L5, L7) by the flags and verdicts that do not
-depend on how a tree cuts its features."""
+"""Registered model-based queries (L1-L7), compared value by value. Boosted trees
+run on features of two values each, so that however a tree is grown it can do
+no more than order the rows by the label share of their group in the training rows: SQL
+knows the score of that order. No feature holds the label."""
 
 from __future__ import annotations
 
@@ -88,25 +89,40 @@ def l2_train_valid_gap(spark, sf_dir):
     return g.select("run_id", *[F.round(c, 9).alias(c) for c in ["train_score", "valid_score", "gap"]], "flagged")
 
 
-# Boosted trees are not SQL. What does not depend on how they cut is: with both
-# classes there is a score, and it beats a coin if a feature alone clearly does.
-def _auc_of(expr: str) -> str:
-    """AUC of one expression over the lineitem task's rows."""
-    return f"""(SELECT sum(CASE WHEN y = 1 THEN r ELSE 0 END - CASE WHEN y = 1 THEN (k + 1) / 2.0 ELSE 0 END) / (sum(y) * sum(1 - y))
-  FROM (SELECT y, rank() OVER (ORDER BY v) + (count(*) OVER (PARTITION BY v) - 1) / 2.0 AS r,
-          row_number() OVER (PARTITION BY y ORDER BY v) * 2.0 - 1 AS k
-        FROM (SELECT CAST(l_returnflag = 'R' AS INTEGER) AS y, {expr} AS v FROM lineitem)))"""
+# A task whose label is drawn, by the digits of other keys, with a chance that depends on two
+# features of two values each.
+_DRAW = "(l_partkey * 7 + l_suppkey * 13 + l_orderkey) % 10"
+_BIG = "(l_orderkey * 8 + l_linenumber) % 3 = 0"
+_CHANCE = f"CASE WHEN {_BIG} THEN 6 ELSE 1 END + (l_linenumber % 2) * CASE WHEN {_BIG} THEN 3 ELSE 2 END"
+_SIGNAL_COLS = {"row_id": "l_orderkey * 8 + l_linenumber", "odd": "CAST(l_linenumber % 2 AS INTEGER)",
+                "tens": "CAST(l_linenumber % 2 * 10 AS INTEGER)", "big": f"CAST({_BIG} AS INTEGER)",
+                "wanted": f"CAST({_DRAW} < {_CHANCE} AS INTEGER)"}
+_SIGNAL_SQL = "sp AS (" + _split_sql("SELECT " + ", ".join(f"{e} AS {c}" for c, e in _SIGNAL_COLS.items()) + " FROM lineitem",
+                                     "row_id", "wanted") + ")"
 
 
-_HINT = "CAST(l_returnflag = 'R' AS INTEGER) * 10 + l_quantity"
+def _signal(spark, sf_dir):
+    li = read_table(spark, sf_dir, "lineitem")
+    rows = li.select(*[F.expr(e).alias(c) for c, e in _SIGNAL_COLS.items()])
+    s = C.stratified_split(rows, "row_id", "wanted", hash_method="md5")
+    return {k: s.where(F.col("split") == k).drop("split") for k in ("train", "valid", "test")}
+
+
+def _group_auc(part: str, by: str) -> str:
+    """AUC of the rows of ``part`` ordered by their group's label share in the training rows."""
+    return f"""(SELECT sum(k1 * (below + k0 / 2.0)) / (sum(k1) * sum(k0)) FROM (
+  SELECT *, coalesce(sum(k0) OVER (ORDER BY share ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM (
+    SELECT share, sum(wanted) AS k1, sum(1 - wanted) AS k0 FROM sp
+    JOIN (SELECT {by}, avg(wanted) AS share FROM sp WHERE split = 'train' GROUP BY {by}) USING ({by})
+    WHERE split = '{part}' GROUP BY share)))"""
 
 
-@query("l3_baseline_gbt", f"SELECT 'roc_auc' AS metric, {_auc_of(_HINT)} IS NOT NULL AS scored, {_auc_of(_HINT)} > 0.55 AS beats_coin")
+@query("l3_baseline_gbt", f"WITH {_SIGNAL_SQL} SELECT 'roc_auc' AS metric, round({_group_auc('test', 'odd, big')}, 9) AS value, "
+       "CAST(0 AS BIGINT) AS n_invalid")
 def l3_baseline_gbt(spark, sf_dir):
-    s = _split(spark, sf_dir).drop("row_id").withColumn("hint", F.col("returned") * 10 + F.col("l_quantity"))
-    v = L.baseline_gbt(s.where("split = 'train'").drop("split"), s.where("split = 'test'").drop("split"),
-                       "returned", "binary_classification", "roc_auc")
-    return v.select("metric", F.col("value").isNotNull().alias("scored"), (F.col("value") > 0.55).alias("beats_coin"))
+    s = _signal(spark, sf_dir)
+    v = L.baseline_gbt(s["train"], s["test"], "wanted", "binary_classification", "roc_auc", ["odd", "big"])
+    return v.select("metric", F.round("value", 9).alias("value"), "n_invalid")
 
 
 @query("l4_baseline_compare", X.ctes(_MIXED_SQL, X.SQL_TASKS, f"m10 AS ({_M10_BODY})") + """
@@ -125,16 +141,15 @@ def l4_baseline_compare(spark, sf_dir):
         v["bonus"].alias("bonus"), v["penalty"].alias("penalty"))
 
 
-@query("l5_model_value_test", "SELECT true AS scored, a > greatest(" + ", ".join(
-    f"abs({_auc_of(c)} - 0.5) + 0.5" for c in _LI_FEATS) + ") AS agent_helps FROM (SELECT "
-    + _auc_of("CAST(l_returnflag = 'R' AS INTEGER) + l_discount * 5") + " AS a)")
+@query("l5_model_value_test", f"""WITH {_SIGNAL_SQL}, v AS (
+SELECT {_group_auc('valid', 'odd, tens')} AS a, {_group_auc('valid', 'odd, big')} AS b)
+SELECT round(a, 9) AS without, round(b, 9) AS with_agent, round(b - a, 9) AS gain FROM v""")
 def l5_model_value_test(spark, sf_dir):
-    """The agent's prediction here is the truth with noise: it must add value."""
-    s = _split(spark, sf_dir)
-    agent = s.select("row_id", (F.col("returned") + F.col("l_discount") * 5).alias("y_score"))
-    v = L.model_value_test(s.where("split = 'train'").drop("split"), s.where("split = 'valid'").drop("split"),
-                           agent, "returned", "row_id", "binary_classification", "roc_auc")
-    return v.select(F.col("without").isNotNull().alias("scored"), (F.col("gain") > 0).alias("agent_helps"))
+    """The agent's prediction knows what the features do not: it must add as much as SQL says."""
+    s = _signal(spark, sf_dir)
+    agent = s["train"].union(s["valid"]).select("row_id", F.col("big").cast("double").alias("y_score"))
+    v = L.model_value_test(s["train"].drop("big"), s["valid"].drop("big"), agent, "wanted", "row_id", "binary_classification", "roc_auc")
+    return v.select(*[F.round(c, 9).alias(c) for c in ("without", "with_agent", "gain")])
 
 
 @query("l6_new_features_in_top_k", """
@@ -153,11 +168,10 @@ def l6_new_features_in_top_k(spark, sf_dir):
     return L.new_features_in_top_k(imp, orig)
 
 
-@query("l7_evaluate_model", f"""SELECT 'roc_auc' AS metric, a >= 0.5 AS passed, a > 0.5 AS above_half,
-  CAST(CASE WHEN a >= 0.5 THEN 0.0 ELSE 0.05 END AS DOUBLE) AS penalty FROM (SELECT {_auc_of(_HINT)} AS a)""")
+@query("l7_evaluate_model", f"""WITH {_SIGNAL_SQL}, v AS (SELECT {_group_auc('valid', 'odd, big')} AS a)
+SELECT 'roc_auc' AS metric, round(a, 9) AS value, a >= 0.5 AS passed, round(least(1.0, a), 9) AS score, CAST(0.0 AS DOUBLE) AS penalty FROM v""")
 def l7_evaluate_model(spark, sf_dir):
-    s = _split(spark, sf_dir).drop("row_id").withColumn("hint", F.col("returned") * 10 + F.col("l_quantity"))
-    feats = [*_LI_FEATS, "hint"]
-    model = L.fit_pipeline(s.where("split = 'train'"), "returned", "binary_classification", feats, n_trees=20)
-    v = L.evaluate_model(model, s.where("split = 'valid'"), "returned", "roc_auc", baseline=0.5)
-    return v.select("metric", "passed", (F.col("score") > 0.5).alias("above_half"), "penalty")
+    s = _signal(spark, sf_dir)
+    model = L.fit_pipeline(s["train"], "wanted", "binary_classification", ["odd", "big"], n_trees=20)
+    v = L.evaluate_model(model, s["valid"], "wanted", "roc_auc", baseline=0.5)
+    return v.select("metric", F.round("value", 9).alias("value"), "passed", F.round("score", 9).alias("score"), "penalty")
