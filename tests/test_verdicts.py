@@ -89,8 +89,10 @@ def test_folded_episodes_equal_the_last_scored_steps(spark, sf0001):
     for e in got:
         a, b = plain(got[e]), plain(last[e])
         assert all(near(a[k], b[k]) for k in a), (e, [k for k in a if not near(a[k], b[k])])
-    plan = folded._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("Window [") <= 3            # step number, start and end of the episode; no running state
+    given, more = G._tables(spark, sf0001)
+    steps, _, _, n = V._inputs(*given, more["hard_time_limit"])
+    windows = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Window [")
+    assert windows(V.E.folded_state(steps, n_chunks=n)) <= windows(steps)        # the fold adds no window
 
 
 def test_issue_amounts_sum_to_the_penalty(spark, sf0001):
