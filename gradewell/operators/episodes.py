@@ -77,12 +77,22 @@ def seconds(ts: Column) -> Column:
     return F.unix_micros(ts.cast("timestamp")) / 1e6
 
 
+def steps_without_task(steps: DataFrame, tasks: DataFrame) -> DataFrame:
+    """E10's rejected steps: (task_id, n_episodes, n_steps) of the task ids,
+    null included, that no row of ``tasks`` has. :func:`prepare_steps` cannot
+    score them and leaves them out."""
+    lost = steps.select("task_id", EP).join(tasks.select("task_id"), "task_id", "left_anti")
+    per = lost.groupBy("task_id", EP).agg(F.count(F.lit(1)).alias("n"))
+    return per.groupBy("task_id").agg(F.count(F.lit(1)).alias("n_episodes"), F.sum("n").alias("n_steps"))
+
+
 def prepare_steps(steps: DataFrame, tasks: DataFrame, hard_time_limit: float = 3600.0) -> DataFrame:
     """E10 + context: joins each step to its task (steps carry ``task_id``;
     the planner broadcasts a small task table), adds the text a rule
     reads, elapsed seconds since the episode's first step, the done flag
     (FINAL_SUBMIT, step index >= max_steps, or elapsed > budget) and drops
-    steps after the first done step."""
+    steps after the first done step. Steps of a task that is not in ``tasks``
+    are left out; :func:`steps_without_task` counts them."""
     if IDX not in steps.columns:
         # an episode ends at index max_steps at the latest: number only the
         # first max(max_steps) + 1 steps (top-k per episode, bounded shuffle)

@@ -8,8 +8,6 @@ distributed metric (M1-M10), never a driver-side computation.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, OneVsRest
 from pyspark.ml.feature import VectorAssembler
@@ -47,14 +45,13 @@ def single_feature_leak(df: DataFrame, target: str, task_type: str, threshold: f
     null/NaN are skipped, as the reference drops them); a train-set AUC
     (one-vs-rest mean for several classes) or R2 >= threshold flags a possible leak.
 
-    One exact method for any number of features and rows: features are
-    unpivoted and counted by (feature, value) -- class counts, or count, sum
-    and sum of squares for regression -- and every level of the trees is one
+    One exact method for any number of features, rows and classes: features
+    are unpivoted and counted by (feature, value, class), or summed by
+    (feature, value) for regression; every level of the trees is a
     range-partitioned prefix sum over those counts: each value's left and
     right side gives its impurity, the least (smallest value on ties) is the
     split of (feature, node). The scores come from the leaves' counts.
-    Labels of any type are compared as they are; their number is taken to be
-    small (a column each)."""
+    Labels of any type are compared as they are and stay rows."""
     spark = df.sparkSession
     schema = "feature string, score double, leak boolean"
     feats = numeric_features(df, target)
@@ -70,63 +67,88 @@ def single_feature_leak(df: DataFrame, target: str, task_type: str, threshold: f
     long = base.select(F.col(target).alias("_y"), F.explode(F.array(*[
         F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v")) for c in usable])).alias("x")) \
         .select("_y", "x.*")
-    if _is_clf(task_type):
-        classes = [r[0] for r in base.select(target).distinct().orderBy(target).collect()]   # labels: few
-        stats = [f"k{i}" for i in range(len(classes))]
-        aggs = [F.sum((F.col("_y") == F.lit(c)).cast("double")).alias(k) for k, c in zip(stats, classes)]
-    else:
-        stats = ["n", "s", "q"]
-        y = F.col("_y").cast("double")
-        aggs = [F.sum(F.lit(1.0)).alias("n"), F.sum(y).alias("s"), F.sum(y * y).alias("q")]
-
-    def impurity(side) -> Column:
-        if not _is_clf(task_type):
-            n = side("n")
-            return F.when(n > 0, side("q") - side("s") * side("s") / n).otherwise(0.0)
-        n = reduce(lambda x, k: x + side(k), stats[1:], side(stats[0]))
-        squares = reduce(lambda x, k: x + side(k) * side(k), stats[1:], side(stats[0]) * side(stats[0]))
-        return F.when(n > 0, n - squares / n).otherwise(0.0)
-
-    g = long.groupBy("feature", "v").agg(*aggs).withColumn("node", F.lit(0))
+    out = _leaf_auc(_class_leaves(long, depth)) if _is_clf(task_type) else _leaf_r2(_moment_leaves(long, depth))
+    return out.select("feature", "score", F.coalesce(F.col("score") >= threshold, F.lit(False)).alias("leak"))
+
+
+def _halve(g: DataFrame, sums: DataFrame, cost: Column) -> DataFrame:
+    """The rows of ``g`` with the node each goes to: ``sums`` holds one row a
+    (feature, node, v), ``cost`` the impurity of a cut after v."""
+    top = sums.groupBy("feature", "node").agg(F.max("v").alias("last"))
+    cut = sums.join(top, ["feature", "node"]).where(F.col("v") < F.col("last")).groupBy("feature", "node").agg(
+        F.min(F.struct(F.round(cost, 6).alias("c"), F.col("v").alias("v")))["v"].alias("cut"))
+    below = F.when(F.col("v") > F.col("cut"), 1).otherwise(0)
+    return g.join(cut, ["feature", "node"], "left").withColumn("node", F.col("node") * 2 + below).drop("cut")
+
+
+def _class_leaves(long: DataFrame, depth: int) -> DataFrame:
+    """(feature, node, _y, k): class counts in the leaves of Gini trees.
+
+    A side's impurity is n - sum(k_y^2) / n. With L_y the class's count before
+    a value, that sum of squares grows by 2 L_y k + k^2 there, so it is a
+    prefix sum like n; the right side's follows from sum(t_y L_y)."""
+    g = long.groupBy("feature", "v", "_y").agg(F.count(F.lit(1)).cast("double").alias("k")).withColumn("node", F.lit(0))
+    for _ in range(depth):
+        g = exclusive_prefix_sum(g, ["feature", "node", "_y"], "v", ["k"])
+        total = g.groupBy("feature", "node", "_y").agg(F.sum("k").alias("t"))
+        sums = g.join(total, ["feature", "node", "_y"]).groupBy("feature", "node", "v").agg(
+            F.sum("k").alias("n"), F.sum(F.col("k") * (2 * F.col("k_below") + F.col("k"))).alias("q"),
+            F.sum(F.col("t") * F.col("k")).alias("m"))
+        sums = exclusive_prefix_sum(sums, ["feature", "node"], "v", ["n", "q", "m"])
+        whole = sums.groupBy("feature", "node").agg(F.sum("n").alias("all_n"), F.sum("m").alias("all_q"))
+        left_n, left_q, left_m = (F.col(c) + F.col(f"{c}_below") for c in ("n", "q", "m"))
+        right_n, right_q = F.col("all_n") - left_n, F.col("all_q") - 2 * left_m + left_q
+        cost = left_n - left_q / left_n + F.when(right_n > 0, right_n - right_q / right_n).otherwise(0.0)
+        g = _halve(g.drop("k_below"), sums.join(whole, ["feature", "node"]), cost)
+    return g.groupBy("feature", "node", "_y").agg(F.sum("k").alias("k"))
+
+
+def _rest(n: Column, s: Column, q: Column) -> Column:
+    """Sum of squares around the mean."""
+    return F.when(n > 0, q - s * s / n).otherwise(0.0)
+
+
+def _moment_leaves(long: DataFrame, depth: int) -> DataFrame:
+    """(feature, node, n, s, q): count, sum and squares in the leaves of regression trees."""
+    stats, y = ["n", "s", "q"], F.col("_y").cast("double")
+    g = long.groupBy("feature", "v").agg(F.sum(F.lit(1.0)).alias("n"), F.sum(y).alias("s"), F.sum(y * y).alias("q")) \
+        .withColumn("node", F.lit(0))
     for _ in range(depth):
         g = exclusive_prefix_sum(g, ["feature", "node"], "v", stats)
-        total = g.groupBy("feature", "node").agg(*[F.sum(k).alias(f"t_{k}") for k in stats], F.max("v").alias("t_v"))
-        x = g.join(total, ["feature", "node"])
-        cost = impurity(lambda k: F.col(f"{k}_below") + F.col(k)) \
-            + impurity(lambda k: F.col(f"t_{k}") - F.col(f"{k}_below") - F.col(k))
-        split = x.where(F.col("v") < F.col("t_v")).groupBy("feature", "node").agg(
-            F.min(F.struct(F.round(cost, 6).alias("c"), F.col("v").alias("v")))["v"].alias("cut"))
-        g = g.join(split, ["feature", "node"], "left").select(
-            "feature", "v", *stats, (F.col("node") * 2 + F.when(F.col("v") > F.col("cut"), 1).otherwise(0)).alias("node"))
-    leaves = g.groupBy("feature", "node").agg(*[F.sum(k).alias(k) for k in stats])
-    if not _is_clf(task_type):
-        whole = leaves.groupBy("feature").agg(*[F.sum(k).alias(k) for k in stats],
-                                              F.sum(impurity(F.col)).alias("rest"))
-        sst = impurity(F.col)
-        score = F.when(sst > 0, 1 - F.col("rest") / sst).when(F.col("rest") == 0, 1.0).otherwise(0.0)
-        out = whole.select("feature", score.alias("score"))
-    else:
-        out = _leaf_auc(leaves, stats)
-    return out.select("feature", "score", F.coalesce(F.col("score") >= threshold, F.lit(False)).alias("leak"))
+        total = g.groupBy("feature", "node").agg(*[F.sum(k).alias(f"t_{k}") for k in stats])
+        left = [F.col(f"{k}_below") + F.col(k) for k in stats]
+        cost = _rest(*left) + _rest(*[F.col(f"t_{k}") - x for k, x in zip(stats, left)])
+        g = _halve(g.drop(*[f"{k}_below" for k in stats]), g.join(total, ["feature", "node"]), cost)
+    return g.groupBy("feature", "node").agg(*[F.sum(k).alias(k) for k in stats])
+
+
+def _leaf_r2(leaves: DataFrame) -> DataFrame:
+    """(feature, score): train R2 of trees that predict their leaf's mean."""
+    cols = [F.col(k) for k in ("n", "s", "q")]
+    whole = leaves.groupBy("feature").agg(*[F.sum(k).alias(k) for k in ("n", "s", "q")], F.sum(_rest(*cols)).alias("rest"))
+    score = F.when(_rest(*cols) > 0, 1 - F.col("rest") / _rest(*cols)).when(F.col("rest") == 0, 1.0).otherwise(0.0)
+    return whole.select("feature", score.alias("score"))
 
 
-def _leaf_auc(leaves: DataFrame, stats: list[str]) -> DataFrame:
+def _leaf_auc(leaves: DataFrame) -> DataFrame:
     """(feature, score): train AUC of trees that predict their leaf's class
-    shares, from at most four leaves a feature; ties count one half."""
-    n = reduce(lambda x, k: x + F.col(k), stats[1:], F.col(stats[0]))
-    judged = stats[1:] if len(stats) == 2 else stats
-    if not judged or len(stats) < 2:
-        return leaves.select("feature").distinct().withColumn("score", F.lit(None).cast("double"))
-    rows = leaves.select("feature", F.explode(F.array(*[
-        F.struct(F.lit(k).alias("cls"), (F.col(k) / n).alias("share"), F.col(k).alias("pos"), (n - F.col(k)).alias("neg"))
-        for k in judged])).alias("x")).select("feature", "x.*")
-    rows = rows.groupBy("feature", "cls", "share").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    w = Window.partitionBy("feature", "cls").orderBy("share").rowsBetween(Window.unboundedPreceding, -1)
+    shares, from at most four leaves a feature; ties count one half. Of two
+    classes the larger label is judged, of more each against the rest (mean);
+    of one, the score is null."""
+    size = leaves.groupBy("feature", "node").agg(F.sum("k").alias("n"))
+    labels = leaves.select("feature", "_y").distinct()
+    many = labels.groupBy("feature").agg(F.count(F.lit(1)).alias("classes"), F.max("_y").alias("last"))
+    judged = labels.join(many, "feature").where((F.col("classes") > 2) | ((F.col("classes") == 2) & (F.col("_y") == F.col("last"))))
+    rows = judged.select("feature", "_y").join(size, "feature").join(leaves, ["feature", "node", "_y"], "left")
+    pos = F.coalesce("k", F.lit(0.0))
+    rows = rows.groupBy("feature", "_y", (pos / F.col("n")).alias("share")).agg(
+        F.sum(pos).alias("pos"), F.sum(F.col("n") - pos).alias("neg"))
+    w = Window.partitionBy("feature", "_y").orderBy("share").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("below", F.coalesce(F.sum("neg").over(w), F.lit(0.0)))
-    per = rows.groupBy("feature", "cls").agg(
+    per = rows.groupBy("feature", "_y").agg(
         F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)).alias("num"), F.sum("pos").alias("p"), F.sum("neg").alias("m"))
     auc = F.when((F.col("p") > 0) & (F.col("m") > 0), F.col("num") / (F.col("p") * F.col("m")))
-    return per.groupBy("feature").agg(F.avg(auc).alias("score"))
+    return many.select("feature").join(per.groupBy("feature").agg(F.avg(auc).alias("score")), "feature", "left")
 
 
 # ------------------------------------------------------------------ L2

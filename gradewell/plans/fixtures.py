@@ -313,6 +313,11 @@ outcomes AS (
 """
 
 
+def step_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The step log by event, for rules that look at one step: no numbering, no shuffle."""
+    return steps_from_events(read_table(spark, sf_dir, "events"))
+
+
 def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The step log with its 0-based step index per episode."""
     from gradewell.operators.episodes import step_index
@@ -447,9 +452,9 @@ exploded_checklist AS (
 
 
 def steps_with_task(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Step log with its task id (tasks are tiny: broadcast)."""
+    """Step log with its task id."""
     t = tasks(spark, sf_dir).select("task_key", "task_id")
-    return steps(spark, sf_dir).join(F.broadcast(t), "task_key").drop("task_key")
+    return steps(spark, sf_dir).join(t, "task_key").drop("task_key")
 
 
 SQL_STEPS_WITH_TASK = SQL_STEPS + ", " + SQL_TASKS + """,

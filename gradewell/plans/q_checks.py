@@ -232,7 +232,7 @@ def f13_prediction_score_vs_baseline(spark, sf_dir):
     m = _m10(spark, sf_dir)
     t = X.tasks(spark, sf_dir).select("metric", "baseline_score")
     v = K.prediction_score_vs_baseline(F.col("value"), F.col("baseline_score"))
-    return m.join(F.broadcast(t), "metric", "left").select(
+    return m.join(t, "metric", "left").select(
         "run_id", "metric", v["passed"].alias("passed"), F.round(v["score"], 9).alias("score"),
         v["penalty"].alias("penalty"))
 

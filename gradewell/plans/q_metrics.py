@@ -200,6 +200,6 @@ FROM m10 LEFT JOIN tasks t ON t.metric = m10.metric""")
 def m9_normalize_score(spark, sf_dir):
     m = _m10(spark, sf_dir)
     t = X.tasks(spark, sf_dir).select("metric", "baseline_score", "oracle_score")
-    j = m.join(F.broadcast(t), "metric", "left")
+    j = m.join(t, "metric", "left")
     return j.select("run_id", "metric", F.round(M.normalize_score(
         F.col("value"), F.col("baseline_score"), F.col("oracle_score")), 9).alias("normalized_score"))

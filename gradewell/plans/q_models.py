@@ -136,7 +136,7 @@ def l4_baseline_compare(spark, sf_dir):
     m = _m10(spark, sf_dir)
     t = X.tasks(spark, sf_dir).select("metric", "baseline_score")
     v = L.baseline_compare(F.col("value"), F.col("baseline_score"))
-    return m.join(F.broadcast(t), "metric", "left").select(
+    return m.join(t, "metric", "left").select(
         "run_id", "metric", F.round(v["diff"], 9).alias("diff"), v["outcome"].alias("outcome"),
         v["bonus"].alias("bonus"), v["penalty"].alias("penalty"))
 

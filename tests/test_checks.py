@@ -106,3 +106,38 @@ def test_wide_near_duplicates_equal_all_pairs(spark):
         assert K.near_duplicates(df, group_rows=group_rows).first()[0] == want
     assert K.near_duplicates(df, narrow=k).first()[0] == want
     assert K.near_duplicates(df, max_diff=1).first()[0] == sum(differ(a, b) == 1 for a, b in combinations(rows, 2))
+
+
+def test_single_feature_leak_many_classes(spark):
+    """Classes are rows: the splits and scores equal plain depth-2 Gini trees, whatever the number of labels."""
+    from gradewell.operators import models as L
+    rnd = random.Random(8)
+
+    def impurity(ys):
+        return len(ys) - sum(ys.count(c) ** 2 for c in set(ys)) / len(ys) if ys else 0.0
+
+    def grow(rows, depth):
+        if depth == 0 or len({v for v, _ in rows}) < 2:
+            return [rows]
+        cut = min((round(impurity([y for v, y in rows if v <= c]) + impurity([y for v, y in rows if v > c]), 6), c)
+                  for c in sorted({v for v, _ in rows})[:-1])[1]
+        return grow([r for r in rows if r[0] <= cut], depth - 1) + grow([r for r in rows if r[0] > cut], depth - 1)
+
+    def score(rows):
+        leaves, classes = grow(rows, 2), sorted({y for _, y in rows})
+        judged = classes[1:] if len(classes) == 2 else classes
+        aucs = []
+        for c in judged:
+            at = [(sum(y == c for _, y in leaf) / len(leaf), y == c) for leaf in leaves for _, y in leaf]
+            pos, neg = [s for s, p in at if p], [s for s, p in at if not p]
+            aucs.append(sum((a > b) + (a == b) / 2 for a in pos for b in neg) / len(pos) / len(neg))
+        return sum(aucs) / len(aucs)
+    for n in (2, 5, 40):
+        rows = [(float(rnd.randrange(25)), rnd.randrange(n)) for _ in range(240)]
+        rows = [(v, f"c{y}", v * 2 + y % 3) for v, y in rows]
+        df = spark.createDataFrame(rows, "a double, y string, b double")
+        got = {r["feature"]: r["score"] for r in L.single_feature_leak(df, "y", "multiclass").collect()}
+        assert math.isclose(got["a"], score([(a, y) for a, y, _ in rows]), rel_tol=1e-9)
+        assert math.isclose(got["b"], score([(b, y) for _, y, b in rows]), rel_tol=1e-9)
+    one = spark.createDataFrame([(float(i), "x") for i in range(20)], "a double, y string")
+    assert [(r["score"], r["leak"]) for r in L.single_feature_leak(one, "y", "multiclass").collect()] == [(None, False)]

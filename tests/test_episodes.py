@@ -103,3 +103,9 @@ def test_profile_column_rules_positive(spark):
     st = E.context_state(E.running_state(E.context_masks(E.step_flags(s), 1)), 1).orderBy("step_idx").collect()
     assert [r["corr_missed_pairs"] for r in st] == [2, 1, 1]     # dropping amount handles the first pair
     assert [r["miss_unhandled"] for r in st] == [3, 2, 1]        # amount dropped, then half_null filled
+
+
+def test_steps_without_task_are_counted(spark):
+    steps = spark.createDataFrame([(1, "t"), (2, "gone"), (2, "gone"), (3, "gone"), (4, None)], "episode_id long, task_id string")
+    got = {r["task_id"]: (r["n_episodes"], r["n_steps"]) for r in E.steps_without_task(steps, _tasks(spark)).collect()}
+    assert got == {"gone": (2, 3), None: (1, 1)}
