@@ -9,6 +9,8 @@ deterministic once, on the driver (its size is bounded by the group's). Tasks
 run each over all words of a batch at once, one table look-up a letter, so every
 word, and every word within one edit (two from nine letters on, none below four; stems one
 less, those below six letters only as whole words) is found without comparing it with each term.
+Terms of more than ``MAX_LETTERS`` letters are looked up as they are, without edits; such words
+are also found by their beginnings of up to ``MAX_LETTERS`` letters, which are terms like others.
 
 Each hit carries evidence, halved per edit (quartered in terms below five letters). Its context window of ``WINDOW`` words on either
 side tells quotation (quotation marks, reporting words) from abuse and puts the
@@ -39,7 +41,7 @@ SAMPLE = 20_000
 GROUP = 200             # terms of one automaton
 MIN_DOCS = 4            # toxic texts that hold a term, at least
 PURITY = 0.8            # share of toxic ones among the documents that hold it and one more, at least
-MIN_LETTERS, MAX_LETTERS = 4, 24      # of a beginning; shorter words are terms as a whole
+MIN_LETTERS, MAX_LETTERS = 4, 24      # of a beginning; shorter and longer words are terms as a whole
 WINDOW = 5
 #: Signs of quotation near a hit (fixed list).
 QUOTES = "\"“”„«»‹›‘’"
@@ -78,9 +80,8 @@ def _forms(batches):
             body = chars.tobytes().decode("utf-32-le", "surrogatepass")
             forms = set()
             for a, b in zip(starts.tolist(), ends.tolist()):
-                if b - a <= MAX_LETTERS:
-                    forms.add(body[a:b])
-            forms |= {"^" + w[:m] for w in list(forms) for m in range(MIN_LETTERS, len(w) + 1)}
+                forms.add(body[a:b])
+            forms |= {"^" + w[:m] for w in list(forms) for m in range(MIN_LETTERS, min(len(w), MAX_LETTERS) + 1)}
             for f in forms:
                 count.setdefault(f, [0, 0])[0 if toxic else 1] += 1
         if count:
@@ -124,7 +125,11 @@ def learn_lexicon(sample: DataFrame) -> list[tuple[str, bool, float]]:
     out = [(t, stem, float(share_of["^" + t])) for t, stem in terms.items()]
     out += [(t, False, e) for t, stem, e in out if stem and not edits_allowed(t, True)]   # misspelt as a whole word
     short = sorted((f for f in tox if f[0] != "^" and len(f) < MIN_LETTERS), key=lambda f: (-tox[f], f))
-    return out + [(f, False, float(share_of[f])) for f in short]
+    # whole words too long for an automaton, where no stem stands for them
+    stems = {t for t, stem, _ in out if stem}
+    long = sorted((f for f in tox if f[0] != "^" and len(f) > MAX_LETTERS
+                   and not any(f[:m] in stems for m in range(1, MAX_LETTERS + 1))), key=lambda f: (-tox[f], f))
+    return out + [(f, False, float(share_of[f])) for f in short + long]
 
 
 def edits_allowed(term: str, stem: bool) -> int:
@@ -148,8 +153,10 @@ class Automaton:
         self.terms = terms
         letters = sorted({c for t, _, _ in terms for c in t})
         self.classes = np.zeros(0x10000, np.int32)          # 0: a letter no term has
-        for j, c in enumerate(letters):
-            self.classes[ord(c) & 0xFFFF] = j + 1
+        self.high = np.array([ord(c) for c in letters if ord(c) > 0xFFFF], np.uint32)     # the last letters, in order
+        self.first_high = len(letters) - len(self.high) + 1
+        for j, c in enumerate(letters[:self.first_high - 1]):
+            self.classes[ord(c)] = j + 1
         children: list[dict[int, int]] = [{}]
         ends: list[int] = [-1]
         most: list[int] = [0]
@@ -229,7 +236,11 @@ class Automaton:
         """The state each word ends in."""
         state = np.full(len(starts), self.start, np.int32)
         live = np.arange(len(starts))
-        cls = self.classes[np.minimum(chars, 0xFFFF)]
+        cls = self.classes[np.minimum(chars, 0xFFFF)]       # U+FFFF is no letter
+        if len(self.high):
+            beyond = np.flatnonzero(chars > 0xFFFF)
+            j = np.minimum(np.searchsorted(self.high, chars[beyond]), len(self.high) - 1)
+            cls[beyond] = np.where(self.high[j] == chars[beyond], self.first_high + j, 0)
         at = starts.copy()
         while len(live):
             state[live] = self.step[state[live], cls[at[live]]]
@@ -245,8 +256,11 @@ class Lexicon:
     def __init__(self, terms: list[tuple[str, bool, float]]):
         self.terms = terms
         self.parts: list[tuple[np.ndarray, Automaton]] = []
+        self.long = {t: j for j, (t, _, _) in enumerate(terms) if len(t) > MAX_LETTERS}
         group: dict[str, int] = {}
         for j, (t, _, _) in enumerate(terms):
+            if t in self.long:
+                continue
             if t in group or len(group) == GROUP:
                 self._add(group)
                 group = {}
@@ -265,6 +279,10 @@ class Lexicon:
             state = auto.run(chars, starts, ends)
             better = np.flatnonzero((auto.term[state] >= 0) & (auto.edits[state] < edits))
             term[better], edits[better] = numbers[auto.term[state[better]]], auto.edits[state[better]]
+        for i in np.flatnonzero(ends - starts > MAX_LETTERS).tolist() if self.long else ():
+            j = self.long.get(chars[starts[i]:ends[i]].tobytes().decode("utf-32-le", "surrogatepass"))
+            if j is not None:
+                term[i], edits[i] = j, 0
         return term, edits
 
 

@@ -109,3 +109,31 @@ def test_no_labels_and_empty_table(frame, spark):
     model = T.fit(frame([(1, "a b")]), none)
     assert [r.score for r in T.score(frame([(1, "idiot")]), model).collect()] == [0.5]
     assert T.score(frame([]), model).count() == 0
+
+
+def test_letters_beyond_the_basic_plane():
+    gothic = "\U00010330\U00010331\U00010332\U00010333\U00010334"
+    terms = [(gothic, False, 1.0), ("idiot", False, 1.0), ("zäh\U00010330lich", False, 1.0)]
+    auto = T.Automaton(terms)
+    words = [gothic, gothic[:-1] + "\U00010340", gothic[:2] + gothic[3:], "\U00010340" * 5, "idi\U00010330t", "idiot", "zäh\U00010330lich"]
+    chars, starts, ends, _ = T.tokenize(words)
+    state = auto.run(chars, starts, ends)
+    got = [auto.edits[s] if auto.term[s] >= 0 else None for s in state]
+    assert got == [brute(w, terms) for w in words] == [0, 1, 1, None, 1, 0, 0]
+
+
+def test_words_of_many_letters(frame, spark):
+    """Found by a beginning no clean word has; else as they are."""
+    pure, mixed = "schandmaul" * 4, "gemeinschaftsverbindlichkeits"
+    rows = []
+    for i in range(60):
+        bad = i % 2
+        word = (pure + "x" * (i % 7) if i % 4 == 1 else mixed + "lump") if bad else mixed + "wesen"
+        rows.append((i, f"the river {i} ran over {word} and {'bc' * (i % 5)} stone", bad))
+    rows.append((99, "y" * 200_000, 0))
+    docs = frame([(i, t) for i, t, _ in rows])
+    model = T.fit(docs, spark.createDataFrame([(i, x) for i, _, x in rows], "doc_id long, toxic int"))
+    words = [pure, pure + "end", mixed + "lump", mixed + "wesen", mixed + "lumpen", "y" * 200_000]
+    term, edits = model[0].find(*T.tokenize(words)[:3])
+    assert [t >= 0 for t in term] == [True, True, True, False, False, False]
+    assert edits[:3].tolist() == [0, 0, 0] and model[0].terms[term[2]][0] == mixed + "lump"
