@@ -10,7 +10,8 @@ once for every whole number its stretch of that sum crosses.
 
 The running sum is expected copies times rank. Ranks come from small parts of a
 source (size class and hash of the id), with the parts' counts summed before
-them, so a source with a third of all rows spreads over many tasks.
+them over ranges of parts, so a source with a third of all rows, and its list of
+parts, spread over many tasks.
 
 Nulls and ties: a null text has size 0; a null source is a source of its own,
 last in order; documents of size 0 are emitted like others but take no words.
@@ -23,6 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gradewell.functions.ranking import exclusive_prefix_sum
 from gradewell.llm.blocks import checkpointed
 
 SPACES = " \t\n\x0b\x0c\r"
@@ -78,13 +80,12 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
         "part", F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 8), 16, 10)
         .cast("long") % n_parts)
     parts = d.groupBy("source", "class", "part").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words"))
+    parts = exclusive_prefix_sum(parts.withColumn("place", F.col("class") * n_parts + F.col("part")), ["source"], "place", ["n"])
     sizes = parts.groupBy("source").agg(F.sum("words").alias("source_size"))
     mix = targets(sizes, **shares)
-    along = Window.partitionBy("source").orderBy("class", "part")
-    parts = parts.withColumn("before", F.sum("n").over(along) - F.col("n")).drop("n", "words")
-    parts = parts.join(mix, parts["source"].eqNullSafe(mix["source"])).select(
-        parts["source"].alias("p_source"), F.col("class").alias("p_class"), F.col("part").alias("p_part"),
-        "before", "source_size", "target")
+    parts = parts.withColumnRenamed("source", "p_source").join(mix, F.col("p_source").eqNullSafe(F.col("source"))).select(
+        "p_source", F.col("class").alias("p_class"), F.col("part").alias("p_part"),
+        F.col("n_below").alias("before"), "source_size", "target")
     inside = Window.partitionBy("source", "class", "part").orderBy("size", F.col("doc_id").asc_nulls_last())
     d = d.withColumn("nth", F.row_number().over(inside))
     d = d.join(parts, d["source"].eqNullSafe(parts["p_source"]) & (d["class"] == parts["p_class"])
