@@ -237,6 +237,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def store_uri(df: DataFrame, folder: str) -> str:
+    """A folder as an absolute URI; without a scheme it is one of Spark's default file system, as for Spark itself."""
+    if "://" in folder:
+        return folder
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    uri = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return uri if "://" in uri else uri.replace(":/", ":///", 1)
+
+
 def shared_folder(df: DataFrame, name: str) -> str:
     """A new folder's URI below the shared folder."""
     import uuid

@@ -22,7 +22,8 @@ under a name of the attempt, which the index rows carry: a task that is run agai
 leaves an unused file, never a torn one.
 
 Nulls and ties: a null or empty text is one sequence holding the end token alone;
-null ids are numbered as the id after the largest. Rows of equal id share
+rows without an id are numbered after the largest id, by a hash of their text, over
+as many numbers as there are such rows. Rows of equal id share
 numbers; ties go by the content, so copies of a row stand side by side and each
 has its own slot. With no documents no shard is written.
 """
@@ -44,6 +45,8 @@ from gradewell.llm import blocks as B
 
 SEQ = 512
 SHARD_BYTES = 32 << 20
+#: About; for the number of shards only.
+BYTES_A_TOKEN = 4
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The usual split of byte-level BPE vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -121,7 +124,7 @@ class Feistel:
         return self._walk(y, self.keys[::-1])
 
 
-def _cut(path: str, seq: int, low: int, stride: int, null_id: int, order: Feistel, shards: int):
+def _cut(path: str, seq: int, low: int, stride: int, null_id: int, nulls: int, order: Feistel, shards: int):
     def cut(batches):
         """Token sequences by shard: numbers, places, true lengths and the compressed tokens without filling."""
         enc = encoder(path)
@@ -129,12 +132,14 @@ def _cut(path: str, seq: int, low: int, stride: int, null_id: int, order: Feiste
         press = zstandard.ZstdCompressor(level=1)
         for t in batches:
             ids, texts = t.column("doc_id").cast(pa.int64()).fill_null(null_id).to_pylist(), t.column("text")
+            mixed = t.column("mixed").to_pylist()
             for lo in range(0, t.num_rows, 2048):
                 num, doc, place, parts = [], [], [], []
-                for i, text in zip(ids[lo:lo + 2048], texts.slice(lo, 2048).to_pylist()):
+                for i, h, text in zip(ids[lo:lo + 2048], mixed[lo:lo + 2048], texts.slice(lo, 2048).to_pylist()):
                     tokens = enc.encode(text or "") + end
+                    base = (i - low + (h % nulls if h is not None else 0)) * stride
                     for j in range(-(-len(tokens) // (2 * seq))):
-                        num.append((i - low) * stride + j)
+                        num.append(base + j)
                         doc.append(i)
                         place.append(j)
                         parts.append(tokens[2 * seq * j:2 * seq * (j + 1)])
@@ -190,16 +195,20 @@ def write_shards(docs: DataFrame, folder: str | None = None, id_col: str = "doc_
     """Write the shards and return their index, one row per sequence:
     (slot, shard, file, record, doc_id, part, n_tokens, content); ``content`` is a 64-bit hash of the record."""
     folder = folder or B.shared_folder(docs, "shards")
-    folder = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
+    folder = B.store_uri(docs, folder)
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    s = d.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.max(F.octet_length("text")).alias("longest"),
-              F.sum(F.octet_length("text")).alias("b")).first()
+    d = d.withColumn("mixed", F.when(F.col("doc_id").isNull(), F.xxhash64("text")))
+    n_bytes = F.coalesce(F.octet_length("text"), F.lit(0))
+    records = F.floor(n_bytes / (BYTES_A_TOKEN * seq)) + 1                  # a short text is a whole record too
+    s = d.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.max(n_bytes).alias("longest"),
+              F.sum(F.greatest(n_bytes, records * (2 * seq))).alias("b"),
+              F.count(F.when(F.col("doc_id").isNull(), 1)).alias("nulls")).first()
     low = s.low if s.low is not None else 0
     null_id = (s.high if s.high is not None else 0) + 1
     stride = ((s.longest or 0) + 1 + seq - 1) // seq
-    order = Feistel((null_id - low + 1) * stride, key)
+    order = Feistel((null_id - low + max(s.nulls or 0, 1)) * stride, key)
     shards = max(1, int(s.b or 0) // shard_bytes + 1)
-    cut = d.mapInArrow(_cut(vocabulary, seq, low, stride, null_id, order, shards),
+    cut = d.mapInArrow(_cut(vocabulary, seq, low, stride, null_id, max(s.nulls or 0, 1), order, shards),
                        "shard int, at binary, doc binary, place binary, n binary, tokens binary")
     index = B.checkpointed(cut.groupBy("shard").applyInArrow(
         _write(folder, vocabulary, seq, null_id),

@@ -2,6 +2,9 @@ import random
 
 import numpy as np
 
+from pyspark.sql import functions as F
+
+from gradewell.llm import blocks as B
 from gradewell.llm.token_shards import Encoder, Feistel, VOCABULARY, encoder, read_slots, write_shards
 
 
@@ -62,3 +65,41 @@ def test_order_does_not_depend_on_partitions(frame, tmp_path):
 
 def test_empty_table(frame, tmp_path):
     assert write_shards(frame([]), f"{tmp_path}/e").count() == 0
+
+
+def test_order_equals_plain_permutation(frame, tmp_path):
+    """The whole index by brute force: numbers, their images, ties by content; rows without an id by a hash of the text."""
+    import xxhash
+    rows = docs() + [(None, f"row {i} of no id") for i in range(200)] + [(None, None), (None, "row 3 of no id")]
+    seq, e = 32, encoder(VOCABULARY)
+    known = [i for i, _ in rows if i is not None]
+    low, high, nulls = min(known), max(known), len(rows) - len(known)
+    stride = (max(len((t or "").encode()) for _, t in rows) + 1 + seq - 1) // seq
+    order = Feistel((high + 1 - low + nulls) * stride, "order-1")
+    spice = B.mix(np.arange(1, seq + 1, dtype=np.uint64))
+    plain = []
+    for i, t in rows:
+        h = 42 if t is None else int(np.uint64(xxhash.xxh64(t.encode(), seed=42).intdigest()).astype(np.int64))
+        number = i - low if i is not None else high + 1 - low + h % nulls
+        ids = e.bpe.encode_ordinary(t or "") + [e.end]
+        for j in range(0, len(ids), seq):
+            record = np.array((ids[j:j + seq] + [e.end] * seq)[:seq], np.uint64)
+            content = B.mix(np.array([(record * spice).sum(dtype=np.uint64)], np.uint64))[0]
+            at = int(order.forward([number * stride + j // seq])[0])
+            plain.append((at, int(content), i, j // seq, len(ids[j:j + seq])))
+    want = [(s, i, part, n) for s, (_, _, i, part, n) in enumerate(sorted(plain, key=lambda r: r[:2]))]
+    got = write_shards(frame(rows), f"{tmp_path}/p", seq=seq, shard_bytes=3000)
+    assert [(r.slot, r.doc_id, r.part, r.n_tokens) for r in got.orderBy("slot").collect()] == want
+    held = {r.shard: r.m for r in got.filter("doc_id is null").groupBy("shard").agg(F.count("slot").alias("m")).collect()}
+    assert len(held) > 5 and max(held.values()) < 0.4 * sum(held.values())
+
+
+def test_short_texts_are_whole_records(frame, tmp_path):
+    got = write_shards(frame([(i, "a") for i in range(500)]), f"{tmp_path}/s", seq=64, shard_bytes=8000)
+    assert got.select("shard").distinct().count() > 5
+
+
+def test_folder_without_a_scheme_is_of_the_default_file_system(frame, tmp_path):
+    df = frame([(1, "a")])
+    assert B.store_uri(df, f"{tmp_path}/x") == B.store_uri(df, f"file:{tmp_path}/x") == f"file://{tmp_path}/x"
+    assert B.store_uri(df, "hdfs://nn/x") == "hdfs://nn/x"
