@@ -40,6 +40,7 @@ from gradewell.llm import blocks as B
 
 ARCHIVE_BYTES = 64 << 20
 RANGE_ROWS = 20_000
+CELL_PAGES = 500_000      # of all pages, in a cell of those that share a payload
 EPOCH = datetime(2000, 1, 1)
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 INDEX = ("urlkey string, captured string, page_id long, file string, offset long, length long, digest string, "
@@ -134,15 +135,20 @@ def write_archives(pages: DataFrame, folder: str | None = None, id_col: str = "p
                    archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Write the archives; returns the index runs, one row a capture."""
     folder = folder or B.shared_folder(pages, "warc")
-    folder = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
+    folder = B.store_uri(pages, folder)
     when = F.date_format(F.col(time_col), "yyyy-MM-dd'T'HH:mm:ss'Z'") if time_col else F.lit(None).cast("string")
     d = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"),
                      F.coalesce(F.col(html_col), F.lit("")).alias("payload"), when.alias("captured"))
     d = d.withColumn("sha", F.sha1(F.col("payload").cast("binary")))
     marks = d.select("page_id", "sha", F.octet_length("payload").alias("bytes")).filter(
         (F.col("bytes") >= min_bytes) & F.col("page_id").isNotNull())
-    groups = marks.groupBy("sha", "bytes").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("m")).filter("m > 1")
-    again = marks.join(groups, ["sha", "bytes"]).filter(F.col("page_id") != F.col("first")).select(
+    # a payload many pages hold meets its first page in cells of its pages, not in one task
+    cells = pages.count() // CELL_PAGES + 1
+    marks = marks.withColumn("cell", F.pmod(F.xxhash64("page_id"), F.lit(cells)))
+    held = marks.groupBy("sha", "bytes", "cell").agg(F.min("page_id").alias("least"), F.count(F.lit(1)).alias("m"))
+    groups = held.groupBy("sha", "bytes").agg(F.min("least").alias("first"), F.sum("m").alias("m")).filter("m > 1")
+    firsts = held.select("sha", "bytes", "cell").join(groups, ["sha", "bytes"]).drop("m")
+    again = marks.join(firsts, ["sha", "bytes", "cell"]).filter(F.col("page_id") != F.col("first")).select(
         F.col("page_id").alias("_page"), F.col("sha").alias("_sha"), "first").distinct()
     d = d.join(again, (d["page_id"] == again["_page"]) & (d["sha"] == again["_sha"]), "left").select(
         "page_id", "url", "payload", "sha", "captured", "first")

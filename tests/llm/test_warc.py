@@ -65,3 +65,11 @@ def test_round_trip(frame, tmp_path):
 def test_empty_table(frame, tmp_path):
     runs = write_archives(frame([], SCHEMA), f"{tmp_path}/e")
     assert read_archives(merged_index(runs)).count() == 0
+
+
+def test_a_payload_of_a_third_of_all_pages(frame, tmp_path, monkeypatch):
+    from gradewell.llm import warc
+    monkeypatch.setattr(warc, "CELL_PAGES", 40)
+    data = rows() + [(1000 + i, "http://e.com", None if i % 2 else "") for i in range(300)]
+    back = read_archives(write_archives(frame(data, SCHEMA), f"{tmp_path}/h")).collect()
+    assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in back), key=str) == expected(data)
