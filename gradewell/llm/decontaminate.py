@@ -294,7 +294,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     for p in range(parts):
         rows = windows.filter(F.pmod(F.col("hash"), F.lit(parts)) == p).collect()      # about PART_WINDOWS
         if rows:
-            found = found.unionByName(d.mapInArrow(_matcher(rows, min_plain), schema))
+            part = d.mapInArrow(_matcher(rows, min_plain), schema)
+            # of several parts each is run before the next one's windows are read: the driver holds one
+            found = found.unionByName(part if parts == 1 else B.checkpointed(part))
     def tokens(of):
         return F.size(F.array_distinct(F.flatten(F.collect_list(of)))).cast("long")
     total = found.groupBy(*KEY, "item").agg(

@@ -110,3 +110,17 @@ def test_empty_tables(frame, spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert D.report(frame([]), none).count() == 0
     assert [r.contaminated for r in D.report(frame([(1, ITEM)]), none).collect()] == [False]
+
+
+def test_a_benchmark_of_several_parts(frame, spark, monkeypatch):
+    rng = random.Random(6)
+    words = [f"{a}{b}" for a in ("ba", "ko", "li", "mu", "re") for b in ("den", "fin", "gos", "tar", "vel", "zum")]
+    items = [(i, " ".join(rng.choices(words, k=20))) for i in range(30)]
+    docs = [(i, " ".join([*rng.choices(words, k=30), *(items[i % 30][1].split() if i % 3 == 0 else []), *rng.choices(words, k=30)]))
+            for i in range(60)]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    pick = ["doc_id", "contaminated", "items", "covered"]
+    whole = sorted(D.report(frame(docs), benchmark).select(pick).collect())
+    assert [r.doc_id for r in whole if r.contaminated] == [i for i in range(60) if i % 3 == 0]
+    monkeypatch.setattr(D, "PART_WINDOWS", 90)
+    assert sorted(D.report(frame(docs), benchmark).select(pick).collect()) == whole
