@@ -142,7 +142,8 @@ def _summed(blobs):
 
 def _partial(key, table):
     keys, n = _summed(table.column("keys").to_pylist())
-    return pa.table({"bucket": pa.array([key[0].as_py()], pa.int32()), "keys": pa.array([B.pack(keys, n)], pa.binary())})
+    return pa.table({"bucket": pa.array([key[0].as_py()], pa.int32()), "salt": pa.array([key[1].as_py()], pa.int32()),
+                     "keys": pa.array([B.pack(keys, n)], pa.binary())})
 
 
 def costs(grams: np.ndarray, n: np.ndarray, one: np.ndarray, zero: np.ndarray) -> np.ndarray:
@@ -209,14 +210,20 @@ def costs(grams: np.ndarray, n: np.ndarray, one: np.ndarray, zero: np.ndarray) -
 
 def _model(one: np.ndarray, zero: np.ndarray):
     def model(key, table):
-        """A bucket's answer for each of its keys: log10 probability of a gram,
-        training count of a token."""
+        """A bucket's answer for the keys each salt asked for: log10 probability
+        of a gram, training count of a token."""
         bucket = key[0].as_py()
-        keys, n = _summed(table.column("keys").to_pylist())
+        blobs = table.column("keys").to_pylist()
+        keys, n = _summed(blobs)
         gram = bucket < 65536
         values = costs(keys, n, one, zero).astype(np.float32) if gram else n
-        return pa.table({"bucket": pa.array([bucket], pa.int32()), "keys": pa.array([B.pack(keys)], pa.binary()),
-                         "answers": pa.array([values.tobytes()], pa.binary())})
+        asked, answers = [], []
+        for blob in blobs:
+            own = B.unpack(blob, extra=True)[0]
+            asked.append(B.pack(own))
+            answers.append((values if len(own) == len(keys) else values[np.searchsorted(keys, own)]).tobytes())
+        return pa.table({"bucket": pa.array([bucket] * len(blobs), pa.int32()), "salt": table.column("salt"),
+                         "keys": pa.array(asked, pa.binary()), "answers": pa.array(answers, pa.binary())})
     return model
 
 
@@ -292,12 +299,10 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     dealt = d.withColumn("block", B.block_by_hash(F.struct("doc_id", F.crc32(F.col("text").cast("binary"))), blocks))
     asked = dealt.groupBy("block").applyInArrow(_send(bits, salts), "bucket int, salt int, block int, keys binary")
-    part = asked.groupBy("bucket", "salt").applyInArrow(_partial, "bucket int, keys binary")
+    part = asked.groupBy("bucket", "salt").applyInArrow(_partial, "bucket int, salt int, keys binary")
     # one plan: the blocks, what they ask and the partial sums are each exchanged once and used by all that follow
-    model = part.groupBy("bucket").applyInArrow(_model(one, zero), "bucket int, keys binary, answers binary")
-    copies = model.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).select(
-        "bucket", "salt", "keys", "answers")
-    answers = asked.groupBy("bucket", "salt").cogroup(copies.groupBy("bucket", "salt")).applyInArrow(
+    model = part.groupBy("bucket").applyInArrow(_model(one, zero), "bucket int, salt int, keys binary, answers binary")
+    answers = asked.groupBy("bucket", "salt").cogroup(model.groupBy("bucket", "salt")).applyInArrow(
         _answer, "block int, bucket int, answers binary")
     scored = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
         _score(bits), "doc_id long, train boolean, n_tokens long, n_known long, known_log double, score double")

@@ -72,3 +72,17 @@ def test_null_id_and_empty_table(frame, spark):
     got = score_documents(frame([(None, "a b"), (None, None), (3, "a b")])).collect()
     assert sorted(r.n_tokens for r in got) == [1, 3, 3]
     assert score_documents(frame([])).count() == 0
+
+
+def test_salted_answers_equal_unsalted_ones(frame, monkeypatch):
+    from gradewell.llm import blocks, ppm
+    rng = random.Random(9)
+    texts = [(i, " ".join(rng.choices([f"w{k}" for k in range(60)], k=rng.randint(0, 60)))) for i in range(120)]
+    whole = {r.doc_id: r for r in score_documents(frame(texts)).collect()}
+    monkeypatch.setattr(blocks, "BLOCK_BYTES", 1500)
+    monkeypatch.setattr(ppm, "BLOCKS_A_SALT", 3)
+    cut = {r.doc_id: r for r in score_documents(frame(texts)).collect()}
+    assert cut.keys() == whole.keys()
+    for i, r in whole.items():
+        assert abs(cut[i].score - r.score) < 1e-6 and abs(cut[i].base_score - r.base_score) < 1e-9
+        assert (cut[i].n_known, cut[i].train_tokens) == (r.n_known, r.train_tokens)
