@@ -295,7 +295,8 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: i
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     known = d.select("doc_id", *(h.alias(c) for h, c in zip(text_hashes(F.col("text")), ROW[1:])), "text")
     marks = B.checkpointed(known.mapInArrow(_mark(k), "doc_id long, text_a long, text_b long, n long, class long"))
-    dealt = d.withColumn("block", B.block_by_hash(F.col("doc_id"), blocks))
+    # rows without an id represent no class: they need no block
+    dealt = d.filter("doc_id is not null").withColumn("block", B.block_by_hash(F.col("doc_id"), blocks))
     reps = marks.filter("n > 0 and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("rep"))
     here = reps.withColumn("block", B.block_by_hash(F.col("rep"), blocks))
     counts = dealt.groupBy("block").cogroup(here.groupBy("block")).applyInArrow(

@@ -60,3 +60,16 @@ def test_brute_force(frame, monkeypatch):
 
 def test_empty_table(frame):
     assert J.near_duplicates(frame([])).count() == 0
+
+
+def test_a_third_of_the_rows_without_an_id(frame, monkeypatch):
+    monkeypatch.setattr(blocks, "BLOCK_BYTES", 5000)
+    rng = random.Random(3)
+    base = [[f"v{rng.randrange(200)}" for _ in range(40)] for _ in range(15)]
+    docs = []
+    for i in range(120):
+        w = list(rng.choice(base))
+        w[rng.randrange(40)] = "other"
+        docs.append((None if i % 3 == 0 else i, " ".join(w)))
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in J.near_duplicates(frame(docs)).collect()), key=str)
+    assert got == brute(docs)
