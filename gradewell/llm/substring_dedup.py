@@ -4,9 +4,11 @@ Every window of ``window`` consecutive words gets a Rabin-Karp hash. A word is
 removed when a window covering it also starts in a document of smaller id;
 neighbouring windows merge into maximal removal intervals.
 
-Blocks are ranges of ids, so "a smaller document" is either one of an earlier
-block, which the hash exchange answers with one flag per distinct window, or
-one of the same block, which the block sees itself. Two different windows are
+Blocks are ranges of ids of about equal bytes, so "a smaller document" is either
+one of an earlier range, which the hash exchange answers with one flag per distinct
+window, or one of the same block, which the block sees itself. An id that fills
+several ranges alone, and the rows without an id, are cut into blocks by a hash of the text: no row
+of such a range is smaller than another. Two different windows are
 taken for one with probability 2^-64 a pair.
 
 Nulls and ties: a null text has no words; null ids come after all others and
@@ -16,6 +18,7 @@ and are kept whole. Other columns are ignored.
 
 from __future__ import annotations
 
+from collections import Counter
 from itertools import compress
 
 import numpy as np
@@ -37,15 +40,37 @@ def _windows(texts, k: int):
     return w, at, B.rolling(w.hashes(), k)[at] if len(at) else np.empty(0, B.U64)
 
 
-def _range_of(bounds: np.ndarray):
-    @F.pandas_udf("int")
-    def block(v):
-        import pandas as pd
-        known = v.notna()
-        out = np.full(len(v), len(bounds), np.int32)
-        out[known] = np.searchsorted(bounds, v[known].to_numpy(np.int64), side="right")
-        return pd.Series(out)
-    return block
+class Ranges:
+    """``first[r]`` is the first block of id range r; the last range is that of the rows without an id."""
+
+    def __init__(self, cuts: list[int], null_blocks: int):
+        held = Counter(cuts)
+        wide = {c: m + 1 for c, m in held.items() if m > 1 and c < B.NULL_ID}       # an id that fills ranges alone
+        self.bounds = np.array(sorted({*held, *(c + 1 for c in wide)}), np.int64)
+        blocks = np.ones(len(self.bounds) + 2, np.int64)
+        for c, m in wide.items():
+            blocks[np.searchsorted(self.bounds, c, side="right")] = m
+        blocks[-1] = null_blocks
+        self.blocks, self.first = blocks, np.cumsum(blocks) - blocks
+
+    def of_block(self, block) -> np.ndarray:
+        return np.searchsorted(self.first, np.asarray(block, np.int64), side="right") - 1
+
+    def block(self, ids: np.ndarray, null: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """The block of each (id, has it none, hash of the text)."""
+        r = np.where(null, len(self.blocks) - 1, np.searchsorted(self.bounds, ids, side="right"))
+        return self.first[r] + hashes % self.blocks[r]
+
+
+def _ranges(docs: DataFrame, id_col: str, text_col: str, blocks: int, usual: int) -> Ranges:
+    """Cuts every id range at about the same bytes: an id counts once per ``usual`` bytes of its text, and once more."""
+    if blocks == 1:
+        return Ranges([], 1)
+    times = (F.coalesce(F.octet_length(text_col), F.lit(0)) / usual).cast("int") + 1
+    weighed = docs.select(F.explode(F.array_repeat(F.col(id_col).cast("long"), times)).alias("id"))
+    s = weighed.agg(F.percentile_approx("id", [i / blocks for i in range(1, blocks)], max(10_000, 20 * blocks)).alias("cuts"),
+                    F.count(F.lit(1)).alias("n"), F.count("id").alias("known")).first()
+    return Ranges(s.cuts or [], max(1, -(-blocks * (s.n - s.known) // max(s.n, 1))))
 
 
 def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13) -> DataFrame:
@@ -53,11 +78,15 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     intervals (word positions, end exclusive) and the text that is left."""
     rows, n_bytes = B.size_of(docs, text_col)
     blocks, bits = B.n_blocks(n_bytes), B.bucket_bits(n_bytes // 6)
-    cuts = docs.agg(F.percentile_approx(F.col(id_col).cast("long"), [i / blocks for i in range(1, blocks)] or [0.5],
-                                        max(10_000, 20 * blocks))).first()[0] or []
-    bounds = np.unique(np.array(cuts if blocks > 1 else [], np.int64))
+    ranges = _ranges(docs, id_col, text_col, blocks, n_bytes // max(rows, 1) + 1)
+
+    @F.pandas_udf("int")
+    def block_of(ids, null, hashes):
+        import pandas as pd
+        return pd.Series(ranges.block(ids.to_numpy(np.int64), null.to_numpy(bool), hashes.to_numpy(np.int64)))
     dealt = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    dealt = dealt.withColumn("block", _range_of(bounds)("doc_id"))
+    dealt = dealt.withColumn("block", block_of(
+        F.coalesce("doc_id", F.lit(0)), F.col("doc_id").isNull(), F.xxhash64("text")))
 
     def send(key, table):
         _, _, h = _windows(table.column("text"), window)
@@ -71,8 +100,10 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     def seen_before(key, table):
         table = table.sort_by("block")
         keys, order, src, _ = B.merged(table.column("keys").to_pylist())
+        here = ranges.of_block(table.column("block").to_numpy())[src[order]]
+        new = B.runs(keys[order])
         flags = np.zeros(len(keys), bool)
-        flags[order] = ~B.runs(keys[order])
+        flags[order] = here > here[new][np.cumsum(new) - 1]
         cuts = np.flatnonzero(B.runs(src))
         out = [(b, B.squeeze(np.packbits(f))) for b, f in zip(table.column("block").to_pylist(), np.split(flags, cuts[1:]))
                if f.any()]

@@ -44,3 +44,30 @@ def test_brute_force(frame, monkeypatch):
 
 def test_empty_table(frame):
     assert repeated_windows(frame([])).count() == 0
+
+
+def test_an_id_and_null_ids_that_hold_a_third_of_all_rows(frame, monkeypatch):
+    monkeypatch.setattr(blocks, "BLOCK_BYTES", 2000)
+    rng = random.Random(4)
+    passage = [" ".join(rng.choices([f"w{j}" for j in range(40)], k=20)) for _ in range(5)]
+
+    def text():
+        return " ".join([*rng.choices("abcdefgh", k=8), rng.choice(passage), *rng.choices("abcdefgh", k=8)])
+    docs = [(rng.randrange(1 << 62), text()) for _ in range(60)] + [(77, text()) for _ in range(60)] + [(None, text()) for _ in range(60)]
+    docs += [(None, docs[70][1]), (77, docs[130][1]), ((1 << 62) + 1, docs[3][1]), ((1 << 62) + 2, docs[3][1]), (76, "x " * 3000), (78, "")]
+    key = lambda r: (str(r[0]), r[1], r[2], r[3])
+    for parts in (1, 5):
+        got = repeated_windows(frame(docs).repartition(parts)).collect()
+        assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in got), key=key) == sorted(brute(docs, 13), key=key)
+
+
+def test_ranges_cut_what_one_id_fills():
+    import numpy as np
+    from gradewell.llm.substring_dedup import Ranges
+    r = Ranges([5, 9, 9, 9, 20], 3)
+    assert r.blocks.tolist() == [1, 1, 4, 1, 1, 3] and r.bounds.tolist() == [5, 9, 10, 20]
+    ids = np.array([-1, 5, 8, 9, 9, 9, 10, 19, 20, 99, 0, 0], np.int64)
+    null = np.array([False] * 10 + [True] * 2)
+    block = r.block(ids, null, np.array([7, 7, 7, 0, 1, -1, 7, 7, 7, 7, 0, 5], np.int64))
+    assert block.tolist() == [0, 1, 1, 2, 3, 5, 6, 6, 7, 7, 8, 10]
+    assert r.of_block(block).tolist() == [0, 1, 1, 2, 2, 2, 3, 3, 4, 4, 5, 5]
