@@ -41,3 +41,18 @@ def test_registry_loads_without_spark():
     out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True,
                          cwd=__import__("os").path.dirname(__import__("os").path.dirname(__file__)), timeout=120)
     assert out.returncode == 0, out.stderr[-2000:]
+
+
+def test_step_rules_number_their_steps():
+    """T1, T2, T5 and T7 name each step by its episode and index, so they number the whole log."""
+    sql = entry.oracle_sql()
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('/root/testdata/sf0.001/{t}.parquet')")
+    for name in ["t1_parse_action", "t2_extract_code_block", "t5_classify_error", "t7_target_as_feature"]:
+        assert con.execute(sql[name]).df().columns[:2].tolist() == ["episode_id", "step_idx"], name
+
+
+def test_step_rules_give_episode_and_index(spark, sf0001):
+    for name in ["t1_parse_action", "t7_target_as_feature"]:
+        assert entry.queries()[name](spark, sf0001).columns[:2] == ["episode_id", "step_idx"], name
