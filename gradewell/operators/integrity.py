@@ -12,6 +12,8 @@ from gradewell.functions.ranking import md5_bigint, xx_bigint
 
 # 2^20 hash buckets per class for the exact split histogram.
 SPLIT_BUCKET_BITS = 20
+# They come in 2^8 groups per class, by which rows and cuts are dealt out.
+SPLIT_GROUP_BITS = 8
 
 
 def split_sizes(n: int, fracs: tuple[float, float, float] = (0.7, 0.15, 0.15)) -> tuple[int, int, int]:
@@ -37,32 +39,39 @@ def stratified_split(df: DataFrame, key: str | list[str], target: str | None,
     Rows of a class are ordered by a seeded hash of the key (ties by key);
     ranks below cut 1 are train, below cut 2 valid, the rest test. Instead of
     ranking every row in one window per class, a histogram of 2^20 hash
-    buckets per class finds the bucket holding each cut. All rows are then
-    placed by comparing their bucket with the per-class cut table (one row a
-    class, joined null-safe: rows without a class are a class of their own), and
+    buckets per class, in 2^8 groups of buckets, finds the bucket holding each cut: running
+    counts over a class's groups, then inside each group. Rows meet the cuts by
+    class and group (null-safe: rows without a class are a class of their own), so a class that
+    holds most rows is spread over its groups, and are placed by comparing their bucket;
     only rows of the (at most two) buckets that a cut splits get a row number."""
     keys = [key] if isinstance(key, str) else list(key)
     cls = F.col(target) if target else F.lit(0)
-    shift = 60 - SPLIT_BUCKET_BITS
     x = df.withColumn("_cls", cls).withColumn("_h", _order_key(keys, seed, hash_method)) \
-        .withColumn("_b", F.shiftright("_h", shift))
-    hist = x.groupBy("_cls", "_b").agg(F.count(F.lit(1)).alias("_cnt"))
-    w = Window.partitionBy("_cls").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    wn = Window.partitionBy("_cls")
-    hist = (hist.withColumn("_start", F.coalesce(F.sum("_cnt").over(w), F.lit(0)))
-            .withColumn("_n", F.sum("_cnt").over(wn)))
+        .withColumn("_b", F.shiftright("_h", 60 - SPLIT_BUCKET_BITS)) \
+        .withColumn("_g", F.shiftright("_b", SPLIT_BUCKET_BITS - SPLIT_GROUP_BITS))
+    hist = x.groupBy("_cls", "_g", "_b").agg(F.count(F.lit(1)).alias("_cnt"))
+    before = Window.unboundedPreceding, -1
+    groups = hist.groupBy("_cls", "_g").agg(F.sum("_cnt").alias("_size"))
+    groups = groups.select(
+        F.col("_cls").alias("_cut_cls"), F.col("_g").alias("_cut_g"), "_size",
+        F.coalesce(F.sum("_size").over(Window.partitionBy("_cls").orderBy("_g").rowsBetween(*before)), F.lit(0)).alias("_from"),
+        F.sum("_size").over(Window.partitionBy("_cls")).alias("_n"))
     ht = fracs[1] + fracs[2]
     held = F.least(F.ceil(F.lit(ht) * F.col("_n")), F.col("_n") - 1)
     n_test = F.ceil(held * F.lit(fracs[2] / ht))
-    hist = hist.withColumn("_c1", F.col("_n") - held).withColumn("_c2", F.col("_n") - n_test)
+    groups = groups.withColumn("_c1", F.col("_n") - held).withColumn("_c2", F.col("_n") - n_test)
+    same = F.col("_cls").eqNullSafe(F.col("_cut_cls")) & F.col("_g").eqNullSafe(F.col("_cut_g"))
+    hist = hist.join(groups, same).withColumn("_start", F.col("_from") + F.coalesce(
+        F.sum("_cnt").over(Window.partitionBy("_cls", "_g").orderBy("_b").rowsBetween(*before)), F.lit(0)))
     holds = lambda c: (F.col(c) >= F.col("_start")) & (F.col(c) < F.col("_start") + F.col("_cnt"))
-    none = F.lit(1 << 62)
-    cuts = hist.groupBy("_cls").agg(
-        F.coalesce(F.max(F.when(holds("_c1"), F.col("_b"))), none).alias("_b1"),
-        F.coalesce(F.max(F.when(holds("_c1"), F.col("_c1") - F.col("_start"))), F.lit(0)).alias("_o1"),
-        F.coalesce(F.max(F.when(holds("_c2"), F.col("_b"))), none).alias("_b2"),
-        F.coalesce(F.max(F.when(holds("_c2"), F.col("_c2") - F.col("_start"))), F.lit(0)).alias("_o2"))
-    x = x.join(cuts.withColumnRenamed("_cls", "_cut_cls"), F.col("_cls").eqNullSafe(F.col("_cut_cls")))
+
+    def cut(c: str):
+        """The bucket of this group that holds the cut; without one, all buckets are below it (2^62) or above (-1)."""
+        none = F.when(F.first("_from") >= F.first(c), F.lit(-1)).otherwise(F.lit(1 << 62))
+        return (F.coalesce(F.max(F.when(holds(c), F.col("_b"))), none),
+                F.coalesce(F.max(F.when(holds(c), F.col(c) - F.col("_start"))), F.lit(0)))
+    cuts = hist.groupBy("_cls", "_g").agg(*[v.alias(n) for n, v in zip(("_b1", "_o1", "_b2", "_o2"), (*cut("_c1"), *cut("_c2")))])
+    x = x.join(cuts.withColumnsRenamed({"_cls": "_cut_cls", "_g": "_cut_g"}), same)
     in_cut = (((F.col("_b") == F.col("_b1")) & (F.col("_o1") > 0))
               | ((F.col("_b") == F.col("_b2")) & (F.col("_o2") > 0)))
     out_cols = df.columns + ["split"]

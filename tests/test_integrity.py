@@ -53,3 +53,23 @@ def test_distributed_row_number_matches_window(spark):
     w = Window.partitionBy("k").orderBy("t", "id")
     want = {r["id"]: r["rn"] for r in df.withColumn("rn", F.row_number().over(w) - 1).collect()}
     assert got == want
+
+
+def test_a_class_of_most_rows_is_dealt_out(spark):
+    """Rows meet the cuts by class and group of buckets, not by class alone."""
+    rows = spark.range(3000).selectExpr("id", "if(id % 50 = 0, null, 'a') as label")
+    s = C.stratified_split(rows, "id", "label", hash_method="md5")
+    plan = s._jdf.queryExecution().optimizedPlan().toString()
+    joins = [ln for ln in plan.splitlines() if "Join Inner" in ln]
+    assert joins and all("_g" in ln for ln in joins)
+    n = {(r.label, r.split): r["count"] for r in s.groupBy("label", "split").count().collect()}
+    assert n == {("a", "train"): 2058, ("a", "valid"): 441, ("a", "test"): 441,
+                 (None, "train"): 42, (None, "valid"): 9, (None, "test"): 9}
+
+
+def test_split_of_few_rows_and_one_key(spark):
+    for n in (1, 2, 3, 7):
+        s = C.stratified_split(spark.range(n).selectExpr("1 as k", "'a' as label"), "k", "label")
+        got = {r.split: r["count"] for r in s.groupBy("split").count().collect()}
+        want = dict(zip(("train", "valid", "test"), C.split_sizes(n)))
+        assert got == {k: v for k, v in want.items() if v}, n
