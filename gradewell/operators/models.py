@@ -170,11 +170,34 @@ def train_valid_gap(preds: DataFrame, task_type: str, by=("run_id",), split: str
 
 
 # ------------------------------------------------------------------ L3
-def _assembled(df: DataFrame, feats: list[str], out: str = "features") -> DataFrame:
+def _filled(df: DataFrame, feats: list[str]) -> DataFrame:
     filled = df.fillna(0, subset=feats)
-    filled = filled.select(*[F.nanvl(F.col(c).cast("double"), F.lit(0.0)).alias(c) if c in feats else F.col(c)
-                             for c in filled.columns])
-    return VectorAssembler(inputCols=feats, outputCol=out).transform(filled)
+    return filled.select(*[F.nanvl(F.col(c).cast("double"), F.lit(0.0)).alias(c) if c in feats else F.col(c)
+                           for c in filled.columns])
+
+
+def _assembled(df: DataFrame, feats: list[str], out: str = "features") -> DataFrame:
+    return VectorAssembler(inputCols=feats, outputCol=out).transform(_filled(df, feats))
+
+
+def _weighted(df: DataFrame, feats: list[str]) -> DataFrame:
+    """Rows of equal features and ``label`` as one row, their number as its ``weight``: a boosting loss is a sum
+    over rows, so a tree fits these as it fits the rows, and the loop scans no row twice that it need not."""
+    return df.groupBy(*feats, "label").agg(F.count(F.lit(1)).cast("double").alias("weight"))
+
+
+# Training rows that are worth a task of their own: the boosting loop runs several jobs a tree.
+ROWS_A_TASK = 50_000
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Persisted training rows in no more partitions than they fill."""
+    return rows.coalesce(max(1, rows.count() // ROWS_A_TASK))
+
+
+def _judged_by(spark, run: str, metric: str) -> DataFrame:
+    """One run and its metric, as constants the planner sees through."""
+    return spark.range(1).select(F.lit(run).alias("run_id"), F.lit(metric).alias("metric"))
 
 
 def baseline_gbt(train: DataFrame, test: DataFrame, target: str, task_type: str, metric: str,
@@ -187,11 +210,11 @@ def baseline_gbt(train: DataFrame, test: DataFrame, target: str, task_type: str,
     spark = train.sparkSession
     if not feats:
         return spark.createDataFrame([(metric, None, None)], "metric string, value double, n_invalid long")
-    # the boosting loop scans the training rows once per tree: cache them
-    tr = _assembled(train, feats).withColumn("label", F.col(target).cast("double")).select("features", "label")
-    tr = tr.persist()
+    # the boosting loop scans the training rows several times per tree: cache them
+    tr = _weighted(_filled(train, feats).withColumn("label", F.col(target).cast("double")), feats)
+    tr = VectorAssembler(inputCols=feats, outputCol="features").transform(tr).select("features", "label", "weight").persist()
     try:
-        return _baseline_fit(spark, tr, test, feats, target, task_type, metric, n_trees, depth)
+        return _baseline_fit(spark, _dealt(tr), test, feats, target, task_type, metric, n_trees, depth)
     finally:
         tr.unpersist()
 
@@ -199,18 +222,18 @@ def baseline_gbt(train: DataFrame, test: DataFrame, target: str, task_type: str,
 def _baseline_fit(spark, tr, test, feats, target, task_type, metric, n_trees, depth):
     te = _assembled(test, feats).withColumn("label", F.col(target).cast("double"))
     if not _is_clf(task_type):
-        model = GBTRegressor(maxIter=n_trees, maxDepth=depth, stepSize=0.1, seed=SEED, cacheNodeIds=True).fit(tr)
+        model = GBTRegressor(maxIter=n_trees, maxDepth=depth, stepSize=0.1, seed=SEED, cacheNodeIds=True, weightCol="weight").fit(tr)
         pred = model.transform(te).select(F.lit("baseline").alias("run_id"), F.col("label").alias("y_true"),
                                           F.col("prediction").alias("y_score"))
-        return M.compute_metric(pred, spark.createDataFrame([("baseline", metric)], "run_id string, metric string"))
+        return M.compute_metric(pred, _judged_by(spark, "baseline", metric))
     n_classes = tr.select("label").distinct().count()   # labels: bounded
     if n_classes <= 2:
-        model = GBTClassifier(maxIter=n_trees, maxDepth=depth, stepSize=0.1, seed=SEED, cacheNodeIds=True).fit(tr)
+        model = GBTClassifier(maxIter=n_trees, maxDepth=depth, stepSize=0.1, seed=SEED, cacheNodeIds=True, weightCol="weight").fit(tr)
         pred = model.transform(te)
         score = vector_to_array("probability")[1] if metric in ("roc_auc", "log_loss") else F.col("prediction")
         pred = pred.select(F.lit("baseline").alias("run_id"), F.col("label").alias("y_true"), score.alias("y_score"))
-        return M.compute_metric(pred, spark.createDataFrame([("baseline", metric)], "run_id string, metric string"))
-    ovr = OneVsRest(classifier=GBTClassifier(maxIter=n_trees, maxDepth=depth, stepSize=0.1, seed=SEED, cacheNodeIds=True)).fit(tr)
+        return M.compute_metric(pred, _judged_by(spark, "baseline", metric))
+    ovr = OneVsRest(classifier=GBTClassifier(maxIter=n_trees, maxDepth=depth, stepSize=0.1, seed=SEED, cacheNodeIds=True, weightCol="weight"), weightCol="weight").fit(tr)
     pred = ovr.transform(te).withColumn("_row", F.monotonically_increasing_id())
     if metric == "roc_auc":
         long = pred.select(F.lit("baseline").alias("run_id"), F.col("label").cast("int").alias("y_true"),
@@ -294,9 +317,12 @@ def fit_pipeline(train: DataFrame, target: str, task_type: str, features: list[s
     feats = features or numeric_features(train, target)
     vec = VectorAssembler(inputCols=feats, outputCol="features", handleInvalid="keep")
     est = (GBTClassifier if _is_clf(task_type) else GBTRegressor)(
-        maxIter=n_trees, maxDepth=BASELINE_DEPTH, seed=SEED, labelCol="label")
-    data = train.withColumn("label", F.col(target).cast("double"))
-    return Pipeline(stages=[vec, est]).fit(data)
+        maxIter=n_trees, maxDepth=BASELINE_DEPTH, seed=SEED, labelCol="label", weightCol="weight")
+    data = _weighted(train.withColumn("label", F.col(target).cast("double")), feats).persist()
+    try:
+        return Pipeline(stages=[vec, est]).fit(_dealt(data))
+    finally:
+        data.unpersist()
 
 
 def evaluate_model(model: PipelineModel, valid: DataFrame, target: str, metric: str,
@@ -311,7 +337,7 @@ def evaluate_model(model: PipelineModel, valid: DataFrame, target: str, metric:
     p = pred.select(F.lit("model").alias("run_id"), F.col(target).cast("double").alias("y_true"),
                     score.alias("y_score"))
     spark = valid.sparkSession
-    m = M.compute_metric(p, spark.createDataFrame([("model", metric)], "run_id string, metric string"))
+    m = M.compute_metric(p, _judged_by(spark, "model", metric))
     from gradewell.operators.checks import prediction_score_vs_baseline
     v = prediction_score_vs_baseline(F.col("value"), F.lit(baseline).cast("double"))
     return m.select("metric", "value", v["passed"].alias("passed"), v["score"].alias("score"),
