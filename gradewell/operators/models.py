@@ -71,14 +71,15 @@ def single_feature_leak(df: DataFrame, target: str, task_type: str, threshold: f
     return out.select("feature", "score", F.coalesce(F.col("score") >= threshold, F.lit(False)).alias("leak"))
 
 
-def _halve(g: DataFrame, sums: DataFrame, cost: Column) -> DataFrame:
+def _halve(g: DataFrame, sums: DataFrame, cost: Column, left: Column, all_: Column) -> DataFrame:
     """The rows of ``g`` with the node each goes to: ``sums`` holds one row a
-    (feature, node, v), ``cost`` the impurity of a cut after v."""
-    top = sums.groupBy("feature", "node").agg(F.max("v").alias("last"))
-    cut = sums.join(top, ["feature", "node"]).where(F.col("v") < F.col("last")).groupBy("feature", "node").agg(
+    (feature, node, v), ``cost`` the impurity of a cut after v, ``left`` and ``all_`` the rows up to v and in the node. The
+    cuts are a row a feature and node, so they and the node totals go to the rows: meeting by
+    (feature, node) would bring all values of a feature into one task, to be sorted there."""
+    cut = sums.where(left < all_).groupBy("feature", "node").agg(
         F.min(F.struct(F.round(cost, 6).alias("c"), F.col("v").alias("v")))["v"].alias("cut"))
     below = F.when(F.col("v") > F.col("cut"), 1).otherwise(0)
-    return g.join(cut, ["feature", "node"], "left").withColumn("node", F.col("node") * 2 + below).drop("cut")
+    return g.join(F.broadcast(cut), ["feature", "node"], "left").withColumn("node", F.col("node") * 2 + below).drop("cut")
 
 
 def _class_leaves(long: DataFrame, depth: int) -> DataFrame:
@@ -99,7 +100,7 @@ def _class_leaves(long: DataFrame, depth: int) -> DataFrame:
         left_n, left_q, left_m = (F.col(c) + F.col(f"{c}_below") for c in ("n", "q", "m"))
         right_n, right_q = F.col("all_n") - left_n, F.col("all_q") - 2 * left_m + left_q
         cost = left_n - left_q / left_n + F.when(right_n > 0, right_n - right_q / right_n).otherwise(0.0)
-        g = _halve(g.drop("k_below"), sums.join(whole, ["feature", "node"]), cost)
+        g = _halve(g.drop("k_below"), sums.join(F.broadcast(whole), ["feature", "node"]), cost, left_n, F.col("all_n"))
     return g.groupBy("feature", "node", "_y").agg(F.sum("k").alias("k"))
 
 
@@ -118,7 +119,7 @@ def _moment_leaves(long: DataFrame, depth: int) -> DataFrame:
         total = g.groupBy("feature", "node").agg(*[F.sum(k).alias(f"t_{k}") for k in stats])
         left = [F.col(f"{k}_below") + F.col(k) for k in stats]
         cost = _rest(*left) + _rest(*[F.col(f"t_{k}") - x for k, x in zip(stats, left)])
-        g = _halve(g.drop(*[f"{k}_below" for k in stats]), g.join(total, ["feature", "node"]), cost)
+        g = _halve(g.drop(*[f"{k}_below" for k in stats]), g.join(F.broadcast(total), ["feature", "node"]), cost, left[0], F.col("t_n"))
     return g.groupBy("feature", "node").agg(*[F.sum(k).alias(k) for k in stats])
 
 

@@ -42,3 +42,12 @@ def test_one_run_is_judged_without_a_cartesian_product(spark):
     d = _rows(spark).select(F.lit("m").alias("run_id"), F.col("y").alias("y_true"), F.col("odd").cast("double").alias("y_score"))
     plan = d.join(L._judged_by(spark, "m", "roc_auc"), "run_id")._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan
+
+
+def test_leak_cuts_do_not_gather_a_feature(spark):
+    """Node totals and cuts go to the values: no join by (feature, node) alone deals the values out."""
+    sums = spark.range(100).selectExpr("'f' as feature", "0 as node", "cast(id as double) as v", "1.0D as n")
+    out = L._halve(sums.drop("n"), sums, F.abs(F.col("v") - 40.0), F.col("v") + 1, F.lit(100.0))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan and plan.count("Join") == 1
+    assert {(r.v > 40.0, r.node) for r in out.collect()} == {(False, 0), (True, 1)}
