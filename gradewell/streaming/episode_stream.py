@@ -1,8 +1,8 @@
 """Structured Streaming versions of the episode rules.
 
-K1/K2: ``groupBy(episode_id).transformWithState`` keeps a few counters per
-episode in a value state of the RocksDB store (the reference's per-session state
-machine), emits one row per step (E1-E5, same values as the batch windows) and, by an
+K1/K2: ``transformWithStateInPandas`` keeps a few counters per episode (the reference's
+per-session state machine), the episodes of one bucket in one value state of the RocksDB
+store, emits one row per step (E1-E5, same values as the batch windows) and, by an
 event-time timer, a ``timeout`` row for an episode whose budget ran out without a
 final submit. Regex flags are computed JVM-side before the state operator,
 so the processor only updates counters, row by row.
@@ -15,13 +15,16 @@ S8: the step log as a sink that takes a repeated delivery or a replayed batch on
 
 from __future__ import annotations
 
+import functools
 import heapq
+import pickle
 import sys
 import uuid
 from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -38,15 +41,19 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 #: Every crash class a failed step can have, in the order of the rules.
 CRASH_CLASSES = [*dict.fromkeys(c for _, c in TR.ERROR_CLASSES), "other", "none"]
 
-STATE_SCHEMA = T.StructType([
-    T.StructField("n", T.LongType()), T.StructField("start_ms", T.LongType()),
-    T.StructField("repairs", T.LongType()), T.StructField("repair_ok", T.LongType()),
-    T.StructField("fails", T.LongType()), T.StructField("phase", T.StringType()),
-    T.StructField("cycles", T.LongType()), T.StructField("metric", T.DoubleType()),
-    T.StructField("done", T.BooleanType()), T.StructField("budget_s", T.DoubleType()),
-    T.StructField("dropped", T.LongType()), T.StructField("timer_ms", T.LongType()),
-    T.StructField("timed_out", T.BooleanType()),
-])
+#: State of one bucket: its episodes, a pickled ``{episode_id: counters}`` (see ``NEW_EPISODE``), and the
+#: time of its one timer, the earliest any of them is due.
+STATE_SCHEMA = T.StructType([T.StructField("episodes", T.BinaryType()), T.StructField("timer_ms", T.LongType())])
+
+#: n, start_ms, repairs, repair_ok, fails, phase, cycles, metric, done, budget_s, dropped, due_ms, timed_out
+NEW_EPISODE = (0, None, 0, 0, 0, "init", 0, None, False, None, 0, None, False)
+DONE, DUE, TIMED_OUT = 8, 11, 12
+
+#: Bits of a step's ``facts``; long columns go to Python without nulls, which pandas would make doubles.
+OK, HAS_FIT, IS_FIX, IS_DATA, IS_MODEL, IS_SUBMIT, NO_EPISODE, NO_EVENT = (1 << k for k in range(8))
+NO_TIME = -(1 << 63)
+#: The last time pandas can hold, in whole seconds (2262-04-11), and the first.
+PANDAS_TIMES = ("1677-09-22 00:00:00", "2262-04-11 00:00:00")
 
 OUTPUT_SCHEMA = T.StructType([
     T.StructField("episode_id", T.LongType()), T.StructField("event", T.StringType()),
@@ -71,15 +78,19 @@ def stream_inputs(steps: DataFrame, tasks: DataFrame) -> DataFrame:
 
 
 class EpisodeProcessor(StatefulProcessor):
-    """Counters of one episode across micro-batches (E1-E5, done, K2).
+    """Counters of the episodes of one bucket across micro-batches (E1-E5, done, K2).
 
-    The budget's timer reports an open episode once; the counters stay, so that a step that
+    A call to Python, to the state server and a batch of output cost far more than a step,
+    so the state is kept by bucket of episodes. It has one timer, for the episode due first; when
+    it fires, all episodes of the bucket due by the watermark are handled.
+
+    The budget's end reports an open episode once; the counters stay, so that a step that
     still comes is numbered and judged as in the batch windows, and a closed episode is not
     opened again, until ``retention`` after its deadline.
 
     An episode ends at index max_steps at the latest, so only the first
-    (max_steps + 1 - n) rows of a batch by (time, event) can matter: they are picked
-    from the row iterator by a bounded heap, the others are counted as they pass.
+    (max_steps + 1 - n) rows of a batch by (time, event) can matter: no more are kept of an
+    episode while its rows pass, the others are counted.
     A step without a time comes first and takes none."""
 
     def __init__(self, retention_ms: int):
@@ -87,85 +98,131 @@ class EpisodeProcessor(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("episode", STATE_SCHEMA)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        (episode_id,) = key
-        n, start_ms, repairs, repair_ok, fails, phase, cycles, metric, done, budget_s, dropped, timer_ms, timed_out = (
-            self.state.get() or (0, None, 0, 0, 0, "init", 0, None, False, None, 0, None, False))
-        passed = 0
-
-        def counted():
-            nonlocal passed
-            for r in rows:
-                passed += 1
-                yield r
-        it = counted()
-        first = next(it, None)
-        if first is None:
-            return
-        room = 0 if done else max(int(first.max_steps) + 1 - n, 0)
-        mine = heapq.nsmallest(room, (r for part in ((first,), it) for r in part),
-                               key=lambda r: (r.ts_us is not None, r.ts_us or 0, r.event_id))
-        if not room:
-            passed += sum(1 for _ in rows)
-        dropped += passed - len(mine)
-        for r in mine:
+        self.state = handle.getValueState("episodes", STATE_SCHEMA)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        found = self.state.get()
+        episodes, timer_ms = (pickle.loads(found[0]), found[1]) if found else ({}, None)
+        arrived: dict = {}               # episode -> [rows that can matter at most, rows passed, those kept]
+        for chunk in rows:
+            for episode_id, *step in zip(*(chunk[c].tolist() for c in STEP_COLUMNS)):
+                if step[2] & NO_EPISODE:
+                    episode_id = None
+                mine = arrived.get(episode_id)
+                if mine is None:
+                    st = episodes.get(episode_id, NEW_EPISODE)
+                    mine = arrived[episode_id] = [0 if st[DONE] else max(int(step[4]) + 1 - st[0], 0), 0, []]
+                mine[1] += 1
+                if mine[0]:
+                    mine[2].append(step)
+                    if len(mine[2]) > 4 * mine[0] + 64:
+                        mine[2] = heapq.nsmallest(mine[0], mine[2])
+        out: list = []
+        watermark = timerValues.getCurrentWatermarkInMs()
+        for episode_id, (room, passed, steps) in arrived.items():
+            episodes[episode_id] = self.advance(
+                episode_id, episodes.get(episode_id, NEW_EPISODE), sorted(steps)[:room], passed, watermark, out)
+        self.keep(episodes, timer_ms)
+        if out:
+            yield pd.DataFrame(out, columns=OUTPUT_SCHEMA.names, dtype=object)
+
+    def advance(self, episode_id, state: tuple, steps: list, passed: int, watermark: int, out: list) -> tuple:
+        """The episode's state after ``steps``, the first of the ``passed`` rows; a row of each goes to ``out``."""
+        n, start_ms, repairs, repair_ok, fails, phase, cycles, metric, done, budget_s, dropped, due_ms, timed_out = state
+        dropped += passed - len(steps)
+        for ts_us, event_id, facts, value, max_steps, budget in steps:
             if done:
                 dropped += 1
                 continue
-            ms = None if r.ts_us is None else r.ts_us // 1000
+            ms = None if ts_us == NO_TIME else ts_us // 1000
             if start_ms is None and ms is not None:
-                start_ms, budget_s = ms, float(r.time_budget_seconds)
+                start_ms, budget_s = ms, float(budget)
             elapsed = (ms - start_ms) / 1000.0 if ms is not None else 0.0
-            act, ok = r.action_type, bool(r.ok)
-            if act == "CODE_FIX":
+            ok = facts & OK
+            if facts & IS_FIX:
                 repairs += 1
                 repair_ok += ok
             fails = 0 if ok else fails + 1
-            here = ("model" if r.has_fit else "data") if act in ("FEATURE_ENGINEERING", "CODE") else (
-                "model" if act == "MODEL" else None)
+            here = ("model" if facts & HAS_FIT else "data") if facts & IS_DATA else "model" if facts & IS_MODEL else None
             cycles += here == "model" and phase == "data"
             phase = here or phase
-            if r.metric_value is not None and r.metric_value == r.metric_value:
-                metric = float(r.metric_value)
-            done = bool(act == "FINAL_SUBMIT" or n >= r.max_steps or elapsed > r.time_budget_seconds)
-            yield Row(episode_id=episode_id, event="step", event_id=r.event_id, step_idx=n, repair_attempts=repairs,
-                      repair_successes=repair_ok, consecutive_failures=fails, cycle_count=cycles, best_metric=metric,
-                      done=done, dropped_after_done=dropped)
+            if value == value:
+                metric = value
+            done = bool(facts & IS_SUBMIT or n >= max_steps or elapsed > budget)
+            out.append((episode_id, "step", None if facts & NO_EVENT else event_id, n, repairs, repair_ok, fails, cycles,
+                        metric, done, dropped))
             n += 1
         if start_ms is not None:
             # a step that is not late can come when the watermark has already passed the
-            # deadline: the timer then fires as soon as the watermark moves on
-            due = max(start_ms + int(budget_s * 1000) + (self.retention_ms if done or timed_out else 0),
-                      timerValues.getCurrentWatermarkInMs() + 1)
-            if due != timer_ms:
-                if timer_ms is not None:
-                    self.handle.deleteTimer(timer_ms)
+            # deadline: the episode is then due as soon as the watermark moves on
+            due_ms = max(start_ms + int(budget_s * 1000) + (self.retention_ms if done or timed_out else 0), watermark + 1)
+        return n, start_ms, repairs, repair_ok, fails, phase, cycles, metric, done, budget_s, dropped, due_ms, timed_out
+
+    def keep(self, episodes: dict, timer_ms: int | None) -> None:
+        """Writes the bucket's state; its timer, now at ``timer_ms``, goes to the first due time."""
+        due = min((st[DUE] for st in episodes.values() if st[DUE] is not None), default=None)
+        if due != timer_ms:
+            if timer_ms is not None:
+                self.handle.deleteTimer(timer_ms)
+            if due is not None:
                 self.handle.registerTimer(due)
-                timer_ms = due
-        self.state.update((n, start_ms, repairs, repair_ok, fails, phase, cycles, metric, done, budget_s, dropped, timer_ms, timed_out))
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        st = self.state.get()
-        if st is None or st[8] or st[12]:
+        if episodes:
+            self.state.update((pickle.dumps(episodes), due))
+        else:
             self.state.clear()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        found = self.state.get()
+        if found is None:
             return
-        purge = expiredTimerInfo.getExpiryTimeInMs() + self.retention_ms
-        self.handle.registerTimer(purge)
-        self.state.update((*st[:11], purge, True))
-        yield Row(episode_id=key[0], event="timeout", event_id=None, step_idx=None, repair_attempts=st[2],
-                  repair_successes=st[3], consecutive_failures=st[4], cycle_count=st[6], best_metric=st[7],
-                  done=True, dropped_after_done=st[10])
+        episodes, expiry = pickle.loads(found[0]), expiredTimerInfo.getExpiryTimeInMs()
+        upto, out = max(timerValues.getCurrentWatermarkInMs(), expiry), []
+        for episode_id, st in [*episodes.items()]:
+            if st[DUE] is None or st[DUE] > upto:
+                continue
+            if st[DONE] or st[TIMED_OUT]:
+                del episodes[episode_id]
+                continue
+            # Spark deletes the fired timer after this call: the next one is another
+            episodes[episode_id] = (*st[:DUE], max(st[DUE] + self.retention_ms, expiry + 1), True)
+            out.append((episode_id, "timeout", None, None, st[2], st[3], st[4], st[6], st[7], True, st[10]))
+        self.keep(episodes, None)
+        if out:
+            yield pd.DataFrame(out, columns=OUTPUT_SCHEMA.names, dtype=object)
 
     def close(self) -> None:
         pass
 
 
-def stream_episode_state(inputs: DataFrame, watermark: str = "1 hour", retention_days: float = 7) -> DataFrame:
-    """K1 + K2 on a streaming DataFrame from :func:`stream_inputs`."""
-    return (inputs.withColumn("ts_us", F.unix_micros("ts")).withWatermark("ts", watermark).groupBy("episode_id")
-            .transformWithState(EpisodeProcessor(int(retention_days * 86_400_000)), OUTPUT_SCHEMA, "Append", "EventTime"))
+#: What Python gets of a step, in the order of its rows within the episode.
+STEP_COLUMNS = ["episode_id", "ts_us", "event_id", "facts", "metric_value", "max_steps", "time_budget_seconds"]
+
+
+def step_facts() -> Column:
+    """Flags of a step of :func:`stream_inputs` in one number."""
+    act = F.col("action_type")
+    flags = {OK: F.col("ok"), HAS_FIT: F.col("has_fit"), IS_FIX: act == "CODE_FIX",
+             IS_DATA: act.isin("FEATURE_ENGINEERING", "CODE"), IS_MODEL: act == "MODEL", IS_SUBMIT: act == "FINAL_SUBMIT",
+             NO_EPISODE: F.col("episode_id").isNull(), NO_EVENT: F.col("event_id").isNull()}
+    return functools.reduce(lambda a, b: a + b, [F.when(c, bit).otherwise(0) for bit, c in flags.items()])
+
+
+def stream_episode_state(inputs: DataFrame, watermark: str = "1 hour", retention_days: float = 7,
+                         buckets: int = 1024) -> DataFrame:
+    """K1 + K2 on a streaming DataFrame from :func:`stream_inputs`. A call holds the state of the
+    episodes of one bucket, about one in ``buckets`` of all. Times pandas cannot
+    hold (before 1677-09-22, after 2262-04-11) count in full in the rules, as those limits for the watermark."""
+    no_long = F.lit(NO_TIME)
+    lo, hi = (F.lit(t).cast("timestamp") for t in PANDAS_TIMES)
+    steps = inputs.select(
+        F.pmod(F.xxhash64("episode_id"), F.lit(buckets)).cast("int").alias("bucket"),
+        F.when(F.col("ts").isNotNull(), F.greatest(F.least("ts", hi), lo)).alias("ts"),
+        F.coalesce("episode_id", no_long).alias("episode_id"), F.coalesce(F.unix_micros("ts"), no_long).alias("ts_us"),
+        F.coalesce("event_id", no_long).alias("event_id"), step_facts().alias("facts"),
+        F.col("metric_value").cast("double").alias("metric_value"), "max_steps",
+        F.col("time_budget_seconds").cast("double").alias("time_budget_seconds"))
+    return (steps.withWatermark("ts", watermark).groupBy("bucket")
+            .transformWithStateInPandas(EpisodeProcessor(int(retention_days * 86_400_000)), OUTPUT_SCHEMA, "Append", "EventTime"))
 
 
 def stream_step_rules(steps: DataFrame) -> DataFrame:

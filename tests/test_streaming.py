@@ -113,3 +113,61 @@ def test_step_without_time_counts_and_takes_none(spark, tmp_path):
     spark.createDataFrame(data, schema).coalesce(1).write.json(str(tmp_path / "in"))
     out = K.run_available_now(K.stream_episode_state(spark.readStream.schema(schema).json(str(tmp_path / "in"))), "notime").collect()
     assert {r.event_id: (r.step_idx, r.done) for r in out if r.event == "step"} == {2: (0, False), 1: (1, False), 3: (2, False)}
+
+
+STEP_SCHEMA = ("episode_id long, event_id long, ts timestamp, action_type string, ok boolean, metric_value double, "
+               "max_steps int, time_budget_seconds double, has_fit boolean")
+
+
+def test_state_of_many_episodes_is_one_state_a_bucket(spark, tmp_path):
+    from gradewell.streaming import episode_stream as K
+    src, base = str(tmp_path / "in"), str(tmp_path / "base")
+    t0 = F.timestamp_seconds(F.lit(1704067200) + F.col("id"))
+    spark.range(3000).select(
+        F.col("id").alias("episode_id"), F.col("id").alias("event_id"), t0.alias("ts"), F.lit("CODE").alias("action_type"),
+        F.lit(True).alias("ok"), F.lit(None).cast("double").alias("metric_value"), F.lit(15).alias("max_steps"),
+        F.lit(300.0).alias("time_budget_seconds"), F.lit(False).alias("has_fit")).write.parquet(src)
+    got = K.run_available_now(K.stream_episode_state(spark.readStream.schema(STEP_SCHEMA).parquet(src)), "many", base=base)
+    assert got.where("event = 'step'").select("episode_id").distinct().count() == 3000
+    state = spark.read.format("statestore").option("stateVarName", "episodes").load(f"{base}/chk")
+    assert 0 < state.count() <= 1024
+
+
+def test_episodes_of_one_bucket_keep_their_own_counters_and_times(spark, tmp_path):
+    """Five runs on one checkpoint, all episodes in one bucket and each in its own: the same rows.
+    Ids no double holds, null ids, a time pandas cannot hold."""
+    import datetime as dt
+    from gradewell.streaming import episode_stream as K
+    t0, big = dt.datetime(2024, 1, 1), 2**53
+    rows = [(1, 1, 0, 0), (1, 2, 60, 0), (2, big + 1, 50, 0), (9, 4, 7200, 1), (1, 5, 120, 2), (2, 15, 100, 0), (1, 6, 100_000, 3),
+            (1, 7, 100_060, 3), (9, 8, 100_100, 3), (1, 9, 100_200, 4), (3, 10, None, 1), (3, 11, 100_000, 3), (4, 12, 300_000, 4),
+            (big + 1, 13, 10, 0), (None, 14, 20, 0), (None, None, 30, 0), (big, 16, 40, 0), (5, 17, 250_000_000_000, 4)]
+    data = [(e, i, None if s is None else t0 + dt.timedelta(seconds=s), "CODE_FIX", True, None, 15, 300.0, False, p) for e, i, s, p in rows]
+    df = spark.createDataFrame(data, STEP_SCHEMA + ", _part int").withColumnRenamed("_part", "p")
+    found = []
+    for buckets in (1, 1024):
+        arrivals, base = K.Arrivals(df, F.col("p"), 5), f"{tmp_path}/base{buckets}"
+        out = K.stream_episode_state(arrivals.stream().drop("p"), buckets=buckets)
+        got = arrivals.replay(lambda: K.run_available_now(out, "buckets", base=base)).collect()
+        found.append(sorted(map(repr, got)))
+        steps = {(r.episode_id, r.event_id): r.step_idx for r in got if r.event == "step"}
+        assert steps == {(1, 1): 0, (1, 2): 1, (2, big + 1): 0, (2, 15): 1, (9, 4): 0, (1, 6): 2, (9, 8): 1, (3, 10): 0, (3, 11): 1,
+                         (4, 12): 0, (big + 1, 13): 0, (None, 14): 0, (None, None): 1, (big, 16): 0, (5, 17): 0}
+        timeouts = [r.episode_id for r in got if r.event == "timeout"]
+        assert len(timeouts) == len(set(timeouts)) and set(timeouts) == {1, 2, 3, 4, big, big + 1, None}
+    assert found[0] == found[1]
+
+
+def test_an_episode_of_many_rows_keeps_only_the_first(spark, tmp_path):
+    import datetime as dt
+    from gradewell.streaming import episode_stream as K
+    t0 = dt.datetime(2024, 1, 1)
+    data = [(e, i, t0 + dt.timedelta(seconds=(i * 7919) % 3000), "CODE_FIX", True, float(i), 3, 1e9, False)
+            for e, n in ((1, 3000), (2, 3)) for i in range(n)]
+    spark.createDataFrame(data, STEP_SCHEMA).write.json(str(tmp_path / "in"))
+    stream = K.stream_episode_state(spark.readStream.schema(STEP_SCHEMA).json(str(tmp_path / "in")), buckets=1)
+    got = K.run_available_now(stream, "long").where("event = 'step'").collect()
+    mine = {e: sorted((r.step_idx, r.event_id, r.dropped_after_done, r.done) for r in got if r.episode_id == e) for e in (1, 2)}
+    first = sorted(range(3000), key=lambda i: (i * 7919) % 3000)[:4]
+    assert mine[1] == [(k, i, 2996, k == 3) for k, i in enumerate(first)]
+    assert mine[2] == [(k, i, 0, False) for k, i in enumerate(sorted(range(3), key=lambda i: (i * 7919) % 3000))]
